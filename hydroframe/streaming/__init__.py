@@ -1,0 +1 @@
+"""Placeholder: the data model has only complete recordings, so no operator here streams."""
