@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
+from hydroframe.llm.chat import OP3_SQL, op3_chat_format
 from hydroframe.llm.exact_dedup import OP1_SQL, op1_exact_dedup
+from hydroframe.llm.fixity import OP7_SQL, op7_warc_fixity
+from hydroframe.llm.mixing import OP8_SQL, op8_mix_sources
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op3_chat_format": op3_chat_format,
+    "op7_warc_fixity": op7_warc_fixity,
+    "op8_mix_sources": op8_mix_sources,
 }
 
 ORACLES = {
     "op1_exact_dedup": OP1_SQL,
+    "op3_chat_format": OP3_SQL,
+    "op7_warc_fixity": OP7_SQL,
+    "op8_mix_sources": OP8_SQL,
 }
