@@ -8,6 +8,7 @@ from hydroframe.llm.fixity import OP7_SQL, op7_warc_fixity
 from hydroframe.llm.mixing import OP8_SQL, op8_mix_sources
 from hydroframe.llm.packing import op2_pack
 from hydroframe.llm.quality import op5_quality_rules
+from hydroframe.llm.secrets import op9_secret_scan
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
@@ -16,6 +17,7 @@ QUERIES = {
     "op5_quality_rules": op5_quality_rules,
     "op7_warc_fixity": op7_warc_fixity,
     "op8_mix_sources": op8_mix_sources,
+    "op9_secret_scan": op9_secret_scan,
 }
 
 ORACLES = {
