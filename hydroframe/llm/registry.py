@@ -9,6 +9,7 @@ from hydroframe.llm.mixing import OP8_SQL, op8_mix_sources
 from hydroframe.llm.packing import op2_pack
 from hydroframe.llm.quality import op5_quality_rules
 from hydroframe.llm.secrets import op9_secret_scan
+from hydroframe.llm.toxicity import op10_toxicity
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
@@ -18,6 +19,7 @@ QUERIES = {
     "op7_warc_fixity": op7_warc_fixity,
     "op8_mix_sources": op8_mix_sources,
     "op9_secret_scan": op9_secret_scan,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLES = {
