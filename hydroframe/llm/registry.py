@@ -5,6 +5,7 @@ from __future__ import annotations
 from hydroframe.llm.chat import OP3_SQL, op3_chat_format
 from hydroframe.llm.exact_dedup import OP1_SQL, op1_exact_dedup
 from hydroframe.llm.fixity import OP7_SQL, op7_warc_fixity
+from hydroframe.llm.jaccard import op6_jaccard_join
 from hydroframe.llm.mixing import OP8_SQL, op8_mix_sources
 from hydroframe.llm.packing import op2_pack
 from hydroframe.llm.quality import op5_quality_rules
@@ -16,6 +17,7 @@ QUERIES = {
     "op2_pack": op2_pack,
     "op3_chat_format": op3_chat_format,
     "op5_quality_rules": op5_quality_rules,
+    "op6_jaccard_join": op6_jaccard_join,
     "op7_warc_fixity": op7_warc_fixity,
     "op8_mix_sources": op8_mix_sources,
     "op9_secret_scan": op9_secret_scan,
