@@ -8,6 +8,7 @@ from hydroframe.llm.fixity import OP7_SQL, op7_warc_fixity
 from hydroframe.llm.jaccard import op6_jaccard_join
 from hydroframe.llm.mixing import OP8_SQL, op8_mix_sources
 from hydroframe.llm.packing import op2_pack
+from hydroframe.llm.pii import op4_personal_data
 from hydroframe.llm.quality import op5_quality_rules
 from hydroframe.llm.secrets import op9_secret_scan
 from hydroframe.llm.toxicity import op10_toxicity
@@ -16,6 +17,7 @@ QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_pack": op2_pack,
     "op3_chat_format": op3_chat_format,
+    "op4_personal_data": op4_personal_data,
     "op5_quality_rules": op5_quality_rules,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_warc_fixity": op7_warc_fixity,
