@@ -3,17 +3,46 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from hydroframe.llm import exact_dedup
+from hydroframe.llm import exact_dedup, jaccard, mixing, packing, toxicity
 from hydroframe.llm.shared import materialize, table
 
+#: Near copies share this share of their shingles of so many words.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
+
+
+def stage_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents predicted toxic go; labels of held-out documents are not read."""
+    return toxicity.clean_documents(docs, table(spark, sf_dir, "labels"))
+
 
 def stage_exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the row with the largest doc_id stays."""
     return exact_dedup.kept_documents(docs)
 
 
+def stage_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of linked documents the one with the smallest doc_id stays."""
+    return jaccard.one_of_each(docs, NEAR_WORDS, NEAR_PERCENT)
+
+
+def stage_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    return mixing.mixed_documents(docs)
+
+
+def stage_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their ids, each a sequence of its own."""
+    return packing.pack(docs, packing.tokenizer_path()).withColumn("offset", F.lit(0).cast("long"))
+
+
 STAGES = [
+    ("toxicity", stage_toxicity),
     ("exact dedup", stage_exact_dedup),
+    ("n-gram Jaccard join", stage_near_duplicates),
+    ("mixing", stage_mixing),
+    ("packing", stage_packing),
 ]
 
 #: Learnt scores and tokenizer ids can't be expressed in SQL; tests hold the run against brute force.
