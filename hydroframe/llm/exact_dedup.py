@@ -22,6 +22,8 @@ STATE_CONF = {
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    # else each state partition reserves megabytes for files that stay small
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 
 
