@@ -1,10 +1,502 @@
-"""Queries over the test tables, each with its SQL where SQL can express it."""
+"""Queries over the test tables, each with its SQL where SQL can express it.
+
+No audio lies in those tables, so that rows of theirs stand for clips, samples, detections and frames.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from hydroframe.functions.columns import clean_numeric, interval_iou, overlap_coefficient, weighted_quantile
+from hydroframe.operators import bags, clips, events, frames, model, quality, spectral
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+#: The clip features that lineitem's columns stand for.
+CLIP_FEATURES = ["quantity", "price", "discount", "tax"]
+NAMES = [f"{f}__{s}" for f in CLIP_FEATURES for s in [*bags.STATISTICS, "missing_fraction"]]
+#: An artificial model: median, mean and deviation by input, coefficients by head and position.
+ENCODER = [(k, n, 0.5 * k, 10.0 + k, 2.0 + k % 5) for k, n in enumerate(NAMES)]
+HEADS = [(h, label, p, ((7 * p + 3 * h) % 11 - 5) / 400.0, 0.1 * h) for h, label in enumerate(model.LABELS) for p in range(2 * len(NAMES))]
+#: Priorities of orders stand for sample rates; the last three were in training.
+RATES = {"1-URGENT": 44100, "2-HIGH": 48000, "3-MEDIUM": 96000, "4-NOT SPECIFIED": 192000, "5-LOW": 288000}
+TRAINING = (96000, 192000, 288000)
+FLAGS = {"exact_clipping_min_fraction": 0.0, "near_clipping_min_fraction": 0.001, "large_dc_offset_fraction_full_scale": 0.01, "very_low_rms_dbfs": -60.0, "large_zero_fraction": 0.5, "low_tonal_component_frame_fraction": 0.01, "nonloop_long_duration_seconds": 3.0}
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+def _read(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def _r(c: Column | str, digits: int = 6) -> Column:
+    return F.round(F.col(c) if isinstance(c, str) else c, digits)
+
+
+# --- clips from lineitem -------------------------------------------------------------------------
+
+_CLIPS = """SELECT l_suppkey AS encounter_id, l_orderkey, l_linenumber, l_quantity AS quantity, l_extendedprice AS price,
+ CASE WHEN l_discount <> 0 THEN l_discount END AS discount, CASE WHEN l_tax <> 0.08 THEN l_tax END AS tax FROM lineitem"""
+
+
+def _clips(spark, sf):
+    """Discounts of 0 are null and taxes of 0.08 are NaN, so that both kinds of missing values occur."""
+    tax = F.when(F.col("l_tax") == 0.08, F.lit(float("nan"))).otherwise(F.col("l_tax"))
+    return _read(spark, sf, "lineitem").select(F.col("l_suppkey").alias("encounter_id"), "l_orderkey", "l_linenumber", F.col("l_quantity").alias("quantity"), F.col("l_extendedprice").alias("price"), F.when(F.col("l_discount") != 0, F.col("l_discount")).alias("discount"), tax.alias("tax"))
+
+
+@query("p3_clean_numeric", f"SELECT encounter_id, l_orderkey, l_linenumber, discount, tax FROM ({_CLIPS})")
+def _(spark, sf):
+    return _clips(spark, sf).select("encounter_id", "l_orderkey", "l_linenumber", clean_numeric(F.col("discount")).alias("discount"), clean_numeric(F.col("tax")).alias("tax"))
+
+
+def _stat_sql(f: str) -> str:
+    one = {"mean": "avg({0})", "std": "stddev_pop({0})", "minimum": "min({0})", "q25": "quantile_cont({0}, 0.25)", "median": "quantile_cont({0}, 0.5)", "q75": "quantile_cont({0}, 0.75)", "maximum": "max({0})", "missing_fraction": "1 - count({0}) / count(*)"}
+    return ", ".join(f"{sql.format(f)} AS {f}__{s}" for s, sql in one.items())
+
+
+_BAGS = f"SELECT encounter_id, {', '.join(map(_stat_sql, CLIP_FEATURES))} FROM ({_CLIPS}) GROUP BY encounter_id"
+
+
+def _bags(spark, sf):
+    return bags.bag_statistics(_clips(spark, sf), "encounter_id", CLIP_FEATURES)
+
+
+@query("b1_bag_statistics", f"SELECT encounter_id, {', '.join(f'round({n}, 6) AS {n}' for n in NAMES)} FROM ({_BAGS})")
+def _(spark, sf):
+    return _bags(spark, sf).select("encounter_id", *[_r(n).alias(n) for n in NAMES])
+
+
+@query("b5_statistic_subset", f"SELECT encounter_id, round(max(price), 6) AS price__maximum, round(quantile_cont(price, 0.5), 6) AS price__median, round(max(tax), 6) AS tax__maximum, round(quantile_cont(tax, 0.5), 6) AS tax__median FROM ({_CLIPS}) GROUP BY encounter_id")
+def _(spark, sf):
+    out = bags.bag_statistics(_clips(spark, sf), "encounter_id", ["price", "tax"], ("maximum", "median"), missing_fraction=False)
+    return out.select("encounter_id", *[_r(c).alias(c) for c in out.columns[1:]])
+
+
+_VALUES = lambda rows: ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else f"CAST({x!r} AS DOUBLE)" if isinstance(x, float) else repr(x) for x in r) + ")" for r in rows)
+_ENC = f"""enc(pos, name, median, mean, sd) AS (VALUES {_VALUES(ENCODER)}),
+head(label_idx, label, pos, coef, intercept) AS (VALUES {_VALUES(HEADS)}),
+bag AS ({_BAGS}),
+long AS (UNPIVOT bag ON COLUMNS(* EXCLUDE (encounter_id)) INTO NAME name VALUE value),
+every AS (SELECT b.encounter_id, e.*, l.value FROM bag b CROSS JOIN enc e LEFT JOIN long l ON l.encounter_id = b.encounter_id AND l.name = e.name),
+encoded AS (SELECT encounter_id, 2 * pos AS pos, name, (coalesce(value, median) - mean) / sd AS value FROM every
+  UNION ALL SELECT encounter_id, 2 * pos + 1, name || '__missing', CASE WHEN value IS NULL THEN 1.0 ELSE 0.0 END FROM every),
+logit AS (SELECT encounter_id, label_idx, label, sum(coef * value) + first(intercept) AS x FROM encoded JOIN head USING (pos) GROUP BY ALL),
+score AS (SELECT encounter_id, label_idx, label, CASE WHEN x >= 0 THEN 1 / (1 + exp(-x)) ELSE exp(x) / (1 + exp(x)) END AS score FROM logit)"""
+
+
+def _model(spark):
+    return spark.createDataFrame(ENCODER, "pos int, name string, median double, mean double, sd double"), spark.createDataFrame(HEADS, "label_idx int, label string, pos int, coef double, intercept double")
+
+
+def _encoded(spark, sf):
+    return model.encode(bags.long_form(_bags(spark, sf), "encounter_id"), "encounter_id", _model(spark)[0])
+
+
+def _scores(spark, sf):
+    return model.linear_heads(_encoded(spark, sf), "encounter_id", _model(spark)[1])
+
+
+@query("m1_encode_aggregates", f"WITH {_ENC} SELECT encounter_id, pos, name, round(value, 6) AS value FROM encoded")
+def _(spark, sf):
+    return _encoded(spark, sf).select("encounter_id", "pos", "name", _r("value").alias("value"))
+
+
+@query("m4_multilabel_scores", f"WITH {_ENC} SELECT encounter_id, label, round(score, 6) AS score FROM score")
+def _(spark, sf):
+    return _scores(spark, sf).select("encounter_id", "label", _r("score").alias("score"))
+
+
+@query("r1_rank_labels", f"WITH {_ENC} SELECT encounter_id, label, round(score, 6) AS score, row_number() OVER (PARTITION BY encounter_id ORDER BY score DESC, label_idx) AS rank FROM score")
+def _(spark, sf):
+    return model.rank_labels(_scores(spark, sf), "encounter_id").select("encounter_id", "label", _r("score").alias("score"), "rank")
+
+
+_EXTREMES = "extremes AS (SELECT * FROM (SELECT encounter_id, name, value, row_number() OVER (PARTITION BY encounter_id ORDER BY abs(value) DESC, pos) AS ord FROM encoded WHERE pos % 2 = 0 AND abs(value) > 6) WHERE ord <= 10)"
+
+
+@query("r2_top_extremes", f"WITH {_ENC}, {_EXTREMES} SELECT encounter_id, name, round(value, 4) AS value, ord FROM extremes")
+def _(spark, sf):
+    return model.top_extremes(_encoded(spark, sf), "encounter_id").select("encounter_id", "name", _r("value", 4).alias("value"), "ord")
+
+
+@query("q6_extrapolation", f"WITH {_ENC}, {_EXTREMES} SELECT encounter_id, 6 AS ord, 'aggregate_feature_extrapolation' AS code FROM extremes GROUP BY encounter_id")
+def _(spark, sf):
+    return quality.extrapolation(model.top_extremes(_encoded(spark, sf), "encounter_id")).select("encounter_id", "ord", "code")
+
+
+@query("q10_assemble_prediction", f"""WITH {_ENC}, {_EXTREMES},
+w AS (SELECT DISTINCT encounter_id, 'aggregate_feature_extrapolation' AS code FROM extremes),
+r AS (SELECT *, row_number() OVER (PARTITION BY encounter_id ORDER BY score DESC, label_idx) AS rank FROM score)
+SELECT r.encounter_id, 'complete' AS status, max(CASE WHEN rank = 1 THEN label END) AS best, round(max(score), 6) AS best_score,
+ string_agg(label, '>' ORDER BY rank) AS ranking, coalesce(max(w.code), '') AS warning_codes, CASE WHEN count(w.code) > 0 THEN 'warning' ELSE 'ok' END AS quality_status
+FROM r LEFT JOIN w USING (encounter_id) GROUP BY r.encounter_id""")
+def _(spark, sf):
+    encoded, (_, heads) = _encoded(spark, sf), _model(spark)
+    ranked = model.rank_labels(model.linear_heads(encoded, "encounter_id", heads), "encounter_id")
+    listed = ranked.groupBy("encounter_id").agg(F.sort_array(F.collect_list(F.struct("rank", "label", "score"))).alias("r"))
+    told = quality.summarise(listed, quality.extrapolation(model.top_extremes(encoded, "encounter_id")))
+    out = listed.join(told, "encounter_id")
+    return out.select("encounter_id", F.lit("complete").alias("status"), F.get("r", F.lit(0))["label"].alias("best"), _r(F.get("r", F.lit(0))["score"]).alias("best_score"), F.array_join(F.transform("r", lambda x: x["label"]), ">").alias("ranking"), F.array_join(F.transform("warnings", lambda x: x["code"]), ";").alias("warning_codes"), "quality_status")
+
+
+@query("q1_sparse_evidence", "SELECT l_orderkey AS encounter_id, 1 AS ord, 'sparse_whistle_evidence' AS code FROM lineitem GROUP BY l_orderkey HAVING count(*) < 3")
+def _(spark, sf):
+    return quality.sparse_evidence(_read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("encounter_id"))).select("encounter_id", "ord", "code")
+
+
+# --- sample rates from orders --------------------------------------------------------------------
+
+_RATE = "SELECT o_custkey AS encounter_id, CASE o_orderpriority " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in RATES.items()) + " END AS rate, o_totalprice AS price FROM orders"
+
+
+def _rates(spark, sf):
+    table = F.create_map(*[F.lit(x) for kv in RATES.items() for x in kv])
+    return _read(spark, sf, "orders").select(F.col("o_custkey").alias("encounter_id"), table[F.col("o_orderpriority")].alias("sample_rate_hz"), F.col("o_totalprice").alias("price"))
+
+
+def _training(spark):
+    return spark.createDataFrame([(x,) for x in TRAINING], "sample_rate_hz int")
+
+
+@query("q2_unseen_rates", f"SELECT encounter_id, 'sample_rate_outside_training_regimes' AS code, list_sort(list(DISTINCT rate)) AS unseen FROM ({_RATE}) WHERE rate NOT IN {TRAINING} GROUP BY encounter_id")
+def _(spark, sf):
+    rows = _rates(spark, sf)
+    told = quality.rate_warnings(rows, _training(spark))
+    return told.select("encounter_id", "code").join(quality.unseen_rates(rows, _training(spark)), "encounter_id")
+
+
+@query("b3_bag_totals", f"SELECT encounter_id, count(*) AS clip_count, round(sum(price), 2) AS total_duration, list_sort(list(DISTINCT rate) FILTER (WHERE rate IS NOT NULL)) AS rates FROM ({_RATE}) GROUP BY encounter_id")
+def _(spark, sf):
+    return bags.bag_totals(_rates(spark, sf), "encounter_id", "price", "sample_rate_hz").withColumn("total_duration", _r("total_duration", 2))
+
+
+# --- waveforms from events -----------------------------------------------------------------------
+
+_SAMPLES = "SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos, CAST(least(32767, greatest(-32768, round_even((value - 50) * 327.67, 0))) AS INTEGER) AS x FROM events"
+
+
+def _samples(spark, sf):
+    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    x = F.least(F.lit(32767.0), F.greatest(F.lit(-32768.0), F.rint((F.col("value") - 50) * 327.67))).cast("int")
+    return _read(spark, sf, "events").select("user_id", (F.row_number().over(order) - 1).alias("pos"), x.alias("x"))
+
+
+def _waves(spark, sf):
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"])
+    return _samples(spark, sf).groupBy("user_id").agg(listed.alias("samples"))
+
+
+_TOTALS = f"SELECT user_id, max(pos) + 1 AS n, CAST(1 + floor((max(pos) + 1 - 16) / 8) AS BIGINT) AS a FROM ({_SAMPLES}) GROUP BY user_id"
+_STARTS = f"""SELECT user_id, unnest(CASE WHEN n < 16 THEN [0::BIGINT] WHEN a <= 5 THEN [i * 8 FOR i IN range(0, a)]
+ ELSE list_sort(list_distinct([CASE WHEN i = 4 THEN n - 16 ELSE CAST(floor(i * ((n - 16)::DOUBLE / 4)) AS BIGINT) END FOR i IN range(0, 5)])) END) AS first_sample FROM ({_TOTALS})"""
+
+
+@query("g1_frame_starts", _STARTS)
+def _(spark, sf):
+    n = _samples(spark, sf).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    return n.select("user_id", F.explode(frames.frame_starts(F.col("n"), 16, 8, 5)).alias("first_sample"))
+
+
+@query("g2_sliding_windows", f"SELECT user_id, unnest(CASE WHEN n <= 30 THEN [0::BIGINT] ELSE list_sort(list_distinct(list_concat(range(0, n - 30 + 1, 10), [n - 30]))) END) AS start_sample FROM ({_TOTALS})")
+def _(spark, sf):
+    n = _samples(spark, sf).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    return n.select("user_id", F.explode(frames.sliding_windows(F.col("n"), 30, 10)).alias("start_sample"))
+
+
+_FRAMES = f"""SELECT s.user_id, s.first_sample, i, coalesce(w.x, 0) AS x FROM ({_STARTS}) s CROSS JOIN range(0, 16) r(i) LEFT JOIN ({_SAMPLES}) w ON w.user_id = s.user_id AND w.pos = s.first_sample + i"""
+
+
+def _frames(spark, sf):
+    waves = _waves(spark, sf).select("user_id", frames.pcm_to_float(F.col("samples")).alias("samples"))
+    return frames.frames(waves, "user_id", "samples", 16, 8, 5)
+
+
+@query("g3_frame_samples", f"SELECT user_id, first_sample, round(sum(x / 32768.0), 6) AS total, round(max(x / 32768.0), 6) AS peak, count(*) AS n FROM ({_FRAMES}) GROUP BY ALL")
+def _(spark, sf):
+    total = F.aggregate("samples", F.lit(0.0), lambda a, x: a + x)
+    return _frames(spark, sf).select("user_id", "first_sample", _r(total).alias("total"), _r(F.array_max("samples")).alias("peak"), F.size("samples").cast("long").alias("n"))
+
+
+@query("a2_frame_dynamics", f"""WITH f AS (SELECT user_id, first_sample, sqrt(avg((x / 32768.0) * (x / 32768.0))) AS rms FROM ({_FRAMES}) GROUP BY ALL),
+q AS (SELECT user_id, quantile_cont(rms, 0.1) AS a, quantile_cont(rms, 0.5) AS b, quantile_cont(rms, 0.9) AS c, max(rms) AS m FROM f GROUP BY user_id)
+SELECT user_id, round(any_value(a), 6) AS rms_q10, round(any_value(b), 6) AS rms_q50, round(any_value(c), 6) AS rms_q90,
+ round(any_value(CASE WHEN a > 0 AND c > 0 THEN 10 * log10(c * c / (a * a)) END), 5) AS temporal_dynamic_db, round(avg(CASE WHEN rms < m * 0.01 THEN 1.0 ELSE 0.0 END), 6) AS low_activity_frame_fraction
+FROM f JOIN q USING (user_id) GROUP BY user_id""")
+def _(spark, sf):
+    out = clips.frame_dynamics(_frames(spark, sf).select("user_id", clips.frame_rms(F.col("samples")).alias("rms")), "user_id")
+    return out.select("user_id", *[_r(c, 5 if c.endswith("db") else 6).alias(c) for c in out.columns[1:]])
+
+
+_AMPLITUDE = f"""SELECT user_id, count(*) AS sample_count, sqrt(avg((x / 32768.0) * (x / 32768.0))) AS rms_fraction, avg(x / 32768.0) AS dc_fraction, avg(CASE WHEN abs(x) >= 32767 THEN 1.0 ELSE 0.0 END) AS exact_clipping_fraction,
+ avg(CASE WHEN abs(x) >= 0.99 * 32768 THEN 1.0 ELSE 0.0 END) AS near_clipping_fraction, avg(CASE WHEN x = 0 THEN 1.0 ELSE 0.0 END) AS zero_fraction FROM ({_SAMPLES}) GROUP BY user_id"""
+
+
+@query("a1_amplitude_stats", f"SELECT user_id, sample_count, {', '.join(f'round({c}, 6) AS {c}' for c in ('rms_fraction', 'dc_fraction', 'exact_clipping_fraction', 'near_clipping_fraction', 'zero_fraction'))}, round(20 * log10(greatest(rms_fraction, 2.2250738585072014e-308)), 5) AS rms_dbfs FROM ({_AMPLITUDE})")
+def _(spark, sf):
+    out = clips.amplitude_stats(_samples(spark, sf), "user_id", "x", 0.99)
+    return out.select("user_id", "sample_count", *[_r(c).alias(c) for c in out.columns if c.endswith("fraction")], _r("rms_dbfs", 5).alias("rms_dbfs"))
+
+
+@query("a4_quality_flags", f"""SELECT user_id, concat_ws(';', CASE WHEN exact_clipping_fraction > 0 THEN 'exact_clipping_detected' END, CASE WHEN near_clipping_fraction >= 0.001 THEN 'near_clipping_ge_threshold' END,
+ CASE WHEN abs(dc_fraction) >= 0.01 THEN 'large_dc_offset' END, CASE WHEN 20 * log10(rms_fraction) <= -60 THEN 'very_low_rms' END, CASE WHEN zero_fraction >= 0.5 THEN 'large_zero_fraction' END,
+ CASE WHEN zero_fraction < 0.01 THEN 'low_tonal_component_coverage' END, CASE WHEN sample_count / 20.0 > 3 THEN 'nonloop_duration_gt_3s' END) AS flags FROM ({_AMPLITUDE})""")
+def _(spark, sf):
+    rows = clips.amplitude_stats(_samples(spark, sf), "user_id", "x", 0.99).withColumn("core_tonal_component_frame_fraction", F.col("zero_fraction")).withColumn("duration_seconds", F.col("sample_count") / 20.0)
+    return rows.select("user_id", F.array_join(clips.quality_flags(FLAGS), ";").alias("flags"))
+
+
+_PAD = f"""SELECT e.event_id, e.user_id, t.n, CAST(greatest(0, floor(greatest(0.0, e.p - 2.5) * 1.0)) AS BIGINT) AS first_sample, CAST(least(t.n, ceil(least(t.n::DOUBLE, e.p + 1 + 2.5))) AS BIGINT) AS stop_sample
+FROM (SELECT event_id, user_id, value, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1)::DOUBLE AS p FROM events) e JOIN ({_TOTALS}) t USING (user_id) WHERE e.value > 60"""
+
+
+def _padded(spark, sf):
+    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    rows = _read(spark, sf, "events").select("event_id", "user_id", "value", (F.row_number().over(order) - 1).cast("double").alias("start_s"), F.count(F.lit(1)).over(Window.partitionBy("user_id")).alias("sample_count"))
+    rows = rows.where("value > 60").withColumn("end_s", F.col("start_s") + 1).withColumn("duration_seconds", F.col("sample_count").cast("double")).withColumn("sample_rate_hz", F.lit(1))
+    return frames.pad_and_clip(rows, 2.5)
+
+
+@query("e11_pad_and_clip", f"SELECT event_id, first_sample, stop_sample FROM ({_PAD}) WHERE stop_sample > first_sample")
+def _(spark, sf):
+    return _padded(spark, sf).select("event_id", "first_sample", "stop_sample")
+
+
+@query("s10_extract_clips", f"SELECT p.event_id, count(*) AS samples, sum(CASE WHEN w.x < 0 THEN w.x + 65536 ELSE w.x END)::BIGINT AS total, sha256(string_agg(lpad(hex(CASE WHEN w.x < 0 THEN w.x + 65536 ELSE w.x END), 4, '0'), '' ORDER BY w.pos)) AS words FROM ({_PAD}) p JOIN ({_SAMPLES}) w ON w.user_id = p.user_id AND w.pos >= p.first_sample AND w.pos < p.stop_sample GROUP BY p.event_id")
+def _(spark, sf):
+    size = 8
+    word = F.lpad(F.hex(F.col("x").bitwiseAND(0xFFFF)), 4, "0")
+    low_first = F.unhex(F.concat(F.substring(word, 3, 2), F.substring(word, 1, 2)))
+    chunk = F.aggregate(F.sort_array(F.collect_list(F.struct("pos", low_first.alias("b")))), F.lit(b"").cast("binary"), lambda a, s: F.concat(a, s["b"]))
+    chunks = _samples(spark, sf).groupBy(F.col("user_id").alias("recording_id"), F.floor(F.col("pos") / size).alias("chunk_no")).agg(chunk.alias("pcm"))
+    asked = _padded(spark, sf).select("event_id", F.col("user_id").alias("recording_id"), "first_sample", "stop_sample")
+    cut = frames.extract_clips(asked, chunks, size)
+    n = F.floor(F.octet_length("pcm") / 2).cast("int")
+    words = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.concat(F.hex(F.substring("pcm", 2 * i + 2, F.lit(1))), F.hex(F.substring("pcm", 2 * i + 1, F.lit(1)))))
+    out = cut.select("event_id", n.cast("long").alias("samples"), words.alias("w"))
+    return out.select("event_id", "samples", F.aggregate("w", F.lit(0).cast("long"), lambda a, x: a + F.conv(x, 16, 10).cast("long")).alias("total"), F.sha2(F.array_join("w", ""), 256).alias("words"))
+
+
+# --- detections from events ----------------------------------------------------------------------
+
+_DET = """SELECT user_id AS recording_id, event_id AS seq, epoch_us(ts) / 1e6 AS start_s, epoch_us(ts) / 1e6 + value * 600 AS end_s, (1000 + 100 * k)::DOUBLE AS fmin, (4000 + 100 * k)::DOUBLE AS fmax, 0.5::DOUBLE + (k % 50) / 100.0::DOUBLE AS confidence, event_id % 7 AS win
+FROM (SELECT *, CAST(props->>'k' AS INTEGER) AS k FROM events)"""
+
+
+def _detections(spark, sf):
+    rows = _read(spark, sf, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+    start = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
+    return rows.select(
+        F.col("user_id").alias("recording_id"), F.col("event_id").alias("seq"), start.alias("start_s"), (start + F.col("value") * 600).alias("end_s"), (1000.0 + 100 * F.col("k")).alias("fmin_hz"), (4000.0 + 100 * F.col("k")).alias("fmax_hz"),
+        (0.5 + (F.col("k") % 50) / 100.0).alias("confidence"), F.array((F.col("event_id") % 7).cast("int")).alias("windows"), F.lit(1).alias("raw_count"),
+    )
+
+
+_ISLANDS = f"""SELECT *, sum(new) OVER (PARTITION BY recording_id ORDER BY start_s, confidence DESC, seq ROWS UNBOUNDED PRECEDING)::BIGINT AS island FROM (
+ SELECT *, CASE WHEN start_s - max(end_s) OVER (PARTITION BY recording_id ORDER BY start_s, confidence DESC, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) <= 0.04 THEN 0 ELSE 1 END AS new FROM ({_DET}))"""
+
+
+@query("e8_islands", f"SELECT recording_id, seq, island FROM ({_ISLANDS})")
+def _(spark, sf):
+    return events.islands(_detections(spark, sf), 0.04).select("recording_id", "seq", "island")
+
+
+@query("e7_association_pairs", f"""WITH d AS ({_DET}), p AS (SELECT a.recording_id, a.seq AS seq_a, b.seq AS seq_b,
+ greatest(0, least(a.end_s, b.end_s) - greatest(a.start_s, b.start_s)) AS i, greatest(a.end_s, b.end_s) - least(a.start_s, b.start_s) AS u, least(a.end_s - a.start_s, b.end_s - b.start_s) AS s,
+ greatest(0, least(a.fmax, b.fmax) - greatest(a.fmin, b.fmin)) / (greatest(a.fmax, b.fmax) - least(a.fmin, b.fmin)) AS f, greatest(0, greatest(a.start_s, b.start_s) - least(a.end_s, b.end_s)) AS gap
+ FROM d a JOIN d b ON a.recording_id = b.recording_id AND a.seq < b.seq AND a.win <> b.win AND greatest(a.start_s, b.start_s) - least(a.end_s, b.end_s) < 1)
+SELECT recording_id, seq_a, seq_b, round(2 * CASE WHEN u > 0 THEN i / u ELSE 0 END + CASE WHEN s > 0 THEN i / s ELSE 0 END + f - gap, 5) AS score FROM p
+WHERE ((u > 0 AND i / u >= 0.25) OR (s > 0 AND i / s >= 0.55) OR gap <= 0.04) AND f >= 0.10""")
+def _(spark, sf):
+    return events.association_pairs(_detections(spark, sf), 30_000.0).withColumn("score", _r("score", 5))
+
+
+@query("e8_merge_events")
+def _(spark, sf):
+    out = events.merge_events(_detections(spark, sf))
+    return out.withColumns({c: _r(c) for c in ("start_s", "end_s", "fmin_hz", "fmax_hz", "confidence")})
+
+
+@query("e3_interval_similarity", f"""WITH d AS (SELECT *, lead(start_s) OVER w AS b0, lead(end_s) OVER w AS b1 FROM ({_DET}) WINDOW w AS (PARTITION BY recording_id ORDER BY seq))
+SELECT recording_id, seq, round(CASE WHEN greatest(end_s, b1) - least(start_s, b0) > 0 THEN greatest(0, least(end_s, b1) - greatest(start_s, b0)) / (greatest(end_s, b1) - least(start_s, b0)) ELSE 0 END, 6) AS iou,
+ round(CASE WHEN least(greatest(0, end_s - start_s), greatest(0, b1 - b0)) > 0 THEN greatest(0, least(end_s, b1) - greatest(start_s, b0)) / least(greatest(0, end_s - start_s), greatest(0, b1 - b0)) ELSE 0 END, 6) AS overlap, round(greatest(0, end_s - start_s), 6) AS duration_s
+FROM d WHERE b0 IS NOT NULL""")
+def _(spark, sf):
+    w = Window.partitionBy("recording_id").orderBy("seq")
+    rows = _detections(spark, sf).withColumn("b0", F.lead("start_s").over(w)).withColumn("b1", F.lead("end_s").over(w)).where("b0 IS NOT NULL")
+    args = [F.col(c) for c in ("start_s", "end_s", "b0", "b1")]
+    return rows.select("recording_id", "seq", _r(interval_iou(*args)).alias("iou"), _r(overlap_coefficient(*args)).alias("overlap"), _r(F.greatest(F.lit(0.0), args[1] - args[0])).alias("duration_s"))
+
+
+@query("t10_weighted_quantile", f"""SELECT recording_id, min(CASE WHEN c >= 0.5 * t THEN fmin END) AS fmin_median FROM (SELECT recording_id, fmin, sum(round(100 * confidence)) OVER (PARTITION BY recording_id ORDER BY fmin ROWS UNBOUNDED PRECEDING) AS c, sum(round(100 * confidence)) OVER (PARTITION BY recording_id) AS t FROM ({_DET})) GROUP BY recording_id""")
+def _(spark, sf):
+    rows = _detections(spark, sf).withColumn("weight", F.rint(100 * F.col("confidence")))  # whole numbers add up alike in any order
+    return weighted_quantile(rows, ["recording_id"], "fmin_hz", "weight", 0.5, "fmin_median")
+
+
+@query("e13_clip_names", f"SELECT seq, 'R' || lpad(CAST(dense_rank() OVER (ORDER BY recording_id) AS VARCHAR), 4, '0') || '_W' || lpad(CAST(row_number() OVER (PARTITION BY recording_id ORDER BY seq) AS VARCHAR), 4, '0') AS clip FROM ({_DET})")
+def _(spark, sf):
+    rows = _detections(spark, sf)
+    recordings = frames.source_index(rows.select("recording_id").distinct().withColumn("all", F.lit(1)).withColumn("path", F.lpad(F.col("recording_id").cast("string"), 20, "0")), "all", "path")
+    named = rows.withColumn("event_id", F.format_string("W%04d", F.row_number().over(Window.partitionBy("recording_id").orderBy("seq"))))
+    return named.join(recordings, "recording_id").select("seq", frames.clip_name(F.col("source_index"), F.col("event_id")).alias("clip"))
+
+
+def _boxes(spark, sf):
+    """Ten samples of a recording are a window; x, y, w, h and confidence come from an event's k."""
+    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    rows = _read(spark, sf, "events").select("user_id", F.col("event_id").alias("seq"), (F.row_number().over(order) - 1).alias("pos"), F.get_json_object("props", "$.k").cast("int").alias("k"), F.count(F.lit(1)).over(Window.partitionBy("user_id")).alias("total_samples"))
+    k = F.col("k")
+    return rows.select(
+        F.col("user_id").alias("recording_id"), "seq", F.floor(F.col("pos") / 10).cast("int").alias("window_index"), "total_samples", (k / 100.0).alias("x"), ((k * 7 % 100) / 100.0).alias("y"), (0.05 + (k % 10) / 20.0).alias("w"), (0.1 + (k % 5) / 10.0).alias("h"),
+        (0.2 + (k % 50) / 70.0).alias("confidence"), (F.floor(F.col("pos") / 10) * 10).alias("start_sample"), F.least(F.lit(10), F.col("total_samples") - F.floor(F.col("pos") / 10) * 10).alias("valid_samples"), F.lit(10).alias("sample_rate_hz"), F.lit(0.0).alias("t0"), F.lit(1.0).alias("t1"), F.lit(0.0).alias("f0"), F.lit(30000.0).alias("f1"),
+    )
+
+
+_BOX = """SELECT user_id AS recording_id, event_id AS seq, total, pos // 10 * 10 AS s, least(10, total - pos // 10 * 10) AS valid, k / 100.0::DOUBLE AS x, (k * 7 % 100) / 100.0::DOUBLE AS y, 0.05::DOUBLE + (k % 10) / 20.0::DOUBLE AS w, 0.1::DOUBLE + (k % 5) / 10.0::DOUBLE AS h
+FROM (SELECT *, CAST(props->>'k' AS INTEGER) AS k, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos, count(*) OVER (PARTITION BY user_id) AS total FROM events)"""
+
+
+@query("e1_boxes_to_intervals", f"""WITH b AS (SELECT *, greatest(0, least(total - 1, s + CAST(round_even(greatest(0, least(valid / 10.0::DOUBLE, greatest(0.0, x - w / 2))) * 10, 0) AS BIGINT))) AS a, s + CAST(round_even(greatest(0, least(valid / 10.0::DOUBLE, least(1.0, x + w / 2))) * 10, 0) AS BIGINT) AS e FROM ({_BOX}))
+SELECT recording_id, seq, a AS event_start, greatest(a + 1, least(total, e)) AS event_end, round(30000 - least(1.0, y + h / 2) * 30000, 4) AS fmin_hz, round(30000 - greatest(0.0, y - h / 2) * 30000, 4) AS fmax_hz FROM b""")
+def _(spark, sf):
+    return events.boxes_to_intervals(_boxes(spark, sf)).select("recording_id", "seq", "event_start", "event_end", _r("fmin_hz", 4).alias("fmin_hz"), _r("fmax_hz", 4).alias("fmax_hz"))
+
+
+@query("e2_detections")
+def _(spark, sf):
+    return events.detections(events.boxes_to_intervals(events.admit_boxes(_boxes(spark, sf))), 30_000.0)
+
+
+@query("p10_admit_boxes")
+def _(spark, sf):
+    return events.admit_boxes(_boxes(spark, sf)).select("recording_id", "window_index", "seq", "confidence")
+
+
+_STATUS = """SELECT u.user_id AS encounter_id, CASE WHEN r.user_id IS NOT NULL THEN 'failed' WHEN e.n IS NULL THEN 'no_whistles_detected' ELSE 'complete' END AS status, r.error, coalesce(e.n, 0) AS clip_count
+FROM (SELECT DISTINCT user_id FROM events) u LEFT JOIN (SELECT user_id, count(*) AS n FROM events WHERE value > 200 GROUP BY user_id) e USING (user_id)
+LEFT JOIN (SELECT user_id, 'sample rate too low' AS error FROM events WHERE value < 0.02 GROUP BY user_id) r ON r.user_id = u.user_id"""
+
+
+def _status(spark, sf):
+    rows = _read(spark, sf, "events").select(F.col("user_id").alias("encounter_id"), "value")
+    rejects = rows.where("value < 0.02").select("encounter_id", F.lit("sample rate too low").alias("reason"))
+    return quality.encounter_status(rows, rejects, rows.where("value > 200"))
+
+
+@query("q9_encounter_status", _STATUS)
+def _(spark, sf):
+    return _status(spark, sf)
+
+
+@query("q8_empty_results", f"SELECT encounter_id, status, 'insufficient_evidence' AS quality_status, 1 AS warning_count FROM ({_STATUS}) WHERE status = 'no_whistles_detected'")
+def _(spark, sf):
+    return quality.empty_results(_status(spark, sf)).select("encounter_id", "status", "quality_status", "warning_count")
+
+
+@query("s9_flat_rows", f"""SELECT s.encounter_id, s.status, l.rank, l.behavior, l.score, s.clip_count AS whistle_clip_count, CASE WHEN s.status = 'complete' THEN 'ok' ELSE 'insufficient_evidence' END AS quality_status, CASE WHEN s.status = 'complete' THEN '' ELSE 'no_whistles_detected' END AS warning_codes
+FROM ({_STATUS}) s LEFT JOIN (VALUES (1, 'Feeding', 0.75::DOUBLE), (2, 'Milling', 0.5::DOUBLE)) l(rank, behavior, score) ON s.status = 'complete' WHERE s.status <> 'failed'""")
+def _(spark, sf):
+    rows = _status(spark, sf).where("status <> 'failed'")
+    done = F.col("status") == "complete"
+    results = rows.select("encounter_id", "status", "clip_count", F.when(done, "ok").otherwise("insufficient_evidence").alias("quality_status"), F.when(done, F.array().cast("array<string>")).otherwise(F.array(F.lit("no_whistles_detected"))).alias("warning_codes"))
+    labels = F.array(*[F.struct(F.lit(k).alias("rank"), F.lit(n).alias("label"), F.lit(s).alias("score")) for k, n, s in ((1, "Feeding", 0.75), (2, "Milling", 0.5))])
+    return quality.flat_rows(results, rows.where(done).select("encounter_id", F.explode(labels).alias("x")).select("encounter_id", "x.*"))
+
+
+# --- files from documents ------------------------------------------------------------------------
+
+
+def _files(spark, sf):
+    return _read(spark, sf, "documents").select(F.col("lang").alias("encounter_id"), F.format_string("D%08d", "doc_id").alias("path"), F.sha2("text", 256).alias("sha256"), "doc_id")
+
+
+_FILE = "SELECT lang AS encounter_id, 'D' || lpad(CAST(doc_id AS VARCHAR), 8, '0') AS path, sha256(text) AS sha256, doc_id FROM documents"
+
+
+@query("s4_content_hash", f"SELECT path, sha256 FROM ({_FILE})")
+def _(spark, sf):
+    return _files(spark, sf).select("path", "sha256")
+
+
+@query("b4_bag_fingerprint", f"SELECT encounter_id, sha256(string_agg(path || chr(9) || sha256 || chr(10), '' ORDER BY lower(path), path)) AS input_set_sha256 FROM ({_FILE}) GROUP BY encounter_id")
+def _(spark, sf):
+    return bags.bag_fingerprint(_files(spark, sf), "encounter_id", "path", "sha256")
+
+
+@query("q5_duplicate_content", f"SELECT encounter_id, 'duplicate_audio_content' AS code, list(path ORDER BY path) AS affected_files FROM (SELECT *, count(*) OVER (PARTITION BY encounter_id, sha256) AS n FROM ({_FILE})) WHERE n > 1 GROUP BY encounter_id")
+def _(spark, sf):
+    return quality.duplicate_content(_files(spark, sf)).select("encounter_id", "code", "affected_files")
+
+
+_FLAGGED = f"SELECT f.*, l.toxic = 0 AS found, l.quality, l.toxic FROM ({_FILE}) f JOIN labels l USING (doc_id)"
+
+
+def _flagged(spark, sf):
+    rows = _files(spark, sf).join(_read(spark, sf, "labels"), "doc_id")
+    marks = F.filter(F.array(F.when(F.col("quality") == 0, "very_low_rms"), F.when(F.col("toxic") == 1, "large_dc_offset")), lambda x: x.isNotNull())
+    return rows.select("encounter_id", "path", "sha256", (F.col("toxic") == 0).alias("core_tonal_component_found"), marks.alias("quality_flags"))
+
+
+@query("q3_missing_component", f"SELECT encounter_id, 'core_tonal_component_not_found' AS code, list(path ORDER BY path) AS affected_files FROM ({_FLAGGED}) WHERE NOT found GROUP BY encounter_id")
+def _(spark, sf):
+    return quality.missing_component(_flagged(spark, sf)).select("encounter_id", "code", "affected_files")
+
+
+@query("q4_flag_warnings", f"SELECT encounter_id, 'audio_quality:' || flag AS code, list(path ORDER BY path) AS affected_files FROM (SELECT *, 'very_low_rms' AS flag FROM ({_FLAGGED}) WHERE quality = 0 UNION ALL SELECT *, 'large_dc_offset' FROM ({_FLAGGED}) WHERE toxic = 1) GROUP BY encounter_id, flag")
+def _(spark, sf):
+    return quality.flag_warnings(_flagged(spark, sf)).select("encounter_id", "code", "affected_files")
+
+
+@query("q7_quality_summary", f"""WITH f AS ({_FLAGGED}), w AS (SELECT encounter_id, 'core_tonal_component_not_found' AS code FROM f WHERE NOT found GROUP BY 1 UNION ALL SELECT encounter_id, 'audio_quality:very_low_rms' FROM f WHERE quality = 0 GROUP BY 1
+ UNION ALL SELECT encounter_id, 'audio_quality:large_dc_offset' FROM f WHERE toxic = 1 GROUP BY 1 UNION ALL SELECT encounter_id, 'duplicate_audio_content' FROM (SELECT encounter_id, sha256 FROM f GROUP BY 1, 2 HAVING count(*) > 1) GROUP BY 1)
+SELECT e.encounter_id, CASE WHEN count(w.code) > 0 THEN 'warning' ELSE 'ok' END AS quality_status, count(w.code) AS warning_count FROM (SELECT DISTINCT encounter_id FROM f) e LEFT JOIN w USING (encounter_id) GROUP BY e.encounter_id""")
+def _(spark, sf):
+    rows = _flagged(spark, sf)
+    told = quality.combine(quality.missing_component(rows), quality.flag_warnings(rows), quality.duplicate_content(rows))
+    return quality.summarise(rows, told).select("encounter_id", "quality_status", "warning_count")
+
+
+# --- spectra from embeddings ---------------------------------------------------------------------
+
+
+@query("t5_moving_average", """WITH c AS (SELECT vec_id, i - 1 AS bin, embedding[i]::DOUBLE AS v FROM embeddings CROSS JOIN range(1, 65) r(i))
+SELECT vec_id, bin, round((coalesce(sum(v) OVER (PARTITION BY vec_id ORDER BY bin ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), 0) + greatest(0, 2 - bin) * first_value(v) OVER f + greatest(0, bin - 61) * last_value(v) OVER f) / 5, 5) AS baseline
+FROM c WINDOW f AS (PARTITION BY vec_id ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)""")
+def _(spark, sf):
+    cells = _read(spark, sf, "embeddings").select("vec_id", F.posexplode("embedding").alias("bin", "v")).withColumn("v", F.col("v").cast("double"))
+    return spectral.moving_average(cells, ["vec_id"], "bin", "v", 5, "baseline").select("vec_id", "bin", _r("baseline", 5).alias("baseline"))
+
+
+@query("t2_remove_dc", "SELECT vec_id, round(embedding[1]::DOUBLE - list_avg(embedding)::DOUBLE, 5) AS first_value FROM embeddings")
+def _(spark, sf):
+    x = frames.remove_dc(F.transform("embedding", lambda v: v.cast("double")))
+    return _read(spark, sf, "embeddings").select("vec_id", _r(F.get(x, F.lit(0)), 5).alias("first_value"))
+
+
+@query("t8_component_summary")
+def _(spark, sf):
+    grid = _read(spark, sf, "embeddings").select(F.floor(F.col("vec_id") / 16).alias("clip_id"), (F.col("vec_id") % 16).alias("frame_idx"), F.col("embedding").alias("samples"))
+    cells = spectral.grid_components(grid, "clip_id", 0.15)
+    out = spectral.component_summary(cells, "clip_id", 0.01, 63.0, 0.02)
+    return out.select("clip_id", "found", "candidate_count", "pixel_count", *[_r(c, 5).alias(c) for c in out.columns if c not in ("clip_id", "found", "candidate_count", "pixel_count")])
+
+
+@query("t4_clip_spectrogram")
+def _(spark, sf):
+    """Each label's vectors are the frames of one clip; the cells of its tonal components."""
+    audit = {"tonal_smoothing_time_sigma_frames": 0.8, "tonal_smoothing_frequency_sigma_bins": 1.0, "tonal_local_baseline_width_hz": 5.0, "tonal_salience_threshold_db": 3.0, "core_tonal_lower_hz": 2.0, "core_tonal_upper_hz": 30.0}
+    rows = _read(spark, sf, "embeddings").select(F.floor(F.col("vec_id") / 64).alias("clip_id"), F.col("vec_id").alias("frame_idx"), F.col("embedding").alias("samples"))
+    return spectral.clip_cells(rows, "clip_id", 1.0, audit).withColumn("v", _r("v", 4))
