@@ -5,8 +5,8 @@ among their first few in a common order of tokens, in which common tokens come l
 from each token to the sets that begin with it (a list) finds every candidate pair.
 
 Skipping by position: a list is sorted by size, and cut into blocks of sets whose sizes allow a link
-with the block's first; blocks whose sizes rule out a link, and entries whose positions leave too
-little overlap, are never paired.
+with the block's first; blocks whose sizes rule out a link are never paired, and pairs that share too few of
+their first tokens for what is left behind those positions are dropped.
 
 Skipping by answers: most sets of a list are near copies of one another. Each set is first verified
 against one leader only. What two leaders have in common bounds what their followers can have in
@@ -161,7 +161,7 @@ def whole_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]
 
 
 def token_lists(sets: DataFrame, percent: int) -> DataFrame:
-    """The index: token, set (its number), size, pos, leader. Lists of one set are left out.
+    """The index: token, set (its number), size, leader. Lists of one set are left out.
 
     The leader of an entry is the smallest set number in its block, the run of entries by size whose
     sizes allow a link with the first of the block.
@@ -173,10 +173,9 @@ def token_lists(sets: DataFrame, percent: int) -> DataFrame:
             first = batch.column(2).to_pylist()
             lengths = np.array([len(x) // 8 for x in first], np.int64)
             token = np.frombuffer(b"".join(first), np.int64)
-            pos = np.arange(len(token)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-            yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(np.repeat(numbers, lengths)), pa.array(np.repeat(sizes, lengths)), pa.array(pos.astype(np.int32))], ["token", "set", "size", "pos"])
+            yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(np.repeat(numbers, lengths)), pa.array(np.repeat(sizes, lengths))], ["token", "set", "size"])
 
-    rows = sets.where("size > 0").select("set", "size", "first").mapInArrow(explode, "token long, set long, size long, pos int")
+    rows = sets.where("size > 0").select("set", "size", "first").mapInArrow(explode, "token long, set long, size long")
 
     def blocks(token, size, number):
         """The leader of each entry of whole lists, sorted by token and size."""
@@ -196,9 +195,9 @@ def token_lists(sets: DataFrame, percent: int) -> DataFrame:
         token = cols[0]
         same = token[1:] == token[:-1]
         found = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-        token, number, size, pos = (c[found] for c in cols)
+        token, number, size = (c[found] for c in cols)
         leader = blocks(token, size, number) if len(token) else number
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (token, number, size, pos, leader)], ["token", "set", "size", "pos", "leader"])
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (token, number, size, leader)], ["token", "set", "size", "leader"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cols in whole_lists(batches):
@@ -206,14 +205,14 @@ def token_lists(sets: DataFrame, percent: int) -> DataFrame:
 
     n = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sorted_ = rows.repartition(n, "token").sortWithinPartitions("token", "size", "set")
-    return sorted_.mapInArrow(run, "token long, set long, size long, pos int, leader long")
+    return sorted_.mapInArrow(run, "token long, set long, size long, leader long")
 
 
-def overlaps(pairs: DataFrame, sets: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+def overlaps(pairs: DataFrame, sets: DataFrame, docs: DataFrame, words: int) -> DataFrame:
     """Of (a, b), a row a pair: a, b, size_a, size_b, common.
 
-    ``sets`` names a document for each set, ``texts`` holds (doc, text); a text that has another set,
-    as where documents share an identifier, is passed over.
+    ``sets`` names a document for each set, ``docs`` holds (doc, text); a text that has another set,
+    as where documents share an identifier, is passed over. Only texts that a pair asks for move on.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,7 +242,9 @@ def overlaps(pairs: DataFrame, sets: DataFrame, texts: DataFrame, words: int) ->
 
     side = lambda x: sets.select(F.col("set").alias(x), F.col("doc").alias(f"doc_{x}"), F.col("set_id").alias(f"id_{x}"))
     text = lambda x: texts.select(F.col("doc").alias(f"doc_{x}"), F.col("text").alias(f"text_{x}"))
-    named = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
+    named = materialize(pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b"), "jaccard-pairs")
+    asked = materialize(named.select(F.col("doc_a").alias("doc")).union(named.select("doc_b")).distinct(), "jaccard-asked")
+    texts = materialize(docs.join(asked, "doc", "left_semi"), "jaccard-texts")
     both = named.join(text("a"), "doc_a").join(text("b"), "doc_b")
     return both.select("a", "b", "id_a", "id_b", "text_a", "text_b").mapInArrow(run, "a long, b long, size_a long, size_b long, common long")
 
@@ -268,41 +269,57 @@ def components(edges: DataFrame, label: str) -> DataFrame:
         before = state
 
 
+def shared_least(size_a, size_b, percent: int = PERCENT):
+    """The least number of shared first tokens with which sets of these sizes can link.
+
+    Of two sets' first tokens those up to the earlier end are compared in full; behind it the set
+    that ends there has only the rest of its tokens left.
+    """
+    rest = np.maximum(-(-percent * size_a // 100), -(-percent * size_b // 100)) - 1
+    return np.maximum(needed(size_a, size_b, percent) - rest, 1)
+
+
 def _candidates(lists: DataFrame, percent: int) -> DataFrame:
-    """Pairs of leaders of different components that share a token and whose sets' sizes and positions allow a link.
+    """Pairs of leaders of different components that share enough tokens for some of their sets to link.
 
     A list's entries come sorted by size; an entry meets those of its block and of later blocks until
-    their sizes are out of reach.
+    their sizes are out of reach. Each list counts once for a pair of leaders, which is at least what
+    any two of their sets share.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pairs(cols):
-            token, size, pos, center, comp = cols
+            token, size, center, comp = cols
             found = []
             begin = np.nonzero(np.concatenate([[True], token[1:] != token[:-1]]))[0]
             ends = np.append(begin[1:], len(token))
             mixed = np.minimum.reduceat(comp, begin) != np.maximum.reduceat(comp, begin)
-            for i, j in zip(begin[mixed], ends[mixed], strict=True):
-                s, p, c, m = size[i:j], pos[i:j], center[i:j], comp[i:j]
+            for n, (i, j) in enumerate(zip(begin[mixed], ends[mixed], strict=True)):
+                s, c, m = size[i:j], center[i:j], comp[i:j]
                 reach = np.searchsorted(s * percent, s * 100, side="right")
                 for k in range(j - i - 1):
-                    stop = reach[k]
-                    if stop <= k + 1:
-                        continue
-                    t = slice(k + 1, stop)
-                    ok = (m[t] != m[k]) & (1 + np.minimum(s[k] - p[k] - 1, s[t] - p[t] - 1) >= needed(s[k], s[t], percent))
-                    if ok.any():
-                        other = np.unique(c[t][ok])
-                        found.append(np.column_stack([np.minimum(other, c[k]), np.maximum(other, c[k])]))
-            return np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
+                    t = slice(k + 1, reach[k])
+                    other = m[t] != m[k]
+                    if other.any():
+                        x, least = c[t][other], shared_least(s[k], s[t][other], percent)
+                        found.append(np.column_stack([np.full(len(x), n), np.minimum(x, c[k]), np.maximum(x, c[k]), least]))
+            if not found:
+                return [np.empty(0, np.int64)] * 4
+            rows = np.concatenate(found)
+            rows = rows[np.lexsort(rows.T[::-1])]
+            # once a list, with the least of its bounds, then all lists of this batch together
+            rows = rows[np.concatenate([[True], (rows[1:, :3] != rows[:-1, :3]).any(axis=1)])][:, 1:]
+            rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+            first = np.nonzero(np.concatenate([[True], (rows[1:, :2] != rows[:-1, :2]).any(axis=1)]))[0]
+            return [rows[first, 0], rows[first, 1], np.diff(np.append(first, len(rows))), np.minimum.reduceat(rows[:, 2], first)]
 
         for cols in whole_lists(batches):
-            x = pairs([c.astype(np.int64) for c in cols])
-            yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in pairs([c.astype(np.int64) for c in cols])], ["a", "b", "shared", "least"])
 
     n = int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = lists.select("token", "size", "pos", "center", "comp").repartition(n, "token").sortWithinPartitions("token", "size", "center")
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    rows = lists.select("token", "size", "center", "comp").repartition(n, "token").sortWithinPartitions("token", "size", "center")
+    found = rows.mapInArrow(run, "a long, b long, shared long, least long").groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("least").alias("least"))
+    return found.where("shared >= least").select("a", "b")
 
 
 def _distance() -> Column:
@@ -333,13 +350,14 @@ def similarity_components(documents: DataFrame, words: int = WORDS, percent: int
     sets = rows.groupBy("set_id").agg(F.min("doc_id").alias("doc"), F.first("size").alias("size"), F.first("first").alias("first")).where("size > 0 AND doc IS NOT NULL")
     sets = materialize(sets.withColumn("set", F.monotonically_increasing_id()), "jaccard-distinct")
     lists = materialize(token_lists(sets, percent), "jaccard-lists")
-    # only texts with a set in some list can be asked for
-    asked = sets.select("set", "doc").join(lists.select("set").distinct(), "set", "left_semi").select("doc").distinct()
-    texts = materialize(docs.withColumnRenamed("doc_id", "doc").join(asked, "doc", "left_semi"), "jaccard-texts")
+    texts = docs.withColumnRenamed("doc_id", "doc")
     names = sets.select("set", "doc", "set_id")
 
-    # each set against one leader: that of the list of its earliest token
-    star = lists.where("set <> leader").groupBy("set").agg(F.min(F.struct("pos", "leader")).alias("x")).select(F.col("x.leader").alias("a"), F.col("set").alias("b"))
+    # each set against one leader, that of most of its lists, if they are about half of what a link needs
+    n = F.col("size")
+    half = (-(F.floor(-percent * 2 * n / (100 + percent))) + F.floor(-percent * n / 100) + 1) / 2
+    star = lists.where("set <> leader").groupBy("set", "leader", "size").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= half)
+    star = star.groupBy("set").agg(F.max(F.struct("n", F.col("leader"))).alias("x")).select(F.col("x.leader").alias("a"), F.col("set").alias("b"))
     first = materialize(overlaps(materialize(star, "jaccard-star"), names, texts, words), "jaccard-stars")
     stars = _linked(first, percent)
     follows = materialize(stars.select(F.col("b").alias("set"), F.col("a").alias("center"), _distance().alias("apart")).distinct(), "jaccard-follows")
@@ -347,8 +365,9 @@ def similarity_components(documents: DataFrame, words: int = WORDS, percent: int
     radius = materialize(follows.groupBy("center").agg(F.max("apart").alias("radius")), "jaccard-radius")
 
     # what the leaders have in common settles most of the rest
-    labelled = lists.join(follows.select("set", "center"), "set", "left").join(comps.withColumnRenamed("node", "set"), "set", "left")
-    labelled = materialize(labelled.select("token", "set", "size", "pos", F.coalesce("center", "set").alias("center"), F.coalesce("comp", "set").alias("comp")), "jaccard-labelled")
+    labels = materialize(comps.withColumnRenamed("node", "set").join(follows.select("set", "center"), "set", "left"), "jaccard-labels")
+    labelled = lists.select("token", "set", "size").join(labels, "set", "left")
+    labelled = materialize(labelled.select("token", "set", "size", F.coalesce("center", "set").alias("center"), F.coalesce("comp", "set").alias("comp")), "jaccard-labelled")
     pairs = materialize(_candidates(labelled, percent), "jaccard-leaders")
     between = materialize(overlaps(pairs, names, texts, words), "jaccard-between")
     reach = lambda side: radius.select(F.col("center").alias(side), F.col("radius").alias(f"r_{side}"))
@@ -371,7 +390,7 @@ def _followers(open_: DataFrame, labelled: DataFrame, edges: DataFrame, names: D
     ends = materialize(open_.select(F.col("a").alias("center")).union(open_.select(F.col("b").alias("center"))).distinct(), "jaccard-ends")
     rows = labelled.drop("comp").join(ends, "center", "left_semi").join(comps, "set", "left")
     # here every set is its own center, and the components are those known by now
-    rows = materialize(rows.select("token", "size", "pos", F.col("set").alias("center"), F.coalesce("whole", "set").alias("comp")), "jaccard-followers")
+    rows = materialize(rows.select("token", "size", F.col("set").alias("center"), F.coalesce("whole", "set").alias("comp")), "jaccard-followers")
     pairs = materialize(_candidates(rows, percent), "jaccard-open-pairs")
     return _linked(materialize(overlaps(pairs, names, texts, words), "jaccard-open-overlaps"), percent).select("a", "b")
 

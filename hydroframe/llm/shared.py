@@ -32,9 +32,14 @@ def shared_folder(spark: SparkSession, label: str) -> str:
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts the lineage, survives lost executors."""
+    """Write ``df`` to the shared folder and read it back: cuts the lineage, survives lost executors.
+
+    The shuffle files behind a written table are of no more use. Spark deletes them once the driver
+    has collected their handles as garbage, so that is asked for here.
+    """
     path = shared_folder(df.sparkSession, label)
     df.write.parquet(path)
+    df.sparkSession.sparkContext._jvm.java.lang.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -59,6 +59,19 @@ def test_prefix_and_overlap_bounds():
     assert jaccard.needed(np.array([10]), np.array([12]), 85).tolist() == [11]
 
 
+def test_shared_first_tokens_bound():
+    rng = random.Random(1)
+    for _ in range(3000):
+        percent = rng.choice([80, 85])
+        a = set(rng.sample(range(60), rng.randint(1, 50)))
+        b = set(a)
+        for _ in range(rng.randint(0, 6)):
+            b ^= {rng.randrange(60)}
+        if b and 100 * len(a & b) >= percent * len(a | b):
+            first = [set(sorted(x)[: jaccard.prefix_length(len(x), percent)]) for x in (a, b)]
+            assert len(first[0] & first[1]) >= jaccard.shared_least(len(a), len(b), percent)
+
+
 def test_small_table_equals_brute_force(spark):
     rows = [(r.doc_id, r.text) for r in table(spark, SMALL, "documents").collect()]
     check(spark, rows + [(1000 + k, t) for k, t in enumerate(ODD_TEXTS * 2)], 4, 85)
