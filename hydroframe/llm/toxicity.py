@@ -27,6 +27,9 @@ TERMS, VOTERS = 4096, 8
 STEMS, LONGEST_WORD = (4, 5, 6), 24
 #: Labelled texts that hold a term at least, for the classifier and for a voter.
 LEAST_TEXTS, LEAST_VOTES = 3, 3
+#: Labelled rows that are learnt from at most, those with the least hash of their identifier. With the
+#: bound, some 16 bytes a row are broadcast, and no text is shuffled to meet its label.
+LABELLED = 100_000
 #: Least share of toxic texts among those with a term, for it to stand in a voter's list.
 VOTER_SHARE = 0.8
 #: Covariance beyond the model's, as a share of the voters' deviations, from which voters count as correlated.
@@ -184,7 +187,8 @@ def train(documents: DataFrame, labels: DataFrame) -> tuple[Classifier, DataFram
     from pyspark.ml.linalg import SparseVector, VectorUDT
 
     toxic = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    labelled = materialize(documents.select("doc_id", text_of().alias("text")).join(toxic, "doc_id").select("doc_id", "text", "toxic"), "toxicity-labelled")
+    toxic = toxic.orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED)
+    labelled = materialize(documents.select("doc_id", text_of().alias("text")).join(F.broadcast(toxic), "doc_id").select("doc_id", "text", "toxic"), "toxicity-labelled")
     n = {r.toxic: r.n for r in labelled.groupBy((F.col("toxic") == 1).cast("int").alias("toxic")).agg(F.count(F.lit(1)).alias("n")).collect()}
     n_toxic, n_other = n.get(1, 0), n.get(0, 0)
     terms = choose_terms(term_counts(labelled), n_toxic, n_other) if n_toxic else Terms({}, np.full(0, -1))
