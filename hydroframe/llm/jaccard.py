@@ -32,6 +32,9 @@ from hydroframe.llm.shared import materialize, table, text_of
 WORDS, PERCENT = 4, 85
 #: Tokens that come last in the order; the most frequent ones, and the least count in a batch to be one.
 COMMON_TOKENS, COMMON_COUNT = 500_000, 4
+#: Of the tokens that sets of two sizes must share among their first ones, the share that is asked for:
+#: the less, the fewer places of a set are looked at, and the more pairs that don't link are compared.
+SHARED = 0.5
 #: Texts are worked on in portions of so many characters.
 PORTION = 4_000_000
 
@@ -161,10 +164,11 @@ def whole_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]
 
 
 def token_lists(sets: DataFrame, percent: int) -> DataFrame:
-    """The index: token, set (its number), size, leader. Lists of one set are left out.
+    """The index: token, set (its number), size, place of the token in the set, leader. Lists of one set are left out.
 
-    The leader of an entry is the smallest set number in its block, the run of entries by size whose
-    sizes allow a link with the first of the block.
+    An entry's block is the run of entries by size whose sizes allow a link with the first of the
+    block, and its leader the set of the block that has the fewest tokens before this one: of copies
+    of a text, tokens before the common ones are what sets a copy apart from the others.
     """
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,11 +177,12 @@ def token_lists(sets: DataFrame, percent: int) -> DataFrame:
             first = batch.column(2).to_pylist()
             lengths = np.array([len(x) // 8 for x in first], np.int64)
             token = np.frombuffer(b"".join(first), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(np.repeat(numbers, lengths)), pa.array(np.repeat(sizes, lengths))], ["token", "set", "size"])
+            place = np.arange(len(token)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(np.repeat(numbers, lengths)), pa.array(np.repeat(sizes, lengths)), pa.array(place.astype(np.int32))], ["token", "set", "size", "place"])
 
-    rows = sets.where("size > 0").select("set", "size", "first").mapInArrow(explode, "token long, set long, size long")
+    rows = sets.where("size > 0").select("set", "size", "first").mapInArrow(explode, "token long, set long, size long, place int")
 
-    def blocks(token, size, number):
+    def blocks(token, size, number, place):
         """The leader of each entry of whole lists, sorted by token and size."""
         begin = np.concatenate([[True], token[1:] != token[:-1]])
         head = np.maximum.accumulate(np.where(begin, np.arange(len(token)), 0))
@@ -189,15 +194,17 @@ def token_lists(sets: DataFrame, percent: int) -> DataFrame:
             cut = far & ~np.concatenate([[False], (far[:-1]) & (head[1:] == head[:-1])])
             begin |= cut
             head = np.maximum.accumulate(np.where(begin, np.arange(len(token)), 0))
-        return np.minimum.reduceat(number, np.nonzero(begin)[0])[np.cumsum(begin) - 1]
+        block = np.cumsum(begin) - 1
+        central = np.lexsort((number, place, block))[np.nonzero(begin)[0]]
+        return number[central][block]
 
     def several(cols: list[np.ndarray]) -> pa.RecordBatch:
         token = cols[0]
         same = token[1:] == token[:-1]
         found = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-        token, number, size = (c[found] for c in cols)
-        leader = blocks(token, size, number) if len(token) else number
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (token, number, size, leader)], ["token", "set", "size", "leader"])
+        token, number, size, place = (c[found] for c in cols)
+        leader = blocks(token, size, number, place) if len(token) else number
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (token, number, size, place, leader)], ["token", "set", "size", "place", "leader"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cols in whole_lists(batches):
@@ -205,7 +212,7 @@ def token_lists(sets: DataFrame, percent: int) -> DataFrame:
 
     n = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sorted_ = rows.repartition(n, "token").sortWithinPartitions("token", "size", "set")
-    return sorted_.mapInArrow(run, "token long, set long, size long, leader long")
+    return sorted_.mapInArrow(run, "token long, set long, size long, place int, leader long")
 
 
 def overlaps(pairs: DataFrame, sets: DataFrame, docs: DataFrame, words: int) -> DataFrame:
@@ -279,29 +286,42 @@ def shared_least(size_a, size_b, percent: int = PERCENT):
     return np.maximum(needed(size_a, size_b, percent) - rest, 1)
 
 
+def within_reach(size_a, size_b, percent: int = PERCENT):
+    """How many tokens sets of these sizes share at least, if they can link, and among how many first ones of each.
+
+    Sets that link share a token that has no more before it, on either side, than the set can do
+    without; and so many more tokens for each place beyond that. The places looked at are those of
+    SHARED times the most tokens that can be asked for.
+    """
+    need = needed(size_a, size_b, percent)
+    least = np.maximum((SHARED * shared_least(size_a, size_b, percent)).astype(np.int64), 1)
+    return least, size_a - need + least, size_b - need + least
+
+
 def _candidates(lists: DataFrame, percent: int) -> DataFrame:
     """Pairs of leaders of different components that share enough tokens for some of their sets to link.
 
     A list's entries come sorted by size; an entry meets those of its block and of later blocks until
-    their sizes are out of reach. Each list counts once for a pair of leaders, which is at least what
-    any two of their sets share.
+    their sizes are out of reach, if the token stands early enough in both. Each list counts once for
+    a pair of leaders, which is at least what any two of their sets share.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pairs(cols):
-            token, size, center, comp = cols
+            token, size, place, center, comp = cols
             found = []
             begin = np.nonzero(np.concatenate([[True], token[1:] != token[:-1]]))[0]
             ends = np.append(begin[1:], len(token))
             mixed = np.minimum.reduceat(comp, begin) != np.maximum.reduceat(comp, begin)
             for n, (i, j) in enumerate(zip(begin[mixed], ends[mixed], strict=True)):
-                s, c, m = size[i:j], center[i:j], comp[i:j]
+                s, at, c, m = size[i:j], place[i:j], center[i:j], comp[i:j]
                 reach = np.searchsorted(s * percent, s * 100, side="right")
                 for k in range(j - i - 1):
                     t = slice(k + 1, reach[k])
-                    other = m[t] != m[k]
+                    least, first_a, first_b = within_reach(s[k], s[t], percent)
+                    other = (m[t] != m[k]) & (at[k] < first_a) & (at[t] < first_b)
                     if other.any():
-                        x, least = c[t][other], shared_least(s[k], s[t][other], percent)
+                        x, least = c[t][other], least[other]
                         found.append(np.column_stack([np.full(len(x), n), np.minimum(x, c[k]), np.maximum(x, c[k]), least]))
             if not found:
                 return [np.empty(0, np.int64)] * 4
@@ -317,7 +337,7 @@ def _candidates(lists: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in pairs([c.astype(np.int64) for c in cols])], ["a", "b", "shared", "least"])
 
     n = int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = lists.select("token", "size", "center", "comp").repartition(n, "token").sortWithinPartitions("token", "size", "center")
+    rows = lists.select("token", "size", "place", "center", "comp").repartition(n, "token").sortWithinPartitions("token", "size", "center")
     found = rows.mapInArrow(run, "a long, b long, shared long, least long").groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("least").alias("least"))
     return found.where("shared >= least").select("a", "b")
 
@@ -366,8 +386,8 @@ def similarity_components(documents: DataFrame, words: int = WORDS, percent: int
 
     # what the leaders have in common settles most of the rest
     labels = materialize(comps.withColumnRenamed("node", "set").join(follows.select("set", "center"), "set", "left"), "jaccard-labels")
-    labelled = lists.select("token", "set", "size").join(labels, "set", "left")
-    labelled = materialize(labelled.select("token", "set", "size", F.coalesce("center", "set").alias("center"), F.coalesce("comp", "set").alias("comp")), "jaccard-labelled")
+    labelled = lists.select("token", "set", "size", "place").join(labels, "set", "left")
+    labelled = materialize(labelled.select("token", "set", "size", "place", F.coalesce("center", "set").alias("center"), F.coalesce("comp", "set").alias("comp")), "jaccard-labelled")
     pairs = materialize(_candidates(labelled, percent), "jaccard-leaders")
     between = materialize(overlaps(pairs, names, texts, words), "jaccard-between")
     reach = lambda side: radius.select(F.col("center").alias(side), F.col("radius").alias(f"r_{side}"))
@@ -390,7 +410,7 @@ def _followers(open_: DataFrame, labelled: DataFrame, edges: DataFrame, names: D
     ends = materialize(open_.select(F.col("a").alias("center")).union(open_.select(F.col("b").alias("center"))).distinct(), "jaccard-ends")
     rows = labelled.drop("comp").join(ends, "center", "left_semi").join(comps, "set", "left")
     # here every set is its own center, and the components are those known by now
-    rows = materialize(rows.select("token", "size", F.col("set").alias("center"), F.coalesce("whole", "set").alias("comp")), "jaccard-followers")
+    rows = materialize(rows.select("token", "size", "place", F.col("set").alias("center"), F.coalesce("whole", "set").alias("comp")), "jaccard-followers")
     pairs = materialize(_candidates(rows, percent), "jaccard-open-pairs")
     return _linked(materialize(overlaps(pairs, names, texts, words), "jaccard-open-overlaps"), percent).select("a", "b")
 

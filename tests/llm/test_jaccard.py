@@ -103,3 +103,17 @@ def test_chains_groups_and_shared_passages(spark, words, percent, monkeypatch):
 
 def test_empty_table(spark):
     assert jaccard.similarity_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_shared_early_tokens_bound():
+    rng = random.Random(2)
+    for _ in range(3000):
+        percent = rng.choice([80, 85])
+        a = set(rng.sample(range(60), rng.randint(1, 50)))
+        b = set(a)
+        for _ in range(rng.randint(0, 6)):
+            b ^= {rng.randrange(60)}
+        if b and 100 * len(a & b) >= percent * len(a | b):
+            least, first_a, first_b = jaccard.within_reach(len(a), len(b), percent)
+            assert first_a <= jaccard.prefix_length(len(a), percent) and first_b <= jaccard.prefix_length(len(b), percent)
+            assert len(set(sorted(a)[:first_a]) & set(sorted(b)[:first_b])) >= least
