@@ -6,7 +6,8 @@ from each token to the sets that begin with it (a list) finds every candidate pa
 
 Skipping by position: a list is sorted by size, and cut into blocks of sets whose sizes allow a link
 with the block's first; blocks whose sizes rule out a link are never paired, and pairs that share too few of
-their first tokens for what is left behind those positions are dropped.
+their first tokens for what is left behind those positions are dropped. So are pairs whose bitmaps
+(the parity of a set's tokens by their last bits) differ in more bits than linked sets differ in tokens.
 
 Skipping by answers: most sets of a list are near copies of one another. Each set is first verified
 against one leader only. What two leaders have in common bounds what their followers can have in
@@ -37,6 +38,8 @@ COMMON_TOKENS, COMMON_COUNT = 500_000, 4
 SHARED = 0.5
 #: Texts are worked on in portions of so many characters.
 PORTION = 4_000_000
+#: Bits of a set's bitmap.
+BITMAP = 512
 
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], np.uint64)
 
@@ -78,6 +81,16 @@ def set_id(tokens: np.ndarray) -> bytes:
     return blake2b(tokens.tobytes(), digest_size=16).digest()
 
 
+def bitmap(tokens: np.ndarray) -> bytes:
+    """The parity of the number of tokens for each value of their last bits.
+
+    Each token that only one of two sets has changes one bit, so bitmaps differ in no more bits than
+    sets do in tokens.
+    """
+    counts = np.bincount((tokens & np.uint64(BITMAP - 1)).astype(np.int64), minlength=BITMAP)
+    return np.packbits((counts & 1).astype(np.uint8)).tobytes()
+
+
 def needed(size_a, size_b, percent: int = PERCENT):
     """The least overlap that links sets of these sizes."""
     return -(-percent * (size_a + size_b) // (100 + percent))
@@ -122,16 +135,17 @@ def common_tokens(docs: DataFrame, words: int) -> np.ndarray:
 
 
 def set_rows(docs: DataFrame, words: int, percent: int, common) -> DataFrame:
-    """doc_id, set_id (a 128-bit hash of the whole set), size, and its first tokens in the common order."""
+    """doc_id, set_id (a 128-bit hash of the whole set), size, its first tokens in the common order, and its bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, seen = common.value, {}
         for ids, texts in _portions(batches):
-            keys, sizes, firsts = [], [], []
+            keys, sizes, firsts, bits = [], [], [], []
             for t in texts:
                 s = shingles(t, words, seen)
                 keys.append(set_id(s))
                 sizes.append(len(s))
+                bits.append(bitmap(s))
                 if not len(s):
                     firsts.append(b"")
                     continue
@@ -141,9 +155,9 @@ def set_rows(docs: DataFrame, words: int, percent: int, common) -> DataFrame:
                     late = often[at] == s
                     s = np.concatenate([s[~late], s[late]])
                 firsts.append(s[:n].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(firsts, pa.binary())], ["doc_id", "set_id", "size", "first"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(firsts, pa.binary()), pa.array(bits, pa.binary())], ["doc_id", "set_id", "size", "first", "bits"])
 
-    return docs.mapInArrow(run, "doc_id long, set_id binary, size long, first binary")
+    return docs.mapInArrow(run, "doc_id long, set_id binary, size long, first binary, bits binary")
 
 
 def whole_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
@@ -308,19 +322,22 @@ def _candidates(lists: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pairs(cols):
-            token, size, place, center, comp = cols
+            token, size, place, center, comp = (c.astype(np.int64) for c in cols[:5])
+            bits = np.frombuffer(b"".join(cols[5]), np.uint64).reshape(len(token), BITMAP // 64)
             found = []
             begin = np.nonzero(np.concatenate([[True], token[1:] != token[:-1]]))[0]
             ends = np.append(begin[1:], len(token))
             mixed = np.minimum.reduceat(comp, begin) != np.maximum.reduceat(comp, begin)
             for n, (i, j) in enumerate(zip(begin[mixed], ends[mixed], strict=True)):
-                s, at, c, m = size[i:j], place[i:j], center[i:j], comp[i:j]
+                s, at, c, m, w = size[i:j], place[i:j], center[i:j], comp[i:j], bits[i:j]
                 reach = np.searchsorted(s * percent, s * 100, side="right")
                 for k in range(j - i - 1):
                     t = slice(k + 1, reach[k])
                     least, first_a, first_b = within_reach(s[k], s[t], percent)
-                    other = (m[t] != m[k]) & (at[k] < first_a) & (at[t] < first_b)
-                    if other.any():
+                    other = np.nonzero((m[t] != m[k]) & (at[k] < first_a) & (at[t] < first_b))[0]
+                    differ = np.bitwise_count(w[t][other] ^ w[k]).sum(axis=1, dtype=np.int64)
+                    other = other[differ <= s[k] + s[t][other] - 2 * needed(s[k], s[t][other], percent)]
+                    if len(other):
                         x, least = c[t][other], least[other]
                         found.append(np.column_stack([np.full(len(x), n), np.minimum(x, c[k]), np.maximum(x, c[k]), least]))
             if not found:
@@ -334,10 +351,10 @@ def _candidates(lists: DataFrame, percent: int) -> DataFrame:
             return [rows[first, 0], rows[first, 1], np.diff(np.append(first, len(rows))), np.minimum.reduceat(rows[:, 2], first)]
 
         for cols in whole_lists(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in pairs([c.astype(np.int64) for c in cols])], ["a", "b", "shared", "least"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in pairs(cols)], ["a", "b", "shared", "least"])
 
     n = int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = lists.select("token", "size", "place", "center", "comp").repartition(n, "token").sortWithinPartitions("token", "size", "center")
+    rows = lists.select("token", "size", "place", "center", "comp", "bits").repartition(n, "token").sortWithinPartitions("token", "size", "center")
     found = rows.mapInArrow(run, "a long, b long, shared long, least long").groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("least").alias("least"))
     return found.where("shared >= least").select("a", "b")
 
@@ -367,7 +384,7 @@ def similarity_components(documents: DataFrame, words: int = WORDS, percent: int
     common = spark.sparkContext.broadcast(common_tokens(docs.select("doc_id", "text"), words))
     rows = materialize(set_rows(docs, words, percent, common), "jaccard-sets")
     # each distinct set has a number, fixed once the table is written, and a document
-    sets = rows.groupBy("set_id").agg(F.min("doc_id").alias("doc"), F.first("size").alias("size"), F.first("first").alias("first")).where("size > 0 AND doc IS NOT NULL")
+    sets = rows.groupBy("set_id").agg(F.min("doc_id").alias("doc"), F.first("size").alias("size"), F.first("first").alias("first"), F.first("bits").alias("bits")).where("size > 0 AND doc IS NOT NULL")
     sets = materialize(sets.withColumn("set", F.monotonically_increasing_id()), "jaccard-distinct")
     lists = materialize(token_lists(sets, percent), "jaccard-lists")
     texts = docs.withColumnRenamed("doc_id", "doc")
@@ -385,9 +402,9 @@ def similarity_components(documents: DataFrame, words: int = WORDS, percent: int
     radius = materialize(follows.groupBy("center").agg(F.max("apart").alias("radius")), "jaccard-radius")
 
     # what the leaders have in common settles most of the rest
-    labels = materialize(comps.withColumnRenamed("node", "set").join(follows.select("set", "center"), "set", "left"), "jaccard-labels")
-    labelled = lists.select("token", "set", "size", "place").join(labels, "set", "left")
-    labelled = materialize(labelled.select("token", "set", "size", "place", F.coalesce("center", "set").alias("center"), F.coalesce("comp", "set").alias("comp")), "jaccard-labelled")
+    labels = sets.select("set", "bits").join(comps.withColumnRenamed("node", "set"), "set", "left").join(follows.select("set", "center"), "set", "left")
+    labels = materialize(labels.select("set", "bits", F.coalesce("center", "set").alias("center"), F.coalesce("comp", "set").alias("comp")), "jaccard-labels")
+    labelled = materialize(lists.select("token", "set", "size", "place").join(labels, "set"), "jaccard-labelled")
     pairs = materialize(_candidates(labelled, percent), "jaccard-leaders")
     between = materialize(overlaps(pairs, names, texts, words), "jaccard-between")
     reach = lambda side: radius.select(F.col("center").alias(side), F.col("radius").alias(f"r_{side}"))
@@ -410,7 +427,7 @@ def _followers(open_: DataFrame, labelled: DataFrame, edges: DataFrame, names: D
     ends = materialize(open_.select(F.col("a").alias("center")).union(open_.select(F.col("b").alias("center"))).distinct(), "jaccard-ends")
     rows = labelled.drop("comp").join(ends, "center", "left_semi").join(comps, "set", "left")
     # here every set is its own center, and the components are those known by now
-    rows = materialize(rows.select("token", "size", "place", F.col("set").alias("center"), F.coalesce("whole", "set").alias("comp")), "jaccard-followers")
+    rows = materialize(rows.select("token", "size", "place", F.col("set").alias("center"), F.coalesce("whole", "set").alias("comp"), "bits"), "jaccard-followers")
     pairs = materialize(_candidates(rows, percent), "jaccard-open-pairs")
     return _linked(materialize(overlaps(pairs, names, texts, words), "jaccard-open-overlaps"), percent).select("a", "b")
 

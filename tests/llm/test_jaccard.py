@@ -117,3 +117,13 @@ def test_shared_early_tokens_bound():
             least, first_a, first_b = jaccard.within_reach(len(a), len(b), percent)
             assert first_a <= jaccard.prefix_length(len(a), percent) and first_b <= jaccard.prefix_length(len(b), percent)
             assert len(set(sorted(a)[:first_a]) & set(sorted(b)[:first_b])) >= least
+
+
+def test_bitmaps_differ_in_no_more_bits_than_sets_in_tokens():
+    rng = np.random.default_rng(5)
+    for size in (1, 30, 147, 3000):
+        a = np.unique(rng.integers(0, 2**63, size).astype(np.uint64))
+        b = np.union1d(a[: -(size // 10) or None], rng.integers(0, 2**63, size // 20).astype(np.uint64))
+        x, y = (np.frombuffer(jaccard.bitmap(s), np.uint64) for s in (a, b))
+        assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(a, b))
+    assert len(jaccard.bitmap(np.empty(0, np.uint64))) * 8 == jaccard.BITMAP
