@@ -34,10 +34,12 @@ N_BASE = 4
 #: Characters before a candidate that count as its context, and the words there that speak for a kind.
 CONTEXT = 32
 CUES = ["mail|contact|write", "phone|tel|call|mobil|fax", "card|visa|account|pay|konto", "ip|host|server|address", "id|ssn|social|passport|iban"]
-#: Candidates to train on and to calibrate on at most (those with the least hash), trees, their depth.
-TRAIN_ROWS, CALIBRATE_ROWS, TREES, DEPTH = 20_000, 20_000, 10, 3
-#: A threshold is the least score at which so many of the calibration's candidates are valid.
+#: Candidates to train on (about so many at most, chosen by hash, and at most half of all), trees, their depth.
+TRAIN_ROWS, TREES, DEPTH = 20_000, 10, 3
+#: A threshold is the least score, in hundredths, at which so many of the candidates outside the training rows are valid.
 PRECISION = 0.95
+#: A threshold that no score reaches, and the steps of the hash that chooses training rows.
+NEVER, STEPS = 2.0, 1 << 30
 SPAN = "array<struct<start: int, end: int, value: string>>"
 
 
@@ -130,7 +132,7 @@ def tree_expression(lines: list[str]):
 
 @dataclass(frozen=True)
 class Model:
-    """Boosted trees as expressions, and the least score of each kind that is not a base kind."""
+    """Boosted trees as expressions, and the least score of each kind."""
 
     trees: list
     thresholds: dict[int, float]
@@ -145,28 +147,28 @@ class Model:
 def train(found: DataFrame) -> Model | None:
     """Fit trees and thresholds to the candidates that have a check; nothing if they are all of one class.
 
-    Both samples are bounded and hold the rows with the least hash; equal rows are one.
+    Only the trees' sample is bounded; thresholds are taken over all checked candidates outside it.
     """
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.functions import array_to_vector
 
-    rows = found.select("doc_id", F.explode("found").alias("c")).where("c.valid IS NOT NULL").select(F.xxhash64("doc_id", "c.start", "c.kind_no").alias("h"), F.col("c.kind_no").alias("kind_no"), F.col("c.valid").cast("double").alias("label"), F.col("c.x").alias("x"))
-    part = lambda odd, n, label: materialize(rows.where((F.pmod("h", F.lit(2)) == odd)).orderBy("h").limit(n).repartition(2), label)
-    sample = part(0, TRAIN_ROWS, "pii-train")
+    rows = found.select("doc_id", F.explode("found").alias("c")).where("c.valid IS NOT NULL").select(F.pmod(F.xxhash64("doc_id", "c.start", "c.kind_no"), F.lit(STEPS)).alias("h"), F.col("c.kind_no").alias("kind_no"), F.col("c.valid").cast("double").alias("label"), F.col("c.x").alias("x"))
+    inside = F.col("h") < int(STEPS * min(0.5, TRAIN_ROWS / max(rows.count(), 1)))
+    sample = materialize(rows.where(inside).repartition(2), "pii-train")
     if sample.select("label").distinct().count() < 2:
         return None
     fitted = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=1, featuresCol="features").fit(sample.select(array_to_vector("x").alias("features"), "label"))
     parts = re.split(r"\n\s*Tree \d+ \(weight ([-0-9.E]+)\):\n", fitted.toDebugString)
     trees = [(float(w), tree_expression(x.rstrip("\n").split("\n"))) for w, x in zip(parts[1::2], parts[2::2], strict=True)]
     model = Model(trees, {})
-    bins = part(1, CALIBRATE_ROWS, "pii-calibrate").groupBy(F.floor(100 * model.score(F.col("x"))).alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("good")).collect()
+    bins = rows.where(~inside).groupBy(F.floor(100 * model.score(F.col("x"))).alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("good")).collect()
     n = good = 0
-    least = 2.0
+    least = NEVER
     for r in sorted(bins, key=lambda r: -r.bin):
         n, good = n + r.n, good + r.good
         if good >= PRECISION * n:
             least = r.bin / 100
-    return Model(trees, {k: least for k in range(N_BASE, len(KINDS))})
+    return Model(trees, {k: least for k in range(len(KINDS))})
 
 
 def find_personal_data(documents: DataFrame) -> DataFrame:
@@ -183,9 +185,9 @@ def find_personal_data(documents: DataFrame) -> DataFrame:
     rows = found.select("doc_id", "found", base.alias("base"))
     more = F.filter("found", lambda c: F.lit(False))
     if model:
-        threshold = F.array(*[F.lit(model.thresholds.get(k, 2.0)) for k in range(len(KINDS))])
+        threshold = F.array(*[F.lit(model.thresholds.get(k, NEVER)) for k in range(len(KINDS))])
         apart = lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
-        more = F.filter("found", lambda c: (c["kind_no"] >= N_BASE) & (model.score(c["x"]) >= F.get(threshold, c["kind_no"])) & apart(c))
+        more = F.filter("found", lambda c: (c["kind_no"] >= N_BASE) & (F.floor(100 * model.score(c["x"])) / 100 >= F.get(threshold, c["kind_no"])) & apart(c))
     name = lambda c: F.struct(c["start"].alias("start"), c["kind_no"].alias("kind_no"), c["end"].alias("end"), F.get(kinds, c["kind_no"]).alias("kind"))
     return rows.select("doc_id", F.sort_array(F.transform(F.concat("base", more), name)).alias("spans"), F.size("found").alias("n_candidates"))
 

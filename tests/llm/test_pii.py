@@ -70,3 +70,13 @@ def test_redaction_and_empty_table(spark):
     row = pii.find_personal_data(docs).join(docs, "doc_id").select(pii.redact(pii.F.col("text"), pii.F.col("spans")).alias("t")).first()
     assert row.t == "é [EMAIL] x"
     assert pii.find_personal_data(docs.where("false")).count() == 0
+
+
+def test_thresholds_cover_all_candidates(spark, monkeypatch):
+    # cards that the features cannot tell apart, 1 in 200 fails the check, so that no score is wholly precise
+    monkeypatch.setattr(pii, "PRECISION", 1.0)
+    monkeypatch.setattr(pii, "TRAIN_ROWS", 300)
+    monkeypatch.setattr(pii, "CALIBRATE_ROWS", 10, raising=False)
+    texts = ["4532015112830366" if k % 200 else "4532015112830365" for k in range(2000)] + ["12 x 13 y 14"] * 100
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert set(pii.train(pii.materialize(pii.candidates(docs), "test")).thresholds.values()) == {2.0}
