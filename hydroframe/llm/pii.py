@@ -1,8 +1,9 @@
 """Personal data by candidate gradient boosting.
 
 Generators with high recall propose spans, which may overlap. Format and context of each candidate
-make a row of features; boosted trees, trained on candidates whose format can be validated, give each
-a score, and thresholds calibrated by kind choose which candidates are added to the validated ones.
+make a row of features; boosted trees, trained on the base kinds' checks and on weak labels of the
+other kinds, give each a score, and thresholds calibrated by kind choose which candidates are added to
+the validated ones.
 Everything runs as built-in functions: spans and features in array functions inside the row, the
 trees as CASE expressions.
 """
@@ -34,9 +35,9 @@ N_BASE = 4
 #: Characters before a candidate that count as its context, and the words there that speak for a kind.
 CONTEXT = 32
 CUES = ["mail|contact|write", "phone|tel|call|mobil|fax", "card|visa|account|pay|konto", "ip|host|server|address", "id|ssn|social|passport|iban"]
-#: Candidates to train on (about so many at most, chosen by hash, and at most half of all), trees, their depth.
+#: Candidates to train on (about so many at most, in equal parts by kind, chosen by hash, and at most half of a kind), trees, their depth.
 TRAIN_ROWS, TREES, DEPTH = 20_000, 10, 3
-#: A threshold is the least score, in hundredths, at which so many of the candidates outside the training rows are valid.
+#: A threshold is the least score, in hundredths, at which so many of a kind's candidates outside the training rows are valid.
 PRECISION = 0.95
 #: A threshold that no score reaches, and the steps of the hash that chooses training rows.
 NEVER, STEPS = 2.0, 1 << 30
@@ -76,8 +77,33 @@ def luhn(digits: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(digits)), F.lit(0), add) % 10 == 0
 
 
-def valid(kind: int, value: Column) -> Column:
-    """The base kinds' checks; null for other kinds, which have none."""
+def iban_sum(value: Column) -> Column:
+    """Whether an IBAN of 15 to 34 characters leaves 1 modulo 97, its first four put last and letters read as 10 to 35."""
+    whole = F.regexp_replace(value, " ", "")
+    moved = F.concat(F.substring(whole, 5, 40), F.substring(whole, 1, 4))
+
+    def add(rest, i):
+        c = F.ascii(F.substring(moved, i, F.lit(1)))
+        return F.when(c < 58, rest * 10 + c - 48).otherwise(rest * 100 + c - 55) % 97
+
+    return F.length(whole).between(15, 34) & (F.aggregate(F.sequence(F.lit(1), F.length(moved)), F.lit(0), add) == 1)
+
+
+def well_formed(kind: int, value: Column) -> Column:
+    """Whether a candidate of a kind that is not a base kind keeps that kind's rules of format; false for base kinds."""
+    if KINDS[kind][0] == "email_words":
+        return value.rlike(r"^[A-Za-z0-9].*[)\]]\x20?[A-Za-z]{2,}$")
+    if KINDS[kind][0] == "phone_local":
+        return value.rlike(r"^(?:\([2-9]|[2-9][0-9]{2}([\x20.-])[0-9]{3}\1)")
+    if KINDS[kind][0] == "national_id":
+        return value.rlike(r"^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)")
+    if KINDS[kind][0] == "iban":
+        return iban_sum(value)
+    return F.lit(False)
+
+
+def valid(kind: int, value: Column, before: Column) -> Column:
+    """The base kinds' checks, and the weak labels of the others: their format, or for a local phone number a cue."""
     digits = F.regexp_replace(value, "[^0-9]", "")
     if KINDS[kind][0] == "email":
         return F.lit(True)
@@ -87,19 +113,26 @@ def valid(kind: int, value: Column) -> Column:
         return F.length(digits).between(12, 19) & F.when(F.length(digits).between(12, 19), luhn(digits)).otherwise(False)
     if KINDS[kind][0] == "phone":
         return F.length(digits).between(9, 15)
-    return F.lit(None).cast("boolean")
+    if KINDS[kind][0] == "phone_local":
+        return well_formed(kind, value) | before.rlike(CUES[1])
+    return well_formed(kind, value)
+
+
+def context(text: Column, start: Column) -> Column:
+    """The characters before a candidate, in lower case."""
+    return F.lower(F.substring(text, F.greatest(start - CONTEXT, F.lit(0)) + 1, F.least(start, F.lit(CONTEXT))))
 
 
-def features(text: Column, c: Column) -> Column:
-    """Format and context of a candidate, as doubles."""
-    value, start = c["value"], c["start"]
+def features(text: Column, kind: int, c: Column) -> Column:
+    """Kind, format and context of a candidate, as doubles."""
+    value, before = c["value"], context(text, c["start"])
     count = lambda p: F.length(F.regexp_replace(value, f"[^{p}]", ""))
-    before = F.lower(F.substring(text, F.greatest(start - CONTEXT, F.lit(0)) + 1, F.least(start, F.lit(CONTEXT))))
     return F.array(*[x.cast("double") for x in [
         F.length(value), count("0-9"), count("A-Za-z"), count(" ().-"), count("."), count("@"), count("+("),
         F.size(F.array_distinct(F.split(F.regexp_replace(value, "[^0-9]", ""), ""))),
         F.substring(before, -1, 1).rlike("[A-Za-z0-9@=/]"), F.substring(text, c["end"] + 1, F.lit(1)).rlike("[A-Za-z0-9@=/]"),
         *[before.rlike(cue) for cue in CUES],
+        *[F.lit(k == kind) for k in range(len(KINDS))], well_formed(kind, value),
     ]])
 
 
@@ -109,7 +142,7 @@ def candidates(documents: DataFrame) -> DataFrame:
     rows = rows.select("doc_id", "text", *[matches(F.col("text"), p, needs).alias(f"k{k}") for k, (_, p, needs) in enumerate(KINDS)])
 
     def full(k):
-        return F.transform(f"k{k}", lambda c: F.struct(c["start"].alias("start"), F.lit(k).alias("kind_no"), c["end"].alias("end"), valid(k, c["value"]).alias("valid"), features(F.col("text"), c).alias("x")))
+        return F.transform(f"k{k}", lambda c: F.struct(c["start"].alias("start"), F.lit(k).alias("kind_no"), c["end"].alias("end"), valid(k, c["value"], context(F.col("text"), c["start"])).alias("valid"), features(F.col("text"), k, c).alias("x")))
 
     return rows.select("doc_id", F.concat(*[full(k) for k in range(len(KINDS))]).alias("found"))
 
@@ -144,38 +177,45 @@ class Model:
         return 1 / (1 + F.exp(-2 * margin))
 
 
-def train(found: DataFrame) -> Model | None:
-    """Fit trees and thresholds to the candidates that have a check; nothing if they are all of one class.
+def train(found: DataFrame) -> Model:
+    """Fit trees and a threshold for each kind to the candidates; no trees, and one score, if all are of one class.
 
-    Only the trees' sample is bounded; thresholds are taken over all checked candidates outside it.
+    Only the trees' sample is bounded, where each kind weighs the same; a threshold is taken over all
+    candidates of its kind outside that sample, or over those in it if there are no others.
     """
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.functions import array_to_vector
 
-    rows = found.select("doc_id", F.explode("found").alias("c")).where("c.valid IS NOT NULL").select(F.pmod(F.xxhash64("doc_id", "c.start", "c.kind_no"), F.lit(STEPS)).alias("h"), F.col("c.kind_no").alias("kind_no"), F.col("c.valid").cast("double").alias("label"), F.col("c.x").alias("x"))
-    inside = F.col("h") < int(STEPS * min(0.5, TRAIN_ROWS / max(rows.count(), 1)))
-    sample = materialize(rows.where(inside).repartition(2), "pii-train")
-    if sample.select("label").distinct().count() < 2:
-        return None
-    fitted = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=1, featuresCol="features").fit(sample.select(array_to_vector("x").alias("features"), "label"))
-    parts = re.split(r"\n\s*Tree \d+ \(weight ([-0-9.E]+)\):\n", fitted.toDebugString)
-    trees = [(float(w), tree_expression(x.rstrip("\n").split("\n"))) for w, x in zip(parts[1::2], parts[2::2], strict=True)]
+    rows = found.select("doc_id", F.explode("found").alias("c")).select(F.pmod(F.xxhash64("doc_id", "c.start", "c.kind_no"), F.lit(STEPS)).alias("h"), F.col("c.kind_no").alias("kind_no"), F.col("c.valid").cast("double").alias("label"), F.col("c.x").alias("x"))
+    counts = {r.kind_no: r["count"] for r in rows.groupBy("kind_no").count().collect()}
+    limits = [int(STEPS * min(0.5, TRAIN_ROWS / len(counts) / counts[k])) if k in counts else 0 for k in range(len(KINDS))]
+    weights = [1 / min(counts[k] / 2, TRAIN_ROWS / len(counts)) if k in counts else 0.0 for k in range(len(KINDS))]
+    of_kind = lambda values: F.get(F.array(*[F.lit(v) for v in values]), F.col("kind_no"))
+    inside = F.col("h") < of_kind(limits)
+    sample = materialize(rows.where(inside).withColumn("weight", of_kind(weights)).repartition(2), "pii-train")
+    trees = []
+    if sample.select("label").distinct().count() == 2:
+        fitted = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=1, featuresCol="features", weightCol="weight").fit(sample.select(array_to_vector("x").alias("features"), "label", "weight"))
+        parts = re.split(r"\n\s*Tree \d+ \(weight ([-0-9.E]+)\):\n", fitted.toDebugString)
+        trees = [(float(w), tree_expression(x.rstrip("\n").split("\n"))) for w, x in zip(parts[1::2], parts[2::2], strict=True)]
     model = Model(trees, {})
-    bins = rows.where(~inside).groupBy(F.floor(100 * model.score(F.col("x"))).alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("good")).collect()
-    n = good = 0
-    least = NEVER
-    for r in sorted(bins, key=lambda r: -r.bin):
-        n, good = n + r.n, good + r.good
-        if good >= PRECISION * n:
-            least = r.bin / 100
-    return Model(trees, {k: least for k in range(len(KINDS))})
+    bins = rows.groupBy("kind_no", inside.alias("inside"), F.floor(100 * model.score(F.col("x"))).alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("good")).collect()
+    thresholds = dict.fromkeys(range(len(KINDS)), NEVER)
+    for k in counts:
+        own = [r for r in bins if r.kind_no == k]
+        n = good = 0
+        for r in sorted([r for r in own if not r.inside] or own, key=lambda r: -r.bin):
+            n, good = n + r.n, good + r.good
+            if good >= PRECISION * n:
+                thresholds[k] = r.bin / 100
+    return Model(trees, thresholds)
 
 
 def find_personal_data(documents: DataFrame) -> DataFrame:
     """doc_id and spans, an array of (start, kind_no, end, kind), in that order; and n_candidates.
 
-    All valid matches of the base kinds; of the other kinds those whose score reaches the threshold
-    and that overlap no base span. Null and empty texts have none. Rows that repeat are treated each
+    All valid matches of the base kinds; of the other kinds those whose score reaches their kind's
+    threshold and that overlap no base span. Null and empty texts have none. Rows that repeat are treated each
     for itself; an empty table gives an empty result; other columns are ignored.
     """
     found = materialize(candidates(documents), "pii-candidates")
@@ -183,11 +223,9 @@ def find_personal_data(documents: DataFrame) -> DataFrame:
     kinds = F.array(*[F.lit(k[0]) for k in KINDS])
     base = F.filter("found", lambda c: (c["kind_no"] < N_BASE) & c["valid"])
     rows = found.select("doc_id", "found", base.alias("base"))
-    more = F.filter("found", lambda c: F.lit(False))
-    if model:
-        threshold = F.array(*[F.lit(model.thresholds.get(k, NEVER)) for k in range(len(KINDS))])
-        apart = lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
-        more = F.filter("found", lambda c: (c["kind_no"] >= N_BASE) & (F.floor(100 * model.score(c["x"])) / 100 >= F.get(threshold, c["kind_no"])) & apart(c))
+    threshold = F.array(*[F.lit(model.thresholds[k]) for k in range(len(KINDS))])
+    apart = lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
+    more = F.filter("found", lambda c: (c["kind_no"] >= N_BASE) & (F.floor(100 * model.score(c["x"])) / 100 >= F.get(threshold, c["kind_no"])) & apart(c))
     name = lambda c: F.struct(c["start"].alias("start"), c["kind_no"].alias("kind_no"), c["end"].alias("end"), F.get(kinds, c["kind_no"]).alias("kind"))
     return rows.select("doc_id", F.sort_array(F.transform(F.concat("base", more), name)).alias("spans"), F.size("found").alias("n_candidates"))
 

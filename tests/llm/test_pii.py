@@ -80,3 +80,31 @@ def test_thresholds_cover_all_candidates(spark, monkeypatch):
     texts = ["4532015112830366" if k % 200 else "4532015112830365" for k in range(2000)] + ["12 x 13 y 14"] * 100
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert set(pii.train(pii.materialize(pii.candidates(docs), "test")).thresholds.values()) == {2.0}
+
+
+def test_each_added_kind_is_found(spark):
+    good = {
+        "email_words": ["joe{} (at) mail (dot) com", "ann{}[at]host[dot]org"],
+        "phone_local": ["555-123-4{:03}", "(555) 234-5{:03}"],
+        "national_id": ["123-45-6{:03}", "219-09-9{:03}"],
+        "iban": ["GB82 WEST 1234 5698 7654 32", "DE89370400440532013000"],
+    }
+    bad = {
+        "email_words": ["joe{} (at) mail (dot) 77"], "phone_local": ["155.123-4{:03}", "055 123-4{:03}"],
+        "national_id": ["000-45-6{:03}", "123-00-6{:03}", "666-45-6{:03}"], "iban": ["GB83 WEST 1234 5698 7654 32", "DE88370400440532013000"],
+    }
+    noise = ["4532015112830366", "4532015112830365", "123456789", "5551234567", "a@b.c", "1.2.3.4", "1.2.3.999", "+1 (988) 555-2485", "+1 23"]
+    texts = [("", x) for x in noise for _ in range(40)]
+    for said, kinds in (("good", good), ("bad", bad)):
+        texts += [(f"{said} {k}", x.format(i)) for k, xs in kinds.items() for x in xs for i in range(40)]
+    docs = spark.createDataFrame([(i, said, f"see {x} there") for i, (said, x) in enumerate(texts)], "doc_id long, said string, text string")
+    for r in pii.find_personal_data(docs).join(docs, "doc_id").where("said > ''").collect():
+        said, kind = r.said.split()
+        want = [(4, len(r.text) - 6, kind)] if said == "good" else []
+        assert [(s.start, s.end, s.kind) for s in r.spans] == want, r.text
+
+
+def test_one_candidate_of_a_kind(spark):
+    docs = spark.createDataFrame([(k, "id 123-45-6789") for k in range(4)], "doc_id long, text string")
+    for k in range(4):
+        assert [s.kind for s in pii.find_personal_data(docs.where(f"doc_id = {k}")).first().spans] == ["national_id"]
