@@ -8,8 +8,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-#: Least sample rate of a recording, and bytes of a canonical header.
-MIN_RATE, HEADER = 80_000, 44
+#: Least sample rate of a recording.
+MIN_RATE = 80_000
+#: The extensible format's number, and the subformat by which it holds plain PCM.
+EXTENSIBLE, PCM_GUID = 0xFFFE, bytes.fromhex("0100000000001000800000aa00389b71")
+WALK = "struct<at: bigint, format: bigint, channels: bigint, rate: bigint, bits: bigint, offset: bigint, size: bigint>"
 
 
 def discover_recordings(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
@@ -18,31 +21,60 @@ def discover_recordings(spark: SparkSession, root: str, recursive: bool = True)
     return files.select("path", "length")
 
 
-def _number(content: Column, at: int, size: int) -> Column:
+def _bytes(content: Column, at: Column, size: int) -> Column:
+    return F.substring(content, (at + 1).cast("int"), F.lit(size))
+
+
+def _number(content: Column, at: Column, size: int) -> Column:
     """A little-endian unsigned number at a byte offset."""
-    return F.conv(F.concat(*[F.hex(F.substring(content, at + k + 1, 1)) for k in reversed(range(size))]), 16, 10).cast("long")
+    return F.conv(F.concat(*[F.hex(_bytes(content, at + k, 1)) for k in reversed(range(size))]), 16, 10).cast("long")
+
+
+def _walk(content: Column) -> Column:
+    """The fields of the format chunk, and offset and bytes of the data chunk, null if it is missing; chunks after it aren't read.
+
+    Steps are nested, for as many chunks as the file can hold: a finished walk passes the outer ones only.
+    """
+    length = F.octet_length(content)
+
+    def step(a):
+        at = a["at"]
+        name, size = _bytes(content, at, 4), _number(content, at + 4, 4)
+        is_format, is_data = (name == F.lit(b"fmt ")) & (size >= 16), name == F.lit(b"data")
+        tag = _number(content, at + 8, 2)
+        plain = F.when((tag == EXTENSIBLE) & (size >= 40) & (_bytes(content, at + 32, 16) == F.lit(PCM_GUID)), 1).otherwise(tag)
+        fields = [(plain, "format"), (_number(content, at + 10, 2), "channels"), (_number(content, at + 12, 4), "rate"), (_number(content, at + 22, 2), "bits")]
+        # a chunk of odd size is followed by a byte
+        read = [F.when(is_format, x).otherwise(a[n]).alias(n) for x, n in fields]
+        return F.struct((at + 8 + size + size % 2).alias("at"), *read, F.when(is_data, at + 8).alias("offset"), F.when(is_data, size).alias("size")).cast(WALK)
+
+    ended = lambda a: a["offset"].isNotNull() | (a["at"] + 8 > length)
+    steps = F.sequence(F.lit(0), F.ceil(F.sqrt(length / 8)).cast("int"))
+    zero = F.struct(F.lit(12), *[F.lit(None)] * 6).cast(WALK)
+    return F.aggregate(steps, zero, lambda a, _: F.when(ended(a), a).otherwise(F.aggregate(steps, a, lambda b, _: F.when(ended(b), b).otherwise(step(b)))))
 
 
 def recording_catalog(spark: SparkSession, root: str, recursive: bool = True, min_rate: int = MIN_RATE) -> DataFrame:
-    """A row per recording: path, encounter_id (its folder), rate, count, duration, sha256 and reason, null if it is admitted.
+    """A row per recording: path, encounter_id (its folder), rate, count, duration, sha256, data_offset (the first sample's byte) and reason, null if it is admitted.
 
-    Reads canonical 44-byte headers. Not mono, not 16-bit PCM, under ``min_rate`` or empty is a reason.
+    Chunks before the data are walked over. No data chunk, not mono, not 16-bit PCM, under ``min_rate`` or empty is a reason.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[wW][aA][vV]").option("recursiveFileLookup", str(recursive).lower()).load(root)
     c = F.col("content")
     rows = files.select(
-        "path", F.element_at(F.split("path", "/"), -2).alias("encounter_id"), (F.substring(c, 1, 4) == F.lit(b"RIFF")).alias("riff"), _number(c, 20, 2).alias("format"), _number(c, 22, 2).alias("channels"),
-        _number(c, 24, 4).alias("sample_rate_hz"), _number(c, 34, 2).alias("bits"), F.floor(_number(c, 40, 4) / 2).alias("sample_count"), F.sha2(c, 256).alias("sha256"),
+        "path", F.element_at(F.split("path", "/"), -2).alias("encounter_id"), ((F.substring(c, 1, 4) == F.lit(b"RIFF")) & (F.substring(c, 9, 4) == F.lit(b"WAVE"))).alias("riff"), _walk(c).alias("w"), F.sha2(c, 256).alias("sha256"),
     )
+    rows = rows.select("path", "encounter_id", "riff", "w.format", "w.channels", F.col("w.rate").alias("sample_rate_hz"), "w.bits", F.floor(F.col("w.size") / 2).alias("sample_count"), F.col("w.offset").alias("data_offset"), "sha256")
     reason = (
         F.when(~F.coalesce("riff", F.lit(False)) | F.col("format").isNull(), "not a WAV file")
+        .when(F.col("data_offset").isNull(), "no data chunk")
         .when(F.col("channels") != 1, "not mono")
         .when((F.col("format") != 1) | (F.col("bits") != 16), "not 16-bit PCM")
         .when(F.col("sample_rate_hz") < min_rate, "sample rate too low")
         .when(F.col("sample_count") <= 0, "empty")
     )
     duration = F.try_divide(F.col("sample_count").cast("double"), F.col("sample_rate_hz").cast("double"))
-    return rows.select("path", "encounter_id", "sample_rate_hz", "sample_count", duration.alias("duration_seconds"), "sha256", reason.alias("reason"))
+    return rows.select("path", "encounter_id", "sample_rate_hz", "sample_count", duration.alias("duration_seconds"), "sha256", "data_offset", reason.alias("reason"))
 
 
 def admit_recordings(catalog: DataFrame, strict: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -55,22 +87,23 @@ def admit_recordings(catalog: DataFrame, strict: bool = True) -> tuple[DataFrame
 
 
 class _Range(InputPartition):
-    def __init__(self, path: str, chunk_no: int, first: int, count: int):
-        self.path, self.chunk_no, self.first, self.count = path, chunk_no, first, count
+    def __init__(self, path: str, chunk_no: int, first: int, count: int, offset: int):
+        self.path, self.chunk_no, self.first, self.count, self.offset = path, chunk_no, first, count, offset
 
 
 class _PcmReader(DataSourceReader):
     def __init__(self, options: dict):
         self.paths = [p for p in options["paths"].split("\n") if p]
         self.counts = [int(n) for n in options["counts"].split("\n") if n]
+        self.offsets = [int(n) for n in options["offsets"].split("\n") if n]
         self.chunk = int(options["chunk"])
 
     def partitions(self) -> list[_Range]:
-        return [_Range(p, k, k * self.chunk, min(self.chunk, n - k * self.chunk)) for p, n in zip(self.paths, self.counts, strict=True) for k in range(-(-n // self.chunk))]
+        return [_Range(p, k, k * self.chunk, min(self.chunk, n - k * self.chunk), o) for p, n, o in zip(self.paths, self.counts, self.offsets, strict=True) for k in range(-(-n // self.chunk))]
 
     def read(self, partition: _Range) -> Iterator[tuple]:
         with open(partition.path.removeprefix("file:"), "rb") as f:
-            f.seek(HEADER + 2 * partition.first)
+            f.seek(partition.offset + 2 * partition.first)
             yield partition.path, partition.chunk_no, partition.first, f.read(2 * partition.count)
 
 
@@ -91,25 +124,28 @@ class PcmSource(DataSource):
         return _PcmReader(self.options)
 
 
-def scan_pcm(spark: SparkSession, recordings: list[tuple[str, int]], chunk_samples: int) -> DataFrame:
-    """Chunks of the recordings given as (path, sample count)."""
+def scan_pcm(spark: SparkSession, recordings: list[tuple[str, int, int]], chunk_samples: int) -> DataFrame:
+    """Chunks of the recordings given as (path, sample count, data offset), as the catalog has them."""
     spark.dataSource.register(PcmSource)
-    return spark.read.format("pcm_ranges").options(paths="\n".join(p for p, _ in recordings), counts="\n".join(str(n) for _, n in recordings), chunk=str(chunk_samples)).load()
+    return spark.read.format("pcm_ranges").options(paths="\n".join(p for p, _, _ in recordings), counts="\n".join(str(n) for _, n, _ in recordings), offsets="\n".join(str(o) for _, _, o in recordings), chunk=str(chunk_samples)).load()
 
 
 def pcm_chunks(spark: SparkSession, root: str, chunk_samples: int) -> DataFrame:
     """Chunks of all recordings below ``root`` by any path that Spark reads; whole files pass through a row, so for short ones."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[wW][aA][vV]").option("recursiveFileLookup", "true").load(root)
-    n = F.ceil((F.col("length") - HEADER) / (2 * chunk_samples))
-    rows = files.where(F.col("length") > HEADER).select("path", "content", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("chunk_no"))
-    return rows.select("path", "chunk_no", F.substring(F.col("content"), (1 + HEADER + 2 * chunk_samples * F.col("chunk_no")).cast("int"), F.lit(2 * chunk_samples)).alias("pcm"))
+    rows = files.select("path", "length", "content", _walk(F.col("content")).alias("w"))
+    size = F.least("w.size", F.col("length") - F.col("w.offset"))
+    rows = rows.select("path", size.alias("size"), F.substring(F.col("content"), (F.col("w.offset") + 1).cast("int"), size.cast("int")).alias("data")).where("size > 0")
+    rows = rows.select("path", "data", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("size") / (2 * chunk_samples)) - 1)).alias("chunk_no"))
+    return rows.select("path", "chunk_no", F.substring(F.col("data"), (1 + 2 * chunk_samples * F.col("chunk_no")).cast("int"), F.lit(2 * chunk_samples)).alias("pcm"))
 
 
 def clip_bag(spark: SparkSession, root: str) -> DataFrame:
     """Ready-made clips: encounter_id from the folder, path, rate, count, sha256 and samples, for files that are admitted."""
     good, _ = admit_recordings(recording_catalog(spark, root), strict=False)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    return good.join(files.select("path", F.expr(f"substring(content, {HEADER + 1})").alias("pcm")), "path")
+    joined = good.join(files.select("path", "content"), "path")
+    return joined.withColumn("pcm", F.expr("substring(content, int(data_offset + 1), int(2 * sample_count))")).drop("content", "data_offset")
 
 
 #: The model file's fields that are read.
