@@ -43,12 +43,19 @@ def detections(intervals: DataFrame, fmax: float) -> DataFrame:
     )
 
 
+#: Adjacent windows of a recording that are suppressed in one group.
+ADMIT_WINDOWS = 64
+
+
 def admit_boxes(boxes: DataFrame, confidence: float = 0.25, iou: float = 0.7, most: int = 300) -> DataFrame:
     """Boxes with enough confidence that no more confident box of their window overlaps by more than ``iou``, ``most`` a window.
 
-    Windows of a recording share a group; each window is suppressed for itself.
+    ``ADMIT_WINDOWS`` adjacent windows of a recording share a group; each window is suppressed for itself.
+    The groups are dealt out anew, as rows that are dealt by recording would stay where they are.
     """
 
+    names = boxes.columns
+
     def suppress(rows: pd.DataFrame) -> pd.DataFrame:
         keep = []
         for _, own in rows.sort_values(["confidence", "seq"], ascending=[False, True]).groupby("window_index", sort=False):
@@ -63,10 +70,10 @@ def admit_boxes(boxes: DataFrame, confidence: float = 0.25, iou: float = 0.7, mo
                 union = area[k] + area[rest] - both
                 left = rest[~(np.divide(both, union, out=np.zeros_like(both), where=union > 0) > iou)]
             keep.append(own.iloc[stay])
-        return pd.concat(keep) if keep else rows.iloc[:0]
+        return (pd.concat(keep) if keep else rows.iloc[:0])[names]
 
-    rows = boxes.where(F.col("confidence") >= confidence)
-    return rows.groupBy("recording_id").applyInPandas(suppress, rows.schema)
+    rows = boxes.where(F.col("confidence") >= confidence).withColumn("_block", F.floor(F.col("window_index") / ADMIT_WINDOWS)).repartition("recording_id", "_block")
+    return rows.groupBy("recording_id", "_block").applyInPandas(suppress, boxes.schema)
 
 
 def association_pairs(rows: DataFrame, bucket_s: float, merge: dict[str, float] = MERGE) -> DataFrame:

@@ -69,3 +69,14 @@ def test_spectra_closed_forms():
     assert len(y) == 960 and abs(y[100:-100] - np.sin(2 * np.pi * 1000 * np.arange(960) / 96_000)[100:-100]).max() < 1e-2
     grid, t0, _, f0, _ = spectral.window_view(np.zeros(9600, np.int16), 96_000)
     assert grid.shape[0] == 641 and abs(t0 - 0.00875) < 1e-12 and f0 == 0.0
+
+
+def test_boxes_of_a_long_recording_are_spread(spark):
+    boxes = spark.range(4000).selectExpr("1L AS recording_id", "id AS seq", "CAST(id DIV 2 AS int) AS window_index", "0.5D AS x", "0.5D AS y", "0.2D AS w", "0.2D AS h", "0.3D + id % 2 * 0.1D AS confidence").repartition(4, "recording_id")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = events.admit_boxes(boxes).select("seq", F.spark_partition_id().alias("task")).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sorted(r.seq for r in got) == list(range(1, 4000, 2))
+    assert len({r.task for r in got}) > 1
