@@ -4,33 +4,40 @@ Terms (words and beginnings of words) that occur in toxic rather than other labe
 into many voters, half of them lexicons of whole words and half patterns of beginnings. A generative
 label model, fitted to how the voters agree over all documents, gives each voter's accuracy for both
 classes and finds voters that agree more than their accuracies explain; such voters share one vote.
-Its posterior labels train a linear classifier over the terms, which scores every document.
+Its posterior labels of documents, labelled or not, train a linear classifier over the terms, which
+scores every document.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from hydroframe.llm.shared import materialize, table, text_of
+from hydroframe.llm.shared import materialize, portions, release, table, text_of
 
 #: Terms that the classifier sees at most, by their weight of evidence; voters of each kind.
 TERMS, VOTERS = 4096, 8
-#: Beginnings of words that count as terms, and the longest whole word that does.
-STEMS, LONGEST_WORD = (4, 5, 6), 24
-#: Labelled texts that hold a term at least, for the classifier and for a voter.
-LEAST_TEXTS, LEAST_VOTES = 3, 3
+#: Bytes of text whose terms are counted at a time.
+COUNTED = 1_500_000
+#: Beginnings of words that count as terms.
+STEMS = (4, 5, 6)
+#: Labelled texts that hold a term at least.
+LEAST_TEXTS = 3
 #: Labelled rows that are learnt from at most, those with the least hash of their identifier. With the
 #: bound, some 16 bytes a row are broadcast, and no text is shuffled to meet its label.
 LABELLED = 100_000
-#: Least share of toxic texts among those with a term, for it to stand in a voter's list.
+#: Documents with a posterior label that the classifier is fitted to, about so many at most, chosen by
+#: a hash of their terms; rows with equal terms are one row with their number as its weight.
+POSTERIORS = 100_000
+#: Least share of toxic texts among those with a term, for it to stand in a voter's list. Its gain must
+#: also be more than chance gives the best of so many terms.
 VOTER_SHARE = 0.8
 #: Covariance beyond the model's, as a share of the voters' deviations, from which voters count as correlated.
 CORRELATED = 0.3
@@ -38,12 +45,16 @@ CORRELATED = 0.3
 WORD = re.compile(r"[^\W\d_]+")
 
 
+def words_in(text: str) -> set[str]:
+    return set(WORD.findall(text.lower()))
+
+
 def terms_of(text: str) -> set[str]:
     """The distinct terms of a text: ``=word`` and ``stem*``, lower case."""
-    words = set(WORD.findall(text.lower()))
-    found = {"=" + w for w in words if len(w) <= LONGEST_WORD}
+    words = words_in(text)
+    found = {"=" + w for w in words}
     for n in STEMS:
-        found.update(w[:n] + "*" for w in words if len(w) >= n)
+        found.update([w[:n] + "*" for w in words if len(w) >= n])
     return found
 
 
@@ -52,12 +63,15 @@ def term_counts(labelled: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts: dict[str, list[int]] = {}
-            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for t in terms_of(text):
-                    counts.setdefault(t, [0, 0])[toxic] += 1
-            rows = list(counts.values())
-            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[0] for r in rows], pa.int64())], ["term", "toxic", "other"])
+            texts, toxic = batch.column(0), batch.column(1).to_pylist()
+            for at, stop in portions(texts, COUNTED):
+                counts = (Counter(), Counter())
+                for k in range(at, stop):
+                    counts[toxic[k]].update(terms_of(texts[k].as_py()))
+                for label, own in enumerate(counts):
+                    n = pa.array(own.values(), pa.int64())
+                    none = pa.array(np.zeros(len(own), np.int64))
+                    yield pa.RecordBatch.from_arrays([pa.array(own.keys(), pa.string()), n if label else none, none if label else n], ["term", "toxic", "other"])
 
     each = labelled.select("text", (F.col("toxic") == 1).cast("int").alias("toxic")).mapInArrow(run, "term string, toxic long, other long")
     return each.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
@@ -74,40 +88,63 @@ class Terms:
 def choose_terms(counts: DataFrame, n_toxic: int, n_other: int) -> Terms:
     """The TERMS terms with the largest information gain; those that speak for toxicity also vote.
 
-    A bounded number of rows comes to the driver: the largest of an ordered list.
+    In order of gain, so with like terms one after the other, they are dealt to the voters of their
+    kind in turn: each voter then knows a part of every vocabulary, as the label model asks of voters
+    that are independent given the class. A bounded number of rows comes to the driver: the largest
+    of an ordered list.
     """
     share = lambda c, n: (F.col(c) + 0.5) / (n + 1.0)
     a, b = share("toxic", n_toxic), share("other", n_other)
     p = n_toxic / max(1, n_toxic + n_other)
     q = p * a + (1 - p) * b
     gain = p * a * F.log(a / q) + (1 - p) * b * F.log(b / q) + p * (1 - a) * F.log((1 - a) / (1 - q)) + (1 - p) * (1 - b) * F.log((1 - b) / (1 - q))
-    best = counts.where(F.col("toxic") + F.col("other") >= LEAST_TEXTS).withColumn("gain", gain).orderBy(F.desc("gain"), "term").limit(TERMS).collect()
-    voter, turn = np.full(len(best), -1), {True: 0, False: 0}
+    counts = materialize(counts.where(F.col("toxic") + F.col("other") >= LEAST_TEXTS), "toxicity-counts")
+    best = counts.withColumn("gain", gain).orderBy(F.desc("gain"), "term").limit(TERMS).collect()
+    chance = np.log(max(1, counts.count())) / (n_toxic + n_other)
+    release(counts)
+    voter, turn = np.full(len(best), -1), [0, 0]
     for k, r in enumerate(best):
-        if r.toxic >= LEAST_VOTES and r.toxic >= VOTER_SHARE * (r.toxic + r.other):
-            word = r.term[0] == "="
-            voter[k] = turn[word] % VOTERS + (0 if word else VOTERS)
-            turn[word] += 1
+        if r.gain >= chance and r.toxic >= VOTER_SHARE * (r.toxic + r.other):
+            kind = int(r.term[0] != "=")
+            voter[k] = turn[kind] % VOTERS + kind * VOTERS
+            turn[kind] += 1
     return Terms({r.term: k for k, r in enumerate(best)}, voter)
 
 
-def with_terms(documents: DataFrame, terms: Terms) -> DataFrame:
-    """doc_id, the numbers of the terms that the text holds, and its votes as bits."""
+class Finder:
+    """The numbers of the terms that a text holds."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, bit = terms.number, [0 if v < 0 else 1 << int(v) for v in terms.voter]
-        for batch in batches:
-            ids, votes = [], []
-            for text in batch.column(1).to_pylist():
-                own = sorted(number[t] for t in terms_of(text) if t in number)
-                vote = 0
-                for k in own:
-                    vote |= bit[k]
-                ids.append(own)
-                votes.append(vote)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(votes, pa.int64())], ["doc_id", "terms", "votes"])
+    def __init__(self, terms: Terms):
+        self.whole = {t[1:]: k for t, k in terms.number.items() if t[0] == "="}
+        self.stems = [(n, {t[:-1]: k for t, k in terms.number.items() if t[0] != "=" and len(t) == n + 1}) for n in STEMS]
+
+    def __call__(self, text: str) -> list[int]:
+        words = words_in(text)
+        own = [self.whole[w] for w in words & self.whole.keys()]
+        for n, numbers in self.stems:
+            own += [numbers[s] for s in {w[:n] for w in words} & numbers.keys()]
+        return sorted(own)
+
+
+def found_terms(text: Column, terms: Terms) -> Column:
+    """Of a text: the numbers of the terms that it holds, and its votes as bits."""
+    find, bit = Finder(terms), [0 if v < 0 else 1 << int(v) for v in terms.voter]
+
+    @F.arrow_udf("struct<terms: array<int>, votes: bigint>")
+    def found(texts: pa.Array) -> pa.Array:
+        flat, ends, votes = [], [0], []
+        for x in texts:
+            own = find(x.as_py())
+            vote = 0
+            for k in own:
+                vote |= bit[k]
+            flat += own
+            ends.append(len(flat))
+            votes.append(vote)
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
+        return pa.StructArray.from_arrays([lists, pa.array(votes, pa.int64())], ["terms", "votes"])
 
-    return documents.select("doc_id", text_of().alias("text")).mapInArrow(run, "doc_id long, terms array<int>, votes long")
+    return found(text)
 
 
 @dataclass(frozen=True)
@@ -120,11 +157,13 @@ class LabelModel:
     weight: np.ndarray
     correlated: list[tuple[int, int]]
 
-    def posterior(self, votes: np.ndarray) -> np.ndarray:
-        """Of a matrix of 0 and 1, a row a text."""
+    def posterior(self, votes: Column) -> Column:
+        """The share of class 1 among texts with these votes, given as bits."""
         yes, no = np.log(self.toxic / self.other), np.log((1 - self.toxic) / (1 - self.other))
-        logit = np.log(self.prior / (1 - self.prior)) + (self.weight * (votes * yes + (1 - votes) * no)).sum(axis=1)
-        return 1 / (1 + np.exp(-np.clip(logit, -500, 500)))
+        logit = F.lit(float(np.log(self.prior / (1 - self.prior)) + (self.weight * no).sum()))
+        for k, w in enumerate(self.weight * (yes - no)):
+            logit = logit + F.when(votes.bitwiseAND(F.lit(1 << k)) != 0, float(w)).otherwise(0.0)
+        return 1 / (1 + F.exp(-logit))
 
 
 def fit_label_model(n: int, together: np.ndarray, prior: float) -> LabelModel:
@@ -180,58 +219,74 @@ class Classifier:
     weights: np.ndarray
     labels: LabelModel | None = None
 
+    def score(self, terms: Column) -> Column:
+        """From 0 to 1, of a list of term numbers."""
+        weights, intercept = self.weights, self.intercept
+
+        @F.arrow_udf("double")
+        def score(ids: pa.Array) -> pa.Array:
+            lengths = np.asarray(ids.value_lengths(), np.int64)
+            flat = np.asarray(ids.flatten(), np.int64)
+            logit = intercept + np.bincount(np.repeat(np.arange(len(lengths)), lengths), weights[flat] if len(flat) else None, len(lengths))
+            return pa.array(1 / (1 + np.exp(-np.clip(logit, -500, 500))))
+
+        return score(terms)
+
+    def is_toxic(self, text: Column) -> Column:
+        """Whether a text's score is 0.5 at least, from the text in one step."""
+        weights, intercept, find = self.weights, self.intercept, Finder(self.terms)
+
+        @F.arrow_udf("boolean")
+        def toxic(texts: pa.Array) -> pa.Array:
+            return pa.array([bool(intercept + weights[find(x.as_py())].sum() >= 0) for x in texts], pa.bool_())
+
+        return toxic(text)
+
 
 def train(documents: DataFrame, labels: DataFrame) -> tuple[Classifier, DataFrame]:
-    """A classifier from all documents' votes and the rows of ``labels`` (doc_id, toxic) given, and with_terms() of all documents."""
+    """A classifier, and doc_id, terms and votes of all documents, a table to be released.
+
+    Rows of ``labels`` (doc_id, toxic) given choose the terms; how voters agree is counted over all
+    documents, and posterior labels of documents, whether labelled or not, fit the classifier.
+    """
     from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.linalg import SparseVector, VectorUDT
+    from pyspark.ml.feature import CountVectorizerModel
 
+    doc_id = F.col("doc_id").cast("long")
     toxic = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     toxic = toxic.orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED)
-    labelled = materialize(documents.select("doc_id", text_of().alias("text")).join(F.broadcast(toxic), "doc_id").select("doc_id", "text", "toxic"), "toxicity-labelled")
+    labelled = materialize(documents.select(doc_id.alias("doc_id"), text_of().alias("text")).join(F.broadcast(toxic), "doc_id").select("text", "toxic"), "toxicity-labelled")
     n = {r.toxic: r.n for r in labelled.groupBy((F.col("toxic") == 1).cast("int").alias("toxic")).agg(F.count(F.lit(1)).alias("n")).collect()}
     n_toxic, n_other = n.get(1, 0), n.get(0, 0)
     terms = choose_terms(term_counts(labelled), n_toxic, n_other) if n_toxic else Terms({}, np.full(0, -1))
-    rows = materialize(with_terms(documents, terms), "toxicity-terms")
+    release(labelled)
+    rows = materialize(documents.select(doc_id.alias("doc_id"), found_terms(text_of(), terms).alias("found")).select("doc_id", "found.*"), "toxicity-terms")
     prior = (n_toxic + 0.5) / (n_toxic + n_other + 1)
     if not terms.number or not n_other:
         return Classifier(terms, float(np.log(prior / (1 - prior))), np.zeros(len(terms.number))), rows
-    model = fit_label_model(*voting_counts(rows), prior)
-
-    def soft(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            votes = np.asarray(batch.column(0).to_numpy(zero_copy_only=False), np.int64)
-            share = model.posterior((votes[:, None] >> np.arange(2 * VOTERS) & 1).astype(float))
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(share)], ["terms", "share"])
-
-    size = len(terms.number)
-    vector = F.udf(lambda ids: SparseVector(size, ids, [1.0] * len(ids)), VectorUDT())
-    soft_rows = with_terms(labelled, terms).select("votes", "terms").mapInArrow(soft, "terms array<int>, share double")
+    n_all, together = voting_counts(rows)
+    model = fit_label_model(n_all, together, prior)
+    steps = 1 << 30
+    chosen = rows.where(F.pmod(F.xxhash64("terms", "votes"), F.lit(steps)) < int(steps * min(1.0, POSTERIORS / max(1, n_all))))
+    chosen = chosen.groupBy("terms", "votes").agg(F.count(F.lit(1)).alias("n")).withColumn("share", model.posterior(F.col("votes")))
     # a soft label is two rows that share its weight
-    both = soft_rows.select(vector("terms").alias("features"), F.explode(F.array(F.struct(F.lit(1.0).alias("label"), F.col("share").alias("weight")), F.struct(F.lit(0.0).alias("label"), (1 - F.col("share")).alias("weight")))).alias("x"))
-    fitted = LogisticRegression(regParam=1e-4, maxIter=30, standardization=False, weightCol="weight").fit(both.select("features", "x.label", "x.weight").where("weight > 0"))
+    both = F.explode(F.array(*[F.struct(F.lit(y).alias("label"), (F.col("n") * w).alias("weight")) for y, w in ((1.0, F.col("share")), (0.0, 1 - F.col("share")))]))
+    both = materialize(chosen.select(F.col("terms").cast("array<string>").alias("terms"), both.alias("x")).select("terms", "x.*").where("weight > 0"), "toxicity-posteriors")
+    numbers = CountVectorizerModel.from_vocabulary([str(k) for k in range(len(terms.number))], "terms", "features")
+    fitted = LogisticRegression(regParam=1e-4, maxIter=30, standardization=False, weightCol="weight").fit(numbers.transform(both).select("features", "label", "weight"))
+    release(both)
     return Classifier(terms, float(fitted.intercept), fitted.coefficients.toArray(), model), rows
 
 
-def score(rows: DataFrame, classifier: Classifier) -> DataFrame:
-    """doc_id and score, from with_terms()."""
-    weights, intercept = classifier.weights, classifier.intercept
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(1)
-            lengths = np.asarray(ids.value_lengths().to_numpy(zero_copy_only=False), np.int64)
-            flat = np.asarray(ids.flatten().to_numpy(zero_copy_only=False), np.int64)
-            logit = intercept + np.bincount(np.repeat(np.arange(len(lengths)), lengths), weights[flat] if len(flat) else None, len(lengths))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(logit, -500, 500))))], ["doc_id", "score"])
-
-    return rows.select("doc_id", "terms").mapInArrow(run, "doc_id long, score double")
-
-
 def is_held_out():
     return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(5)) == 0
 
 
+def given_labels(labels: DataFrame) -> DataFrame:
+    """The labels that may be learnt from."""
+    return labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").where(~is_held_out())
+
+
 def toxicity_scores(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """Per document doc_id, held_out, score and predicted; labels of held-out documents are not read.
 
@@ -239,23 +294,20 @@ def toxicity_scores(documents: DataFrame, labels: DataFrame) -> DataFrame:
     for itself; null labels and identifiers teach nothing; without toxic labels every score is the
     share of toxic labels. An empty table gives an empty result; other columns are ignored.
     """
-    given = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").where(~is_held_out())
-    classifier, rows = train(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), given)
-    scored = score(rows, classifier)
+    classifier, rows = train(documents, given_labels(labels))
+    scored = rows.select("doc_id", classifier.score(F.col("terms")).alias("score"))
     return scored.select("doc_id", is_held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def clean_documents(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``documents`` whose text is not predicted toxic, with all their columns."""
-    given = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").where(~is_held_out())
-    classifier, _ = train(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), given)
-    number, weights, intercept = classifier.terms.number, classifier.weights, classifier.intercept
-
-    @F.pandas_udf(T.BooleanType())
-    def clean(text):
-        return text.map(lambda t: bool(intercept + sum(weights[number[x]] for x in terms_of(t) if x in number) < 0))
+    """The rows of ``documents`` whose text is not predicted toxic, with all their columns, whatever their names.
 
-    return documents.where(clean(text_of()))
+    Null, empty and repeated rows and empty tables are treated as in toxicity_scores(). Terms are found
+    anew, since the other way is to write or to shuffle every text once more.
+    """
+    classifier, rows = train(documents, given_labels(labels))
+    release(rows)
+    return documents.where(~classifier.is_toxic(text_of()))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

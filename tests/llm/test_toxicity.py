@@ -2,6 +2,7 @@ import random
 from zlib import crc32
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from hydroframe.llm import toxicity
 from tests.llm.helpers import ODD_TEXTS
@@ -21,7 +22,7 @@ def corpus(n=600):
     return docs, labels
 
 
-def test_label_model_finds_rates():
+def test_label_model_finds_rates(spark):
     rng = np.random.default_rng(0)
     y = rng.random(40_000) < 0.2
     rates = np.linspace(0.3, 0.8, 16)
@@ -29,7 +30,12 @@ def test_label_model_finds_rates():
     votes[:, 1] = votes[:, 0]  # says the same as its neighbour
     model = toxicity.fit_label_model(len(y), (votes.T.astype(float) @ votes), y.mean())
     assert abs(model.toxic[2:] - rates[2:]).max() < 0.05 and (0, 1) in model.correlated and model.weight[0] == 0.5
-    assert ((model.posterior(votes.astype(float)) > 0.5) == y).mean() > 0.98
+    bits = (votes.astype(np.int64) << np.arange(16)).sum(axis=1)
+    rows = spark.createDataFrame([(int(b), bool(v)) for b, v in zip(bits[:4000], y[:4000], strict=True)], "votes long, y boolean")
+    assert rows.select(((model.posterior(F.col("votes")) > 0.5) == F.col("y")).cast("int").alias("x")).agg(F.avg("x")).first()[0] > 0.98
+    yes, no = np.log(model.toxic / model.other), np.log((1 - model.toxic) / (1 - model.other))
+    want = 1 / (1 + np.exp(-(np.log(model.prior / (1 - model.prior)) + (model.weight * np.where(votes[0], yes, no)).sum())))
+    assert abs(rows.limit(1).select(model.posterior(F.lit(int(bits[0])))).first()[0] - want) < 1e-9
 
 
 def test_held_out_accuracy_and_odd_rows(spark):
@@ -49,3 +55,25 @@ def test_without_labels_or_rows(spark):
     table, none = spark.createDataFrame(docs, "doc_id long, text string, lang string"), spark.createDataFrame([], "doc_id long, toxic int")
     assert toxicity.toxicity_scores(table, none).count() == 20
     assert toxicity.toxicity_scores(table.where("false"), none).count() == 0
+
+
+def test_most_documents_have_no_label(spark):
+    docs, labels = corpus(900)
+    table = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    few = spark.createDataFrame([x for x in labels if x[0] % 6 == 0], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r.predicted for r in toxicity.toxicity_scores(table, few).collect()}
+    rest = [k for k in got if k % 6]
+    assert np.mean([got[k] == int(k % 5 < 2) for k in rest]) > 0.95
+
+
+def test_clean_documents_keep_their_columns(spark):
+    docs, labels = corpus()
+    rows = [(k, t, k, "a") for k, t, _ in docs] + [(1, docs[1][1], 1, "a"), (None, None, 7, "b"), (3, "", 8, "b"), (70_000, "word " * 200_000, 9, "b")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, _terms int, `Votes.x` string")
+    given = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    kept = toxicity.clean_documents(table, given).collect()
+    scored = toxicity.toxicity_scores(table, given).where("predicted = 0")
+    assert toxicity.clean_documents(table, given).columns == table.columns
+    assert sorted(r.doc_id if r.doc_id is not None else -1 for r in kept) == sorted(r.doc_id if r.doc_id is not None else -1 for r in scored.collect())
+    assert {7, 8, 9} <= {r._terms for r in kept} and len(kept) < len(rows)
+    assert toxicity.clean_documents(table.where("false"), given).count() == 0
