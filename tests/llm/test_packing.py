@@ -1,3 +1,5 @@
+import json
+import random
 from collections import defaultdict
 from zlib import crc32
 
@@ -36,6 +38,23 @@ def test_ids_equal_the_tokenizer(spark):
     assert {k: sorted(v) for k, v in ids.items()} == {k: sorted(v) for k, v in want.items()}
 
 
+def test_words_equal_the_tokenizer(tmp_path):
+    rng = random.Random(1)
+    parts = ["'s", "'S", "it's", "I'LL", "a", "É", "ß", "ÿ", "_", "a_b", "x.", "x,", "x.,", "...", ". ", ",", " ", "\n", ".\n", "!", "''s", "9", "1.5", "²", "½", "ª", "µ", "×", "<|endoftext|>", "<|ENDOFTEXT|>", "<|", "\u0085", "\t", "\x1c", "\xad", "İ", "Σ", "中", "\U0001f600", "e\u0301", "Å", "K", "'re", "$$$", "bar,"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(1, 12))) for _ in range(4000)]
+    coder = packing.WordIds(packing.tokenizer_path())
+    assert coder.by_word
+    # a tokenizer that joins across blanks gets whole texts
+    other = json.loads(coder.tokenizer.to_str())
+    other["pre_tokenizer"] = other["pre_tokenizer"]["pretokenizers"][1]
+    (tmp_path / "other.json").write_text(json.dumps(other))
+    whole = packing.WordIds(str(tmp_path / "other.json"))
+    assert not whole.by_word
+    for own in (coder, whole):
+        for t, ids in zip(texts, own.ids(texts), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == own.tokenizer.encode(t, add_special_tokens=False).ids, t
+
+
 def test_cache_is_bounded(monkeypatch):
     monkeypatch.setattr(packing, "CACHED_WORDS", 50)
     coder = packing.WordIds(packing.tokenizer_path())
