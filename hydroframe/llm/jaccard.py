@@ -13,7 +13,8 @@ Skipping by answers: most sets of a list are near copies of one another. Each se
 against one leader only. What two leaders have in common bounds what their followers can have in
 common, by the triangle inequality of the Jaccard distance, so that the answer of one set settles
 that of its followers; only followers that the bound leaves open are compared themselves, and sets
-already connected never are.
+already connected never are. Nor are sets that a third one, with which both have been compared, shows
+to be too far apart.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hydroframe.llm.shared import materialize, table, text_of
+from hydroframe.llm.shared import fresh_name, materialize, portions, release, table, text_of
 
 #: Words in a shingle, least similarity in percent.
 WORDS, PERCENT = 4, 85
@@ -36,10 +37,9 @@ COMMON_TOKENS, COMMON_COUNT = 500_000, 4
 #: Of the tokens that sets of two sizes must share among their first ones, the share that is asked for:
 #: the less, the fewer places of a set are looked at, and the more pairs that don't link are compared.
 SHARED = 0.5
-#: Texts are worked on in portions of so many characters.
-PORTION = 4_000_000
-#: Bits of a set's bitmap.
-BITMAP = 512
+#: Bits of a set's bitmap, the least and the most; between them about as many as the set has tokens.
+#: More bits rule out more pairs, and change nothing else.
+BITMAPS = (512, 4096)
 
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], np.uint64)
 
@@ -85,12 +85,31 @@ def bitmap(tokens: np.ndarray) -> bytes:
     """The parity of the number of tokens for each value of their last bits.
 
     Each token that only one of two sets has changes one bit, so bitmaps differ in no more bits than
-    sets do in tokens.
+    sets do in tokens. The number of bits is a power of two; the exclusive or of a bitmap's parts is
+    the bitmap of as many bits as a part has.
     """
-    counts = np.bincount((tokens & np.uint64(BITMAP - 1)).astype(np.int64), minlength=BITMAP)
+    n = min(max(BITMAPS[0], 1 << (len(tokens) // 2).bit_length()), BITMAPS[1])
+    counts = np.bincount((tokens & np.uint64(n - 1)).astype(np.int64), minlength=n)
     return np.packbits((counts & 1).astype(np.uint8)).tobytes()
 
 
+def differing_bits(flat: np.ndarray, start: np.ndarray, words: np.ndarray, one: int, others: np.ndarray) -> np.ndarray:
+    """In how many bits the bitmaps ``others`` differ from bitmap ``one``, which is none longer than they are.
+
+    ``flat`` holds all bitmaps as words of 64 bits, ``start`` and ``words`` say where each one lies.
+    """
+    n = int(words[one])
+    own, out = flat[start[one] : start[one] + n], np.empty(len(others), np.int64)
+    lengths = words[others]
+    for m in [n] if (lengths == n).all() else np.unique(lengths).tolist():
+        at = np.nonzero(lengths == m)[0]
+        rows = flat[start[others[at], None] + np.arange(m)]
+        if m > n:
+            rows = np.bitwise_xor.reduce(rows.reshape(len(at), m // n, n), axis=1)
+        out[at] = np.bitwise_count(rows ^ own).sum(axis=1, dtype=np.int64)
+    return out
+
+
 def needed(size_a, size_b, percent: int = PERCENT):
     """The least overlap that links sets of these sizes."""
     return -(-percent * (size_a + size_b) // (100 + percent))
@@ -102,15 +121,9 @@ def prefix_length(size: int, percent: int = PERCENT) -> int:
 
 def _portions(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]:
     for batch in batches:
-        ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        at = 0
-        while at < len(texts):
-            stop, size = at, 0
-            while stop < len(texts) and (stop == at or size + len(texts[stop]) < PORTION):
-                size += len(texts[stop])
-                stop += 1
-            yield ids[at:stop], texts[at:stop]
-            at = stop
+        for at, stop in portions(batch.column(1)):
+            own = batch.slice(at, stop - at)
+            yield own.column(0).to_pylist(), own.column(1).to_pylist()
 
 
 def common_tokens(docs: DataFrame, words: int) -> np.ndarray:
@@ -267,27 +280,30 @@ def overlaps(pairs: DataFrame, sets: DataFrame, docs: DataFrame, words: int) ->
     asked = materialize(named.select(F.col("doc_a").alias("doc")).union(named.select("doc_b")).distinct(), "jaccard-asked")
     texts = materialize(docs.join(asked, "doc", "left_semi"), "jaccard-texts")
     both = named.join(text("a"), "doc_a").join(text("b"), "doc_b")
-    return both.select("a", "b", "id_a", "id_b", "text_a", "text_b").mapInArrow(run, "a long, b long, size_a long, size_b long, common long")
+    out = both.select("a", "b", "id_a", "id_b", "text_a", "text_b").mapInArrow(run, "a long, b long, size_a long, size_b long, common long")
+    out.scratch_tables = [named, asked, texts]
+    return out
 
 
 def components(edges: DataFrame, label: str) -> DataFrame:
     """Of (a, b): node and comp, the smallest node reachable. Alternates large and small stars until nothing changes."""
     now = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), f"{label}-edges")
-    before = None
     while True:
         # large star: neighbours above a node go to the smallest node around it
         both = now.union(now.select("v", "u"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(materialize(least, f"{label}-least"), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), f"{label}-least")
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = materialize(large.where("u <> v").distinct(), f"{label}-large")
         # small star: a node and its neighbours below go to the smallest of them
         low = materialize(large.groupBy("u").agg(F.min("v").alias("m")), f"{label}-low")
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-        now = materialize(small.where("u <> v").distinct(), f"{label}-small")
-        state = now.agg(F.count(F.lit(1)), F.sum(F.hash("u", "v").cast("long")), F.sum(F.hash("v", "u").cast("long"))).first()
-        if state == before:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("comp"))
-        before = state
+        before, now = now, materialize(small.where("u <> v").distinct(), f"{label}-small")
+        same = now.count() == before.count() and now.join(before, ["u", "v"], "left_anti").isEmpty()
+        release(before, least, large, low)
+        if same:
+            found = now.select(F.col("u").alias("node"), F.col("v").alias("comp"))
+            found.scratch_table = now.scratch_table
+            return found
 
 
 def shared_least(size_a, size_b, percent: int = PERCENT):
@@ -316,30 +332,37 @@ def _candidates(lists: DataFrame, percent: int) -> DataFrame:
     """Pairs of leaders of different components that share enough tokens for some of their sets to link.
 
     A list's entries come sorted by size; an entry meets those of its block and of later blocks until
-    their sizes are out of reach, if the token stands early enough in both. Each list counts once for
-    a pair of leaders, which is at least what any two of their sets share.
+    their sizes are out of reach, if the token stands early enough in both. Sets that have both been
+    compared with one set (their pivot) are no nearer to one another than their distances from it
+    differ; those of which one is the other's pivot have been compared. Each list counts once for a
+    pair of leaders, which is at least what any two of their sets that may link share.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pairs(cols):
-            token, size, place, center, comp = (c.astype(np.int64) for c in cols[:5])
-            bits = np.frombuffer(b"".join(cols[5]), np.uint64).reshape(len(token), BITMAP // 64)
+            token, size, place, center, comp, name, pivot = (c.astype(np.int64) for c in cols[:7])
+            apart = cols[7].astype(np.float64)
+            words = np.array([len(b) // 8 for b in cols[8]], np.int64)
+            flat, start = np.frombuffer(b"".join(cols[8]), np.uint64), np.cumsum(words) - words
             found = []
             begin = np.nonzero(np.concatenate([[True], token[1:] != token[:-1]]))[0]
             ends = np.append(begin[1:], len(token))
             mixed = np.minimum.reduceat(comp, begin) != np.maximum.reduceat(comp, begin)
             for n, (i, j) in enumerate(zip(begin[mixed], ends[mixed], strict=True)):
-                s, at, c, m, w = size[i:j], place[i:j], center[i:j], comp[i:j], bits[i:j]
-                reach = np.searchsorted(s * percent, s * 100, side="right")
-                for k in range(j - i - 1):
-                    t = slice(k + 1, reach[k])
-                    least, first_a, first_b = within_reach(s[k], s[t], percent)
-                    other = np.nonzero((m[t] != m[k]) & (at[k] < first_a) & (at[t] < first_b))[0]
-                    differ = np.bitwise_count(w[t][other] ^ w[k]).sum(axis=1, dtype=np.int64)
-                    other = other[differ <= s[k] + s[t][other] - 2 * needed(s[k], s[t][other], percent)]
-                    if len(other):
-                        x, least = c[t][other], least[other]
-                        found.append(np.column_stack([np.full(len(x), n), np.minimum(x, c[k]), np.maximum(x, c[k]), least]))
+                reach = i + np.searchsorted(size[i:j] * percent, size[i:j] * 100, side="right")
+                for k in range(i, j - 1):
+                    t = slice(k + 1, reach[k - i])
+                    least, first_k, first_t = within_reach(size[k], size[t], percent)
+                    other = np.nonzero((comp[t] != comp[k]) & (place[k] < first_k) & (place[t] < first_t) & (name[t] != pivot[k]) & (pivot[t] != name[k]))[0]
+                    least, other = least[other], other + k + 1
+                    open_ = (pivot[other] != pivot[k]) | (np.abs(apart[other] - apart[k]) <= 1 - percent / 100 + 1e-9)
+                    least, other = least[open_], other[open_]
+                    if not len(other):
+                        continue
+                    open_ = differing_bits(flat, start, words, k, other) <= size[k] + size[other] - 2 * needed(size[k], size[other], percent)
+                    least, x = least[open_], center[other[open_]]
+                    if len(x):
+                        found.append(np.column_stack([np.full(len(x), n), np.minimum(x, center[k]), np.maximum(x, center[k]), least]))
             if not found:
                 return [np.empty(0, np.int64)] * 4
             rows = np.concatenate(found)
@@ -354,9 +377,9 @@ def _candidates(lists: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in pairs(cols)], ["a", "b", "shared", "least"])
 
     n = int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = lists.select("token", "size", "place", "center", "comp", "bits").repartition(n, "token").sortWithinPartitions("token", "size", "center")
+    rows = lists.select("token", "size", "place", "center", "comp", "set", "pivot", "apart", "bits").repartition(n, "token").sortWithinPartitions("token", "size", "set")
     found = rows.mapInArrow(run, "a long, b long, shared long, least long").groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("least").alias("least"))
-    return found.where("shared >= least").select("a", "b")
+    return found.where("a <> b AND shared >= least").select("a", "b")
 
 
 def _distance() -> Column:
@@ -374,10 +397,11 @@ def _linked(found: DataFrame, percent: int) -> DataFrame:
 def similarity_components(documents: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """One row per row of ``documents``: doc_id, n_shingles, component_id.
 
-    Null and empty texts and texts of blanks have no shingles and stand alone. Rows that repeat have
-    the same set; rows that share a doc_id are told apart by their sets. A component is named by the
-    smallest doc_id in it, nulls apart. An empty table gives an empty result; other columns are
-    ignored.
+    Components are delivered and not links: sets that are connected already are not compared any more,
+    so that the number of a document's links stays unknown. Null and empty texts and texts of blanks
+    have no shingles and stand alone. Rows that repeat have the same set; rows that share a doc_id are
+    told apart by their sets. A component is named by the smallest doc_id in it, nulls apart. An empty
+    table gives an empty result; other columns are ignored.
     """
     spark = documents.sparkSession
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
@@ -395,18 +419,20 @@ def similarity_components(documents: DataFrame, words: int = WORDS, percent: int
     half = (-(F.floor(-percent * 2 * n / (100 + percent))) + F.floor(-percent * n / 100) + 1) / 2
     star = lists.where("set <> leader").groupBy("set", "leader", "size").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= half)
     star = star.groupBy("set").agg(F.max(F.struct("n", F.col("leader"))).alias("x")).select(F.col("x.leader").alias("a"), F.col("set").alias("b"))
-    first = materialize(overlaps(materialize(star, "jaccard-star"), names, texts, words), "jaccard-stars")
+    first = compared(star, names, texts, words, "jaccard-star")
     stars = _linked(first, percent)
-    follows = materialize(stars.select(F.col("b").alias("set"), F.col("a").alias("center"), _distance().alias("apart")).distinct(), "jaccard-follows")
+    follows = stars.select(F.col("b").alias("set"), F.col("a").alias("center"), _distance().alias("apart"))
     comps = components(stars.select("a", "b"), "jaccard-first")
     radius = materialize(follows.groupBy("center").agg(F.max("apart").alias("radius")), "jaccard-radius")
 
     # what the leaders have in common settles most of the rest
-    labels = sets.select("set", "bits").join(comps.withColumnRenamed("node", "set"), "set", "left").join(follows.select("set", "center"), "set", "left")
-    labels = materialize(labels.select("set", "bits", F.coalesce("center", "set").alias("center"), F.coalesce("comp", "set").alias("comp")), "jaccard-labels")
+    pivots = first.select(F.col("b").alias("set"), F.col("a").alias("pivot"), _distance().alias("apart"))
+    labels = sets.select("set", "bits").join(comps.withColumnRenamed("node", "set"), "set", "left").join(follows.select("set", "center"), "set", "left").join(pivots, "set", "left")
+    labels = labels.select("set", "bits", F.coalesce("center", "set").alias("center"), F.coalesce("comp", "set").alias("comp"), F.coalesce("pivot", "set").alias("pivot"), F.coalesce("apart", F.lit(0.0)).alias("apart"))
+    labels = materialize(labels, "jaccard-labels")
     labelled = materialize(lists.select("token", "set", "size", "place").join(labels, "set"), "jaccard-labelled")
-    pairs = materialize(_candidates(labelled, percent), "jaccard-leaders")
-    between = materialize(overlaps(pairs, names, texts, words), "jaccard-between")
+    release(lists, labels, comps)
+    between = compared(_candidates(labelled, percent), names, texts, words, "jaccard-between")
     reach = lambda side: radius.select(F.col("center").alias(side), F.col("radius").alias(f"r_{side}"))
     bound = between.where(~_links(percent)).join(reach("a"), "a", "left").join(reach("b"), "b", "left")
     slack = F.coalesce("r_a", F.lit(0.0)) + F.coalesce("r_b", F.lit(0.0))
@@ -417,26 +443,43 @@ def similarity_components(documents: DataFrame, words: int = WORDS, percent: int
     whole = components(edges, "jaccard-whole")
     named = materialize(sets.select("set_id", "set", "doc").join(whole.withColumnRenamed("node", "set"), "set", "left").select("set_id", "doc", F.coalesce("comp", "set").alias("comp")), "jaccard-named")
     least = materialize(named.groupBy("comp").agg(F.min("doc").alias("component_id")), "jaccard-least")
-    named = materialize(named.join(least, "comp").select("set_id", "component_id"), "jaccard-components")
-    return rows.join(named, "set_id", "left").select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    found = materialize(named.join(least, "comp").select("set_id", "component_id"), "jaccard-components")
+    narrow = materialize(rows.select("doc_id", "set_id", "size"), "jaccard-documents")
+    release(rows, sets, first, radius, labelled, between, open_, whole, named, least)
+    return narrow.join(found, "set_id", "left").select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def compared(pairs: DataFrame, names: DataFrame, texts: DataFrame, words: int, label: str) -> DataFrame:
+    """overlaps() of each pair once, written."""
+    asked = materialize(pairs, f"{label}-pairs")
+    found = overlaps(asked, names, texts, words)
+    out = materialize(found.dropDuplicates(["a", "b"]), label)
+    release(asked, *found.scratch_tables)
+    return out
 
 
 def _followers(open_: DataFrame, labelled: DataFrame, edges: DataFrame, names: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """Links between followers of leaders whose bound leaves them open, and that nothing links yet."""
-    comps = components(edges, "jaccard-second").withColumnRenamed("node", "set").withColumnRenamed("comp", "whole")
+    comps = components(edges, "jaccard-second")
     ends = materialize(open_.select(F.col("a").alias("center")).union(open_.select(F.col("b").alias("center"))).distinct(), "jaccard-ends")
-    rows = labelled.drop("comp").join(ends, "center", "left_semi").join(comps, "set", "left")
+    rows = labelled.drop("comp").join(ends, "center", "left_semi").join(comps.select(F.col("node").alias("set"), F.col("comp").alias("whole")), "set", "left")
     # here every set is its own center, and the components are those known by now
-    rows = materialize(rows.select("token", "size", "place", F.col("set").alias("center"), F.coalesce("whole", "set").alias("comp"), "bits"), "jaccard-followers")
-    pairs = materialize(_candidates(rows, percent), "jaccard-open-pairs")
-    return _linked(materialize(overlaps(pairs, names, texts, words), "jaccard-open-overlaps"), percent).select("a", "b")
+    rows = materialize(rows.select("token", "size", "place", F.col("set").alias("center"), F.coalesce("whole", "set").alias("comp"), "set", "pivot", "apart", "bits"), "jaccard-followers")
+    found = compared(_candidates(rows, percent), names, texts, words, "jaccard-open-overlaps")
+    release(comps, ends, rows)
+    return _linked(found, percent).select("a", "b")
 
 
 def one_of_each(documents: DataFrame, words: int, percent: int) -> DataFrame:
-    """The rows of ``documents`` that stay: of each component the row with the smallest doc_id, and all rows without a doc_id."""
+    """The rows of ``documents`` that stay, with all their columns, whatever their names.
+
+    Of each component the row with the smallest doc_id stays (of rows that repeat it, all), and all
+    rows without a doc_id. Null and empty texts stand alone and stay.
+    """
+    stays = fresh_name(documents, "_stays")
     found = similarity_components(documents, words, percent).where("doc_id = component_id OR doc_id IS NULL")
-    stay = found.select(F.col("doc_id").alias("_stays")).distinct()
-    return documents.join(stay, F.col("doc_id").cast("long").eqNullSafe(F.col("_stays")), "left_semi")
+    stay = found.select(F.col("doc_id").alias(stays)).distinct()
+    return documents.join(stay, F.col("doc_id").cast("long").eqNullSafe(F.col(stays)), "left_semi")
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -121,9 +121,12 @@ def test_shared_early_tokens_bound():
 
 def test_bitmaps_differ_in_no_more_bits_than_sets_in_tokens():
     rng = np.random.default_rng(5)
-    for size in (1, 30, 147, 3000):
+    for size in (1, 30, 147, 1100, 3000):
         a = np.unique(rng.integers(0, 2**63, size).astype(np.uint64))
         b = np.union1d(a[: -(size // 10) or None], rng.integers(0, 2**63, size // 20).astype(np.uint64))
-        x, y = (np.frombuffer(jaccard.bitmap(s), np.uint64) for s in (a, b))
-        assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(a, b))
-    assert len(jaccard.bitmap(np.empty(0, np.uint64))) * 8 == jaccard.BITMAP
+        c = np.union1d(a, rng.integers(0, 2**63, size).astype(np.uint64))  # with a longer bitmap, if not the longest
+        bits = [np.frombuffer(jaccard.bitmap(s), np.uint64) for s in (a, b, c)]
+        words = np.array([len(x) for x in bits])
+        got = jaccard.differing_bits(np.concatenate(bits), np.cumsum(words) - words, words, 0, np.array([1, 2]) if words[1] >= words[0] else np.array([0, 2]))
+        assert got[0] <= len(np.setxor1d(a, b)) and got[1] <= len(np.setxor1d(a, c)) and got[1] > got[0]
+    assert len(jaccard.bitmap(np.empty(0, np.uint64))) * 8 == jaccard.BITMAPS[0] and len(jaccard.bitmap(a)) > 64
