@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hydroframe.llm.shared import materialize, shared_folder, table, text_of
+from hydroframe.llm.shared import fresh_name, materialize, release, shared_folder, table, text_of
 
 #: The state store's settings while the stream starts; the session's own are put back after.
 STATE_CONF = {
@@ -25,6 +25,14 @@ STATE_CONF = {
     # else each state partition reserves megabytes for files that stay small
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
+#: Bytes of files in a micro-batch of the stream.
+MAX_BYTES = 64 << 30
+#: While hits are fetched: Bloom filters in joins whatever the size of the side that is filtered.
+HIT_CONF = {
+    "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+    "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0",
+    "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "1t",
+}
 
 
 def sha256(text: Column) -> Column:
@@ -72,7 +80,7 @@ def exact_dedup(
     id_col: str = "doc_id",
     text_col: str = "text",
     digest: Callable[[Column], Column] = sha256,
-    max_bytes_per_trigger: int = 64 << 30,
+    max_bytes_per_trigger: int = MAX_BYTES,
 ) -> DataFrame:
     """One row per row of ``documents``: doc_id, keep_id, group_size, kept, digest, file, row.
 
@@ -93,7 +101,7 @@ def exact_dedup(
 
     digests = _stream(spark, path, keyed, max_bytes_per_trigger)
     docs = keyed(spark.read.parquet(path))
-    other = materialize(_unequal(docs, digests), "dedup-unequal")
+    other = _unequal(docs, digests)
 
     narrow = docs.drop("text").join(digests, "digest")
     n_other = other.groupBy("digest").agg(F.count(F.lit(1)).alias("n_other"))
@@ -109,22 +117,44 @@ def exact_dedup(
 
 
 def _unequal(docs: DataFrame, digests: DataFrame) -> DataFrame:
-    """The rows whose bytes differ from the content at their digest's locator."""
-    hits = digests.where("group_size > 1").select("digest", F.col("top.file").alias("file"), F.col("top.row").alias("row"))
-    content = docs.select("file", "row", F.col("text").alias("kept_text")).join(hits, ["file", "row"]).select("digest", "kept_text", F.col("file").alias("kept_file"), F.col("row").alias("kept_row"))
-    return docs.join(content, "digest").where((F.col("text") != F.col("kept_text")) & ~((F.col("file") == F.col("kept_file")) & (F.col("row") == F.col("kept_row")))).drop("kept_text", "kept_file", "kept_row")
+    """The rows whose bytes differ from the content at their digest's locator.
+
+    Only rows of digests that were hit are asked for their bytes: Spark's Bloom filter of those digests
+    keeps the other texts from being shuffled, in so far as it has room for them.
+    """
+    spark = docs.sparkSession
+    hits = digests.where("group_size > 1").select("digest", F.col("top.file").alias("kept_file"), F.col("top.row").alias("kept_row"))
+    with_conf = {k: spark.conf.get(k, None) for k in HIT_CONF}
+    for k, v in HIT_CONF.items():
+        spark.conf.set(k, v)
+    try:
+        written = materialize(docs.join(hits, "digest"), "dedup-hits")
+    finally:
+        for k, v in with_conf.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    is_kept = (F.col("file") == F.col("kept_file")) & (F.col("row") == F.col("kept_row"))
+    rows, content = written.where(~is_kept).drop("kept_file", "kept_row"), written.where(is_kept).select("digest", F.col("text").alias("kept_text"))
+    found = rows.join(content, "digest").where(F.col("text") != F.col("kept_text")).drop("kept_text")
+    out = materialize(found, "dedup-unequal")
+    release(written)
+    return out
 
 
 def kept_documents(documents: DataFrame) -> DataFrame:
-    """The rows of ``documents`` that stay, with all their columns."""
+    """The rows of ``documents`` that stay, with all their columns, whatever their names.
+
+    Nulls, ties, repeated rows and empty tables are treated as in exact_dedup(), which names rows by
+    their place in files, so that rows that repeat in all columns are still told apart.
+    """
     spark = documents.sparkSession
     path = shared_folder(spark, "dedup-landing")
     documents.write.parquet(path)
-    stay = exact_dedup(documents, path).where("kept").select(F.col("file").alias("_kept_file"), F.col("row").alias("_kept_row"))
+    file, row = fresh_name(documents, "_kept_file"), fresh_name(documents, "_kept_row")
+    stay = exact_dedup(documents, path).where("kept").select(F.col("file").alias(file), F.col("row").alias(row))
     landed = spark.read.schema(documents.schema).parquet(path)
     names = [F.col(f"`{c}`") for c in documents.columns]
-    located = landed.select(*names, F.col("_metadata.file_path").alias("_kept_file"), F.col("_metadata.row_index").alias("_kept_row"))
-    return located.join(stay, ["_kept_file", "_kept_row"], "left_semi").select(*names)
+    located = landed.select(*names, F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(row))
+    return located.join(stay, [file, row], "left_semi").select(*names)
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
