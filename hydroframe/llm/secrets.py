@@ -4,8 +4,9 @@ The rules' regular expressions become one automaton over bytes by subset constru
 is minimised, and its transitions lie in one array of states by byte classes. Texts are scanned once,
 byte by byte, for all rules at the same time: the bytes of a batch are cut into lanes of equal length
 that take their steps together, and a lane whose start state was assumed wrongly is run again until
-it falls in step. A position in an accepting state names the rules that match up to there; only the
-texts and rules so named get their spans cut exactly.
+it falls in step. A position in an accepting state names the rules that match up to there. The texts
+so named get the spans of the named rules cut by an automaton of each rule that starts at a given
+byte; no regular expression is matched in any other way.
 """
 
 from __future__ import annotations
@@ -19,28 +20,31 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hydroframe.llm.shared import table, text_of
+from hydroframe.llm.shared import portions, table, text_of
 
-#: Name, pattern for the automaton, pattern for exact spans, least length of the span's group.
-#: The first three are the base rules. Counted runs over the same characters multiply the automaton's
-#: states, so that it counts no further than sets rare texts apart; the exact pattern counts in full.
+#: Name, pattern for the scan, pattern of the spans, the part before what is measured, least length of
+#: what is measured, bytes that must not stand before a span. The first three are the base rules.
+#: Counted runs over the same characters multiply the automaton's states, so that the scan counts no
+#: further than sets rare texts apart; the spans are measured in full.
+HEAD = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?"""
 RULES = [
-    ("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{6,}""", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
-    ("access", r"AKIA[A-Z0-9]{4,}", r"AKIA[A-Z0-9]+", 0, 20),
-    ("hex", r"[0-9a-f]{12,}", r"[0-9a-f]+", 0, 24),
-    ("pem", r"-----BEGIN[A-Z ]{1,}PRIVATE KEY-----", r"-----BEGIN[A-Z ]+PRIVATE KEY-----", 0, 1),
-    ("github", r"gh[pousr]_", r"gh[pousr]_[A-Za-z0-9]{20,}", 0, 1),
-    ("slack", r"xox[abprs]-", r"xox[abprs]-[A-Za-z0-9-]{10,}", 0, 1),
-    ("jwt", r"eyJ[A-Za-z0-9_-]{1,}\.eyJ", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]*", 0, 1),
+    ("assign", HEAD + r"[A-Za-z0-9+/_.=-]{6,}", HEAD + r"[A-Za-z0-9+/_.=-]+", HEAD, 6, None),
+    ("access", r"AKIA[A-Z0-9]{4,}", r"AKIA[A-Z0-9]+", None, 20, None),
+    ("hex", r"[0-9a-f]{12,}", r"[0-9a-f]+", None, 24, None),
+    ("pem", r"-----BEGIN[A-Z ]+PRIVATE KEY-----", r"-----BEGIN[A-Z ]+PRIVATE KEY-----", None, 1, None),
+    ("github", r"gh[pousr]_", r"gh[pousr]_[A-Za-z0-9]{20,}", None, 1, None),
+    ("slack", r"xox[abprs]-", r"xox[abprs]-[A-Za-z0-9-]{10,}", None, 1, None),
+    ("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]*", None, 1, r"[A-Za-z0-9_-]"),
 ]
 BASE = ("assign", "access", "hex")
-#: Rules whose letters match in either case where the pattern has them in a group.
+#: Rules whose ASCII letters match in either case where the pattern has them in a group.
 EITHER_CASE = {"assign"}
-LANES = 4096
+#: Lanes of a scan, and the bytes that are scanned at a time.
+LANES, BLOCK = 4096, 8_000_000
 
 
 class Nfa:
-    """Thompson's construction for literals, classes, groups, ``|``, ``?``, ``*`` and ``{n,}``."""
+    """Thompson's construction for literals, classes, groups, ``|``, ``?``, ``*``, ``+`` and ``{n,}``."""
 
     def __init__(self):
         self.on: list[list[tuple[frozenset[int], int]]] = []
@@ -82,6 +86,9 @@ class Nfa:
                 self.at += 1
                 self.free[b].append(a)
                 self.free[a].append(b)
+            elif mark == "+":
+                self.at += 1
+                self.free[b].append(a)
             elif mark == "{":
                 least, stop = re.match(r"\{(\d+),\}", self.text[end:]).group(1), self.text.index("}", end) + 1
                 for _ in range(int(least) - 1):
@@ -120,15 +127,16 @@ class Nfa:
         return a, b
 
 
-def subsets(rules: list[tuple]) -> tuple[list[list[int]], list[int], list[int]]:
-    """Byte classes, transitions by state and class, and the rules accepted in each state as bits; state 0 is the start.
+def subsets(rules: list[tuple[str, str]], anywhere: bool = True) -> tuple[list[list[int]], list[int], list[int]]:
+    """Transitions by state and class, the rules accepted in each state as bits, and byte classes; state 0 is the start.
 
-    The start is part of every state, so that a match may begin anywhere.
+    ``rules`` has names and patterns. With ``anywhere`` the start is part of every state, so that a
+    match may begin at any byte.
     """
     nfa = Nfa()
     start = nfa.state()
     ends = {}
-    for k, (name, pattern, *_) in enumerate(rules):
+    for k, (name, pattern) in enumerate(rules):
         a, b = nfa.add(pattern, name in EITHER_CASE)
         nfa.free[start].append(a)
         ends[b] = 1 << k
@@ -156,7 +164,7 @@ def subsets(rules: list[tuple]) -> tuple[list[list[int]], list[int], list[int]]:
         here = order[len(table_)]
         row = []
         for k in range(len(sample)):
-            to = first.union(*[t for n in here for t in step[n][k]])
+            to = (first if anywhere else frozenset()).union(*[t for n in here for t in step[n][k]])
             if to not in number:
                 number[to] = len(order)
                 order.append(to)
@@ -189,13 +197,13 @@ def minimise(table_: list[list[int]], accepts: list[int]) -> tuple[np.ndarray, n
 @lru_cache(1)
 def automaton() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Flat transitions whose states are multiplied by the number of classes, accepted rules by state, byte classes."""
-    table_, accepts, classes = subsets(RULES)
+    table_, accepts, classes = subsets([r[:2] for r in RULES])
     t, acc = minimise(table_, accepts)
     return (t * t.shape[1]).astype(np.int32).ravel(), acc, np.asarray(classes, np.int32)
 
 
-def scan(data: np.ndarray, compiled: tuple[np.ndarray, np.ndarray, np.ndarray], lanes: int = LANES) -> tuple[np.ndarray, np.ndarray]:
-    """One pass over ``data`` (bytes): the positions that end matches and the rules there as bits.
+def scan(data: np.ndarray, compiled: tuple[np.ndarray, np.ndarray, np.ndarray], lanes: int = LANES, state: int = 0) -> tuple[np.ndarray, np.ndarray, int]:
+    """One pass over ``data`` (bytes) from ``state``: the positions that end matches, the rules there as bits, and the last state.
 
     A byte that stands in no rule brings every state back to the start, so texts are parted by 0xFF.
     """
@@ -213,7 +221,7 @@ def scan(data: np.ndarray, compiled: tuple[np.ndarray, np.ndarray, np.ndarray],
         states[k] = now
     begin = np.zeros(lanes, np.int32)  # the state with which each lane has been run
     while True:
-        due = np.concatenate([np.zeros(1, np.int32), states[-1, :-1]])
+        due = np.concatenate([np.array([state], np.int32), states[-1, :-1]])
         again = np.nonzero(due != begin)[0]
         if not len(again):
             break
@@ -225,17 +233,70 @@ def scan(data: np.ndarray, compiled: tuple[np.ndarray, np.ndarray, np.ndarray],
             again, now = again[apart], now[apart]
             states[k, again] = now
             k += 1
-    hit = acc[states // width] if (acc > 0).any() else np.zeros_like(states)
+    hit = acc[states // width]
     step, lane = np.nonzero(hit)
     at = lane * steps + step
     order = np.argsort(at, kind="stable")
-    return at[order], hit[step, lane][order]
+    last = len(data) - 1
+    return at[order], hit[step, lane][order], int(states[last % steps, last // steps])
+
+
+class Cutter:
+    """The leftmost longest non-overlapping matches of a pattern, by an automaton from a given byte on."""
+
+    def __init__(self, name: str, pattern: str, apart: str | None = None):
+        table_, accepts, classes = subsets([(name, pattern)], anywhere=False)
+        rows, acc = minimise(table_, accepts)
+        self.rows, self.accepts, self.classes = rows.tolist(), [bool(x) for x in acc], classes
+        # from a dead state no byte leads out, and it accepts nothing
+        self.dead = {k for k, row in enumerate(self.rows) if not acc[k] and set(row) == {k}}
+        self.first = np.array([self.rows[0][c] not in self.dead for c in classes])
+        self.apart = np.array([bool(apart and b < 128 and re.match(apart, chr(b))) for b in range(256)])
+
+    def end(self, raw: bytes, at: int) -> int:
+        """Where the longest match from ``at`` ends, or -1."""
+        state, found, n = 0, -1, len(raw)
+        while at < n:
+            state = self.rows[state][self.classes[raw[at]]]
+            if state in self.dead:
+                break
+            at += 1
+            if self.accepts[state]:
+                found = at
+        return found
+
+    def spans(self, raw: bytes) -> list[tuple[int, int]]:
+        data, out, free = np.frombuffer(raw, np.uint8), [], 0
+        for lo in range(0, len(data), BLOCK):
+            begins = self.first[data[lo : lo + BLOCK]]
+            begins[1:] &= ~self.apart[data[lo : lo + BLOCK - 1]][: len(begins) - 1]
+            if lo and self.apart[data[lo - 1]]:
+                begins[0] = False
+            for at in (np.flatnonzero(begins) + lo).tolist():
+                if at >= free and (end := self.end(raw, at)) > at:
+                    out.append((at, end))
+                    free = end
+        return out
+
+
+@lru_cache(1)
+def cutters() -> list[tuple[Cutter, Cutter | None, int]]:
+    """Of each rule: its spans, what stands before the measured part, and that part's least length."""
+    return [(Cutter(name, spans, apart), head and Cutter(name, head), least) for name, _, spans, head, least, apart in RULES]
 
 
-def exact_spans(text: str, rule: int) -> list[tuple[int, int]]:
-    """Leftmost non-overlapping matches of a rule that are long enough, in code points."""
-    _, _, pattern, group, least = RULES[rule]
-    return [m.span() for m in re.compile(pattern).finditer(text) if len(m.group(group)) >= least]
+def cut_spans(raw: bytes, rules: int) -> list[tuple[int, int, str, int]]:
+    """Start, number and name of the rule and end of each span of the rules named by bits, in order; places in code points."""
+    found = []
+    for k, (cutter, head, least) in enumerate(cutters()):
+        if rules >> k & 1:
+            found += [(a, k, RULES[k][0], b) for a, b in cutter.spans(raw) if b - (head.end(raw, a) if head else a) >= least]
+    # bytes that begin a code point, counted from one place to the next
+    data, points, last = np.frombuffer(raw, np.uint8), {0: 0}, 0
+    for at in sorted({x for f in found for x in (f[0], f[3])}):
+        points[at] = points[last] + int(np.count_nonzero((data[last:at] & 0xC0) != 0x80))
+        last = at
+    return sorted((points[a], k, name, points[b]) for a, k, name, b in found)
 
 
 def find_secrets(documents: DataFrame) -> DataFrame:
@@ -250,30 +311,22 @@ def find_secrets(documents: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names, texts = batch.column(0), batch.column(1).cast(pa.large_string())
-            at = 0
-            while at < len(texts):
-                stop, size = at, 0
-                offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
-                while stop < len(texts) and (stop == at or offsets[stop + 1] - offsets[at] < 8_000_000):
-                    stop += 1
+            offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+            every = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+            for at, stop in portions(texts, BLOCK):
                 own = offsets[at : stop + 1] - offsets[at]
-                raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[at] : offsets[stop]]
-                data = np.insert(raw, own[1:], 0xFF)
-                found: list[list[tuple]] = [[] for _ in range(stop - at)]
-                where, rules = scan(data, compiled)
-                if len(where):
-                    doc = np.searchsorted(own[1:] + np.arange(1, len(own)), where, side="right")
-                    named = np.zeros(stop - at, np.int64)
-                    np.bitwise_or.at(named, doc, rules)
-                    for d in np.nonzero(named)[0].tolist():
-                        text, every = texts[at + d].as_py(), int(named[d])
-                        found[d] = sorted((a, k, RULES[k][0], b) for k in range(len(RULES)) if every >> k & 1 for a, b in exact_spans(text, k))
+                data = np.insert(every[offsets[at] : offsets[stop]], own[1:], 0xFF)
+                ends = own[1:] + np.arange(1, len(own))
+                named, state = np.zeros(stop - at, np.int64), 0
+                for lo in range(0, len(data), BLOCK):
+                    where, rules, state = scan(data[lo : lo + BLOCK], compiled, state=state)
+                    np.bitwise_or.at(named, np.searchsorted(ends, where + lo, side="right"), rules)
+                found = [cut_spans(every[offsets[at + d] : offsets[at + d + 1]].tobytes(), n) if n else [] for d, n in enumerate(named.tolist())]
                 flat = [x for f in found for x in f]
-                ends = np.cumsum([0, *map(len, found)])
-                kinds = [pa.array([x[0] for x in flat], pa.int64()), pa.array([x[1] for x in flat], pa.int32()), pa.array([x[2] for x in flat], pa.string()), pa.array([x[3] for x in flat], pa.int64())]
-                spans = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(kinds, ["start", "kind_no", "kind", "end"]))
+                kinds = [pa.array([x[i] for x in flat], kind) for i, kind in enumerate((pa.int64(), pa.int32(), pa.string(), pa.int64()))]
+                counts = np.cumsum([0, *map(len, found)])
+                spans = pa.ListArray.from_arrays(pa.array(counts, pa.int32()), pa.StructArray.from_arrays(kinds, ["start", "kind_no", "kind", "end"]))
                 yield pa.RecordBatch.from_arrays([names.slice(at, stop - at), spans], ["doc_id", "spans"])
-                at = stop
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     return rows.mapInArrow(run, "doc_id long, spans array<struct<start: long, kind_no: int, kind: string, end: long>>")
