@@ -15,7 +15,6 @@ def clean_numeric(value: Column) -> Column:
     return F.when(F.isnan(number) | (F.abs(number) == float("inf")), None).otherwise(number)
 
 
-
 def interval_iou(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
     """Intersection over the span from the first start to the last end; 0 for an empty span."""
     both = F.greatest(F.lit(0.0), F.least(a1, b1) - F.greatest(a0, b0))
@@ -41,9 +40,9 @@ def safe_ratio_db(top: Column, bottom: Column) -> Column:
 
 
 def weighted_quantile(rows: DataFrame, keys: list[str], value: str, weight: str, q: float, name: str) -> DataFrame:
-    """Per group the first value, in ascending order, whose cumulative weight reaches q times the total; null if that isn't positive."""
+    """Per group the first value, in ascending order, whose cumulative weight reaches q times the total; null if that isn't positive. Negative weights count as 0."""
     total = Window.partitionBy(*keys)
-    rows = rows.select(*keys, F.col(value).alias("_v"), F.col(weight).cast("double").alias("_w"))
+    rows = rows.select(*keys, F.col(value).alias("_v"), F.greatest(F.col(weight).cast("double"), F.lit(0.0)).alias("_w"))
     upto = Window.partitionBy(*keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("_c", F.sum("_w").over(upto)).withColumn("_t", F.sum("_w").over(total))
     # the running sum may fall short of the total by rounding: the last value then stands

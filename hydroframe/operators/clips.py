@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hydroframe.functions.columns import TINY, safe_ratio_db
@@ -28,11 +28,11 @@ def frame_dynamics(frame_rows: DataFrame, key: str, rms: str = "rms") -> DataFra
 
     A frame is of low activity if under a hundredth of its clip's loudest frame.
     """
-    each = frame_rows.groupBy(key).agg(F.percentile(rms, F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9))).alias("q"), F.max(rms).alias("_max"))
-    rows = frame_rows.select(key, rms).join(each.select(key, "_max"), key)
-    low = rows.groupBy(key).agg(F.avg((F.col(rms) < F.greatest(F.col("_max") * 0.01, F.lit(TINY))).cast("double")).alias("low_activity_frame_fraction"))
+    rows = frame_rows.select(key, rms, F.max(rms).over(Window.partitionBy(key)).alias("_max"))
+    low = (F.col(rms) < F.greatest(F.col("_max") * 0.01, F.lit(TINY))).cast("double")
+    each = rows.groupBy(key).agg(F.percentile(rms, F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9))).alias("q"), F.avg(low).alias("low_activity_frame_fraction"))
     q = [F.get("q", F.lit(k)) for k in range(3)]
-    return each.join(low, key).select(key, *[c.alias(f"rms_q{n}") for c, n in zip(q, (10, 50, 90), strict=True)], safe_ratio_db(q[2] * q[2], q[0] * q[0]).alias("temporal_dynamic_db"), "low_activity_frame_fraction")
+    return each.select(key, *[c.alias(f"rms_q{n}") for c, n in zip(q, (10, 50, 90), strict=True)], safe_ratio_db(q[2] * q[2], q[0] * q[0]).alias("temporal_dynamic_db"), "low_activity_frame_fraction")
 
 
 def quality_flags(flags: dict[str, float]) -> Column:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,37 +46,60 @@ def detections(intervals: DataFrame, fmax: float) -> DataFrame:
     )
 
 
-#: Adjacent windows of a recording that are suppressed in one group.
+#: Adjacent windows of a recording that are suppressed in one task.
 ADMIT_WINDOWS = 64
 
 
 def admit_boxes(boxes: DataFrame, confidence: float = 0.25, iou: float = 0.7, most: int = 300) -> DataFrame:
     """Boxes with enough confidence that no more confident box of their window overlaps by more than ``iou``, ``most`` a window.
 
-    ``ADMIT_WINDOWS`` adjacent windows of a recording share a group; each window is suppressed for itself.
-    The groups are dealt out anew, as rows that are dealt by recording would stay where they are.
+    Rows are dealt out by ``ADMIT_WINDOWS`` adjacent windows of a recording and sorted, so that each
+    window's boxes follow one another; each window is suppressed for itself.
     """
 
-    names = boxes.columns
-
-    def suppress(rows: pd.DataFrame) -> pd.DataFrame:
-        keep = []
-        for _, own in rows.sort_values(["confidence", "seq"], ascending=[False, True]).groupby("window_index", sort=False):
-            x0, x1 = (own.x - own.w / 2).to_numpy(), (own.x + own.w / 2).to_numpy()
-            y0, y1 = (own.y - own.h / 2).to_numpy(), (own.y + own.h / 2).to_numpy()
-            area, left = (x1 - x0) * (y1 - y0), np.arange(len(own))
-            stay = []
-            while len(left) and len(stay) < most:
-                k, rest = left[0], left[1:]
-                stay.append(k)
-                both = np.clip(np.minimum(x1[k], x1[rest]) - np.maximum(x0[k], x0[rest]), 0, None) * np.clip(np.minimum(y1[k], y1[rest]) - np.maximum(y0[k], y0[rest]), 0, None)
-                union = area[k] + area[rest] - both
-                left = rest[~(np.divide(both, union, out=np.zeros_like(both), where=union > 0) > iou)]
-            keep.append(own.iloc[stay])
-        return (pd.concat(keep) if keep else rows.iloc[:0])[names]
+    def stays(x0, x1, y0, y1) -> np.ndarray:
+        area, left, stay = (x1 - x0) * (y1 - y0), np.arange(len(x0)), []
+        while len(left) and len(stay) < most:
+            k, rest = left[0], left[1:]
+            stay.append(k)
+            both = np.clip(np.minimum(x1[k], x1[rest]) - np.maximum(x0[k], x0[rest]), 0, None) * np.clip(np.minimum(y1[k], y1[rest]) - np.maximum(y0[k], y0[rest]), 0, None)
+            union = area[k] + area[rest] - both
+            left = rest[~(np.divide(both, union, out=np.zeros_like(both), where=union > 0) > iou)]
+        return np.array(stay)
+
+    def suppress(rows: pa.Table) -> pa.Table:
+        x, y, w, h = (rows[c].to_numpy() for c in ("x", "y", "w", "h"))
+        sides = x - w / 2, x + w / 2, y - h / 2, y + h / 2
+        begin = _window_begins(rows)
+        keep = [i + (stays(*(c[i:j] for c in sides)) if j - i > 1 else np.zeros(1, int)) for i, j in zip(begin, np.append(begin[1:], len(x)), strict=True)]
+        return rows.take(pa.array(np.concatenate(keep)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            if len(rows):
+                last = int(_window_begins(rows)[-1])  # the next batch may go on with this window
+                if last:
+                    yield from suppress(rows.slice(0, last)).to_batches()
+                held = rows.slice(last)
+        if held is not None:
+            yield from suppress(held).to_batches()
 
     rows = boxes.where(F.col("confidence") >= confidence).withColumn("_block", F.floor(F.col("window_index") / ADMIT_WINDOWS)).repartition("recording_id", "_block")
-    return rows.groupBy("recording_id", "_block").applyInPandas(suppress, boxes.schema)
+    rows = rows.sortWithinPartitions("recording_id", "window_index", F.desc("confidence"), "seq").select(*boxes.columns)
+    return rows.mapInArrow(run, boxes.schema)
+
+
+def _window_begins(rows: pa.Table) -> np.ndarray:
+    """Where the rows of a window begin, of rows sorted by recording and window."""
+    names, windows = (rows[c].to_numpy() for c in ("recording_id", "window_index"))
+    return np.flatnonzero(np.concatenate([[True], (names[1:] != names[:-1]) | (windows[1:] != windows[:-1])]))
+
+
+def windows_with_boxes(windows: DataFrame, boxes: DataFrame) -> DataFrame:
+    """Each box with the columns of its window; windows without boxes and boxes without a window are left out."""
+    return boxes.join(windows, ["recording_id", "window_index"])
 
 
 def association_pairs(rows: DataFrame, bucket_s: float, merge: dict[str, float] = MERGE) -> DataFrame:
@@ -103,65 +129,105 @@ def islands(rows: DataFrame, gap_s: float) -> DataFrame:
     return rows.withColumn("island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
 
 
-def assign_clusters(rows: DataFrame, merge: dict[str, float] = MERGE, islands_per_task: int = 512) -> DataFrame:
-    """Adds cluster: each detection, in order of start and falling confidence, joins the best cluster so far or opens one.
+class Cluster:
+    """Detections taken for one event so far: bounds, windows, and members by frequency for the weighted medians."""
+
+    def __init__(self, number: int):
+        self.number, self.start, self.end, self.confidence, self.raw_count = number, float("inf"), float("-inf"), 0.0, 0
+        self.windows: set[int] = set()
+        self.low: list[tuple[float, float]] = []
+        self.high: list[tuple[float, float]] = []
+
+    def add(self, start, end, fmin, fmax, confidence, windows, raw_count) -> None:
+        self.start, self.end, self.confidence = min(self.start, start), max(self.end, end), max(self.confidence, confidence)
+        self.windows |= windows
+        self.raw_count += raw_count
+        weight = max(1e-6, confidence)
+        insort(self.low, (fmin, weight))
+        insort(self.high, (fmax, weight))
+        self.fmin, self.fmax = weighted_median(self.low), weighted_median(self.high)
+
+
+def weighted_median(members: list[tuple[float, float]]) -> float:
+    """Of sorted (value, weight): the first value at which half of all weight is reached."""
+    upto = list(accumulate(w for _, w in members))
+    return members[bisect_left(upto, upto[-1] / 2)][0]
+
+
+def affinity(c: Cluster, start: float, end: float, fmin: float, fmax: float, merge: dict[str, float]) -> float | None:
+    """How well a detection fits a cluster, or nothing if they may not be one event."""
+    shared_f = min(fmax, c.fmax) - max(fmin, c.fmin)
+    f_iou = shared_f / (max(fmax, c.fmax) - min(fmin, c.fmin)) if shared_f > 0 else 0.0
+    if f_iou < merge["frequency_iou"]:
+        return None
+    shared, gap = max(0.0, min(end, c.end) - max(start, c.start)), max(0.0, max(start, c.start) - min(end, c.end))
+    span, short = max(end, c.end) - min(start, c.start), min(end - start, c.end - c.start)
+    iou, overlap = shared / span if span > 0 else 0.0, shared / short if short > 0 else 0.0
+    if iou < merge["time_iou"] and overlap < merge["overlap"] and gap > merge["gap_s"]:
+        return None
+    return 2 * iou + overlap + f_iou - gap
+
+
+def grow_clusters(detections: list[tuple], merge: dict[str, float]) -> list[Cluster]:
+    """Each detection, in the order given, joins the best of the clusters that hold none of its windows, of equals the last, or opens one.
+
+    Detections come by start; a cluster that ends further before than the gap is done with.
+    """
+    done: list[Cluster] = []
+    live: list[Cluster] = []
+    opened = 0
+    for start, end, fmin, fmax, confidence, windows, raw_count in detections:
+        done += [c for c in live if c.end < start - merge["gap_s"]]
+        live = [c for c in live if c.end >= start - merge["gap_s"]]
+        best, most = None, float("-inf")
+        for c in live:
+            fit = affinity(c, start, end, fmin, fmax, merge) if c.windows.isdisjoint(windows) else None
+            if fit is not None and fit >= most:
+                best, most = c, fit
+        if best is None:
+            best = Cluster(opened)
+            opened += 1
+            live.append(best)
+        best.add(start, end, fmin, fmax, confidence, windows, raw_count)
+    return done + live
+
+
+EVENTS = "start_s double, end_s double, fmin_hz double, fmax_hz double, confidence double, windows array<int>, raw_count long"
+
+
+def merge_events(rows: DataFrame, merge: dict[str, float] = MERGE, islands_per_task: int = 512) -> DataFrame:
+    """Events of each recording: bounds, best confidence, contributing windows, raw count and event_id.
 
     A detection reaches no cluster beyond a gap, so recordings are cut into islands; islands of one
-    detection pass by, the others are worked on many at a time. The cut needs a gap of 0 at least and
-    positive overlap thresholds.
+    detection are events as they are, the others are worked on many at a time, each in memory for
+    itself. The cut needs a gap of 0 at least and positive overlap thresholds.
     """
     if merge["gap_s"] < 0 or merge["time_iou"] <= 0 or merge["overlap"] <= 0:
         raise ValueError("islands need a gap of 0 at least and positive overlap thresholds")
-    rows = islands(rows, merge["gap_s"])
-    sizes = Window.partitionBy("recording_id", "island")
-    rows = rows.withColumn("_n", F.count(F.lit(1)).over(sizes))
-
-    def greedy(own: pd.DataFrame) -> pd.DataFrame:
-        own = own.sort_values(["island", "start_s", "confidence", "seq"], ascending=[True, True, False, True], kind="stable").reset_index(drop=True)
-        cluster = np.zeros(len(own), np.int64)
-        for _, part in own.groupby("island", sort=False):
-            opened: list[list[int]] = []
-            for i in part.index:
-                best = max(((s, k) for k, members in enumerate(opened) if (s := _score(own, i, members, merge)) is not None), default=None)
-                if best is None:
-                    opened.append([i])
-                else:
-                    opened[best[1]].append(i)
-            for k, members in enumerate(opened):
-                cluster[members] = k
-        return own.assign(cluster=cluster)
-
-    several = rows.where("_n > 1").drop("_n")
-    schema = several.withColumn("cluster", F.lit(0).cast("long")).drop("_group").schema
-    grouped = several.withColumn("_group", F.floor(F.col("island") / islands_per_task))
-    greedy_rows = grouped.groupBy("recording_id", "_group").applyInPandas(lambda own: greedy(own.drop(columns="_group")), schema)
-    return rows.where("_n = 1").drop("_n").withColumn("cluster", F.lit(0).cast("long")).unionByName(greedy_rows)
-
-
-def _score(own: pd.DataFrame, i: int, members: list[int], merge: dict[str, float]) -> float | None:
-    windows = {w for m in members for w in own.windows[m]}
-    if windows & set(own.windows[i]):
-        return None
-    start, end = own.start_s[members].min(), own.end_s[members].max()
-    weights = np.maximum(1e-6, own.confidence[members].to_numpy())
-    fmin, fmax = (_weighted_median(own[c][members].to_numpy(), weights) for c in ("fmin_hz", "fmax_hz"))
-    both = max(0.0, min(own.end_s[i], end) - max(own.start_s[i], start))
-    span, short = max(own.end_s[i], end) - min(own.start_s[i], start), min(max(0.0, own.end_s[i] - own.start_s[i]), max(0.0, end - start))
-    iou, overlap = both / span if span > 0 else 0.0, both / short if short > 0 else 0.0
-    f_both, f_span = max(0.0, min(own.fmax_hz[i], fmax) - max(own.fmin_hz[i], fmin)), max(own.fmax_hz[i], fmax) - min(own.fmin_hz[i], fmin)
-    f_iou, gap = f_both / f_span if f_span > 0 else 0.0, max(0.0, max(start, own.start_s[i]) - min(end, own.end_s[i]))
-    near = iou >= merge["time_iou"] or overlap >= merge["overlap"] or gap <= merge["gap_s"]
-    return 2 * iou + overlap + f_iou - gap if near and f_iou >= merge["frequency_iou"] else None
-
-
-def _weighted_median(values: np.ndarray, weights: np.ndarray) -> float:
-    order = np.argsort(values, kind="stable")
-    sums = np.cumsum(weights[order])
-    return float(values[order][np.searchsorted(sums, weights.sum() / 2)])
+    names = [x.split()[0] for x in EVENTS.split(", ")]
+
+    def events_of(own: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values(["island", "start_s", "confidence", "seq"], ascending=[True, True, False, True], kind="stable")
+        island, out = own.island.to_numpy(), []
+        found = list(zip(*(own[c].tolist() for c in names[:5]), [set(w) for w in own.windows], own.raw_count.tolist(), strict=True))
+        cuts = [0, *(np.flatnonzero(np.diff(island)) + 1).tolist(), len(own)]
+        for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+            out += [(int(island[i]), c.number, c.start, c.end, c.fmin, c.fmax, c.confidence, sorted(c.windows), c.raw_count) for c in grow_clusters(found[i:j], merge)]
+        table = pd.DataFrame(out, columns=["island", "cluster", *names])
+        table.insert(0, "recording_id", own.recording_id.iloc[0])
+        return table
+
+    placed = islands(rows, merge["gap_s"]).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("recording_id", "island")))
+    alone = placed.where("_n = 1").select(
+        "recording_id", "island", F.lit(0).cast("long").alias("cluster"), *names[:5], F.array_sort(F.array_distinct("windows")).alias("windows"), F.col("raw_count").cast("long").alias("raw_count")
+    )
+    several = placed.where("_n > 1").drop("_n").withColumn("_group", F.floor(F.col("island") / islands_per_task))
+    merged = several.groupBy("recording_id", "_group").applyInPandas(events_of, f"recording_id {dict(rows.dtypes)['recording_id']}, island long, cluster long, {EVENTS}")
+    return number_events(alone.unionByName(merged)).drop("island", "cluster")
 
 
 def event_bounds(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Per event the least start, greatest end and the medians of its frequencies weighted by confidence."""
+    """Of detections that are assigned to events already: least start, greatest end, and medians of the frequencies weighted by confidence."""
     rows = rows.withColumn("_weight", F.greatest(F.lit(1e-6), F.col("confidence")))
     out = rows.groupBy(*keys).agg(F.min("start_s").alias("start_s"), F.max("end_s").alias("end_s"))
     for name in ("fmin_hz", "fmax_hz"):
@@ -169,14 +235,6 @@ def event_bounds(rows: DataFrame, keys: list[str]) -> DataFrame:
     return out
 
 
-def merge_events(rows: DataFrame, merge: dict[str, float] = MERGE) -> DataFrame:
-    """Events of each recording: bounds, best confidence, contributing windows, raw count and event_id."""
-    keys = ["recording_id", "island", "cluster"]
-    placed = assign_clusters(rows, merge)
-    more = placed.groupBy(*keys).agg(F.max("confidence").alias("confidence"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("windows")))).alias("windows"), F.sum("raw_count").alias("raw_count"))
-    return number_events(event_bounds(placed, keys).join(more, keys)).drop("island", "cluster")
-
-
 def number_events(events: DataFrame) -> DataFrame:
     """W0001 and so on by start; ties keep the order in which clusters were opened."""
     order = Window.partitionBy("recording_id").orderBy("start_s", "island", "cluster")

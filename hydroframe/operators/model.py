@@ -17,12 +17,18 @@ def encode(aggregates: DataFrame, key: str, encoder: DataFrame) -> DataFrame:
     ``aggregates``: key, name, value; ``encoder``: pos, name, median, mean, sd. An aggregate that the
     encoder names and a bag lacks counts as missing.
     """
-    bags = aggregates.select(key).distinct()
-    wanted = bags.crossJoin(F.broadcast(encoder))  # the encoder has one row for each of the model's inputs
-    rows = wanted.join(aggregates.select(key, "name", clean_numeric(F.col("value")).alias("value")), [key, "name"], "left")
-    z = (F.coalesce("value", "median") - F.col("mean")) / F.col("sd")
-    both = F.array(F.struct(F.lit(0).alias("k"), F.col("name").alias("n"), z.alias("v")), F.struct(F.lit(1).alias("k"), F.concat("name", F.lit("__missing")).alias("n"), F.col("value").isNull().cast("double").alias("v")))
-    return rows.select(key, "pos", F.explode(both).alias("x")).select(key, (2 * F.col("pos") + F.col("x.k")).alias("pos"), F.col("x.n").alias("name"), F.col("x.v").alias("value"))
+    bags = aggregates.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("name", clean_numeric(F.col("value")).alias("value")))).alias("bag"))
+    inputs = encoder.agg(F.sort_array(F.collect_list(F.struct("pos", "name", "median", "mean", "sd"))).alias("inputs"))  # one row
+
+    def pair(e):
+        value = F.try_element_at(F.col("bag"), e["name"])
+        z = (F.coalesce(value, e["median"]) - e["mean"]) / e["sd"]
+        return F.array(
+            F.struct((2 * e["pos"]).alias("pos"), e["name"].alias("name"), z.alias("value")),
+            F.struct((2 * e["pos"] + 1).alias("pos"), F.concat(e["name"], F.lit("__missing")).alias("name"), value.isNull().cast("double").alias("value")),
+        )
+
+    return bags.crossJoin(inputs).select(key, F.explode(F.flatten(F.transform("inputs", pair))).alias("x")).select(key, "x.*")
 
 
 def linear_heads(encoded: DataFrame, key: str, heads: DataFrame) -> DataFrame:
@@ -31,7 +37,7 @@ def linear_heads(encoded: DataFrame, key: str, heads: DataFrame) -> DataFrame:
     ``heads``: label_idx, label, pos, coef, intercept; four rows for each encoded position.
     """
     logit = F.sum(F.col("coef") * F.col("value")) + F.first("intercept")
-    return encoded.join(F.broadcast(heads), "pos").groupBy(key, "label_idx", "label").agg(stable_sigmoid(logit).alias("score"))
+    return encoded.join(heads, "pos").groupBy(key, "label_idx", "label").agg(stable_sigmoid(logit).alias("score"))
 
 
 def rank_labels(scores: DataFrame, key: str) -> DataFrame:

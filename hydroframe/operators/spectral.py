@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hydroframe.functions.columns import TINY, weighted_quantile
+from hydroframe.functions.columns import TINY
 
 
 def hann(n: int) -> np.ndarray:
@@ -89,14 +90,15 @@ def clip_cells(frames: DataFrame, key: str, bin_hz: float, audit: dict) -> DataF
     held for itself. Clips without a component have one row with component 0.
     """
 
-    def one(name, own: list) -> pd.DataFrame:
-        power = power_spectrum(np.stack(own))
-        freqs = np.arange(power.shape[1]) * bin_hz
-        band = (freqs >= audit["core_tonal_lower_hz"]) & (freqs <= min(audit["core_tonal_upper_hz"], freqs[-1]))
-        salience = tonal_salience(power, bin_hz, audit)[:, band]
-        return cells_of(name, salience, freqs[band], audit["tonal_salience_threshold_db"])
+    return _by_clip(frames, key, lambda name, own: cells_of(name, *tonal_band(own, bin_hz, audit), audit["tonal_salience_threshold_db"]))
 
-    return _by_clip(frames, key, one)
+
+def tonal_band(frames: list, bin_hz: float, audit: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Salience of a clip's frames and frequencies of its bins, within the tonal band."""
+    power = power_spectrum(np.stack(frames))
+    freqs = np.arange(power.shape[1]) * bin_hz
+    band = (freqs >= audit["core_tonal_lower_hz"]) & (freqs <= min(audit["core_tonal_upper_hz"], freqs[-1]))
+    return tonal_salience(power, bin_hz, audit)[:, band], freqs[band]
 
 
 def cells_of(name, salience: np.ndarray, freqs: np.ndarray, threshold: float) -> pd.DataFrame:
@@ -108,7 +110,10 @@ def cells_of(name, salience: np.ndarray, freqs: np.ndarray, threshold: float) ->
     return pd.DataFrame({"clip": name, "component": labels[f, b], "frame_idx": f, "freq_hz": freqs[b], "v": salience[f, b], "n_frames": len(salience), "n_components": n})
 
 
-def _by_clip(frames: DataFrame, key: str, one) -> DataFrame:
+CELLS = "component int, frame_idx long, freq_hz double, v double, n_frames long, n_components long"
+
+
+def _by_clip(frames: DataFrame, key: str, one, columns: str = CELLS) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         name, own = None, []
         for batch in batches:
@@ -123,41 +128,61 @@ def _by_clip(frames: DataFrame, key: str, one) -> DataFrame:
 
     kind = dict(frames.dtypes)[key]
     rows = frames.select(key, "frame_idx", "samples").repartition(key).sortWithinPartitions(key, "frame_idx").select(key, "samples")
-    return rows.mapInPandas(run, f"clip {kind}, component int, frame_idx long, freq_hz double, v double, n_frames long, n_components long").withColumnRenamed("clip", key)
+    return rows.mapInPandas(run, f"clip {kind}, {columns}").withColumnRenamed("clip", key)
+
 
+@dataclass(frozen=True)
+class Tonal:
+    """What the summary of a clip's components depends on: seconds a frame, upper limit of the band, least duration."""
 
-def grid_components(grid: DataFrame, key: str, threshold: float) -> DataFrame:
-    """The cells of components of ready-made grids: ``grid`` has key, frame_idx and samples, a row of the grid; freq_hz is the bin."""
-    return _by_clip(grid, key, lambda name, own: cells_of(name, np.stack(own), np.arange(len(own[0]), dtype=float), threshold))
+    hop_s: float
+    upper_hz: float
+    least_duration_s: float
 
 
-def component_summary(cells: DataFrame, key: str, hop_s: float, upper_hz: float, least_duration_s: float) -> DataFrame:
-    """The best component of each clip: the one with the largest score, of equals the first.
+SUMMARY = """found boolean, candidate_count long, frame_fraction double, duration_seconds double, pixel_count long, score double, median_salience double, peak_salience double,
+frequency_q05 double, frequency_q50 double, frequency_q95 double, frequency_q99 double, bandwidth_q90 double, frequency_max double"""
+
+
+def summary_of(name, salience: np.ndarray, freqs: np.ndarray, threshold: float, tonal: Tonal) -> pd.DataFrame:
+    """One row: the best component of a clip's grid, the one with the largest score, of equals the first.
 
     Components with too few distinct frames don't count. A clip without one has frame fraction and
     duration 0 and nulls for the rest, and still the number of its components.
     """
-    least = max(2, math.ceil(least_duration_s / hop_s))
-    real = cells.where("component > 0")
-    c = F.col
-    each = real.groupBy(key, "component").agg(
-        F.count_distinct("frame_idx").alias("frames"), F.count(F.lit(1)).alias("pixels"), F.percentile("freq_hz", F.lit(0.5)).alias("mid"), F.sum(F.greatest("v", F.lit(0.0))).alias("mass"),
-        F.percentile("v", F.lit(0.5)).alias("median_salience"), F.max("v").alias("peak_salience"), F.max("freq_hz").alias("frequency_max"),
-    )
-    each = each.where(c("frames") >= least)
-    score = c("mass") * F.sqrt("frames") / F.sqrt(F.greatest(c("pixels") / c("frames"), F.lit(1.0))) / (1 + 0.15 * c("mid") / max(upper_hz, 1.0))
-    best = each.withColumn("score", score).withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "component"))).where("_r = 1").drop("_r")
-    own = real.join(best.select(key, "component"), [key, "component"]).withColumn("weight", F.greatest("v", F.lit(2.220446049250313e-16)))
-    for name, q in (("q05", 0.05), ("q50", 0.5), ("q95", 0.95), ("q99", 0.99)):
-        best = best.join(weighted_quantile(own, [key], "freq_hz", "weight", q, f"frequency_{name}"), key)
-    clips = cells.groupBy(key).agg(F.max("n_frames").alias("n_frames"), F.max("n_components").alias("candidate_count"))
-    rows = clips.join(best, key, "left")
-    zero = lambda x: F.coalesce(x, F.lit(0.0))
-    return rows.select(
-        key, c("frames").isNotNull().alias("found"), "candidate_count", zero(c("frames") / c("n_frames")).alias("frame_fraction"), zero(c("frames") * hop_s).alias("duration_seconds"),
-        F.coalesce("pixels", F.lit(0)).alias("pixel_count"), "score", "median_salience", "peak_salience", "frequency_q05", "frequency_q50", "frequency_q95", "frequency_q99",
-        (c("frequency_q95") - c("frequency_q05")).alias("bandwidth_q90"), "frequency_max",
-    )
+    names = [x.split()[0] for x in SUMMARY.replace("\n", " ").split(", ")]
+    labels = label_components(salience >= threshold)
+    row, column = np.nonzero(labels)
+    own, v, freq = labels[row, column], salience[row, column], freqs[column]
+    least = max(2, math.ceil(tonal.least_duration_s / tonal.hop_s))
+    best, most = None, -np.inf
+    n = int(own.max()) if len(own) else 0
+    order = np.argsort(own, kind="stable")
+    for cells in np.split(order, np.flatnonzero(np.diff(own[order])) + 1) if n else []:
+        frames = len(np.unique(row[cells]))
+        if frames >= least:
+            compact = math.sqrt(frames) / math.sqrt(max(len(cells) / frames, 1.0))
+            score = np.maximum(v[cells], 0).sum() * compact / (1 + 0.15 * np.median(freq[cells]) / max(tonal.upper_hz, 1.0))
+            if score > most:
+                best, most, best_frames = cells, score, frames
+    values = [False, n, 0.0, 0.0, 0, *[None] * 9]
+    if best is not None:
+        f, w = freq[best], np.maximum(v[best], np.finfo(float).eps)
+        by_freq = np.argsort(f, kind="stable")
+        upto = np.cumsum(w[by_freq])
+        q = [float(f[by_freq][min(np.searchsorted(upto, x * upto[-1]), len(f) - 1)]) for x in (0.05, 0.5, 0.95, 0.99)]
+        values = [True, n, best_frames / len(salience), best_frames * tonal.hop_s, len(best), most, np.median(v[best]), v[best].max(), *q, q[2] - q[0], f.max()]
+    return pd.DataFrame([[name, *values]], columns=["clip", *names])
+
+
+def grid_summary(grid: DataFrame, key: str, threshold: float, tonal: Tonal) -> DataFrame:
+    """summary_of each clip of ready-made grids: ``grid`` has key, frame_idx and samples, a row of the grid; the frequency is the bin."""
+    return _by_clip(grid, key, lambda name, own: summary_of(name, np.stack(own).astype(float), np.arange(len(own[0]), dtype=float), threshold, tonal), SUMMARY)
+
+
+def clip_summary(frames: DataFrame, key: str, bin_hz: float, audit: dict, tonal: Tonal) -> DataFrame:
+    """summary_of each clip, from its frames to spectrum, salience and components in one step."""
+    return _by_clip(frames, key, lambda name, own: summary_of(name, *tonal_band(own, bin_hz, audit), audit["tonal_salience_threshold_db"], tonal), SUMMARY)
 
 
 def moving_average(cells: DataFrame, keys: list[str], position: str, value: str, width: int, name: str) -> DataFrame:

@@ -15,6 +15,8 @@ from hydroframe.operators import bags, clips, events, frames, model, quality, sp
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+#: Frames of a clip at most.
+MOST_FRAMES = 512
 #: The clip features that lineitem's columns stand for.
 CLIP_FEATURES = ["quantity", "price", "discount", "tax"]
 NAMES = [f"{f}__{s}" for f in CLIP_FEATURES for s in [*bags.STATISTICS, "missing_fraction"]]
@@ -200,14 +202,14 @@ def _waves(spark, sf):
 
 
 _TOTALS = f"SELECT user_id, max(pos) + 1 AS n, CAST(1 + floor((max(pos) + 1 - 16) / 8) AS BIGINT) AS a FROM ({_SAMPLES}) GROUP BY user_id"
-_STARTS = f"""SELECT user_id, unnest(CASE WHEN n < 16 THEN [0::BIGINT] WHEN a <= 5 THEN [i * 8 FOR i IN range(0, a)]
- ELSE list_sort(list_distinct([CASE WHEN i = 4 THEN n - 16 ELSE CAST(floor(i * ((n - 16)::DOUBLE / 4)) AS BIGINT) END FOR i IN range(0, 5)])) END) AS first_sample FROM ({_TOTALS})"""
+_STARTS = f"""SELECT user_id, unnest(CASE WHEN n < 16 THEN [0::BIGINT] WHEN a <= {MOST_FRAMES} THEN [i * 8 FOR i IN range(0, a)]
+ ELSE list_sort(list_distinct([CASE WHEN i = {MOST_FRAMES - 1} THEN n - 16 ELSE CAST(floor(i * ((n - 16)::DOUBLE / {MOST_FRAMES - 1})) AS BIGINT) END FOR i IN range(0, {MOST_FRAMES})])) END) AS first_sample FROM ({_TOTALS})"""
 
 
 @query("g1_frame_starts", _STARTS)
 def _(spark, sf):
     n = _samples(spark, sf).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
-    return n.select("user_id", F.explode(frames.frame_starts(F.col("n"), 16, 8, 5)).alias("first_sample"))
+    return n.select("user_id", F.explode(frames.frame_starts(F.col("n"), 16, 8, MOST_FRAMES)).alias("first_sample"))
 
 
 @query("g2_sliding_windows", f"SELECT user_id, unnest(CASE WHEN n <= 30 THEN [0::BIGINT] ELSE list_sort(list_distinct(list_concat(range(0, n - 30 + 1, 10), [n - 30]))) END) AS start_sample FROM ({_TOTALS})")
@@ -221,7 +223,7 @@ _FRAMES = f"""SELECT s.user_id, s.first_sample, i, coalesce(w.x, 0) AS x FROM ({
 
 def _frames(spark, sf):
     waves = _waves(spark, sf).select("user_id", frames.pcm_to_float(F.col("samples")).alias("samples"))
-    return frames.frames(waves, "user_id", "samples", 16, 8, 5)
+    return frames.frames(waves, "user_id", "samples", 16, 8, MOST_FRAMES)
 
 
 @query("g3_frame_samples", f"SELECT user_id, first_sample, round(sum(x / 32768.0), 6) AS total, round(max(x / 32768.0), 6) AS peak, count(*) AS n FROM ({_FRAMES}) GROUP BY ALL")
@@ -259,13 +261,13 @@ def _(spark, sf):
 
 
 _PAD = f"""SELECT e.event_id, e.user_id, t.n, CAST(greatest(0, floor(greatest(0.0, e.p - 2.5) * 1.0)) AS BIGINT) AS first_sample, CAST(least(t.n, ceil(least(t.n::DOUBLE, e.p + 1 + 2.5))) AS BIGINT) AS stop_sample
-FROM (SELECT event_id, user_id, value, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1)::DOUBLE AS p FROM events) e JOIN ({_TOTALS}) t USING (user_id) WHERE e.value > 60"""
+FROM (SELECT event_id, user_id, value, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1)::DOUBLE AS p FROM events) e JOIN ({_TOTALS}) t USING (user_id)"""
 
 
 def _padded(spark, sf):
     order = Window.partitionBy("user_id").orderBy("ts", "event_id")
     rows = _read(spark, sf, "events").select("event_id", "user_id", "value", (F.row_number().over(order) - 1).cast("double").alias("start_s"), F.count(F.lit(1)).over(Window.partitionBy("user_id")).alias("sample_count"))
-    rows = rows.where("value > 60").withColumn("end_s", F.col("start_s") + 1).withColumn("duration_seconds", F.col("sample_count").cast("double")).withColumn("sample_rate_hz", F.lit(1))
+    rows = rows.withColumn("end_s", F.col("start_s") + 1).withColumn("duration_seconds", F.col("sample_count").cast("double")).withColumn("sample_rate_hz", F.lit(1))
     return frames.pad_and_clip(rows, 2.5)
 
 
@@ -346,10 +348,10 @@ def _(spark, sf):
     return weighted_quantile(rows, ["recording_id"], "fmin_hz", "weight", 0.5, "fmin_median")
 
 
-@query("e13_clip_names", f"SELECT seq, 'R' || lpad(CAST(dense_rank() OVER (ORDER BY recording_id) AS VARCHAR), 4, '0') || '_W' || lpad(CAST(row_number() OVER (PARTITION BY recording_id ORDER BY seq) AS VARCHAR), 4, '0') AS clip FROM ({_DET})")
+@query("e13_clip_names", f"SELECT seq, 'R' || lpad(CAST(dense_rank() OVER (PARTITION BY recording_id // 100 ORDER BY recording_id) AS VARCHAR), 4, '0') || '_W' || lpad(CAST(row_number() OVER (PARTITION BY recording_id ORDER BY seq) AS VARCHAR), 4, '0') AS clip FROM ({_DET})")
 def _(spark, sf):
     rows = _detections(spark, sf)
-    recordings = frames.source_index(rows.select("recording_id").distinct().withColumn("all", F.lit(1)).withColumn("path", F.lpad(F.col("recording_id").cast("string"), 20, "0")), "all", "path")
+    recordings = frames.source_index(rows.select("recording_id").distinct().withColumn("encounter_id", F.floor(F.col("recording_id") / 100)).withColumn("path", F.lpad(F.col("recording_id").cast("string"), 20, "0")), "encounter_id", "path")
     named = rows.withColumn("event_id", F.format_string("W%04d", F.row_number().over(Window.partitionBy("recording_id").orderBy("seq"))))
     return named.join(recordings, "recording_id").select("seq", frames.clip_name(F.col("source_index"), F.col("event_id")).alias("clip"))
 
@@ -365,7 +367,7 @@ def _boxes(spark, sf):
     )
 
 
-_BOX = """SELECT user_id AS recording_id, event_id AS seq, total, pos // 10 * 10 AS s, least(10, total - pos // 10 * 10) AS valid, k / 100.0::DOUBLE AS x, (k * 7 % 100) / 100.0::DOUBLE AS y, 0.05::DOUBLE + (k % 10) / 20.0::DOUBLE AS w, 0.1::DOUBLE + (k % 5) / 10.0::DOUBLE AS h
+_BOX = """SELECT user_id AS recording_id, event_id AS seq, k, total, pos // 10 * 10 AS s, least(10, total - pos // 10 * 10) AS valid, k / 100.0::DOUBLE AS x, (k * 7 % 100) / 100.0::DOUBLE AS y, 0.05::DOUBLE + (k % 10) / 20.0::DOUBLE AS w, 0.1::DOUBLE + (k % 5) / 10.0::DOUBLE AS h
 FROM (SELECT *, CAST(props->>'k' AS INTEGER) AS k, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos, count(*) OVER (PARTITION BY user_id) AS total FROM events)"""
 
 
@@ -375,14 +377,31 @@ def _(spark, sf):
     return events.boxes_to_intervals(_boxes(spark, sf)).select("recording_id", "seq", "event_start", "event_end", _r("fmin_hz", 4).alias("fmin_hz"), _r("fmax_hz", 4).alias("fmax_hz"))
 
 
-@query("e2_detections")
+_ADMITTED = f"""WITH RECURSIVE b AS (SELECT *, x - w / 2 AS x0, x + w / 2 AS x1, y - h / 2 AS y0, y + h / 2 AS y1, row_number() OVER (PARTITION BY recording_id, s ORDER BY confidence DESC, seq) AS r
+ FROM (SELECT *, 0.2::DOUBLE + (k % 50) / 70.0::DOUBLE AS confidence FROM ({_BOX})) WHERE confidence >= 0.25),
+g AS (SELECT recording_id, s, 0::BIGINT AS r, [{{'seq': 0::BIGINT, 'x0': 9.0::DOUBLE, 'x1': 9.0::DOUBLE, 'y0': 9.0::DOUBLE, 'y1': 9.0::DOUBLE}}] AS kept FROM b WHERE r = 1
+ UNION ALL SELECT g.recording_id, g.s, b.r, CASE WHEN len(list_filter(g.kept, lambda q: greatest(0, least(q.x1, b.x1) - greatest(q.x0, b.x0)) * greatest(0, least(q.y1, b.y1) - greatest(q.y0, b.y0))
+  > 0.7 * ((q.x1 - q.x0) * (q.y1 - q.y0) + (b.x1 - b.x0) * (b.y1 - b.y0) - greatest(0, least(q.x1, b.x1) - greatest(q.x0, b.x0)) * greatest(0, least(q.y1, b.y1) - greatest(q.y0, b.y0))))) > 0
+  THEN g.kept ELSE list_append(g.kept, {{'seq': b.seq, 'x0': b.x0, 'x1': b.x1, 'y0': b.y0, 'y1': b.y1}}) END
+ FROM g JOIN b ON b.recording_id = g.recording_id AND b.s = g.s AND b.r = g.r + 1),
+ids AS (SELECT recording_id, unnest(kept).seq AS seq, unnest(kept).x0 AS x0 FROM (SELECT recording_id, s, arg_max(kept, r) AS kept FROM g GROUP BY ALL))"""
+
+
+@query("e2_detections", f"""{_ADMITTED}, e AS (SELECT *, greatest(0, least(total - 1, s + CAST(round_even(greatest(0, least(valid / 10.0::DOUBLE, greatest(0.0, x0))) * 10, 0) AS BIGINT))) AS a, s + CAST(round_even(greatest(0, least(valid / 10.0::DOUBLE, least(1.0, x1))) * 10, 0) AS BIGINT) AS z FROM b)
+SELECT recording_id, seq, a / 10.0::DOUBLE AS start_s, greatest(a + 1, least(total, z)) / 10.0::DOUBLE AS end_s, round(greatest(0, least(30000, 30000 - least(1.0, y1) * 30000)), 4) AS fmin_hz, round(greatest(0, least(30000, 30000 - greatest(0.0, y0) * 30000)), 4) AS fmax_hz,
+ round(confidence, 6) AS confidence, [CAST(s // 10 AS INTEGER)] AS windows, 1 AS raw_count FROM e SEMI JOIN (SELECT * FROM ids WHERE x0 < 9) USING (recording_id, seq)""")
 def _(spark, sf):
-    return events.detections(events.boxes_to_intervals(events.admit_boxes(_boxes(spark, sf))), 30_000.0)
+    """Boxes that are admitted, with their windows by a join."""
+    rows = _boxes(spark, sf)
+    windows = rows.select("recording_id", "window_index", "start_sample", "valid_samples", "total_samples", "sample_rate_hz", "t0", "t1", "f0", "f1").distinct()
+    boxes = events.admit_boxes(rows.select("recording_id", "window_index", "seq", "x", "y", "w", "h", "confidence"))
+    out = events.detections(events.boxes_to_intervals(events.windows_with_boxes(windows, boxes)), 30_000.0)
+    return out.withColumns({"fmin_hz": _r("fmin_hz", 4), "fmax_hz": _r("fmax_hz", 4), "confidence": _r("confidence")})
 
 
-@query("p10_admit_boxes")
+@query("p10_admit_boxes", f"{_ADMITTED} SELECT recording_id, CAST(s // 10 AS INTEGER) AS window_index, seq, round(confidence, 6) AS confidence FROM b SEMI JOIN (SELECT * FROM ids WHERE x0 < 9) USING (recording_id, seq)")
 def _(spark, sf):
-    return events.admit_boxes(_boxes(spark, sf)).select("recording_id", "window_index", "seq", "confidence")
+    return events.admit_boxes(_boxes(spark, sf)).select("recording_id", "window_index", "seq", _r("confidence").alias("confidence"))
 
 
 _STATUS = """SELECT u.user_id AS encounter_id, CASE WHEN r.user_id IS NOT NULL THEN 'failed' WHEN e.n IS NULL THEN 'no_whistles_detected' ELSE 'complete' END AS status, r.error, coalesce(e.n, 0) AS clip_count
@@ -418,12 +437,16 @@ def _(spark, sf):
 
 # --- files from documents ------------------------------------------------------------------------
 
+#: An encounter's files lie in a range of so many identifiers, so that none grows with the table.
+ENCOUNTER_FILES = 1000
+
 
 def _files(spark, sf):
-    return _read(spark, sf, "documents").select(F.col("lang").alias("encounter_id"), F.format_string("D%08d", "doc_id").alias("path"), F.sha2("text", 256).alias("sha256"), "doc_id")
+    encounter = F.concat("lang", F.lit(":"), F.floor(F.col("doc_id") / ENCOUNTER_FILES).cast("string"))
+    return _read(spark, sf, "documents").select(encounter.alias("encounter_id"), F.format_string("D%08d", "doc_id").alias("path"), F.sha2("text", 256).alias("sha256"), "doc_id")
 
 
-_FILE = "SELECT lang AS encounter_id, 'D' || lpad(CAST(doc_id AS VARCHAR), 8, '0') AS path, sha256(text) AS sha256, doc_id FROM documents"
+_FILE = f"SELECT lang || ':' || CAST(doc_id // {ENCOUNTER_FILES} AS VARCHAR) AS encounter_id, 'D' || lpad(CAST(doc_id AS VARCHAR), 8, '0') AS path, sha256(text) AS sha256, doc_id FROM documents"
 
 
 @query("s4_content_hash", f"SELECT path, sha256 FROM ({_FILE})")
@@ -441,13 +464,13 @@ def _(spark, sf):
     return quality.duplicate_content(_files(spark, sf)).select("encounter_id", "code", "affected_files")
 
 
-_FLAGGED = f"SELECT f.*, l.toxic = 0 AS found, l.quality, l.toxic FROM ({_FILE}) f JOIN labels l USING (doc_id)"
+_FLAGGED = f"SELECT f.*, coalesce(l.toxic, 0) = 0 AS found, l.quality, l.toxic FROM ({_FILE}) f LEFT JOIN labels l USING (doc_id)"
 
 
 def _flagged(spark, sf):
-    rows = _files(spark, sf).join(_read(spark, sf, "labels"), "doc_id")
+    rows = _files(spark, sf).join(_read(spark, sf, "labels"), "doc_id", "left")
     marks = F.filter(F.array(F.when(F.col("quality") == 0, "very_low_rms"), F.when(F.col("toxic") == 1, "large_dc_offset")), lambda x: x.isNotNull())
-    return rows.select("encounter_id", "path", "sha256", (F.col("toxic") == 0).alias("core_tonal_component_found"), marks.alias("quality_flags"))
+    return rows.select("encounter_id", "path", "sha256", (F.coalesce("toxic", F.lit(0)) == 0).alias("core_tonal_component_found"), marks.alias("quality_flags"))
 
 
 @query("q3_missing_component", f"SELECT encounter_id, 'core_tonal_component_not_found' AS code, list(path ORDER BY path) AS affected_files FROM ({_FLAGGED}) WHERE NOT found GROUP BY encounter_id")
@@ -480,17 +503,31 @@ def _(spark, sf):
     return spectral.moving_average(cells, ["vec_id"], "bin", "v", 5, "baseline").select("vec_id", "bin", _r("baseline", 5).alias("baseline"))
 
 
-@query("t2_remove_dc", "SELECT vec_id, round(embedding[1]::DOUBLE - list_avg(embedding)::DOUBLE, 5) AS first_value FROM embeddings")
+@query("t2_remove_dc", "SELECT vec_id, i - 1 AS pos, round(embedding[i]::DOUBLE - list_avg(embedding::DOUBLE[]), 5) AS value FROM embeddings CROSS JOIN range(1, 65) r(i)")
 def _(spark, sf):
     x = frames.remove_dc(F.transform("embedding", lambda v: v.cast("double")))
-    return _read(spark, sf, "embeddings").select("vec_id", _r(F.get(x, F.lit(0)), 5).alias("first_value"))
+    return _read(spark, sf, "embeddings").select("vec_id", F.posexplode(x).alias("pos", "value")).withColumn("value", _r("value", 5))
+
+
+_GRID = "SELECT vec_id // 16 AS clip_id, vec_id % 16 AS f, i - 1 AS b, embedding[i]::DOUBLE AS v FROM embeddings CROSS JOIN range(1, 65) r(i)"
 
 
-@query("t8_component_summary")
+@query("t8_component_summary", f"""WITH RECURSIVE g AS ({_GRID}), n AS (SELECT clip_id, dense_rank() OVER (PARTITION BY clip_id ORDER BY f) - 1 AS row, f, b, v, (dense_rank() OVER (PARTITION BY clip_id ORDER BY f) - 1) * 64 + b AS cell FROM g),
+c AS (SELECT * FROM n WHERE v >= 0.15::DOUBLE), pair AS (SELECT x.clip_id, x.cell AS a, y.cell AS z FROM c x JOIN c y ON x.clip_id = y.clip_id AND abs(x.row - y.row) <= 1 AND abs(x.b - y.b) <= 1),
+reach(clip_id, a, z) AS (SELECT clip_id, cell, cell FROM c UNION SELECT r.clip_id, r.a, p.z FROM reach r JOIN pair p ON p.clip_id = r.clip_id AND p.a = r.z),
+l AS (SELECT clip_id, a AS cell, min(z) AS comp FROM reach GROUP BY ALL), k AS (SELECT c.*, l.comp FROM c JOIN l USING (clip_id, cell)),
+s AS (SELECT clip_id, comp, count(DISTINCT row) AS frames, count(*) AS pixels, quantile_cont(b, 0.5) AS mid, sum(greatest(v, 0)) AS mass, quantile_cont(v, 0.5) AS median_salience, max(v) AS peak_salience, max(b)::DOUBLE AS frequency_max FROM k GROUP BY ALL HAVING count(DISTINCT row) >= 2),
+o AS (SELECT *, mass * sqrt(frames) / sqrt(greatest(pixels / frames, 1)) / (1 + 0.15 * mid / 63) AS score FROM s),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY clip_id ORDER BY score DESC, comp) AS r FROM o) WHERE r = 1),
+w AS (SELECT k.clip_id, k.b::DOUBLE AS b, sum(k.v) OVER (PARTITION BY k.clip_id ORDER BY k.b) AS upto, sum(k.v) OVER (PARTITION BY k.clip_id) AS total FROM k JOIN best USING (clip_id, comp)),
+q AS (SELECT clip_id, {", ".join(f"min(CASE WHEN upto >= {x} * total * (1 - 1e-12) THEN b END) AS {n}" for n, x in (("q05", 0.05), ("q50", 0.5), ("q95", 0.95), ("q99", 0.99)))} FROM w GROUP BY clip_id),
+every AS (SELECT n.clip_id, count(DISTINCT row) AS n_frames FROM n GROUP BY 1), many AS (SELECT clip_id, count(DISTINCT comp) AS candidate_count FROM l GROUP BY 1)
+SELECT clip_id, best.comp IS NOT NULL AS found, coalesce(candidate_count, 0) AS candidate_count, coalesce(pixels, 0) AS pixel_count, round(coalesce(frames / n_frames, 0), 5) AS frame_fraction, round(coalesce(frames * 0.01, 0), 5) AS duration_seconds, round(score, 5) AS score,
+ round(median_salience, 5) AS median_salience, round(peak_salience, 5) AS peak_salience, q05 AS frequency_q05, q50 AS frequency_q50, q95 AS frequency_q95, q99 AS frequency_q99, q95 - q05 AS bandwidth_q90, frequency_max
+FROM every LEFT JOIN best USING (clip_id) LEFT JOIN q USING (clip_id) LEFT JOIN many USING (clip_id)""")
 def _(spark, sf):
     grid = _read(spark, sf, "embeddings").select(F.floor(F.col("vec_id") / 16).alias("clip_id"), (F.col("vec_id") % 16).alias("frame_idx"), F.col("embedding").alias("samples"))
-    cells = spectral.grid_components(grid, "clip_id", 0.15)
-    out = spectral.component_summary(cells, "clip_id", 0.01, 63.0, 0.02)
+    out = spectral.grid_summary(grid, "clip_id", 0.15, spectral.Tonal(0.01, 63.0, 0.02))
     return out.select("clip_id", "found", "candidate_count", "pixel_count", *[_r(c, 5).alias(c) for c in out.columns if c not in ("clip_id", "found", "candidate_count", "pixel_count")])
 
 

@@ -27,14 +27,13 @@ def clip_features(bag: DataFrame, rate: int, audit: dict, flags: dict) -> DataFr
     stats = clips.amplitude_stats(arrays.select("path", F.explode("samples").alias("x")), "path", "x", flags["near_clipping_amplitude_fraction"])
     cut = frames.frames(arrays.select("path", frames.pcm_to_float(F.col("samples")).alias("samples")), "path", "samples", length, hop, int(audit["max_frames_per_clip"]))
     dynamics = clips.frame_dynamics(cut.withColumn("rms", clips.frame_rms(F.col("samples"))), "path")
-    cells = spectral.clip_cells(cut, "path", rate / length, audit)
     upper = min(audit["core_tonal_upper_hz"], (length // 2) * rate / length)
-    tonal = spectral.component_summary(cells, "path", hop / rate, upper, audit["tonal_minimum_duration_seconds"])
+    tonal = spectral.clip_summary(cut, "path", rate / length, audit, spectral.Tonal(hop / rate, upper, audit["tonal_minimum_duration_seconds"]))
     p = "core_tonal_component_"
     names = {"found": "found", "frame_fraction": "frame_fraction", "median_salience": "median_salience_db", "peak_salience": "peak_salience_db", "bandwidth_q90": "bandwidth_q90_hz", "frequency_max": "frequency_max_hz"} | {f"frequency_{q}": f"frequency_{q}_hz" for q in ("q05", "q50", "q95", "q99")}
     tonal = tonal.select("path", F.col("duration_seconds").alias(p + "duration_seconds"), "candidate_count", "pixel_count", "score", *[F.col(a).alias(p + b) for a, b in names.items()])
     rows = own.drop("pcm").withColumn("duration_seconds", F.col("sample_count") / F.lit(float(rate)))
-    rows = rows.join(stats.drop("sample_count"), "path").join(dynamics, "path").join(tonal, "path")
+    rows = rows.join(stats.drop("sample_count"), "path", "left").join(dynamics, "path", "left").join(tonal, "path", "left")
     return rows.withColumn("quality_flags", clips.quality_flags(flags))
 
 

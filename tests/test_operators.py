@@ -1,4 +1,5 @@
 import math
+import random
 
 import numpy as np
 import pytest
@@ -80,3 +81,74 @@ def test_boxes_of_a_long_recording_are_spread(spark):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert sorted(r.seq for r in got) == list(range(1, 4000, 2))
     assert len({r.task for r in got}) > 1
+
+
+def plain_merge(rows, gap=0.04, time_iou=0.25, overlap=0.55, frequency_iou=0.10):
+    """Events of one recording by the rule as it is written: every detection against every cluster, all bounds anew each time."""
+    clusters = []
+
+    def median(members, column):
+        every = sorted((m[column], max(1e-6, m[5])) for m in members)
+        half, upto = sum(w for _, w in every) / 2, 0
+        for value, w in every:
+            upto += w
+            if upto >= half - 1e-12:
+                return value
+
+    for d in sorted(rows, key=lambda d: (d[1], -d[5], d[0])):
+        scores = []
+        for k, c in enumerate(clusters):
+            if {w for m in c for w in m[6]} & set(d[6]):
+                continue
+            a, b, f, g = min(m[1] for m in c), max(m[2] for m in c), median(c, 3), median(c, 4)
+            both, span, short = max(0, min(b, d[2]) - max(a, d[1])), max(b, d[2]) - min(a, d[1]), min(b - a, d[2] - d[1])
+            t, o = both / span if span > 0 else 0, both / short if short > 0 else 0
+            fi = max(0, min(g, d[4]) - max(f, d[3])) / (max(g, d[4]) - min(f, d[3]))
+            apart = max(0, max(a, d[1]) - min(b, d[2]))
+            if (t >= time_iou or o >= overlap or apart <= gap) and fi >= frequency_iou:
+                scores.append((2 * t + o + fi - apart, k))
+        if scores:
+            clusters[max(scores)[1]].append(d)
+        else:
+            clusters.append([d])
+    out = [(min(m[1] for m in c), k, max(m[2] for m in c), median(c, 3), median(c, 4), max(m[5] for m in c), sorted({w for m in c for w in m[6]}), sum(m[7] for m in c)) for k, c in enumerate(clusters)]
+    return [(f"W{n:04d}", s, *rest) for n, (s, _, *rest) in enumerate(sorted(out, key=lambda x: x[:2]), 1)]
+
+
+def test_merged_events_equal_the_written_rule(spark):
+    rng, rows = random.Random(4), []
+    for recording in range(12):
+        at = 0.0
+        for k in range(60):
+            at += rng.choice([0.0, 0.0, 0.05, 0.1, 0.3, 2.0])
+            fmin = rng.choice([1000.0, 2000.0, 5000.0]) + rng.random() * 500
+            rows.append((str(recording), recording * 100 + k, at, at + rng.choice([0.0, 0.1, 0.2, 0.9]), fmin, fmin + rng.choice([500.0, 3000.0]), rng.choice([0.5, 0.7, rng.random()]), rng.sample(range(6), rng.choice([1, 1, 2])), rng.randint(1, 3)))
+    for per_task in (1, 512):
+        got = events.merge_events(spark.createDataFrame(rows, DETECTION).repartition(5), islands_per_task=per_task).collect()
+        for recording in range(12):
+            own = sorted((r.event_id, r.start_s, r.end_s, r.fmin_hz, r.fmax_hz, r.confidence, list(r.windows), r.raw_count) for r in got if r.recording_id == str(recording))
+            assert own == plain_merge([r[1:] for r in rows if r[0] == str(recording)])
+
+
+def test_bounds_of_ready_made_events(spark):
+    rows = [("r", 0.0, 2.0, 10.0, 20.0, 0.2), ("r", 1.0, 3.0, 30.0, 40.0, 0.9), ("r", 1.0, 1.5, 50.0, 60.0, 0.3)]
+    got = events.event_bounds(spark.createDataFrame(rows, "event string, start_s double, end_s double, fmin_hz double, fmax_hz double, confidence double"), ["event"]).first()
+    assert tuple(got) == ("r", 0.0, 3.0, 30.0, 40.0)
+
+
+def test_windows_meet_their_boxes(spark):
+    windows = spark.createDataFrame([("r", 0, 5), ("r", 1, 6)], "recording_id string, window_index int, start_sample int")
+    boxes = spark.createDataFrame([("r", 1, 7.0), ("r", 1, 8.0), ("q", 0, 9.0)], "recording_id string, window_index int, x double")
+    assert sorted((r.window_index, r.start_sample, r.x) for r in events.windows_with_boxes(windows, boxes).collect()) == [(1, 6, 7.0), (1, 6, 8.0)]
+
+
+def test_summary_without_and_with_components():
+    tonal = spectral.Tonal(0.01, 63.0, 0.02)
+    grid = np.zeros((4, 8))
+    none = spectral.summary_of("c", grid, np.arange(8.0), 0.5, tonal).iloc[0]
+    assert not none.found and none.duration_seconds == 0 and none.frame_fraction == 0 and none.score is None and none.candidate_count == 0
+    grid[0, 2] = grid[1, 3] = 1.0
+    grid[3, 7] = 9.0  # a single frame does not count
+    one = spectral.summary_of("c", grid, np.arange(8.0), 0.5, tonal).iloc[0]
+    assert one.found and (one.candidate_count, one.pixel_count, one.frame_fraction, one.frequency_q05, one.frequency_max) == (2, 2, 0.5, 2.0, 3.0)
+    assert abs(one.score - 2 * math.sqrt(2) / (1 + 0.15 * 2.5 / 63)) < 1e-12
