@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from hydroframe.llm.shared import materialize, table, text_of, words_of
+from hydroframe.llm.shared import fresh_name, materialize, table, text_of, words_of
 
 #: Weights of the sources in order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -107,15 +107,24 @@ def mix_plan(documents: DataFrame) -> DataFrame:
     wanted = materialize(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"))), "mix-targets")
     # one row a source: Spark broadcasts it if its measured size allows
     limits = thresholds(sized, wanted).select(F.col("key").alias("_key"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), F.col("copies").alias("_base"), F.col("threshold").alias("_threshold"))
-    rows = documents.withColumns({"_size": F.size(words_of(text)).cast("long"), "_hash": hash_of(F.col("doc_id"), text), "_key": source_key(F.col("source").cast("string"))})
-    taken = F.col("_base") + (F.col("_hash") < F.col("_threshold")).cast("long")
-    return rows.join(limits, "_key").withColumn("_copies", F.least(taken, F.lit(int(MOST)))).drop("_key", "_hash", "_base", "_threshold")
+    names = plan_columns(documents)
+    rows = documents.select("*", F.size(words_of(text)).cast("long").alias(names["size"]), hash_of(F.col("doc_id"), text).alias("_hash"), source_key(F.col("source").cast("string")).alias("_key"))
+    taken = F.col("_base") + (rows["_hash"] < F.col("_threshold")).cast("long")
+    own = [rows[f"`{c}`"] for c in [*documents.columns, names["size"]]]
+    limits = limits.withColumnsRenamed({"_key": "_limit_key"})
+    return rows.join(limits, rows["_key"] == limits["_limit_key"]).select(*own, limits["_source_size"].alias(names["source_size"]), limits["_target"].alias(names["target"]), F.least(taken, F.lit(int(MOST))).alias(names["copies"]))
+
+
+def plan_columns(documents: DataFrame) -> dict[str, str]:
+    """The names that mix_plan() gives its columns: with an underscore before, and more behind where ``documents`` has that name."""
+    return {n: fresh_name(documents, f"_{n}") for n in ("size", "source_size", "target", "copies")}
 
 
 def mixed_documents(documents: DataFrame) -> DataFrame:
-    """The mix itself: each document as often as it is taken."""
-    plan = mix_plan(documents).where("_copies > 0")
-    return plan.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*[F.col(f"`{c}`") for c in documents.columns])
+    """The mix itself: each document as often as it is taken, with all its columns, whatever their names."""
+    copies = F.col(plan_columns(documents)["copies"])
+    plan = mix_plan(documents).where(copies > 0)
+    return plan.select(*[F.col(f"`{c}`") for c in documents.columns], F.explode(F.sequence(F.lit(1), copies.cast("int"))).alias(fresh_name(documents, "_copy"))).select(*[F.col(f"`{c}`") for c in documents.columns])
 
 
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
