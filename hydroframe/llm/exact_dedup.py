@@ -20,7 +20,7 @@ from hydroframe.llm.shared import fresh_name, materialize, release, shared_folde
 STATE_CONF = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "64",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     # else each state partition reserves megabytes for files that stay small
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hydroframe.llm.shared import fresh_name, materialize, portions, release, table, text_of
+from hydroframe.llm.shared import bounded_batches, fresh_name, materialize, portions, release, table, text_of
 
 #: Words in a shingle, least similarity in percent.
 WORDS, PERCENT = 4, 85
@@ -63,7 +63,7 @@ def shingles(text: str, words: int = WORDS, seen: dict | None = None) -> np.ndar
         return np.array([xxhash.xxh3_64_intdigest(b"\xff" + b" ".join(parts))], np.uint64)
     seen = {} if seen is None else seen
     new = {p for p in parts if p not in seen}
-    if len(seen) > 400_000:
+    if len(seen) > 150_000:
         seen.clear()
         new = set(parts)
     for p in new:
@@ -404,6 +404,7 @@ def similarity_components(documents: DataFrame, words: int = WORDS, percent: int
     table gives an empty result; other columns are ignored.
     """
     spark = documents.sparkSession
+    bounded_batches(spark)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     common = spark.sparkContext.broadcast(common_tokens(docs.select("doc_id", "text"), words))
     rows = materialize(set_rows(docs, words, percent, common), "jaccard-sets")

@@ -18,11 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hydroframe.llm.shared import portions, table, text_of
+from hydroframe.llm.shared import bounded_batches, portions, table, text_of
 
 LONGEST = 4096
 END_ID = 2
-#: Words, and pieces of words, whose ids a Python worker remembers, and the longest that it does.
+#: Words, and pieces of words, whose ids a task remembers, and the longest that it does.
 CACHED_WORDS, CACHED_CHARS = 200_000, 40
 
 # The normalizer and pre-tokenizer of the tokenizers that are run word by word.
@@ -69,6 +69,9 @@ class WordIds:
         self.special = [t["content"] for t in own["added_tokens"]]
         self.pieces: dict[str, bytes] = {}
 
+    def forget(self) -> None:
+        self.seen, self.pieces = {"": b""}, {}
+
     def _model(self, piece: str) -> bytes:
         found = self.pieces.get(piece)
         if found is None:
@@ -164,7 +167,9 @@ def pack(documents: DataFrame, tokenizer: str, longest: int = LONGEST, with_ids:
                 types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
                 names_out = ["doc_id", "piece", "start", "length", "bucket", "ids_crc32", "doc_tokens", "ids"]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names_out)
+        coder.forget()  # the worker stays, and other tasks need its memory
 
+    bounded_batches(documents.sparkSession)
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     out = rows.mapInArrow(run, "doc_id long, piece long, start long, length long, bucket int, ids_crc32 long, doc_tokens long, ids binary")
     return out.withColumn("sequence_id", F.monotonically_increasing_id())

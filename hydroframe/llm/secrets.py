@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hydroframe.llm.shared import portions, table, text_of
+from hydroframe.llm.shared import bounded_batches, portions, table, text_of
 
 #: Name, pattern for the scan, pattern of the spans, the part before what is measured, least length of
 #: what is measured, bytes that must not stand before a span. The first three are the base rules.
@@ -328,6 +328,7 @@ def find_secrets(documents: DataFrame) -> DataFrame:
                 spans = pa.ListArray.from_arrays(pa.array(counts, pa.int32()), pa.StructArray.from_arrays(kinds, ["start", "kind_no", "kind", "end"]))
                 yield pa.RecordBatch.from_arrays([names.slice(at, stop - at), spans], ["doc_id", "spans"])
 
+    bounded_batches(documents.sparkSession)
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     return rows.mapInArrow(run, "doc_id long, spans array<struct<start: long, kind_no: int, kind: string, end: long>>")
 

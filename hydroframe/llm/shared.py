@@ -74,6 +74,11 @@ def release(*written: DataFrame) -> None:
         df.sparkSession.sql(f"DROP TABLE IF EXISTS {df.scratch_table} PURGE")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Let Arrow batches of this session hold a few megabytes, so that long rows don't fill a Python worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(2 * PORTION))
+
+
 def fresh_name(df: DataFrame, name: str) -> str:
     """``name``, made longer until no column of ``df`` is called so in either case."""
     taken = {c.lower() for c in df.columns}

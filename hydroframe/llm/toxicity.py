@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hydroframe.llm.shared import materialize, portions, release, table, text_of
+from hydroframe.llm.shared import bounded_batches, materialize, portions, release, table, text_of
 
 #: Terms that the classifier sees at most, by their weight of evidence; voters of each kind.
 TERMS, VOTERS = 4096, 8
@@ -252,6 +252,7 @@ def train(documents: DataFrame, labels: DataFrame) -> tuple[Classifier, DataFram
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import CountVectorizerModel
 
+    bounded_batches(documents.sparkSession)
     doc_id = F.col("doc_id").cast("long")
     toxic = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     toxic = toxic.orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED)
