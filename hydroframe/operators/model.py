@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hydroframe.functions.columns import clean_numeric, stable_sigmoid
 
 #: Fixed order of the labels.
 LABELS = ("Feeding", "Travelling", "Milling", "Socializing")
+#: Fixed name of the one kind of head.
+HEAD_KIND = "logistic_regression"
 
 
 def encode(aggregates: DataFrame, key: str, encoder: DataFrame) -> DataFrame:
@@ -45,9 +47,13 @@ def rank_labels(scores: DataFrame, key: str) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(order))
 
 
+def score_pairs() -> Column:
+    """The aggregate of an encounter's scores as a map in the labels' order."""
+    return F.map_from_entries(F.transform(F.sort_array(F.collect_list(F.struct("label_idx", "label", "score"))), lambda x: F.struct(x["label"], x["score"])))
+
+
 def score_map(scores: DataFrame, key: str) -> DataFrame:
-    pairs = F.transform(F.sort_array(F.collect_list(F.struct("label_idx", "label", "score"))), lambda x: F.struct(x["label"], x["score"]))
-    return scores.groupBy(key).agg(F.map_from_entries(pairs).alias("behavior_scores"))
+    return scores.groupBy(key).agg(score_pairs().alias("behavior_scores"))
 
 
 def top_extremes(encoded: DataFrame, key: str, limit: float = 6.0, most: int = 10) -> DataFrame:
@@ -68,12 +74,14 @@ def validate_encoder(encoder: DataFrame) -> DataFrame:
 
 
 def validate_heads(heads: DataFrame, n_inputs: int, labels: tuple[str, ...] = LABELS) -> DataFrame:
-    """One row for each rule that the heads break: rule, name (the label)."""
+    """One row for each rule that the heads break: rule, name (the label). ``heads`` as of linear_heads, and kind."""
     bad = lambda c: F.col(c).isNull() | F.isnan(c) | (F.abs(c) == float("inf"))
+    kind = ~F.every(F.col("kind").eqNullSafe(F.lit(HEAD_KIND)))
     expected = F.array(*[F.lit(x) for x in labels])
-    each = heads.groupBy("label_idx", "label").agg(F.count_distinct("pos").alias("n"), F.bool_or(bad("coef")).alias("coef"), F.bool_or(bad("intercept")).alias("intercept"))
+    each = heads.groupBy("label_idx", "label").agg(F.count_distinct("pos").alias("n"), F.bool_or(bad("coef")).alias("coef"), F.bool_or(bad("intercept")).alias("intercept"), kind.alias("kind"))
     rules = F.array(
         F.when(~F.get(expected, F.col("label_idx")).eqNullSafe(F.col("label")), F.lit("label is out of order")),
+        F.when(F.col("kind"), F.lit("head kind")),
         F.when(F.col("n") != n_inputs, F.lit("coefficient shape")),
         F.when(F.col("coef"), F.lit("coefficient is not finite")),
         F.when(F.col("intercept"), F.lit("intercept is not finite")),
@@ -85,11 +93,32 @@ def validate_heads(heads: DataFrame, n_inputs: int, labels: tuple[str, ...] = LA
 
 def validate_settings(settings: DataFrame, schema_id: str, features: tuple[str, ...], statistics: tuple[str, ...]) -> DataFrame:
     """One row for each rule that the model's settings break: rule, name (the model)."""
+    names = F.col("encoder.numeric_features")
+    same_length = F.lit(True)
+    for part in ("numeric_medians", "numeric_means", "numeric_standard_deviations"):
+        same_length = same_length & (F.size(names) == F.size(f"encoder.{part}")) & F.col(f"encoder.{part}").isNotNull()
+    outputs = F.flatten(F.transform(names, lambda n: F.array(n, F.concat(n, F.lit("__missing")))))
     rules = F.array(
         F.when(~F.col("schema_version").eqNullSafe(F.lit(schema_id)), F.lit("schema version")),
         F.when(~F.col("per_whistle_features").eqNullSafe(F.array(*[F.lit(x) for x in features])), F.lit("feature list")),
         F.when(~F.col("aggregation_statistics").eqNullSafe(F.array(*[F.lit(x) for x in statistics])), F.lit("statistic list")),
         F.when(~F.coalesce("add_missing_fraction", F.lit(False)), F.lit("missing fractions")),
         F.when(F.col("audit").isNull() | F.col("flags").isNull(), F.lit("audit settings")),
+        F.when(F.col("encoder").isNull(), F.lit("encoder missing")),
+        F.when(~F.coalesce("has_heads", F.lit(False)), F.lit("heads missing")),
+        F.when(~F.coalesce(same_length, F.col("encoder").isNull()), F.lit("encoder lengths")),
+        F.when(F.col("encoder").isNotNull() & ~outputs.eqNullSafe(F.col("encoder.output_feature_names")), F.lit("encoder output names")),
     )
     return settings.select(F.explode(F.filter(rules, lambda r: r.isNotNull())).alias("rule"), F.col("model_id").alias("name"))
+
+
+def validate_encoded(encoded: DataFrame, key: str) -> DataFrame:
+    """A row for each bag with an encoded value that is not finite: key, name."""
+    bad = F.col("value").isNull() | F.isnan("value") | (F.abs("value") == float("inf"))
+    return encoded.where(bad).select(key, "name")
+
+
+def validate_model(encoder: DataFrame, heads: DataFrame, settings: DataFrame, schema_id: str, features: tuple[str, ...], statistics: tuple[str, ...]) -> DataFrame:
+    """All rules that a model file's tables break: rule, name; no row for a model that may be used."""
+    n_inputs = 2 * len(features) * (len(statistics) + 1)
+    return validate_encoder(encoder).unionByName(validate_heads(heads, n_inputs)).unionByName(validate_settings(settings, schema_id, features, statistics))

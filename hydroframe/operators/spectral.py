@@ -240,6 +240,11 @@ def window_view(samples: np.ndarray, rate: int, *, window_s=3.0, target=96_000,
     return grid, t0 - step / 2, t0 + (len(frames) - 1) * step + step / 2, 0.0, min(target / 2, (keep.sum() - 1) * bin_hz + bin_hz / 2)
 
 
+def window_bounds(rate: int = 96_000) -> tuple[float, float, float, float]:
+    """Bounds in time and frequency of every window's grid; they hang on the settings alone."""
+    return window_view(np.zeros(1, np.int16), rate)[1:]
+
+
 def window_spectrograms(windows: DataFrame) -> DataFrame:
     """window_view of each row (recording_id, window_index, sample_rate_hz, pcm)."""
 

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from hydroframe.functions.columns import clean_numeric, interval_iou, overlap_coefficient, weighted_quantile
 from hydroframe.operators import bags, clips, events, frames, model, quality, spectral
+from hydroframe.plans import pipeline
+from hydroframe.sources import recordings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -29,6 +31,10 @@ TRAINING = (96000, 192000, 288000)
 FLAGS = {"exact_clipping_min_fraction": 0.0, "near_clipping_min_fraction": 0.001, "large_dc_offset_fraction_full_scale": 0.01, "very_low_rms_dbfs": -60.0, "large_zero_fraction": 0.5, "low_tonal_component_frame_fraction": 0.01, "nonloop_long_duration_seconds": 3.0}
 
 
+#: The artificial model's identity.
+MODEL_ID, MODEL_TYPE, MODEL_SHA256, TRAINED_ON = "artificial", "acoustic_lr", "0" * 64, 234
+
+
 def query(name: str, sql: str | None = None):
     def add(f):
         QUERIES[name] = f
@@ -43,6 +49,11 @@ def _read(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def _said(code: str) -> str:
+    """The SQL of a warning's code and message."""
+    return f"'{code}' AS code, '{quality.MESSAGES[code]}' AS message"
+
+
 def _r(c: Column | str, digits: int = 6) -> Column:
     return F.round(F.col(c) if isinstance(c, str) else c, digits)
 
@@ -134,29 +145,40 @@ def _(spark, sf):
     return model.top_extremes(_encoded(spark, sf), "encounter_id").select("encounter_id", "name", _r("value", 4).alias("value"), "ord")
 
 
-@query("q6_extrapolation", f"WITH {_ENC}, {_EXTREMES} SELECT encounter_id, 6 AS ord, 'aggregate_feature_extrapolation' AS code FROM extremes GROUP BY encounter_id")
+@query("q6_extrapolation", f"WITH {_ENC}, {_EXTREMES} SELECT encounter_id, 6 AS ord, {_said('aggregate_feature_extrapolation')} FROM extremes GROUP BY encounter_id")
 def _(spark, sf):
-    return quality.extrapolation(model.top_extremes(_encoded(spark, sf), "encounter_id")).select("encounter_id", "ord", "code")
+    return quality.extrapolation(model.top_extremes(_encoded(spark, sf), "encounter_id")).select("encounter_id", "ord", "code", "message")
+
+
+def _settings(spark):
+    """The settings row as recordings.model_tables gives it, as far as predictions read it."""
+    schema = "model_id string, model_type string, artifact_sha256 string, training struct<native_sample_rates_hz: array<int>, encounter_count: int>, score_semantics struct<type: string>"
+    return spark.createDataFrame([(MODEL_ID, MODEL_TYPE, MODEL_SHA256, (list(TRAINING), TRAINED_ON), ("uncalibrated",))], schema)
 
 
 @query("q10_assemble_prediction", f"""WITH {_ENC}, {_EXTREMES},
 w AS (SELECT DISTINCT encounter_id, 'aggregate_feature_extrapolation' AS code FROM extremes),
-r AS (SELECT *, row_number() OVER (PARTITION BY encounter_id ORDER BY score DESC, label_idx) AS rank FROM score)
-SELECT r.encounter_id, 'complete' AS status, max(CASE WHEN rank = 1 THEN label END) AS best, round(max(score), 6) AS best_score,
- string_agg(label, '>' ORDER BY rank) AS ranking, coalesce(max(w.code), '') AS warning_codes, CASE WHEN count(w.code) > 0 THEN 'warning' ELSE 'ok' END AS quality_status
-FROM r LEFT JOIN w USING (encounter_id) GROUP BY r.encounter_id""")
-def _(spark, sf):
-    encoded, (_, heads) = _encoded(spark, sf), _model(spark)
-    ranked = model.rank_labels(model.linear_heads(encoded, "encounter_id", heads), "encounter_id")
-    listed = ranked.groupBy("encounter_id").agg(F.sort_array(F.collect_list(F.struct("rank", "label", "score"))).alias("r"))
-    told = quality.summarise(listed, quality.extrapolation(model.top_extremes(encoded, "encounter_id")))
-    out = listed.join(told, "encounter_id")
-    return out.select("encounter_id", F.lit("complete").alias("status"), F.get("r", F.lit(0))["label"].alias("best"), _r(F.get("r", F.lit(0))["score"]).alias("best_score"), F.array_join(F.transform("r", lambda x: x["label"]), ">").alias("ranking"), F.array_join(F.transform("warnings", lambda x: x["code"]), ";").alias("warning_codes"), "quality_status")
+r AS (SELECT *, row_number() OVER (PARTITION BY encounter_id ORDER BY score DESC, label_idx) AS rank FROM score),
+t AS (SELECT encounter_id, count(*) AS clip_count, round(sum(quantity), 2) AS total_duration FROM ({_CLIPS}) GROUP BY encounter_id)
+SELECT r.encounter_id, 'complete' AS status, max(CASE WHEN rank = 1 THEN label END) AS best, round(max(score), 6) AS best_score, any_value(clip_count) AS clip_count, any_value(total_duration) AS total_duration,
+ string_agg(label, '>' ORDER BY rank) AS ranking, round(max(CASE WHEN label = 'Milling' THEN score END), 6) AS milling, coalesce(max(w.code), '') AS warning_codes, CASE WHEN count(w.code) > 0 THEN 'warning' ELSE 'ok' END AS quality_status,
+ '{MODEL_ID}' AS model_id, '{MODEL_SHA256}' AS model_sha256, {TRAINED_ON} AS training_encounter_count, 'uncalibrated' AS score_type, '{pipeline.INTERPRETATION["scope"]}' AS scope
+FROM r JOIN t USING (encounter_id) LEFT JOIN w USING (encounter_id) GROUP BY r.encounter_id""")
+def _(spark, sf):
+    encoded = _encoded(spark, sf)
+    totals = bags.bag_totals(_clips(spark, sf), "encounter_id", "quantity", "l_linenumber")
+    out = pipeline.assemble_predictions(model.linear_heads(encoded, "encounter_id", _model(spark)[1]), totals, quality.extrapolation(model.top_extremes(encoded, "encounter_id")), _settings(spark))
+    best = F.get("ranked", F.lit(0))
+    return out.select(
+        "encounter_id", "status", best["label"].alias("best"), _r(best["score"]).alias("best_score"), "clip_count", _r("total_duration", 2).alias("total_duration"), F.array_join(F.transform("ranked", lambda x: x["label"]), ">").alias("ranking"),
+        _r(F.col("behavior_scores")["Milling"]).alias("milling"), F.array_join(F.transform("warnings", lambda x: x["code"]), ";").alias("warning_codes"), "quality_status", "model.model_id", F.col("model.artifact_sha256").alias("model_sha256"),
+        "model.training_encounter_count", "model.score_type", "interpretation.scope",
+    )
 
 
-@query("q1_sparse_evidence", "SELECT l_orderkey AS encounter_id, 1 AS ord, 'sparse_whistle_evidence' AS code FROM lineitem GROUP BY l_orderkey HAVING count(*) < 3")
+@query("q1_sparse_evidence", f"SELECT l_orderkey AS encounter_id, 1 AS ord, {_said('sparse_whistle_evidence')} FROM lineitem GROUP BY l_orderkey HAVING count(*) < 3")
 def _(spark, sf):
-    return quality.sparse_evidence(_read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("encounter_id"))).select("encounter_id", "ord", "code")
+    return quality.sparse_evidence(_read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("encounter_id"))).select("encounter_id", "ord", "code", "message")
 
 
 # --- sample rates from orders --------------------------------------------------------------------
@@ -164,20 +186,20 @@ def _(spark, sf):
 _RATE = "SELECT o_custkey AS encounter_id, CASE o_orderpriority " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in RATES.items()) + " END AS rate, o_totalprice AS price FROM orders"
 
 
-def _rates(spark, sf):
+def _rates(spark, sf, *others):
     table = F.create_map(*[F.lit(x) for kv in RATES.items() for x in kv])
-    return _read(spark, sf, "orders").select(F.col("o_custkey").alias("encounter_id"), table[F.col("o_orderpriority")].alias("sample_rate_hz"), F.col("o_totalprice").alias("price"))
+    return _read(spark, sf, "orders").select(F.col("o_custkey").alias("encounter_id"), table[F.col("o_orderpriority")].alias("sample_rate_hz"), F.col("o_totalprice").alias("price"), *others)
 
 
 def _training(spark):
     return spark.createDataFrame([(x,) for x in TRAINING], "sample_rate_hz int")
 
 
-@query("q2_unseen_rates", f"SELECT encounter_id, 'sample_rate_outside_training_regimes' AS code, list_sort(list(DISTINCT rate)) AS unseen FROM ({_RATE}) WHERE rate NOT IN {TRAINING} GROUP BY encounter_id")
+@query("q2_unseen_rates", f"SELECT encounter_id, {_said('sample_rate_outside_training_regimes')}, list_sort(list(DISTINCT rate)) AS unseen FROM ({_RATE}) WHERE rate NOT IN {TRAINING} GROUP BY encounter_id")
 def _(spark, sf):
     rows = _rates(spark, sf)
     told = quality.rate_warnings(rows, _training(spark))
-    return told.select("encounter_id", "code").join(quality.unseen_rates(rows, _training(spark)), "encounter_id")
+    return told.select("encounter_id", "code", "message").join(quality.unseen_rates(rows, _training(spark)), "encounter_id")
 
 
 @query("b3_bag_totals", f"SELECT encounter_id, count(*) AS clip_count, round(sum(price), 2) AS total_duration, list_sort(list(DISTINCT rate) FILTER (WHERE rate IS NOT NULL)) AS rates FROM ({_RATE}) GROUP BY encounter_id")
@@ -185,6 +207,25 @@ def _(spark, sf):
     return bags.bag_totals(_rates(spark, sf), "encounter_id", "price", "sample_rate_hz").withColumn("total_duration", _r("total_duration", 2))
 
 
+def _catalog(spark, sf):
+    """Orders as a catalog of files; one in 50 was found to be stereo."""
+    rows = _rates(spark, sf, "o_orderkey")
+    return rows.select("encounter_id", F.col("o_orderkey").alias("path"), "sample_rate_hz", F.when(F.col("o_orderkey") % 50 == 0, "not mono").alias("reason"))
+
+
+_CATALOG = f"SELECT o_custkey AS encounter_id, o_orderkey AS path, rate, CASE WHEN o_orderkey % 50 = 0 THEN 'not mono' END AS reason FROM ({_RATE.replace('o_totalprice AS price', 'o_orderkey, o_custkey')})"
+
+
+@query("p1_admit_recordings", f"WITH c AS ({_CATALOG}) SELECT encounter_id, path, rate AS sample_rate_hz FROM c WHERE encounter_id NOT IN (SELECT encounter_id FROM c WHERE reason IS NOT NULL)")
+def _(spark, sf):
+    return recordings.admit_recordings(_catalog(spark, sf))[0]
+
+
+@query("p2_admit_clips", f"SELECT encounter_id, path, coalesce(reason, 'sample rate too low for the tonal band') AS reason FROM ({_CATALOG}) WHERE reason IS NOT NULL OR rate / 2 < 40000")
+def _(spark, sf):
+    return recordings.admit_clips(_catalog(spark, sf), 40_000.0)[1]
+
+
 # --- waveforms from events -----------------------------------------------------------------------
 
 _SAMPLES = "SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos, CAST(least(32767, greatest(-32768, round_even((value - 50) * 327.67, 0))) AS INTEGER) AS x FROM events"
@@ -377,6 +418,27 @@ def _(spark, sf):
     return events.boxes_to_intervals(_boxes(spark, sf)).select("recording_id", "seq", "event_start", "event_end", _r("fmin_hz", 4).alias("fmin_hz"), _r("fmax_hz", 4).alias("fmax_hz"))
 
 
+_BOUNDS = f"""SELECT recording_id, win, min(start_s) AS start_s, max(end_s) AS end_s, min(CASE WHEN a >= 0.5 * t THEN fmin END) AS fmin_hz, min(CASE WHEN b >= 0.5 * t THEN fmax END) AS fmax_hz FROM (
+ SELECT *, sum(round(100 * confidence)) OVER (PARTITION BY recording_id, win ORDER BY fmin) AS a, sum(round(100 * confidence)) OVER (PARTITION BY recording_id, win ORDER BY fmax) AS b, sum(round(100 * confidence)) OVER (PARTITION BY recording_id, win) AS t FROM ({_DET})) GROUP BY recording_id, win"""
+
+
+def _bounds(spark, sf):
+    """A recording's detections of one window as an event; whole numbers as weights add up alike in any order."""
+    rows = _detections(spark, sf).withColumn("win", F.get("windows", F.lit(0))).withColumn("confidence", F.rint(100 * F.col("confidence")))
+    return events.event_bounds(rows, ["recording_id", "win"])
+
+
+@query("e6_event_bounds", f"SELECT recording_id, CAST(win AS INTEGER) AS win, start_s, end_s, fmin_hz, fmax_hz FROM ({_BOUNDS})")
+def _(spark, sf):
+    return _bounds(spark, sf)
+
+
+@query("e9_number_events", f"SELECT recording_id, CAST(win AS INTEGER) AS win, 'W' || lpad(CAST(row_number() OVER (PARTITION BY recording_id ORDER BY start_s, win) AS VARCHAR), 4, '0') AS event_id FROM ({_BOUNDS})")
+def _(spark, sf):
+    rows = _bounds(spark, sf).withColumn("island", F.col("win")).withColumn("cluster", F.lit(0))
+    return events.number_events(rows).select("recording_id", "win", "event_id")
+
+
 _ADMITTED = f"""WITH RECURSIVE b AS (SELECT *, x - w / 2 AS x0, x + w / 2 AS x1, y - h / 2 AS y0, y + h / 2 AS y1, row_number() OVER (PARTITION BY recording_id, s ORDER BY confidence DESC, seq) AS r
  FROM (SELECT *, 0.2::DOUBLE + (k % 50) / 70.0::DOUBLE AS confidence FROM ({_BOX})) WHERE confidence >= 0.25),
 g AS (SELECT recording_id, s, 0::BIGINT AS r, [{{'seq': 0::BIGINT, 'x0': 9.0::DOUBLE, 'x1': 9.0::DOUBLE, 'y0': 9.0::DOUBLE, 'y1': 9.0::DOUBLE}}] AS kept FROM b WHERE r = 1
@@ -425,12 +487,12 @@ def _(spark, sf):
     return quality.empty_results(_status(spark, sf)).select("encounter_id", "status", "quality_status", "warning_count")
 
 
-@query("s9_flat_rows", f"""SELECT s.encounter_id, s.status, l.rank, l.behavior, l.score, s.clip_count AS whistle_clip_count, CASE WHEN s.status = 'complete' THEN 'ok' ELSE 'insufficient_evidence' END AS quality_status, CASE WHEN s.status = 'complete' THEN '' ELSE 'no_whistles_detected' END AS warning_codes
+@query("s9_flat_rows", f"""SELECT s.encounter_id, s.status, l.rank, l.behavior, l.score, s.clip_count AS whistle_clip_count, CASE WHEN s.status = 'complete' THEN 'ok' ELSE 'insufficient_evidence' END AS quality_status, CASE WHEN s.status = 'complete' THEN '' ELSE 'no_whistles_detected' END AS warning_codes, '{MODEL_ID}' AS model_id, '{MODEL_SHA256}' AS model_sha256
 FROM ({_STATUS}) s LEFT JOIN (VALUES (1, 'Feeding', 0.75::DOUBLE), (2, 'Milling', 0.5::DOUBLE)) l(rank, behavior, score) ON s.status = 'complete' WHERE s.status <> 'failed'""")
 def _(spark, sf):
     rows = _status(spark, sf).where("status <> 'failed'")
     done = F.col("status") == "complete"
-    results = rows.select("encounter_id", "status", "clip_count", F.when(done, "ok").otherwise("insufficient_evidence").alias("quality_status"), F.when(done, F.array().cast("array<string>")).otherwise(F.array(F.lit("no_whistles_detected"))).alias("warning_codes"))
+    results = rows.select("encounter_id", "status", "clip_count", F.when(done, "ok").otherwise("insufficient_evidence").alias("quality_status"), F.when(done, F.array().cast("array<string>")).otherwise(F.array(F.lit("no_whistles_detected"))).alias("warning_codes"), F.lit(MODEL_ID).alias("model_id"), F.lit(MODEL_SHA256).alias("model_sha256"))
     labels = F.array(*[F.struct(F.lit(k).alias("rank"), F.lit(n).alias("label"), F.lit(s).alias("score")) for k, n, s in ((1, "Feeding", 0.75), (2, "Milling", 0.5))])
     return quality.flat_rows(results, rows.where(done).select("encounter_id", F.explode(labels).alias("x")).select("encounter_id", "x.*"))
 
@@ -454,14 +516,20 @@ def _(spark, sf):
     return _files(spark, sf).select("path", "sha256")
 
 
+@query("p7_resolve_encounter_id", "SELECT doc_id, nullif(trim(CASE WHEN doc_id % 3 = 0 OR lang = '' OR lang IS NULL THEN source ELSE lang END), '') AS encounter_id FROM documents")
+def _(spark, sf):
+    given = F.when(F.col("doc_id") % 3 != 0, F.col("lang")).otherwise("")
+    return _read(spark, sf, "documents").select("doc_id", bags.resolve_encounter_id(given, F.col("source")).alias("encounter_id"))
+
+
 @query("b4_bag_fingerprint", f"SELECT encounter_id, sha256(string_agg(path || chr(9) || sha256 || chr(10), '' ORDER BY lower(path), path)) AS input_set_sha256 FROM ({_FILE}) GROUP BY encounter_id")
 def _(spark, sf):
     return bags.bag_fingerprint(_files(spark, sf), "encounter_id", "path", "sha256")
 
 
-@query("q5_duplicate_content", f"SELECT encounter_id, 'duplicate_audio_content' AS code, list(path ORDER BY path) AS affected_files FROM (SELECT *, count(*) OVER (PARTITION BY encounter_id, sha256) AS n FROM ({_FILE})) WHERE n > 1 GROUP BY encounter_id")
+@query("q5_duplicate_content", f"SELECT encounter_id, {_said('duplicate_audio_content')}, list(path ORDER BY path) AS affected_files FROM (SELECT *, count(*) OVER (PARTITION BY encounter_id, sha256) AS n FROM ({_FILE})) WHERE n > 1 GROUP BY encounter_id")
 def _(spark, sf):
-    return quality.duplicate_content(_files(spark, sf)).select("encounter_id", "code", "affected_files")
+    return quality.duplicate_content(_files(spark, sf)).select("encounter_id", "code", "message", "affected_files")
 
 
 _FLAGGED = f"SELECT f.*, coalesce(l.toxic, 0) = 0 AS found, l.quality, l.toxic FROM ({_FILE}) f LEFT JOIN labels l USING (doc_id)"
@@ -473,14 +541,22 @@ def _flagged(spark, sf):
     return rows.select("encounter_id", "path", "sha256", (F.coalesce("toxic", F.lit(0)) == 0).alias("core_tonal_component_found"), marks.alias("quality_flags"))
 
 
-@query("q3_missing_component", f"SELECT encounter_id, 'core_tonal_component_not_found' AS code, list(path ORDER BY path) AS affected_files FROM ({_FLAGGED}) WHERE NOT found GROUP BY encounter_id")
+@query("q3_missing_component", f"SELECT encounter_id, {_said('core_tonal_component_not_found')}, list(path ORDER BY path) AS affected_files FROM ({_FLAGGED}) WHERE NOT found GROUP BY encounter_id")
+def _(spark, sf):
+    return quality.missing_component(_flagged(spark, sf)).select("encounter_id", "code", "message", "affected_files")
+
+
+@query("q4_flag_warnings", f"SELECT encounter_id, 'audio_quality:' || flag AS code, 'The descriptive audio-quality flag ''' || flag || ''' was raised.' AS message, list(path ORDER BY path) AS affected_files FROM (SELECT *, 'very_low_rms' AS flag FROM ({_FLAGGED}) WHERE quality = 0 UNION ALL SELECT *, 'large_dc_offset' FROM ({_FLAGGED}) WHERE toxic = 1) GROUP BY encounter_id, flag")
 def _(spark, sf):
-    return quality.missing_component(_flagged(spark, sf)).select("encounter_id", "code", "affected_files")
+    return quality.flag_warnings(_flagged(spark, sf)).select("encounter_id", "code", "message", "affected_files")
 
 
-@query("q4_flag_warnings", f"SELECT encounter_id, 'audio_quality:' || flag AS code, list(path ORDER BY path) AS affected_files FROM (SELECT *, 'very_low_rms' AS flag FROM ({_FLAGGED}) WHERE quality = 0 UNION ALL SELECT *, 'large_dc_offset' FROM ({_FLAGGED}) WHERE toxic = 1) GROUP BY encounter_id, flag")
+@query("p8_clip_details", f"""SELECT encounter_id, count(*) AS clips, sha256(string_agg(path || ':' || coalesce(sha256, '') || ':' || CASE WHEN found THEN '1' ELSE '0' END || ':' || concat_ws(',', CASE WHEN quality = 0 THEN 'very_low_rms' END, CASE WHEN toxic = 1 THEN 'large_dc_offset' END), ';' ORDER BY path)) AS details FROM ({_FLAGGED}) GROUP BY encounter_id""")
 def _(spark, sf):
-    return quality.flag_warnings(_flagged(spark, sf)).select("encounter_id", "code", "affected_files")
+    rows = _flagged(spark, sf).withColumns({"sample_rate_hz": F.lit(96_000), "sample_count": F.length("path"), "duration_seconds": F.length("path") / 96_000})
+    told = lambda x: F.concat_ws(":", x["path"], F.coalesce(x["sha256"], F.lit("")), F.when(x["core_tonal_component_found"], "1").otherwise("0"), F.array_join(x["quality_flags"], ","))
+    listed = F.transform("clip_details", told)
+    return quality.clip_details(rows).select("encounter_id", F.size("clip_details").cast("long").alias("clips"), F.sha2(F.array_join(listed, ";"), 256).alias("details"))
 
 
 @query("q7_quality_summary", f"""WITH f AS ({_FLAGGED}), w AS (SELECT encounter_id, 'core_tonal_component_not_found' AS code FROM f WHERE NOT found GROUP BY 1 UNION ALL SELECT encounter_id, 'audio_quality:very_low_rms' FROM f WHERE quality = 0 GROUP BY 1

@@ -7,6 +7,20 @@ from pyspark.sql import functions as F
 
 from hydroframe.operators import bags, clips, events, frames, model, quality, spectral
 
+#: Fixed texts that stand in every prediction.
+INTERPRETATION = {
+    "scope": "Scores describe the behavioral context of the encounter bag, not individual whistles or callers.",
+    "multilabel": "Each behavior is scored independently; several contexts may co-occur.",
+    "calibration": "Scores are not prospectively calibrated probabilities for a new survey.",
+    "thresholds": "No universal binary threshold is supplied; operating thresholds require survey-specific validation.",
+}
+#: What a detector gives; ``box`` numbers the boxes of a window, fewer than BOXES_A_WINDOW.
+BOXES = "recording_id string, window_index int, box int, x double, y double, w double, h double, confidence double"
+BOXES_A_WINDOW = 1_000_000
+#: Length of a detector window; window_view has the same.
+WINDOW_S = 3.0
+TASK = "encounter_level_multilabel_behavioral_context_scoring"
+
 #: The fourteen features of a clip, in order.
 FEATURES = (
     "duration_seconds", "core_tonal_component_frequency_q05_hz", "core_tonal_component_frequency_q50_hz", "core_tonal_component_frequency_q95_hz", "core_tonal_component_frequency_max_hz",
@@ -37,19 +51,63 @@ def clip_features(bag: DataFrame, rate: int, audit: dict, flags: dict) -> DataFr
     return rows.withColumn("quality_flags", clips.quality_flags(flags))
 
 
-def predict_bags(features: DataFrame, encoder: DataFrame, heads: DataFrame, training_rates: DataFrame) -> DataFrame:
-    """encounter_id, behavior_scores, ranked, quality and input summary of every encounter with clips."""
+def model_identity(settings: DataFrame) -> DataFrame:
+    """One row: the struct that names the model in a prediction."""
+    fields = [F.col("model_id"), F.col("model_type"), F.col("artifact_sha256"), F.col("training.encounter_count").alias("training_encounter_count"), F.col("score_semantics.type").alias("score_type")]
+    return settings.select(F.struct(*fields).alias("model"))
+
+
+def _told(rows: DataFrame, settings: DataFrame, deployment: str) -> DataFrame:
+    """Adds what stands alike in all predictions: the model's identity and the texts."""
+    texts = F.struct(*[F.lit(v).alias(k) for k, v in {**INTERPRETATION, "deployment": deployment}.items()])
+    rows = rows.withColumn("task", F.lit(TASK)).withColumn("binary_decisions", F.lit(None).cast("map<string,boolean>")).withColumn("interpretation", texts)
+    return rows.crossJoin(F.broadcast(model_identity(settings)))  # one row
+
+
+def assemble_predictions(scores: DataFrame, summary: DataFrame, warnings: DataFrame, settings: DataFrame, deployment: str = "Scores of clips that were cut before.") -> DataFrame:
+    """The whole record of every encounter with scores: scores, ranking, input summary, quality, model identity and texts."""
+    key = "encounter_id"
+    ranked = model.rank_labels(scores, key).groupBy(key).agg(F.sort_array(F.collect_list(F.struct("rank", "label", "score"))).alias("ranked"), model.score_pairs().alias("behavior_scores"))
+    rows = summary.join(ranked, key).join(quality.summarise(summary, warnings), key).withColumn("status", F.lit("complete"))
+    return _told(rows, settings, deployment)
+
+
+def predict_bags(features: DataFrame, encoder: DataFrame, heads: DataFrame, settings: DataFrame, details: bool = False) -> DataFrame:
+    """assemble_predictions of every encounter with clips; with ``details`` the list of its clips as well."""
     key = "encounter_id"
-    wide = bags.bag_statistics(features, key, list(FEATURES))
-    encoded = model.encode(bags.long_form(wide, key), key, encoder)
-    scores = model.linear_heads(encoded, key, heads)
-    ranked = model.rank_labels(scores, key).groupBy(key).agg(F.sort_array(F.collect_list(F.struct("rank", "label", "score"))).alias("ranked"))
+    encoded = model.encode(bags.long_form(bags.bag_statistics(features, key, list(FEATURES)), key), key, encoder)
+    rates = settings.select(F.explode("training.native_sample_rates_hz").alias("sample_rate_hz"))
     found = quality.combine(
-        quality.sparse_evidence(features), quality.rate_warnings(features, training_rates), quality.missing_component(features), quality.flag_warnings(features),
+        quality.sparse_evidence(features), quality.rate_warnings(features, rates), quality.missing_component(features), quality.flag_warnings(features),
         quality.duplicate_content(features), quality.extrapolation(model.top_extremes(encoded, key)),
     )
     summary = bags.bag_totals(features, key, "duration_seconds", "sample_rate_hz").join(bags.bag_fingerprint(features, key, "path", "sha256"), key)
-    return summary.join(model.score_map(scores, key), key).join(ranked, key).join(quality.summarise(features, found), key).withColumn("status", F.lit("complete"))
+    out = assemble_predictions(model.linear_heads(encoded, key, heads), summary, found, settings)
+    return out.join(quality.clip_details(features), key) if details else out
+
+
+def with_empty(predictions: DataFrame, empty: DataFrame, settings: DataFrame) -> DataFrame:
+    """Predictions and, for encounters without events (as of quality.empty_results), records with null scores."""
+    rows = _told(empty.withColumn("clip_count", F.lit(0).cast("long")), settings, "No event was found.").drop("warning_codes")
+    return predictions.unionByName(rows, allowMissingColumns=True)
+
+
+def recordings_to_detections(recordings: DataFrame, chunks: DataFrame, chunk_samples: int, detector, stride_s: float = 1.0, confidence: float = 0.25, fmax: float = 30_000.0) -> DataFrame:
+    """Windows of every recording, their spectrograms, the supplied detector's boxes, and these as detections.
+
+    ``recordings``: recording_id, sample_rate_hz, sample_count; ``chunks``: recording_id, chunk_no, pcm.
+    ``detector`` takes an iterator of pandas frames (recording_id, window_index, grid, t0, t1, f0, f1) and
+    gives frames of BOXES.
+    """
+    length, hop = (F.greatest(F.lit(1), F.rint(x * F.col("sample_rate_hz")).cast("long")) for x in (WINDOW_S, stride_s))
+    windows = recordings.select("recording_id", "sample_rate_hz", F.col("sample_count").cast("long").alias("total_samples"), length.alias("length"), F.posexplode(frames.sliding_windows(F.col("sample_count").cast("long"), length, hop)).alias("window_index", "start_sample"))
+    windows = windows.withColumn("valid_samples", F.least("length", F.col("total_samples") - F.col("start_sample"))).drop("length")
+    cut = frames.extract_clips(windows.withColumn("first_sample", F.col("start_sample")).withColumn("stop_sample", F.col("start_sample") + F.col("valid_samples")), chunks, chunk_samples)
+    boxes = events.detect_windows(spectral.window_spectrograms(cut), detector, BOXES)
+    boxes = boxes.withColumn("seq", F.col("window_index").cast("long") * BOXES_A_WINDOW + F.col("box"))
+    bounds = dict(zip(("t0", "t1", "f0", "f1"), map(F.lit, spectral.window_bounds()), strict=True))
+    admitted = events.windows_with_boxes(windows.withColumns(bounds), events.admit_boxes(boxes, confidence))
+    return events.detections(events.boxes_to_intervals(admitted), fmax)
 
 
 def recordings_to_clips(recordings: DataFrame, detections: DataFrame, chunks: DataFrame, chunk_samples: int, padding: float = 0.25, merge: dict = events.MERGE) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from hydroframe.operators.bags import resolve_encounter_id
+
 #: Least sample rate of a recording.
 MIN_RATE = 80_000
 #: The extensible format's number, and the subformat by which it holds plain PCM.
@@ -16,9 +18,9 @@ WALK = "struct<at: bigint, format: bigint, channels: bigint, rate: bigint, bits:
 
 
 def discover_recordings(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
-    """path and length of the .wav files below ``root``, the suffix in any case; contents aren't read."""
+    """path and length of the .wav files below ``root``, the suffix in any case, by case-folded path; contents aren't read."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[wW][aA][vV]").option("recursiveFileLookup", str(recursive).lower()).load(root)
-    return files.select("path", "length")
+    return files.select("path", "length").orderBy(F.lower("path"), "path")
 
 
 def _bytes(content: Column, at: Column, size: int) -> Column:
@@ -54,15 +56,15 @@ def _walk(content: Column) -> Column:
     return F.aggregate(steps, zero, lambda a, _: F.when(ended(a), a).otherwise(F.aggregate(steps, a, lambda b, _: F.when(ended(b), b).otherwise(step(b)))))
 
 
-def recording_catalog(spark: SparkSession, root: str, recursive: bool = True, min_rate: int = MIN_RATE) -> DataFrame:
-    """A row per recording: path, encounter_id (its folder), rate, count, duration, sha256, data_offset (the first sample's byte) and reason, null if it is admitted.
+def recording_catalog(spark: SparkSession, root: str, recursive: bool = True, min_rate: int = MIN_RATE, encounter_id: str | None = None) -> DataFrame:
+    """A row per recording: path, encounter_id (as given, else its folder), rate, count, duration, sha256, data_offset (the first sample's byte) and reason, null if it is admitted.
 
     Chunks before the data are walked over. No data chunk, not mono, not 16-bit PCM, under ``min_rate`` or empty is a reason.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[wW][aA][vV]").option("recursiveFileLookup", str(recursive).lower()).load(root)
     c = F.col("content")
     rows = files.select(
-        "path", F.element_at(F.split("path", "/"), -2).alias("encounter_id"), ((F.substring(c, 1, 4) == F.lit(b"RIFF")) & (F.substring(c, 9, 4) == F.lit(b"WAVE"))).alias("riff"), _walk(c).alias("w"), F.sha2(c, 256).alias("sha256"),
+        "path", resolve_encounter_id(F.lit(encounter_id), F.element_at(F.split("path", "/"), -2)).alias("encounter_id"), ((F.substring(c, 1, 4) == F.lit(b"RIFF")) & (F.substring(c, 9, 4) == F.lit(b"WAVE"))).alias("riff"), _walk(c).alias("w"), F.sha2(c, 256).alias("sha256"),
     )
     rows = rows.select("path", "encounter_id", "riff", "w.format", "w.channels", F.col("w.rate").alias("sample_rate_hz"), "w.bits", F.floor(F.col("w.size") / 2).alias("sample_count"), F.col("w.offset").alias("data_offset"), "sha256")
     reason = (
@@ -86,6 +88,12 @@ def admit_recordings(catalog: DataFrame, strict: bool = True) -> tuple[DataFrame
     return good, rejects
 
 
+def admit_clips(catalog: DataFrame, core_tonal_upper_hz: float) -> tuple[DataFrame, DataFrame]:
+    """Ready-made clips that are admitted, and rejects: beside the catalog's reasons, half the rate must reach the tonal band's upper limit."""
+    low = F.when(F.col("sample_rate_hz") / 2 < core_tonal_upper_hz, "sample rate too low for the tonal band")
+    return admit_recordings(catalog.withColumn("reason", F.coalesce("reason", low)), strict=False)
+
+
 class _Range(InputPartition):
     def __init__(self, path: str, chunk_no: int, first: int, count: int, offset: int):
         self.path, self.chunk_no, self.first, self.count, self.offset = path, chunk_no, first, count, offset
@@ -140,9 +148,9 @@ def pcm_chunks(spark: SparkSession, root: str, chunk_samples: int) -> DataFrame:
     return rows.select("path", "chunk_no", F.substring(F.col("data"), (1 + 2 * chunk_samples * F.col("chunk_no")).cast("int"), F.lit(2 * chunk_samples)).alias("pcm"))
 
 
-def clip_bag(spark: SparkSession, root: str) -> DataFrame:
-    """Ready-made clips: encounter_id from the folder, path, rate, count, sha256 and samples, for files that are admitted."""
-    good, _ = admit_recordings(recording_catalog(spark, root), strict=False)
+def clip_bag(spark: SparkSession, root: str, core_tonal_upper_hz: float = MIN_RATE / 2, encounter_id: str | None = None) -> DataFrame:
+    """Ready-made clips: encounter_id as given or from the folder, path, rate, count, sha256 and samples, for files that are admitted."""
+    good, _ = admit_clips(recording_catalog(spark, root, min_rate=1, encounter_id=encounter_id), core_tonal_upper_hz)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     joined = good.join(files.select("path", "content"), "path")
     return joined.withColumn("pcm", F.expr("substring(content, int(data_offset + 1), int(2 * sample_count))")).drop("content", "data_offset")
@@ -164,7 +172,7 @@ def model_tables(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame,
     rows = model.select(F.posexplode(zipped).alias("pos", "x"))
     encoder = rows.select("pos", F.col("x.numeric_features").alias("name"), F.col("x.numeric_medians").alias("median"), F.col("x.numeric_means").alias("mean"), F.col("x.numeric_standard_deviations").alias("sd"))
     heads = model.select("label_order", F.posexplode("classifier.heads").alias("label_idx", "h"))
-    heads = heads.select("label_idx", F.get("label_order", F.col("label_idx")).alias("label"), F.get("h.intercept", F.lit(0)).alias("intercept"), F.posexplode(F.get("h.coefficient", F.lit(0))).alias("pos", "coef"))
+    heads = heads.select("label_idx", F.get("label_order", F.col("label_idx")).alias("label"), F.col("h.kind").alias("kind"), F.get("h.intercept", F.lit(0)).alias("intercept"), F.posexplode(F.get("h.coefficient", F.lit(0))).alias("pos", "coef"))
     f = "feature_extraction."
-    settings = model.select("schema_version", "model_id", "model_type", f + "per_whistle_features", f + "aggregation_statistics", F.col(f + "add_missing_fraction_per_feature").alias("add_missing_fraction"), F.col(f + "audit").alias("audit"), F.col(f + "descriptive_flags").alias("flags"), "training", "score_semantics")
+    settings = model.select("schema_version", "model_id", "model_type", f + "per_whistle_features", f + "aggregation_statistics", F.col(f + "add_missing_fraction_per_feature").alias("add_missing_fraction"), F.col(f + "audit").alias("audit"), F.col(f + "descriptive_flags").alias("flags"), "training", "score_semantics", "encoder", F.col("classifier.heads").isNotNull().alias("has_heads"))
     return encoder, heads, settings.crossJoin(digest)  # one row each

@@ -38,13 +38,13 @@ def test_bag_of_one_feature(spark):
 
 
 def test_scores_and_faulty_heads(spark):
-    heads = [(h, label, p, 0.0, 0.2 * h) for h, label in enumerate(model.LABELS) for p in range(2)]
-    schema = "label_idx int, label string, pos int, coef double, intercept double"
+    heads = [(h, label, p, 0.0, 0.2 * h, "logistic_regression") for h, label in enumerate(model.LABELS) for p in range(2)]
+    schema = "label_idx int, label string, pos int, coef double, intercept double, kind string"
     encoded = spark.createDataFrame([("e", 0, "x", 3.0), ("e", 1, "x__missing", 0.0)], "encounter_id string, pos int, name string, value double")
     got = {r.label: r.score for r in model.linear_heads(encoded, "encounter_id", spark.createDataFrame(heads, schema)).collect()}
     assert all(abs(got[label] - 1 / (1 + math.exp(-0.2 * h))) < 1e-12 for h, label in enumerate(model.LABELS))
     assert model.validate_heads(spark.createDataFrame(heads, schema), 2).count() == 0
-    bad = [(h, label, p, c, float("nan") if h == 1 else i) for h, label, p, c, i in heads]
+    bad = [(h, label, p, c, float("nan") if h == 1 else i, k) for h, label, p, c, i, k in heads]
     assert [tuple(r) for r in model.validate_heads(spark.createDataFrame(bad, schema), 2).collect()] == [("intercept is not finite", "Travelling")]
 
 
