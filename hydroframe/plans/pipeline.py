@@ -73,7 +73,10 @@ def assemble_predictions(scores: DataFrame, summary: DataFrame, warnings: DataFr
 
 
 def predict_bags(features: DataFrame, encoder: DataFrame, heads: DataFrame, settings: DataFrame, details: bool = False) -> DataFrame:
-    """assemble_predictions of every encounter with clips; with ``details`` the list of its clips as well."""
+    """assemble_predictions of every encounter with clips; with ``details`` the list of its clips as well.
+
+    Every rule reads ``features``, so give a written table, lest the audio be gone through for each.
+    """
     key = "encounter_id"
     encoded = model.encode(bags.long_form(bags.bag_statistics(features, key, list(FEATURES)), key), key, encoder)
     rates = settings.select(F.explode("training.native_sample_rates_hz").alias("sample_rate_hz"))
