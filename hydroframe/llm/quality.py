@@ -2,8 +2,9 @@
 
 Documents are described by a vector of transformed statistics. For each language and source the
 minimum covariance determinant estimate gives a centre and a covariance that outliers can't pull:
-from medians and absolute deviations, a few concentration steps keep the most central share of the
-rows and estimate anew. A document far from its group's centre by Mahalanobis distance is rejected.
+from several starts by medians and absolute deviations, concentration steps keep the most central
+share of the rows and estimate anew; the result with the least determinant counts. A document far
+from its group's centre by Mahalanobis distance is rejected.
 All of it is aggregates and joins on the narrow table of statistics.
 """
 
@@ -14,16 +15,18 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hydroframe.llm.shared import BLANKS, materialize, table, text_of, words_of
+from hydroframe.llm.shared import BLANKS, materialize, release, table, text_of, words_of
 
 WINDOW_WORDS = 8
 MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
-#: Share of the rows that a concentration step keeps, number of steps.
+#: Share of the rows that a concentration step keeps, number of steps of each start and after the choice.
 CENTRAL, STEPS = 0.75, 3
-#: Groups with fewer rows are estimated together.
-LEAST_ROWS = 50
+#: Rows that the estimate of all groups weighs in each group's.
+SHRINK_ROWS = 10
+#: The group of all rows; other groups have a separator in their names.
+EVERY = "*"
 #: Probability under the normal model beyond which a document is rejected.
-REJECT = 1e-9
+REJECT = 1e-3
 #: The vector's entries with the least standard deviation that an estimate may have, so that a
 #: statistic that hardly varies in a group doesn't make outliers of ordinary documents.
 FEATURES = {"x_words": 0.5, "x_length": 0.08, "x_symbols": 0.35, "x_repeats": 0.25, "x_lines": 0.35}
@@ -106,16 +109,20 @@ def _distance(names: list[str]) -> Column:
     return total
 
 
-def _estimate(rows: DataFrame, names: list[str], scale: float, label: str) -> DataFrame:
-    """Centre and inverse Cholesky factor of each group's covariance times ``scale``, one row a group."""
+def _moments(rows: DataFrame, names: list[str], scale: float, keys: list[str]) -> DataFrame:
+    """Rows, centre and covariance times ``scale`` of each group: n, m_i, c_i_j."""
     p = len(names)
     sums = [F.avg(c).alias(f"m_{i}") for i, c in enumerate(names)]
-    sums += [F.covar_pop(names[i], names[j]).alias(f"c_{i}_{j}") for i in range(p) for j in range(i + 1)]
-    est = rows.groupBy("grp").agg(*sums)
+    sums += [(scale * F.covar_pop(names[i], names[j])).alias(f"c_{i}_{j}") for i in range(p) for j in range(i + 1)]
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *sums)
+
+
+def _factor(est: DataFrame, p: int) -> DataFrame:
+    """Adds the inverse Cholesky factor w_i_j and logdet of each covariance, with the least variances added to its diagonal."""
     floors = list(FEATURES.values())
-    for i in range(p):  # Cholesky factor, column by column, with the least variance added to the diagonal
+    for i in range(p):
         for j in range(i + 1):
-            s = F.col(f"c_{i}_{j}") * scale + (floors[i] ** 2 if i == j else 0.0)
+            s = F.col(f"c_{i}_{j}") + (floors[i] ** 2 if i == j else 0.0)
             for k in range(j):
                 s = s - F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}")
             est = est.withColumn(f"l_{i}_{j}", F.sqrt(F.greatest(s, F.lit(1e-12))) if i == j else s / F.col(f"l_{j}_{j}"))
@@ -125,50 +132,89 @@ def _estimate(rows: DataFrame, names: list[str], scale: float, label: str) -> Da
             for k in range(j, i):
                 s = s - F.col(f"l_{i}_{k}") * F.col(f"w_{k}_{j}")
             est = est.withColumn(f"w_{i}_{j}", s / F.col(f"l_{i}_{i}"))
-    keep = ["grp", *[f"m_{i}" for i in range(p)], *[f"w_{i}_{j}" for i in range(p) for j in range(i + 1)]]
-    return materialize(est.select(*keep), label)
+    est = est.withColumn("logdet", sum(2 * F.log(F.col(f"l_{i}_{i}")) for i in range(p)))
+    return est.drop(*[f"l_{i}_{j}" for i in range(p) for j in range(i + 1)])
 
 
-def _central(rows: DataFrame, distance: Column, share: float) -> DataFrame:
-    """The ``share`` of each group's rows with the least distance."""
-    rows = rows.withColumn("d2", distance)
-    cut = materialize(rows.groupBy("grp").agg(F.percentile_approx("d2", share, 2000).alias("cut")), "mcd-cut")
-    return rows.join(cut, "grp").where("d2 <= cut")
+def _median(c: str | Column, share: float = 0.5) -> Column:
+    """A quantile of values to three places: exact, alike in any order of the rows, and bounded in its table of counts."""
+    return F.percentile(F.round(c, 3), share)
+
+
+def _central(rows: DataFrame, distance: Column, share: float, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The ``share`` of each group's rows with the least distance, and the written table of cuts."""
+    rows = rows.withColumn("d2", F.log(distance + 1e-9))
+    cut = materialize(rows.groupBy(*keys).agg(_median("d2", share).alias("cut")), "mcd-cut")
+    return rows.join(cut, keys).where("round(d2, 3) <= cut"), cut
 
 
 def robust_estimates(rows: DataFrame, names: list[str] | None = None) -> DataFrame:
-    """Reweighted minimum covariance determinant estimates of each ``grp``."""
+    """Reweighted minimum covariance determinant estimates of each ``grp``: n, centre, covariance, its factor and logdet.
+
+    Each of three starts, by different norms around the medians, gives a first central share of the rows, from which concentration steps go on; of
+    the results the one with the least determinant is taken and concentrated further.
+    """
     names = names or list(FEATURES)
-    p = len(names)
-    medians = materialize(rows.groupBy("grp").agg(*[F.percentile_approx(c, 0.5, 2000).alias(f"m_{i}") for i, c in enumerate(names)]), "mcd-median")
-    placed = rows.select("grp", *names).join(medians, "grp")
-    spread = materialize(placed.groupBy("grp").agg(*[F.percentile_approx(F.abs(F.col(c) - F.col(f"m_{i}")), 0.5, 2000).alias(f"s_{i}") for i, c in enumerate(names)]), "mcd-spread")
+    p, rows = len(names), rows.select("grp", *names)
+    medians = materialize(rows.groupBy("grp").agg(*[_median(c).alias(f"m_{i}") for i, c in enumerate(names)]), "mcd-median")
+    placed = rows.join(medians, "grp")
+    spread = materialize(placed.groupBy("grp").agg(*[_median(F.abs(F.col(c) - F.col(f"m_{i}"))).alias(f"s_{i}") for i, c in enumerate(names)]), "mcd-spread")
     floors = list(FEATURES.values())
-    start = sum(((F.col(c) - F.col(f"m_{i}")) / F.greatest(1.4826 * F.col(f"s_{i}"), F.lit(floors[i]))) ** 2 for i, c in enumerate(names))
+    z = [F.abs(F.col(c) - F.col(f"m_{i}")) / F.greatest(1.4826 * F.col(f"s_{i}"), F.lit(floors[i])) for i, c in enumerate(names)]
     # a truncated normal sample has too small a covariance: the usual factors set it right
     factor = lambda a: a / chi2_cdf(chi2_quantile(a, p), p + 2)
-    est = _estimate(_central(placed.join(spread, "grp"), start, CENTRAL), names, factor(CENTRAL), "mcd-start")
+    starts = {"euclid": sum(x * x for x in z), "city": sum(z) * sum(z), "most": F.greatest(*z) ** 2}
+    both = ["grp", "start"]
+    first = placed.join(spread, "grp").select("grp", *names, F.explode(F.array(*[F.struct(F.lit(k).alias("start"), d.alias("d")) for k, d in starts.items()])).alias("x"))
+    central, cut = _central(first.select("grp", *names, "x.start", "x.d"), F.col("d"), CENTRAL, both)
+    est = materialize(_factor(_moments(central, names, factor(CENTRAL), both), p), "mcd-start")
+    release(cut)
+
+    def concentrate(est: DataFrame, keys: list[str], label: str) -> DataFrame:
+        central, cut = _central(rows.join(est, "grp").select(*keys, *names, _distance(names).alias("d")), F.col("d"), CENTRAL, keys)
+        out = materialize(_factor(_moments(central, names, factor(CENTRAL), keys), p), label)
+        release(cut, est)
+        return out
+
     for step in range(STEPS):
-        est = _estimate(_central(rows.select("grp", *names).join(est, "grp"), _distance(names), CENTRAL), names, factor(CENTRAL), f"mcd-step{step}")
-    near = rows.select("grp", *names).join(est, "grp").where(_distance(names) <= chi2_quantile(0.975, p))
-    return _estimate(near, names, factor(0.975), "mcd-final")
+        est = concentrate(est, both, f"mcd-step{step}")
+    best = est.groupBy("grp").agg(F.min(F.struct(F.round("logdet", 9).alias("d"), "start")).alias("b")).select("grp", F.col("b.start").alias("start"))
+    least = materialize(est.join(best, both).drop("start"), "mcd-least")
+    release(est, medians, spread)
+    for step in range(STEPS):
+        least = concentrate(least, ["grp"], f"mcd-last{step}")
+    near = rows.join(least, "grp").where(_distance(names) <= chi2_quantile(0.975, p)).select("grp", *names)
+    out = materialize(_factor(_moments(near, names, factor(0.975), ["grp"]), p), "mcd-final")
+    release(least)
+    return out
+
+
+def _shrunk(est: DataFrame, p: int) -> DataFrame:
+    """Each group's estimate mixed with that of all groups together, which weighs as SHRINK_ROWS rows: few rows, little say."""
+    pooled = est.where(F.col("grp") == EVERY).select(*[F.col(c).alias(f"all_{c}") for c in est.columns if c[:2] in ("m_", "c_")])
+    a = F.col("n") / (F.col("n") + SHRINK_ROWS)
+    rows = est.crossJoin(F.broadcast(pooled))  # one row
+    apart = [F.col(f"m_{i}") - F.col(f"all_m_{i}") for i in range(p)]
+    centre = [(a * F.col(f"m_{i}") + (1 - a) * F.col(f"all_m_{i}")).alias(f"m_{i}") for i in range(p)]
+    spread = [(a * F.col(f"c_{i}_{j}") + (1 - a) * F.col(f"all_c_{i}_{j}") + a * (1 - a) * apart[i] * apart[j]).alias(f"c_{i}_{j}") for i in range(p) for j in range(i + 1)]
+    return _factor(rows.select("grp", *centre, *spread), p)
 
 
 def quality_rules(documents: DataFrame) -> DataFrame:
-    """Per document the counts, base_failed, distance (squared, null where not estimated) and kept.
+    """Per document the counts, base_failed, distance (squared, null where base_failed) and kept.
 
-    Groups of a language and source with under LEAST_ROWS rows that pass the base rules are estimated
-    together; if even those are fewer, the documents stay. Null languages and sources are values of
-    their own. An empty table gives an empty result; other columns are ignored.
+    Every language and source has its own estimate, mixed with that of all rows. Null languages and
+    sources are values of their own. An empty table gives an empty result; a single document stays;
+    repeated rows count each; other columns are ignored.
     """
+    names = list(FEATURES)
     rows = materialize(_vector(text_statistics(documents)), "quality-statistics")
-    counts = materialize(rows.where("NOT base_failed").groupBy("grp").agg(F.count(F.lit(1)).alias("n_grp")), "quality-groups")
-    rows = rows.join(counts, "grp", "left").withColumn("grp", F.when(F.col("n_grp") >= LEAST_ROWS, F.col("grp")).otherwise("small")).drop("n_grp")
-    est = robust_estimates(rows.where("NOT base_failed"))
-    enough = rows.where("NOT base_failed").groupBy("grp").agg(F.count(F.lit(1)).alias("n_est")).where(F.col("n_est") >= LEAST_ROWS)
-    est = materialize(est.join(enough, "grp"), "quality-estimates")
-    far = chi2_quantile(1 - REJECT, len(FEATURES))
-    out = rows.join(est, "grp", "left").withColumn("distance", _distance(list(FEATURES)))
+    sound = rows.where("NOT base_failed").select(F.explode(F.array("grp", F.lit(EVERY))).alias("grp"), *names)
+    robust = robust_estimates(sound)
+    est = materialize(_shrunk(robust, len(names)), "quality-estimates")
+    release(robust)
+    far = chi2_quantile(1 - REJECT, len(names))
+    out = rows.join(est, "grp", "left").withColumn("distance", F.when(~F.col("base_failed"), _distance(names)))
     kept = ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= far)
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", kept.alias("kept"))
 
