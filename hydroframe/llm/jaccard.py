@@ -40,6 +40,8 @@ SHARED = 0.5
 #: Bits of a set's bitmap, the least and the most; between them about as many as the set has tokens.
 #: More bits rule out more pairs, and change nothing else.
 BITMAPS = (512, 4096)
+#: Candidate pairs that a task adds up before it passes them on; changes how often a pair is passed on, and nothing else.
+HELD_PAIRS = 500_000
 
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], np.uint64)
 
@@ -328,6 +330,17 @@ def within_reach(size_a, size_b, percent: int = PERCENT):
     return least, size_a - need + least, size_b - need + least
 
 
+def added_up(parts: list[list[np.ndarray]]) -> list[np.ndarray]:
+    """Of columns (a, b, shared, least), a row a pair: the sum of shared and the least of least."""
+    a, b, shared, least = (np.concatenate(c) for c in zip(*parts, strict=True))
+    if not len(a):
+        return [a, b, shared, least]
+    order = np.lexsort((b, a))
+    a, b, shared, least = a[order], b[order], shared[order], least[order]
+    first = np.nonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))[0]
+    return [a[first], b[first], np.add.reduceat(shared, first), np.minimum.reduceat(least, first)]
+
+
 def _candidates(lists: DataFrame, percent: int) -> DataFrame:
     """Pairs of leaders of different components that share enough tokens for some of their sets to link.
 
@@ -369,12 +382,21 @@ def _candidates(lists: DataFrame, percent: int) -> DataFrame:
             rows = rows[np.lexsort(rows.T[::-1])]
             # once a list, with the least of its bounds, then all lists of this batch together
             rows = rows[np.concatenate([[True], (rows[1:, :3] != rows[:-1, :3]).any(axis=1)])][:, 1:]
-            rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
-            first = np.nonzero(np.concatenate([[True], (rows[1:, :2] != rows[:-1, :2]).any(axis=1)]))[0]
-            return [rows[first, 0], rows[first, 1], np.diff(np.append(first, len(rows))), np.minimum.reduceat(rows[:, 2], first)]
+            return added_up([[rows[:, 0], rows[:, 1], np.ones(len(rows), np.int64), rows[:, 2]]])
+
+        def passed_on(cols):
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["a", "b", "shared", "least"])
 
+        held, loose = [[np.empty(0, np.int64)] * 4], 0
         for cols in whole_lists(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in pairs(cols)], ["a", "b", "shared", "least"])
+            held.append(pairs(cols))
+            loose += len(held[-1][0])
+            if loose >= HELD_PAIRS:
+                held, loose = [added_up(held)], 0
+                if len(held[0][0]) >= HELD_PAIRS:
+                    yield passed_on(held[0])
+                    held = [[np.empty(0, np.int64)] * 4]
+        yield passed_on(added_up(held))
 
     n = int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = lists.select("token", "size", "place", "center", "comp", "set", "pivot", "apart", "bits").repartition(n, "token").sortWithinPartitions("token", "size", "set")
