@@ -130,3 +130,17 @@ def test_bitmaps_differ_in_no_more_bits_than_sets_in_tokens():
         got = jaccard.differing_bits(np.concatenate(bits), np.cumsum(words) - words, words, 0, np.array([1, 2]) if words[1] >= words[0] else np.array([0, 2]))
         assert got[0] <= len(np.setxor1d(a, b)) and got[1] <= len(np.setxor1d(a, c)) and got[1] > got[0]
     assert len(jaccard.bitmap(np.empty(0, np.uint64))) * 8 == jaccard.BITMAPS[0] and len(jaccard.bitmap(a)) > 64
+
+
+def test_candidate_pairs_are_added_up_whole():
+    rng = random.Random(5)
+    rows = [(rng.randrange(6), rng.randrange(6), rng.randrange(1, 4), rng.randrange(1, 9)) for _ in range(400)]
+    wanted = {}
+    for a, b, shared, least in rows:
+        n, m = wanted.get((a, b), (0, least))
+        wanted[a, b] = (n + shared, min(m, least))
+    cols = lambda part: [np.array(c, np.int64) for c in zip(*part, strict=True)]
+    found = jaccard.added_up([cols(rows[:150]), [np.empty(0, np.int64)] * 4, cols(rows[150:])])
+    assert {(a, b): (n, m) for a, b, n, m in zip(*(c.tolist() for c in found), strict=True)} == wanted
+    assert len(found[0]) == len(wanted)
+    assert [len(c) for c in jaccard.added_up([[np.empty(0, np.int64)] * 4])] == [0] * 4
