@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from hydroframe.llm.chat import OP3_SQL, op3_chat_format
 from hydroframe.llm.exact_dedup import OP1_SQL, op1_exact_dedup
+from hydroframe.llm.fim import OP12_SQL, op12_fill_in_middle
 from hydroframe.llm.fixity import OP7_SQL, op7_warc_fixity
 from hydroframe.llm.jaccard import op6_jaccard_join
 from hydroframe.llm.mixing import OP8_SQL, op8_mix_sources
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_mix_sources": op8_mix_sources,
     "op9_secret_scan": op9_secret_scan,
     "op10_toxicity": op10_toxicity,
+    "op12_fill_in_middle": op12_fill_in_middle,
 }
 
 ORACLES = {
@@ -31,4 +33,5 @@ ORACLES = {
     "op3_chat_format": OP3_SQL,
     "op7_warc_fixity": OP7_SQL,
     "op8_mix_sources": OP8_SQL,
+    "op12_fill_in_middle": OP12_SQL,
 }
