@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from hydroframe.llm.bitslice import OP13_SQL, op13_bit_sliced_search
 from hydroframe.llm.chat import OP3_SQL, op3_chat_format
 from hydroframe.llm.exact_dedup import OP1_SQL, op1_exact_dedup
 from hydroframe.llm.fim import OP12_SQL, op12_fill_in_middle
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_secret_scan": op9_secret_scan,
     "op10_toxicity": op10_toxicity,
     "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_bit_sliced_search": op13_bit_sliced_search,
 }
 
 ORACLES = {
@@ -34,4 +36,5 @@ ORACLES = {
     "op7_warc_fixity": OP7_SQL,
     "op8_mix_sources": OP8_SQL,
     "op12_fill_in_middle": OP12_SQL,
+    "op13_bit_sliced_search": OP13_SQL,
 }
