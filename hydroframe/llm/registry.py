@@ -14,6 +14,7 @@ from hydroframe.llm.pii import op4_personal_data
 from hydroframe.llm.quality import op5_quality_rules
 from hydroframe.llm.secrets import op9_secret_scan
 from hydroframe.llm.toxicity import op10_toxicity
+from hydroframe.llm.trie import OP11_SQL, op11_conversation_trie
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_mix_sources": op8_mix_sources,
     "op9_secret_scan": op9_secret_scan,
     "op10_toxicity": op10_toxicity,
+    "op11_conversation_trie": op11_conversation_trie,
     "op12_fill_in_middle": op12_fill_in_middle,
     "op13_bit_sliced_search": op13_bit_sliced_search,
 }
@@ -35,6 +37,7 @@ ORACLES = {
     "op3_chat_format": OP3_SQL,
     "op7_warc_fixity": OP7_SQL,
     "op8_mix_sources": OP8_SQL,
+    "op11_conversation_trie": OP11_SQL,
     "op12_fill_in_middle": OP12_SQL,
     "op13_bit_sliced_search": OP13_SQL,
 }
