@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from hydroframe.llm.shared import fresh_name, materialize, table, text_of, words_of
+from hydroframe.llm.shared import fresh_name, materialize, release, table, text_of, words_of
 
 #: Weights of the sources in order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -79,7 +79,7 @@ def thresholds(sized: DataFrame, wanted: DataFrame) -> DataFrame:
             .agg(F.min(F.struct("bucket", F.col("words"), (F.col("sum") - F.col("words")).alias("below"))).alias("at"))
         )
         # without a crossing all that is left is taken: the threshold lies above every hash
-        state = materialize(
+        before, state = state, materialize(
             state.join(cross, "key", "left").select(
                 "key", "source_size", "target", "copies",
                 (F.col("rest") - F.coalesce("at.below", F.lit(0))).alias("rest"),
@@ -88,8 +88,12 @@ def thresholds(sized: DataFrame, wanted: DataFrame) -> DataFrame:
             ),
             f"mix-level{level}",
         )
+        if level > 1:
+            release(before)
     above = (F.col("words").isNotNull() & (2 * F.col("rest") >= F.col("words"))).cast("long")
-    return materialize(state.select("key", "source_size", "target", "copies", (F.col("prefix") + above).alias("threshold")), "mix-thresholds")
+    found = materialize(state.select("key", "source_size", "target", "copies", (F.col("prefix") + above).alias("threshold")), "mix-thresholds")
+    release(state)
+    return found
 
 
 def mix_plan(documents: DataFrame) -> DataFrame:
@@ -99,20 +103,24 @@ def mix_plan(documents: DataFrame) -> DataFrame:
     words, a null source is a source of its own. An empty table gives an empty result; other columns
     are carried along.
     """
-    text = text_of()
-    sized = documents.select(
-        F.col("source").cast("string").alias("source"), F.size(words_of(text)).cast("long").alias("size"), hash_of(F.col("doc_id"), text).alias("hash")
-    )
-    sized = materialize(sized, "mix-sizes")
+    sized = materialize(documents.select(F.col("source").cast("string").alias("source"), *measures()), "mix-sizes")
     wanted = materialize(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"))), "mix-targets")
     # one row a source: Spark broadcasts it if its measured size allows
-    limits = thresholds(sized, wanted).select(F.col("key").alias("_key"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), F.col("copies").alias("_base"), F.col("threshold").alias("_threshold"))
+    limits = thresholds(sized, wanted)
+    release(sized, wanted)
+    # the caller's columns stand in one struct, where their names meet no others
+    own = [F.col(f"`{c}`") for c in documents.columns]
+    rows = documents.select(F.struct(*own).alias("row"), *measures(), source_key(F.col("source").cast("string")).alias("key")).join(limits, "key")
+    copies = F.least(F.col("copies") + (F.col("hash") < F.col("threshold")).cast("long"), F.lit(int(MOST)))
+    made = zip(("size", "source_size", "target", "copies"), ("size", "source_size", "target", copies), strict=True)
     names = plan_columns(documents)
-    rows = documents.select("*", F.size(words_of(text)).cast("long").alias(names["size"]), hash_of(F.col("doc_id"), text).alias("_hash"), source_key(F.col("source").cast("string")).alias("_key"))
-    taken = F.col("_base") + (rows["_hash"] < F.col("_threshold")).cast("long")
-    own = [rows[f"`{c}`"] for c in [*documents.columns, names["size"]]]
-    limits = limits.withColumnsRenamed({"_key": "_limit_key"})
-    return rows.join(limits, rows["_key"] == limits["_limit_key"]).select(*own, limits["_source_size"].alias(names["source_size"]), limits["_target"].alias(names["target"]), F.least(taken, F.lit(int(MOST))).alias(names["copies"]))
+    return rows.select(*[F.col(f"row.`{c}`") for c in documents.columns], *[(F.col(x) if isinstance(x, str) else x).alias(names[n]) for n, x in made])
+
+
+def measures() -> list[Column]:
+    """size and hash of a document."""
+    text = text_of()
+    return [F.size(words_of(text)).cast("long").alias("size"), hash_of(F.col("doc_id"), text).alias("hash")]
 
 
 def plan_columns(documents: DataFrame) -> dict[str, str]:
@@ -123,8 +131,9 @@ def plan_columns(documents: DataFrame) -> dict[str, str]:
 def mixed_documents(documents: DataFrame) -> DataFrame:
     """The mix itself: each document as often as it is taken, with all its columns, whatever their names."""
     copies = F.col(plan_columns(documents)["copies"])
+    own = [F.col(f"`{c}`") for c in documents.columns]
     plan = mix_plan(documents).where(copies > 0)
-    return plan.select(*[F.col(f"`{c}`") for c in documents.columns], F.explode(F.sequence(F.lit(1), copies.cast("int"))).alias(fresh_name(documents, "_copy"))).select(*[F.col(f"`{c}`") for c in documents.columns])
+    return plan.select(*own, F.explode(F.sequence(F.lit(1), copies.cast("int"))).alias(fresh_name(documents, "_copy"))).select(*own)
 
 
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,9 @@
 from collections import Counter, defaultdict
 
+from pyspark.sql import functions as F
+
 from hydroframe.llm import mixing
+from hydroframe.llm.shared import shared_root
 from tests.llm.helpers import ODD_TEXTS, WORD
 
 SCHEMA = "doc_id long, text string, source string, _size string, `Hash.x` int"
@@ -46,3 +49,28 @@ def test_sources_come_near_their_targets(spark):
     mixed = mixing.mixed_documents(docs)
     assert mixed.columns == docs.columns and sum(size(r.text) for r in mixed.collect()) == sum(taken.values())
     assert mixing.mixed_documents(docs.where("false")).count() == 0
+
+
+def test_names_of_helpers_may_stand_in_the_documents(spark):
+    docs = spark.createDataFrame([(k, "w " * (k % 9), f"s{k % 3}") for k in range(60)], "doc_id long, text string, source string")
+    want = sorted((r.doc_id, r._target, r._copies) for r in mixing.mix_plan(docs).collect())
+    names = ["_hash", "_key", "_base", "_threshold", "_limit_key", "key", "hash", "size", "row", "copies", "target", "threshold", "source_size", "prefix", "rest", "words", "_copy", "_size", "_Target", "row.x", "bucket", "at"]
+    odd = docs.select("*", *[F.lit("mine").alias(n) for n in names])
+    got = mixing.mix_plan(odd)
+    assert got.columns[: len(odd.columns)] == odd.columns and len({c.lower() for c in got.columns}) == len(odd.columns) + 4
+    rows = got.collect()
+    target, copies = got.columns[-2:]
+    assert sorted((r.doc_id, r[target], r[copies]) for r in rows) == want and all(r[n] == "mine" for r in rows for n in names)
+    mixed = mixing.mixed_documents(odd)
+    assert mixed.columns == odd.columns and mixed.count() == sum(n for *_, n in want)
+
+
+def test_only_what_the_result_reads_stays(spark):
+    import os
+
+    there = lambda: {x for x in os.listdir(shared_root(spark).removeprefix("file:")) if x.startswith("mix_")}
+    docs = spark.createDataFrame([(k, "w " * (k % 9), "s") for k in range(60)], "doc_id long, text string, source string")
+    mixing.mix_plan(docs.limit(1)).count()  # makes the folder
+    before = there()
+    plan = mixing.mix_plan(docs)
+    assert [x.split("_")[1] for x in there() - before] == ["thresholds"] and plan.count() == 60
