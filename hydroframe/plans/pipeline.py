@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hydroframe.operators import bags, clips, events, frames, model, quality, spectral
+from hydroframe.sources.recordings import read_samples
 
 #: Fixed texts that stand in every prediction.
 INTERPRETATION = {
@@ -95,17 +96,19 @@ def with_empty(predictions: DataFrame, empty: DataFrame, settings: DataFrame) ->
     return predictions.unionByName(rows, allowMissingColumns=True)
 
 
-def recordings_to_detections(recordings: DataFrame, chunks: DataFrame, chunk_samples: int, detector, stride_s: float = 1.0, confidence: float = 0.25, fmax: float = 30_000.0) -> DataFrame:
+def recordings_to_detections(recordings: DataFrame, chunks: DataFrame | None, chunk_samples: int | None, detector, stride_s: float = 1.0, confidence: float = 0.25, fmax: float = 30_000.0) -> DataFrame:
     """Windows of every recording, their spectrograms, the supplied detector's boxes, and these as detections.
 
-    ``recordings``: recording_id, sample_rate_hz, sample_count; ``chunks``: recording_id, chunk_no, pcm.
+    ``recordings``: recording_id, sample_rate_hz, sample_count; ``chunks``: recording_id, chunk_no, pcm, or
+    none, then windows are read from the recordings' files (path, data_offset) by range.
     ``detector`` takes an iterator of pandas frames (recording_id, window_index, grid, t0, t1, f0, f1) and
     gives frames of BOXES.
     """
     length, hop = (F.greatest(F.lit(1), F.rint(x * F.col("sample_rate_hz")).cast("long")) for x in (WINDOW_S, stride_s))
     windows = recordings.select("recording_id", "sample_rate_hz", F.col("sample_count").cast("long").alias("total_samples"), length.alias("length"), F.posexplode(frames.sliding_windows(F.col("sample_count").cast("long"), length, hop)).alias("window_index", "start_sample"))
     windows = windows.withColumn("valid_samples", F.least("length", F.col("total_samples") - F.col("start_sample"))).drop("length")
-    cut = frames.extract_clips(windows.withColumn("first_sample", F.col("start_sample")).withColumn("stop_sample", F.col("start_sample") + F.col("valid_samples")), chunks, chunk_samples)
+    asked = windows.withColumn("first_sample", F.col("start_sample")).withColumn("stop_sample", F.col("start_sample") + F.col("valid_samples"))
+    cut = read_samples(asked, recordings) if chunks is None else frames.extract_clips(asked, chunks, chunk_samples)
     boxes = events.detect_windows(spectral.window_spectrograms(cut), detector, BOXES)
     boxes = boxes.withColumn("seq", F.col("window_index").cast("long") * BOXES_A_WINDOW + F.col("box"))
     bounds = dict(zip(("t0", "t1", "f0", "f1"), map(F.lit, spectral.window_bounds()), strict=True))
@@ -113,15 +116,16 @@ def recordings_to_detections(recordings: DataFrame, chunks: DataFrame, chunk_sam
     return events.detections(events.boxes_to_intervals(admitted), fmax)
 
 
-def recordings_to_clips(recordings: DataFrame, detections: DataFrame, chunks: DataFrame, chunk_samples: int, padding: float = 0.25, merge: dict = events.MERGE) -> DataFrame:
+def recordings_to_clips(recordings: DataFrame, detections: DataFrame, chunks: DataFrame | None, chunk_samples: int | None, padding: float = 0.25, merge: dict = events.MERGE) -> DataFrame:
     """Merged, padded, named and cut events of all recordings.
 
     ``recordings``: encounter_id, recording_id, path, sample_rate_hz, sample_count, duration_seconds;
-    ``detections``: as of events.detections; ``chunks``: recording_id, chunk_no, pcm.
+    ``detections``: as of events.detections; ``chunks``: recording_id, chunk_no, pcm, or none, then clips are
+    read from the recordings' files (path, data_offset) by range.
     """
     merged = events.merge_events(detections, merge)
     numbered = frames.source_index(recordings, "encounter_id", "path").withColumnRenamed("path", "source_path")
     padded = frames.pad_and_clip(merged.join(numbered, "recording_id"), padding)
     named = padded.withColumn("path", F.concat(frames.clip_name(F.col("source_index"), F.col("event_id")), F.lit(".wav")))
-    cut = frames.extract_clips(named, chunks, chunk_samples)
+    cut = read_samples(named, recordings) if chunks is None else frames.extract_clips(named, chunks, chunk_samples)
     return cut.withColumn("sha256", F.sha2("pcm", 256)).withColumn("sample_count", F.col("stop_sample") - F.col("first_sample"))

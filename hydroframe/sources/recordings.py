@@ -2,73 +2,29 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from hydroframe.operators.bags import resolve_encounter_id
+from hydroframe.sources.ranges import file_headers, read_ranges
 
 #: Least sample rate of a recording.
 MIN_RATE = 80_000
-#: The extensible format's number, and the subformat by which it holds plain PCM.
-EXTENSIBLE, PCM_GUID = 0xFFFE, bytes.fromhex("0100000000001000800000aa00389b71")
-WALK = "struct<at: bigint, format: bigint, channels: bigint, rate: bigint, bits: bigint, offset: bigint, size: bigint>"
-
 
 def discover_recordings(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
     """path and length of the .wav files below ``root``, the suffix in any case, by case-folded path; contents aren't read."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[wW][aA][vV]").option("recursiveFileLookup", str(recursive).lower()).load(root)
-    return files.select("path", "length").orderBy(F.lower("path"), "path")
-
-
-def _bytes(content: Column, at: Column, size: int) -> Column:
-    return F.substring(content, (at + 1).cast("int"), F.lit(size))
-
-
-def _number(content: Column, at: Column, size: int) -> Column:
-    """A little-endian unsigned number at a byte offset."""
-    return F.conv(F.concat(*[F.hex(_bytes(content, at + k, 1)) for k in reversed(range(size))]), 16, 10).cast("long")
-
-
-def _walk(content: Column) -> Column:
-    """The fields of the format chunk, and offset and bytes of the data chunk, null if it is missing; chunks after it aren't read.
+    return wav_files(spark, root, recursive).orderBy(F.lower("path"), "path")
 
-    Steps are nested, for as many chunks as the file can hold: a finished walk passes the outer ones only.
-    """
-    length = F.octet_length(content)
-
-    def step(a):
-        at = a["at"]
-        name, size = _bytes(content, at, 4), _number(content, at + 4, 4)
-        is_format, is_data = (name == F.lit(b"fmt ")) & (size >= 16), name == F.lit(b"data")
-        tag = _number(content, at + 8, 2)
-        plain = F.when((tag == EXTENSIBLE) & (size >= 40) & (_bytes(content, at + 32, 16) == F.lit(PCM_GUID)), 1).otherwise(tag)
-        fields = [(plain, "format"), (_number(content, at + 10, 2), "channels"), (_number(content, at + 12, 4), "rate"), (_number(content, at + 22, 2), "bits")]
-        # a chunk of odd size is followed by a byte
-        read = [F.when(is_format, x).otherwise(a[n]).alias(n) for x, n in fields]
-        return F.struct((at + 8 + size + size % 2).alias("at"), *read, F.when(is_data, at + 8).alias("offset"), F.when(is_data, size).alias("size")).cast(WALK)
 
-    ended = lambda a: a["offset"].isNotNull() | (a["at"] + 8 > length)
-    steps = F.sequence(F.lit(0), F.ceil(F.sqrt(length / 8)).cast("int"))
-    zero = F.struct(F.lit(12), *[F.lit(None)] * 6).cast(WALK)
-    return F.aggregate(steps, zero, lambda a, _: F.when(ended(a), a).otherwise(F.aggregate(steps, a, lambda b, _: F.when(ended(b), b).otherwise(step(b)))))
+def wav_files(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
+    """path and length of the .wav files below ``root``; contents aren't read, and a file may have any length."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.[wW][aA][vV]").option("recursiveFileLookup", str(recursive).lower()).load(root).select("path", "length")
 
 
-def recording_catalog(spark: SparkSession, root: str, recursive: bool = True, min_rate: int = MIN_RATE, encounter_id: str | None = None) -> DataFrame:
-    """A row per recording: path, encounter_id (as given, else its folder), rate, count, duration, sha256, data_offset (the first sample's byte) and reason, null if it is admitted.
-
-    Chunks before the data are walked over. No data chunk, not mono, not 16-bit PCM, under ``min_rate`` or empty is a reason.
-    """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[wW][aA][vV]").option("recursiveFileLookup", str(recursive).lower()).load(root)
-    c = F.col("content")
-    rows = files.select(
-        "path", resolve_encounter_id(F.lit(encounter_id), F.element_at(F.split("path", "/"), -2)).alias("encounter_id"), ((F.substring(c, 1, 4) == F.lit(b"RIFF")) & (F.substring(c, 9, 4) == F.lit(b"WAVE"))).alias("riff"), _walk(c).alias("w"), F.sha2(c, 256).alias("sha256"),
-    )
-    rows = rows.select("path", "encounter_id", "riff", "w.format", "w.channels", F.col("w.rate").alias("sample_rate_hz"), "w.bits", F.floor(F.col("w.size") / 2).alias("sample_count"), F.col("w.offset").alias("data_offset"), "sha256")
+def _catalog(headers: DataFrame, min_rate: int, encounter_id: str | None) -> DataFrame:
+    rows = headers.withColumn("sample_count", F.floor(F.col("data_bytes") / 2)).withColumn("encounter_id", resolve_encounter_id(F.lit(encounter_id), F.element_at(F.split("path", "/"), -2)))
     reason = (
-        F.when(~F.coalesce("riff", F.lit(False)) | F.col("format").isNull(), "not a WAV file")
+        F.when(~F.col("riff") | F.col("format").isNull(), "not a WAV file")
         .when(F.col("data_offset").isNull(), "no data chunk")
         .when(F.col("channels") != 1, "not mono")
         .when((F.col("format") != 1) | (F.col("bits") != 16), "not 16-bit PCM")
@@ -76,7 +32,17 @@ def recording_catalog(spark: SparkSession, root: str, recursive: bool = True, mi
         .when(F.col("sample_count") <= 0, "empty")
     )
     duration = F.try_divide(F.col("sample_count").cast("double"), F.col("sample_rate_hz").cast("double"))
-    return rows.select("path", "encounter_id", "sample_rate_hz", "sample_count", duration.alias("duration_seconds"), "sha256", "data_offset", reason.alias("reason"))
+    return rows.withColumn("duration_seconds", duration).withColumn("reason", reason)
+
+
+def recording_catalog(spark: SparkSession, root: str, recursive: bool = True, min_rate: int = MIN_RATE, encounter_id: str | None = None) -> DataFrame:
+    """A row per recording: path, encounter_id (as given, else its folder), rate, count, duration, sha256, data_offset (the first sample's byte) and reason, null if it is admitted.
+
+    Chunks before the data are walked over. No data chunk, not mono, not 16-bit PCM, under ``min_rate`` or empty is a reason.
+    Files are read in blocks, once, for their hash.
+    """
+    rows = _catalog(file_headers(wav_files(spark, root, recursive)), min_rate, encounter_id)
+    return rows.select("path", "encounter_id", "sample_rate_hz", "sample_count", "duration_seconds", "sha256", "data_offset", "reason")
 
 
 def admit_recordings(catalog: DataFrame, strict: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -94,66 +60,49 @@ def admit_clips(catalog: DataFrame, core_tonal_upper_hz: float) -> tuple[DataFra
     return admit_recordings(catalog.withColumn("reason", F.coalesce("reason", low)), strict=False)
 
 
-class _Range(InputPartition):
-    def __init__(self, path: str, chunk_no: int, first: int, count: int, offset: int):
-        self.path, self.chunk_no, self.first, self.count, self.offset = path, chunk_no, first, count, offset
-
-
-class _PcmReader(DataSourceReader):
-    def __init__(self, options: dict):
-        self.paths = [p for p in options["paths"].split("\n") if p]
-        self.counts = [int(n) for n in options["counts"].split("\n") if n]
-        self.offsets = [int(n) for n in options["offsets"].split("\n") if n]
-        self.chunk = int(options["chunk"])
+def sample_ranges(rows: DataFrame) -> DataFrame:
+    """Adds first_byte and n_bytes to rows with data_offset, first_sample and stop_sample of 16-bit mono files, for ranges.read_ranges."""
+    return rows.withColumn("first_byte", F.col("data_offset") + 2 * F.col("first_sample")).withColumn("n_bytes", 2 * (F.col("stop_sample") - F.col("first_sample")))
 
-    def partitions(self) -> list[_Range]:
-        return [_Range(p, k, k * self.chunk, min(self.chunk, n - k * self.chunk), o) for p, n, o in zip(self.paths, self.counts, self.offsets, strict=True) for k in range(-(-n // self.chunk))]
 
-    def read(self, partition: _Range) -> Iterator[tuple]:
-        with open(partition.path.removeprefix("file:"), "rb") as f:
-            f.seek(partition.offset + 2 * partition.first)
-            yield partition.path, partition.chunk_no, partition.first, f.read(2 * partition.count)
+def read_samples(rows: DataFrame, recordings: DataFrame) -> DataFrame:
+    """Adds pcm, the samples [first_sample, stop_sample) of each row's recording, read from its file by range.
 
-
-class PcmSource(DataSource):
-    """Sample ranges of recordings on a file system that every executor mounts; one partition a range, no file is read whole.
-
-    For a list of recordings of bounded length, such as an encounter's.
+    ``rows``: recording_id, first_sample, stop_sample and others; ``recordings``: recording_id, path, data_offset.
     """
+    known = recordings.select("recording_id", F.col("path").alias("_path"), F.col("data_offset").alias("_offset"))
+    asked = rows.join(known, "recording_id")
+    ranges = sample_ranges(asked.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"), F.col("_path").alias("path"), F.col("_offset").alias("data_offset"), "first_sample", "stop_sample"))
+    return read_ranges(ranges.select("row", "path", "first_byte", "n_bytes"), "pcm").select("row.*", "pcm")
 
-    @classmethod
-    def name(cls) -> str:
-        return "pcm_ranges"
-
-    def schema(self) -> str:
-        return "path string, chunk_no long, first_sample long, pcm binary"
-
-    def reader(self, schema) -> DataSourceReader:
-        return _PcmReader(self.options)
 
+def scan_pcm(spark: SparkSession, recordings: DataFrame | list[tuple[str, int, int]], chunk_samples: int) -> DataFrame:
+    """path, chunk_no, first_sample and pcm: the recordings of a table (path, sample_count, data_offset), as the catalog has them, in chunks.
 
-def scan_pcm(spark: SparkSession, recordings: list[tuple[str, int, int]], chunk_samples: int) -> DataFrame:
-    """Chunks of the recordings given as (path, sample count, data offset), as the catalog has them."""
-    spark.dataSource.register(PcmSource)
-    return spark.read.format("pcm_ranges").options(paths="\n".join(p for p, _, _ in recordings), counts="\n".join(str(n) for _, n, _ in recordings), offsets="\n".join(str(o) for _, _, o in recordings), chunk=str(chunk_samples)).load()
+    Ranges are planned and read on the executors; a recording of any length is spread over tasks. A list
+    of such rows does as well.
+    """
+    if not isinstance(recordings, DataFrame):
+        recordings = spark.createDataFrame(recordings, "path string, sample_count long, data_offset long")
+    rows = recordings.where("sample_count > 0").select("path", "sample_count", "data_offset", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("sample_count") - 1) / chunk_samples))).alias("chunk_no"))
+    rows = rows.withColumn("first_sample", F.col("chunk_no") * chunk_samples).withColumn("stop_sample", F.least(F.col("sample_count"), F.col("first_sample") + chunk_samples))
+    return read_ranges(sample_ranges(rows).select("path", "chunk_no", "first_sample", "first_byte", "n_bytes"), "pcm").drop("first_byte", "n_bytes")
 
 
 def pcm_chunks(spark: SparkSession, root: str, chunk_samples: int) -> DataFrame:
-    """Chunks of all recordings below ``root`` by any path that Spark reads; whole files pass through a row, so for short ones."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[wW][aA][vV]").option("recursiveFileLookup", "true").load(root)
-    rows = files.select("path", "length", "content", _walk(F.col("content")).alias("w"))
-    size = F.least("w.size", F.col("length") - F.col("w.offset"))
-    rows = rows.select("path", size.alias("size"), F.substring(F.col("content"), (F.col("w.offset") + 1).cast("int"), size.cast("int")).alias("data")).where("size > 0")
-    rows = rows.select("path", "data", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("size") / (2 * chunk_samples)) - 1)).alias("chunk_no"))
-    return rows.select("path", "chunk_no", F.substring(F.col("data"), (1 + 2 * chunk_samples * F.col("chunk_no")).cast("int"), F.lit(2 * chunk_samples)).alias("pcm"))
+    """Chunks (path, chunk_no, pcm) of all files below ``root`` that have a data chunk with samples."""
+    headers = file_headers(wav_files(spark, root)).where("data_offset IS NOT NULL")
+    there = F.least("data_bytes", F.col("length") - F.col("data_offset"))
+    return scan_pcm(spark, headers.select("path", F.floor(there / 2).alias("sample_count"), "data_offset"), chunk_samples).select("path", "chunk_no", "pcm")
 
 
 def clip_bag(spark: SparkSession, root: str, core_tonal_upper_hz: float = MIN_RATE / 2, encounter_id: str | None = None) -> DataFrame:
-    """Ready-made clips: encounter_id as given or from the folder, path, rate, count, sha256 and samples, for files that are admitted."""
-    good, _ = admit_clips(recording_catalog(spark, root, min_rate=1, encounter_id=encounter_id), core_tonal_upper_hz)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    joined = good.join(files.select("path", "content"), "path")
-    return joined.withColumn("pcm", F.expr("substring(content, int(data_offset + 1), int(2 * sample_count))")).drop("content", "data_offset")
+    """Ready-made clips: encounter_id as given or from the folder, path, rate, count, sha256 and samples, for files that are admitted.
+
+    Each file is read once; a clip must fit a row.
+    """
+    good, _ = admit_clips(_catalog(file_headers(wav_files(spark, root), with_pcm=True), 1, encounter_id), core_tonal_upper_hz)
+    return good.select("path", "encounter_id", "sample_rate_hz", "sample_count", "duration_seconds", "sha256", "pcm")
 
 
 #: The model file's fields that are read.

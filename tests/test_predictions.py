@@ -79,6 +79,10 @@ def test_recordings_to_predictions_by_a_stub_detector(spark, tmp_path):
     clip = bag.collect()[0]
     assert clip.path == "R0002_W0001.wav" and len(clip.pcm) == 2 * clip.sample_count
     assert clip.pcm == tone(3.5)[clip.first_sample : clip.stop_sample].tobytes()
+    # the same by ranges of the files, without chunks
+    assert sorted(map(tuple, pipeline.recordings_to_detections(good, None, None, stub).collect())) == sorted(map(tuple, one))
+    assert pipeline.recordings_to_clips(good, found, None, None).drop("pcm", "sha256").collect() == bag.drop("pcm", "sha256").collect()
+    assert pipeline.recordings_to_clips(good, found, None, None).first().pcm == clip.pcm
     sinks.write_events_manifest(bag, str(tmp_path / "manifest"))
     assert spark.read.parquet(str(tmp_path / "manifest")).count() == 1
     assert json.loads(sinks.manifest_json(bag.drop("pcm")).first().manifest)["events"][0]["event_id"] == "W0001"

@@ -1,6 +1,9 @@
+import hashlib
 import struct
 
-from hydroframe.sources import recordings
+from pyspark.sql import functions as F
+
+from hydroframe.sources import ranges, recordings
 
 SAMPLES = struct.pack("<10h", *range(1, 11))
 PLAIN = struct.pack("<HHIIHH", 1, 1, 96_000, 192_000, 2, 16)
@@ -40,3 +43,38 @@ def test_chunks_before_the_data_are_walked_over(spark, tmp_path):
     assert not any(k[0] in ("no_data", "short") for k in chunks)
     ranges = recordings.scan_pcm(spark, [(r.path, r.sample_count, r.data_offset) for k, r in catalog.items() if k in FILES], 4)
     assert {(stem(r.path), r.chunk_no): bytes(r.pcm) for r in ranges.collect()} == want
+
+
+def test_a_hundred_thousand_ranges_of_one_file(spark, tmp_path):
+    content = bytes(range(256)) * 4000
+    (tmp_path / "a b.bin").write_bytes(content)
+    wanted = spark.range(100_000).select(F.lit(str(tmp_path / "a b.bin")).alias("path"), (F.col("id") * 37 % 1_024_100).alias("first_byte"), (F.col("id") % 11).alias("n_bytes"), F.col("id").alias("own"))
+    got = ranges.read_ranges(wanted, "bytes", span_bytes=1 << 16)
+    assert got.columns == ["path", "first_byte", "n_bytes", "own", "bytes"]
+    rows = got.select("own", "first_byte", "n_bytes", "bytes", F.spark_partition_id().alias("task")).collect()
+    assert len(rows) == 100_000 and len({r.own for r in rows}) == 100_000
+    assert all(bytes(r.bytes) == content[r.first_byte : r.first_byte + r.n_bytes] for r in rows)
+    assert len({r.task for r in rows}) > 1
+    assert ranges.read_ranges(wanted.where("false")).count() == 0
+
+
+def test_a_sparse_file_over_two_gigabytes_is_catalogued_and_hashed(spark, tmp_path):
+    size = (1 << 31) + 1_000_001
+    path = tmp_path / "long.wav"
+    with path.open("wb") as f:
+        head = b"RIFF" + struct.pack("<I", 0) + b"WAVEfmt " + struct.pack("<I", 16) + PLAIN + b"junk" + struct.pack("<I", 9001) + b"\0" * 9002
+        f.write(head + b"data" + struct.pack("<I", size))
+        at = f.tell()
+        f.truncate(at + size)
+        f.seek(at + 2 * 1_073_000_000)
+        f.write(SAMPLES)
+    want = hashlib.sha256()
+    with path.open("rb") as f:
+        while block := f.read(1 << 24):
+            want.update(block)
+    (r,) = recordings.recording_catalog(spark, str(tmp_path)).collect()
+    assert (r.reason, r.sample_count, r.data_offset, r.sha256) == (None, size // 2, at, want.hexdigest())
+    asked = spark.createDataFrame([("x", 1_072_999_999, 1_073_000_010), ("x", 0, 3)], "recording_id string, first_sample long, stop_sample long")
+    known = spark.createDataFrame([("x", r.path, at)], "recording_id string, path string, data_offset long")
+    got = {x.first_sample: bytes(x.pcm) for x in recordings.read_samples(asked, known).collect()}
+    assert got == {1_072_999_999: b"\0\0" + SAMPLES, 0: b"\0" * 6}
