@@ -9,7 +9,7 @@ from itertools import accumulate
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hydroframe.functions.columns import interval_iou, overlap_coefficient, weighted_quantile
@@ -102,23 +102,50 @@ def windows_with_boxes(windows: DataFrame, boxes: DataFrame) -> DataFrame:
     return boxes.join(windows, ["recording_id", "window_index"])
 
 
-def association_pairs(rows: DataFrame, bucket_s: float, merge: dict[str, float] = MERGE) -> DataFrame:
+#: Levels of interval lengths: cells of level k are 2**k seconds wide.
+LEVELS = (-20, 40)
+
+
+def interval_cells(rows: DataFrame, low: Column, high: Column) -> tuple[DataFrame, DataFrame]:
+    """Rows by the cells of their interval's own level, and by those of each level of their recording from their own up: level, cell, first_cell.
+
+    A level's cells are as wide as its longest interval at least, so an interval has two cells a level at
+    most. Two intervals that meet share a cell of the longer one's level, whatever their lengths. Adds
+    ``own`` (the level), ``level``, ``cell`` and ``first`` (the first cell of that level).
+    """
+    length = F.greatest(high - low, F.lit(2.0 ** LEVELS[0]))
+    rows = rows.withColumn("own", F.least(F.lit(LEVELS[1]), F.greatest(F.lit(LEVELS[0]), F.ceil(F.log2(length)).cast("int"))))
+    at = lambda level, x: F.floor(x / F.pow(F.lit(2.0), level)).cast("long")
+
+    def spread(df: DataFrame) -> DataFrame:
+        cells = F.sequence(at(F.col("level"), low), at(F.col("level"), F.greatest(low, high)))
+        return df.withColumn("first", at(F.col("level"), low)).withColumn("cell", F.explode(cells))
+
+    there = rows.groupBy("recording_id").agg(F.collect_set("own").alias("levels"))
+    upward = rows.join(there, "recording_id").withColumn("level", F.explode(F.filter("levels", lambda k: k >= F.col("own")))).drop("levels")
+    return spread(rows.withColumn("level", F.col("own"))), spread(upward)
+
+
+def association_pairs(rows: DataFrame, merge: dict[str, float] = MERGE) -> DataFrame:
     """Pairs of detections (a before b by seq) of a recording that may belong together, with their score.
 
-    Each interval, longer by the gap, lies in time buckets; a pair is looked at in the first bucket
-    that both have. With long intervals take large buckets.
+    Intervals, longer by the gap, meet in cells of the longer one's length (see interval_cells): a row goes
+    out twice a level at most, however lengths are mixed, and a pair is looked at in the first cell that
+    both have. Detections of equal bounds are pairs as others are.
     """
     c = F.col
-    low = F.floor(c("start_s") / bucket_s)
-    spread = rows.withColumn("_low", low).withColumn("_bucket", F.explode(F.sequence(low, F.floor((c("end_s") + merge["gap_s"]) / bucket_s))))
-    a, b = spread.alias("a"), spread.alias("b")
-    both = a.join(b, (c("a.recording_id") == c("b.recording_id")) & (c("a._bucket") == c("b._bucket")) & (c("a.seq") < c("b.seq")) & (c("a._bucket") == F.greatest("a._low", "b._low")))
-    t = [c("a.start_s"), c("a.end_s"), c("b.start_s"), c("b.end_s")]
-    f = [c("a.fmin_hz"), c("a.fmax_hz"), c("b.fmin_hz"), c("b.fmax_hz")]
+    kept = rows.select("recording_id", "seq", "start_s", "end_s", "fmin_hz", "fmax_hz", "windows")
+    own, upward = interval_cells(kept, c("start_s"), F.greatest(c("start_s"), c("end_s")) + merge["gap_s"])
+    x, y = upward.alias("x"), own.alias("y")
+    once = (c("x.own") < c("y.own")) | ((c("x.own") == c("y.own")) & (c("x.seq") < c("y.seq")))
+    both = x.join(y, (c("x.recording_id") == c("y.recording_id")) & (c("x.level") == c("y.level")) & (c("x.cell") == c("y.cell")) & once & (c("x.cell") == F.greatest("x.first", "y.first")))
+    t = [c("x.start_s"), c("x.end_s"), c("y.start_s"), c("y.end_s")]
+    f = [c("x.fmin_hz"), c("x.fmax_hz"), c("y.fmin_hz"), c("y.fmax_hz")]
     gap = F.greatest(F.lit(0.0), F.greatest(t[0], t[2]) - F.least(t[1], t[3]))
     near = (interval_iou(*t) >= merge["time_iou"]) | (overlap_coefficient(*t) >= merge["overlap"]) | (gap <= merge["gap_s"])
-    both = both.where(~F.arrays_overlap("a.windows", "b.windows") & near & (interval_iou(*f) >= merge["frequency_iou"]))
-    return both.select(c("a.recording_id").alias("recording_id"), c("a.seq").alias("seq_a"), c("b.seq").alias("seq_b"), (2 * interval_iou(*t) + overlap_coefficient(*t) + interval_iou(*f) - gap).alias("score"))
+    both = both.where(~F.arrays_overlap("x.windows", "y.windows") & near & (interval_iou(*f) >= merge["frequency_iou"]))
+    score = 2 * interval_iou(*t) + overlap_coefficient(*t) + interval_iou(*f) - gap
+    return both.select(c("x.recording_id").alias("recording_id"), F.least("x.seq", "y.seq").alias("seq_a"), F.greatest("x.seq", "y.seq").alias("seq_b"), score.alias("score"))
 
 
 def islands(rows: DataFrame, gap_s: float) -> DataFrame:

@@ -363,7 +363,7 @@ def _(spark, sf):
 SELECT recording_id, seq_a, seq_b, round(2 * CASE WHEN u > 0 THEN i / u ELSE 0 END + CASE WHEN s > 0 THEN i / s ELSE 0 END + f - gap, 5) AS score FROM p
 WHERE ((u > 0 AND i / u >= 0.25) OR (s > 0 AND i / s >= 0.55) OR gap <= 0.04) AND f >= 0.10""")
 def _(spark, sf):
-    return events.association_pairs(_detections(spark, sf), 30_000.0).withColumn("score", _r("score", 5))
+    return events.association_pairs(_detections(spark, sf)).withColumn("score", _r("score", 5))
 
 
 @query("e8_merge_events")

@@ -152,3 +152,35 @@ def test_summary_without_and_with_components():
     one = spectral.summary_of("c", grid, np.arange(8.0), 0.5, tonal).iloc[0]
     assert one.found and (one.candidate_count, one.pixel_count, one.frame_fraction, one.frequency_q05, one.frequency_max) == (2, 2, 0.5, 2.0, 3.0)
     assert abs(one.score - 2 * math.sqrt(2) / (1 + 0.15 * 2.5 / 63)) < 1e-12
+
+
+def plain_pairs(rows, gap_s=0.04, time_iou=0.25, overlap=0.55, frequency_iou=0.10):
+    out = {}
+    for a in rows:
+        for b in rows:
+            if a[0] == b[0] and a[1] < b[1] and not set(a[7]) & set(b[7]):
+                both, span, short = max(0, min(a[3], b[3]) - max(a[2], b[2])), max(a[3], b[3]) - min(a[2], b[2]), min(a[3] - a[2], b[3] - b[2])
+                t, o = both / span if span > 0 else 0, both / short if short > 0 else 0
+                f = max(0, min(a[5], b[5]) - max(a[4], b[4])) / (max(a[5], b[5]) - min(a[4], b[4]))
+                gap = max(0, max(a[2], b[2]) - min(a[3], b[3]))
+                if (t >= time_iou or o >= overlap or gap <= gap_s) and f >= frequency_iou:
+                    out[a[0], a[1], b[1]] = 2 * t + o + f - gap
+    return out
+
+
+def test_pairs_of_lengths_from_a_millisecond_to_an_hour(spark):
+    rng, rows = random.Random(8), []
+    for k in range(700):
+        start = rng.random() * 8000 if k % 3 else rng.random() * 20
+        length = rng.choice([0.0, 0.001, 0.03, 0.4, 5.0, 60.0, 3600.0]) * rng.choice([1, rng.random()])
+        fmin = rng.random() * 5000
+        rows.append((f"r{k % 2}", k, start, start + length, fmin, fmin + 4000, 0.5, [k % 5], 1))
+    rows += [("r0", 1000 + k, 64.0 * k, 64.0 * (k + 1), 10.0, 4000.0, 0.5, [100 + k], 1) for k in range(6)] + [("r1", 2000 + k, 7.5, 7.5, 10.0, 4000.0, 0.5, [k + 30], 1) for k in range(3)]
+    df = spark.createDataFrame(rows, DETECTION)
+    got = events.association_pairs(df).collect()
+    want = plain_pairs(rows)
+    assert len(got) == len(want) and all(abs(want[r.recording_id, r.seq_a, r.seq_b] - r.score) < 1e-9 for r in got)
+    own, upward = events.interval_cells(df, F.col("start_s"), F.col("end_s") + 0.04)
+    levels = df.select(F.ceil(F.log2(F.col("end_s") - F.col("start_s") + 0.04)).alias("k")).distinct().count()
+    assert own.count() <= 2 * len(rows) and upward.count() <= 2 * levels * len(rows)
+    assert max(r["count"] for r in upward.groupBy("seq").count().collect()) <= 2 * levels
