@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from bisect import bisect_left, insort
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import accumulate, groupby
 
 import numpy as np
 import pandas as pd
@@ -159,8 +159,9 @@ def islands(rows: DataFrame, gap_s: float) -> DataFrame:
 class Cluster:
     """Detections taken for one event so far: bounds, windows, and members by frequency for the weighted medians."""
 
-    def __init__(self, number: int):
-        self.number, self.start, self.end, self.confidence, self.raw_count = number, float("inf"), float("-inf"), 0.0, 0
+    def __init__(self, first_confidence: float, first_seq: int):
+        self.first = first_confidence, first_seq
+        self.start, self.end, self.confidence, self.raw_count = float("inf"), float("-inf"), 0.0, 0
         self.windows: set[int] = set()
         self.low: list[tuple[float, float]] = []
         self.high: list[tuple[float, float]] = []
@@ -174,6 +175,9 @@ class Cluster:
         insort(self.high, (fmax, weight))
         self.fmin, self.fmax = weighted_median(self.low), weighted_median(self.high)
 
+    def values(self) -> tuple:
+        return self.start, self.end, self.fmin, self.fmax, self.confidence, sorted(self.windows), self.raw_count, *self.first
+
 
 def weighted_median(members: list[tuple[float, float]]) -> float:
     """Of sorted (value, weight): the first value at which half of all weight is reached."""
@@ -195,62 +199,92 @@ def affinity(c: Cluster, start: float, end: float, fmin: float, fmax: float, mer
     return 2 * iou + overlap + f_iou - gap
 
 
-def grow_clusters(detections: list[tuple], merge: dict[str, float]) -> list[Cluster]:
+def grow_clusters(detections: Iterator[tuple], merge: dict[str, float]) -> Iterator[Cluster]:
     """Each detection, in the order given, joins the best of the clusters that hold none of its windows, of equals the last, or opens one.
 
-    Detections come by start; a cluster that ends further before than the gap is done with.
+    Detections come by start; a cluster that ends further before than the gap is done and given out, so
+    that only clusters still within reach are held.
     """
-    done: list[Cluster] = []
     live: list[Cluster] = []
-    opened = 0
-    for start, end, fmin, fmax, confidence, windows, raw_count in detections:
-        done += [c for c in live if c.end < start - merge["gap_s"]]
-        live = [c for c in live if c.end >= start - merge["gap_s"]]
+    for start, end, fmin, fmax, confidence, windows, raw_count, seq in detections:
+        limit = start - merge["gap_s"]
+        yield from (c for c in live if c.end < limit)
+        live = [c for c in live if c.end >= limit]
         best, most = None, float("-inf")
         for c in live:
             fit = affinity(c, start, end, fmin, fmax, merge) if c.windows.isdisjoint(windows) else None
             if fit is not None and fit >= most:
                 best, most = c, fit
         if best is None:
-            best = Cluster(opened)
-            opened += 1
+            best = Cluster(confidence, seq)
             live.append(best)
         best.add(start, end, fmin, fmax, confidence, windows, raw_count)
-    return done + live
+    yield from live
+
+
+#: Sweeps over frequency and time after the first over time.
+SWEEPS = 2
+
+
+def cells(rows: DataFrame, gap_s: float, sweeps: int = SWEEPS) -> DataFrame:
+    """Adds cell: detections of different cells of a recording can't come into one event.
+
+    No gap longer than ``gap_s`` parts an island in time. An event's median bounds lie within the hull of its
+    detections' frequencies, so those of an island whose hulls don't meet stay apart, and each band of
+    an island may fall apart in time again. More sweeps only cut finer; results are the same.
+    """
+    rows = islands(rows, gap_s).withColumn("cell", F.col("island").cast("string"))
+    low, high = F.least("fmin_hz", "fmax_hz"), F.greatest("fmin_hz", "fmax_hz")
+    for _ in range(sweeps):
+        for order, begin, end, apart in (([low, F.col("seq")], low, high, lambda x: x >= 0), ([F.col("start_s"), F.col("seq")], F.col("start_s"), F.col("end_s"), lambda x: x > gap_s)):
+            by = Window.partitionBy("recording_id", "cell").orderBy(*order)
+            before = F.max(end).over(by.rowsBetween(Window.unboundedPreceding, -1))
+            rows = rows.withColumn("_new", F.coalesce(apart(begin - before), F.lit(False)).cast("int"))
+            rows = rows.withColumn("_part", F.sum("_new").over(by.rowsBetween(Window.unboundedPreceding, 0))).withColumn("cell", F.concat_ws(".", "cell", "_part"))
+    return rows.drop("_new", "_part", "island")
 
 
 EVENTS = "start_s double, end_s double, fmin_hz double, fmax_hz double, confidence double, windows array<int>, raw_count long"
+OPENED = "first_confidence double, first_seq long"
 
 
-def merge_events(rows: DataFrame, merge: dict[str, float] = MERGE, islands_per_task: int = 512) -> DataFrame:
+def merge_events(rows: DataFrame, merge: dict[str, float] = MERGE, sweeps: int = SWEEPS) -> DataFrame:
     """Events of each recording: bounds, best confidence, contributing windows, raw count and event_id.
 
-    A detection reaches no cluster beyond a gap, so recordings are cut into islands; islands of one
-    detection are events as they are, the others are worked on many at a time, each in memory for
-    itself. The cut needs a gap of 0 at least and positive overlap thresholds.
+    Detections fall into cells of time and frequency that no event reaches across (see cells). Cells of one
+    detection are events as they are; the others are dealt out over tasks, which run through each in order
+    and hold only the events still within reach. The cut needs a gap of 0 at least and positive thresholds.
     """
-    if merge["gap_s"] < 0 or merge["time_iou"] <= 0 or merge["overlap"] <= 0:
-        raise ValueError("islands need a gap of 0 at least and positive overlap thresholds")
+    if merge["gap_s"] < 0 or merge["time_iou"] <= 0 or merge["overlap"] <= 0 or merge["frequency_iou"] <= 0:
+        raise ValueError("cells need a gap of 0 at least and positive thresholds")
     names = [x.split()[0] for x in EVENTS.split(", ")]
+    kind = dict(rows.dtypes)["recording_id"]
 
-    def events_of(own: pd.DataFrame) -> pd.DataFrame:
-        own = own.sort_values(["island", "start_s", "confidence", "seq"], ascending=[True, True, False, True], kind="stable")
-        island, out = own.island.to_numpy(), []
-        found = list(zip(*(own[c].tolist() for c in names[:5]), [set(w) for w in own.windows], own.raw_count.tolist(), strict=True))
-        cuts = [0, *(np.flatnonzero(np.diff(island)) + 1).tolist(), len(own)]
-        for i, j in zip(cuts[:-1], cuts[1:], strict=True):
-            out += [(int(island[i]), c.number, c.start, c.end, c.fmin, c.fmax, c.confidence, sorted(c.windows), c.raw_count) for c in grow_clusters(found[i:j], merge)]
-        table = pd.DataFrame(out, columns=["island", "cluster", *names])
-        table.insert(0, "recording_id", own.recording_id.iloc[0])
-        return table
-
-    placed = islands(rows, merge["gap_s"]).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("recording_id", "island")))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        every = ((key, d) for b in batches for key, d in zip(zip(b["recording_id"].to_pylist(), b["cell"].to_pylist(), strict=True), zip(*(b[c].to_pylist() for c in [*names[:5], "windows", "raw_count", "seq"]), strict=True), strict=True))
+        held: list[tuple] = []
+        for (recording, _), own in groupby(every, key=lambda x: x[0]):
+            held += [(recording, *c.values()) for c in grow_clusters(((*d[:5], set(d[5]), *d[6:]) for _, d in own), merge)]
+            if len(held) >= 5000:
+                yield batch_of(held)
+                held = []
+        if held:
+            yield batch_of(held)
+
+    def batch_of(held: list[tuple]) -> pa.RecordBatch:
+        kinds = [None, *[pa.float64()] * 5, pa.list_(pa.int32()), pa.int64(), pa.float64(), pa.int64()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), kinds, strict=True)], names=["recording_id", *names, "first_confidence", "first_seq"])
+
+    placed = cells(rows, merge["gap_s"], sweeps).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("recording_id", "cell")))
     alone = placed.where("_n = 1").select(
-        "recording_id", "island", F.lit(0).cast("long").alias("cluster"), *names[:5], F.array_sort(F.array_distinct("windows")).alias("windows"), F.col("raw_count").cast("long").alias("raw_count")
+        "recording_id", *names[:5], F.array_sort(F.array_distinct("windows")).alias("windows"), F.col("raw_count").cast("long").alias("raw_count"), F.col("confidence").alias("first_confidence"), F.col("seq").cast("long").alias("first_seq")
     )
-    several = placed.where("_n > 1").drop("_n").withColumn("_group", F.floor(F.col("island") / islands_per_task))
-    merged = several.groupBy("recording_id", "_group").applyInPandas(events_of, f"recording_id {dict(rows.dtypes)['recording_id']}, island long, cluster long, {EVENTS}")
-    return number_events(alone.unionByName(merged)).drop("island", "cluster")
+    several = placed.where("_n > 1").select("recording_id", "cell", "seq", *names)
+    # a fixed number of tasks: Spark would join them by the size of the rows, which are narrow and dear
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    several = several.repartition(tasks, "recording_id", "cell").sortWithinPartitions("recording_id", "cell", "start_s", F.desc("confidence"), "seq")
+    merged = several.mapInArrow(run, f"recording_id {kind}, {EVENTS}, {OPENED}")
+    return number_events(alone.unionByName(merged), F.desc("first_confidence"), "first_seq").drop("first_confidence", "first_seq")
 
 
 def event_bounds(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -262,9 +296,9 @@ def event_bounds(rows: DataFrame, keys: list[str]) -> DataFrame:
     return out
 
 
-def number_events(events: DataFrame) -> DataFrame:
-    """W0001 and so on by start; ties keep the order in which clusters were opened."""
-    order = Window.partitionBy("recording_id").orderBy("start_s", "island", "cluster")
+def number_events(events: DataFrame, *opened: Column | str) -> DataFrame:
+    """W0001 and so on by start; ties in the order ``opened``, in which the events' first detections came."""
+    order = Window.partitionBy("recording_id").orderBy("start_s", *opened)
     return events.withColumn("event_id", F.format_string("W%04d", F.row_number().over(order)))
 
 

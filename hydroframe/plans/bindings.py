@@ -366,7 +366,32 @@ def _(spark, sf):
     return events.association_pairs(_detections(spark, sf)).withColumn("score", _r("score", 5))
 
 
-@query("e8_merge_events")
+def _merge_sql() -> str:
+    """Detections of an island one after the other: each joins the best fitting event, of equals the last, or opens one."""
+    both, span = "greatest(0, least(d.end_s, x.e) - greatest(d.start_s, x.s))", "(greatest(d.end_s, x.e) - least(d.start_s, x.s))"
+    short, gap = "least(d.end_s - d.start_s, x.e - x.s)", "greatest(0, greatest(d.start_s, x.s) - least(d.end_s, x.e))"
+    shared_f = "(greatest(0, least(d.fmax, x.hi) - greatest(d.fmin, x.lo)) / (greatest(d.fmax, x.hi) - least(d.fmin, x.lo)))"
+    iou, overlap = f"(CASE WHEN {span} > 0 THEN {both} / {span} ELSE 0 END)", f"(CASE WHEN {short} > 0 THEN {both} / {short} ELSE 0 END)"
+    fit = f"CASE WHEN NOT list_contains(x.wins, d.win) AND {shared_f} >= 0.10 AND ({iou} >= 0.25 OR {overlap} >= 0.55 OR {gap} <= 0.04) THEN 2 * {iou} + {overlap} + {shared_f} - {gap} END"
+    one = "{'lo': fmin, 'hi': fmax, 'w': confidence}"
+    opened = f"{{'s': start_s, 'e': end_s, 'lo': fmin, 'hi': fmax, 'c': confidence, 'wins': [win], 'm': [{one}], 'fc': confidence, 'fs': seq}}"
+
+    def median(field: str) -> str:
+        each = f"list_sort(list_transform(list_append(x.m, {one}), lambda q: {{'v': q.{field}, 'w': q.w}}))"
+        return f"list_filter({each}, lambda q, i: list_sum(list_transform({each}[1:i], lambda y: y.w)) >= list_sum(list_transform({each}, lambda y: y.w)) / 2)[1].v"
+
+    grown = f"{{'s': least(x.s, start_s), 'e': greatest(x.e, end_s), 'lo': {median('lo')}, 'hi': {median('hi')}, 'c': greatest(x.c, confidence), 'wins': list_append(x.wins, win), 'm': list_append(x.m, {one}), 'fc': x.fc, 'fs': x.fs}}"
+    return f"""WITH RECURSIVE d AS (SELECT *, row_number() OVER (PARTITION BY recording_id, island ORDER BY start_s, confidence DESC, seq) AS r FROM ({_ISLANDS})),
+g AS (SELECT recording_id, island, r, [{opened}] AS k FROM d WHERE r = 1
+ UNION ALL SELECT recording_id, island, r, CASE WHEN best IS NULL THEN list_append(k, {opened}) ELSE list_transform(k, lambda x, i: CASE WHEN i = best THEN {grown} ELSE x END) END
+ FROM (SELECT *, list_sort(list_filter(list_transform(fits, lambda f, i: {{'f': f, 'i': i}}), lambda q: q.f IS NOT NULL))[-1].i AS best
+  FROM (SELECT d.*, g.k, list_transform(g.k, lambda x: {fit}) AS fits FROM g JOIN d ON d.recording_id = g.recording_id AND d.island = g.island AND d.r = g.r + 1)))
+SELECT recording_id, round(x.s, 6) AS start_s, round(x.e, 6) AS end_s, round(x.lo, 6) AS fmin_hz, round(x.hi, 6) AS fmax_hz, round(x.c, 6) AS confidence, list_sort(x.wins)::INTEGER[] AS windows, len(x.m) AS raw_count,
+ 'W' || lpad(row_number() OVER (PARTITION BY recording_id ORDER BY x.s, x.fc DESC, x.fs)::VARCHAR, 4, '0') AS event_id
+FROM (SELECT recording_id, unnest(k) AS x FROM (SELECT recording_id, island, arg_max(k, r) AS k FROM g GROUP BY ALL))"""
+
+
+@query("e8_merge_events", _merge_sql())
 def _(spark, sf):
     out = events.merge_events(_detections(spark, sf))
     return out.withColumns({c: _r(c) for c in ("start_s", "end_s", "fmin_hz", "fmax_hz", "confidence")})
@@ -435,8 +460,7 @@ def _(spark, sf):
 
 @query("e9_number_events", f"SELECT recording_id, CAST(win AS INTEGER) AS win, 'W' || lpad(CAST(row_number() OVER (PARTITION BY recording_id ORDER BY start_s, win) AS VARCHAR), 4, '0') AS event_id FROM ({_BOUNDS})")
 def _(spark, sf):
-    rows = _bounds(spark, sf).withColumn("island", F.col("win")).withColumn("cluster", F.lit(0))
-    return events.number_events(rows).select("recording_id", "win", "event_id")
+    return events.number_events(_bounds(spark, sf), "win").select("recording_id", "win", "event_id")
 
 
 _ADMITTED = f"""WITH RECURSIVE b AS (SELECT *, x - w / 2 AS x0, x + w / 2 AS x1, y - h / 2 AS y0, y + h / 2 AS y1, row_number() OVER (PARTITION BY recording_id, s ORDER BY confidence DESC, seq) AS r

@@ -123,8 +123,8 @@ def test_merged_events_equal_the_written_rule(spark):
             at += rng.choice([0.0, 0.0, 0.05, 0.1, 0.3, 2.0])
             fmin = rng.choice([1000.0, 2000.0, 5000.0]) + rng.random() * 500
             rows.append((str(recording), recording * 100 + k, at, at + rng.choice([0.0, 0.1, 0.2, 0.9]), fmin, fmin + rng.choice([500.0, 3000.0]), rng.choice([0.5, 0.7, rng.random()]), rng.sample(range(6), rng.choice([1, 1, 2])), rng.randint(1, 3)))
-    for per_task in (1, 512):
-        got = events.merge_events(spark.createDataFrame(rows, DETECTION).repartition(5), islands_per_task=per_task).collect()
+    for sweeps in (0, 1, 3):
+        got = events.merge_events(spark.createDataFrame(rows, DETECTION).repartition(5), sweeps=sweeps).collect()
         for recording in range(12):
             own = sorted((r.event_id, r.start_s, r.end_s, r.fmin_hz, r.fmax_hz, r.confidence, list(r.windows), r.raw_count) for r in got if r.recording_id == str(recording))
             assert own == plain_merge([r[1:] for r in rows if r[0] == str(recording)])
@@ -184,3 +184,21 @@ def test_pairs_of_lengths_from_a_millisecond_to_an_hour(spark):
     levels = df.select(F.ceil(F.log2(F.col("end_s") - F.col("start_s") + 0.04)).alias("k")).distinct().count()
     assert own.count() <= 2 * len(rows) and upward.count() <= 2 * levels * len(rows)
     assert max(r["count"] for r in upward.groupBy("seq").count().collect()) <= 2 * levels
+
+
+def test_one_island_as_long_as_its_recording_is_spread_by_frequency(spark):
+    rng, rows = random.Random(9), []
+    for k in range(900):  # six bands; in the first every detection meets the next, so that no gap parts the recording
+        band = k % 6
+        start = 0.1 * k if band else 0.1 * k - 0.2
+        fmin = 1000.0 + 3000 * band + rng.random() * 300
+        rows.append(("r", k, start, start + (0.9 if band == 0 else rng.choice([0.05, 0.3])), fmin, fmin + 2000, rng.choice([0.5, 0.7]), [k // 3 % 40], 1))
+    df = spark.createDataFrame(rows, DETECTION)
+    assert events.islands(df, 0.04).agg(F.max("island")).first()[0] == 1
+    sizes = [r["count"] for r in events.cells(df, 0.04).groupBy("cell").count().collect()]
+    assert len(sizes) > 100 and max(sizes) <= 150
+    got = events.merge_events(df).collect()
+    assert sorted((r.event_id, r.start_s, r.end_s, r.fmin_hz, r.fmax_hz, r.confidence, list(r.windows), r.raw_count) for r in got) == plain_merge([r[1:] for r in rows])
+    assert events.merge_events(df.where("false")).count() == 0
+    with pytest.raises(ValueError):
+        events.merge_events(df, events.MERGE | {"frequency_iou": 0.0})
