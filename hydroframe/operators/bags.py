@@ -6,29 +6,74 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hydroframe.functions.columns import clean_numeric
+from hydroframe.operators.selection import exact_quantiles
 
 #: Fixed names of the statistics, in order.
 STATISTICS = ("mean", "std", "minimum", "q25", "median", "q75", "maximum")
 
 
+#: The statistics that are quantiles.
+QUANTILES = {"q25": 0.25, "median": 0.5, "q75": 0.75}
+
+
 def statistic(name: str, x: Column) -> Column:
-    quantile = {"q25": 0.25, "median": 0.5, "q75": 0.75}
-    if name in quantile:
-        return F.percentile(x, F.lit(quantile[name]))
     return {"mean": F.avg, "std": F.stddev_pop, "minimum": F.min, "maximum": F.max}[name](x)
 
 
-def bag_statistics(clips: DataFrame, key: str, features: list[str], statistics: tuple[str, ...] = STATISTICS, missing_fraction: bool = True) -> DataFrame:
-    """One row a bag: feature__statistic over finite values (null if there are none), and feature__missing_fraction."""
+def _checked(clips: DataFrame, key: str, features: list[str], statistics: tuple[str, ...]) -> DataFrame:
     if unknown := sorted(set(statistics) - set(STATISTICS)):
         raise ValueError(f"unsupported statistics: {unknown}")
-    clean = clips.select(key, *[(F.lit(None).cast("double") if dict(clips.dtypes)[f] == "boolean" else clean_numeric(F.col(f))).alias(f) for f in features])
-    out = []
+    kinds = dict(clips.dtypes)
+    return clips.select(key, *[(F.lit(None).cast("double") if kinds[f] == "boolean" else clean_numeric(F.col(f))).alias(f) for f in features])
+
+
+def _ordered(key: str, features: list[str], statistics: tuple[str, ...], missing_fraction: bool, quantile) -> list[Column]:
+    """The output's columns in their order; ``quantile``: feature and its place among the wanted quantiles to a column."""
+    wanted = [s for s in statistics if s in QUANTILES]
+    out = [F.col(key)]
     for f in features:
-        out += [statistic(s, F.col(f)).alias(f"{f}__{s}") for s in statistics]
+        out += [(quantile(f, wanted.index(s)) if s in QUANTILES else F.col(f"{f}__{s}")).alias(f"{f}__{s}") for s in statistics]
         if missing_fraction:
-            out.append((1 - F.count(f) / F.count(F.lit(1))).alias(f"{f}__missing_fraction"))
-    return clean.groupBy(key).agg(*out)
+            out.append(F.col(f"{f}__missing_fraction"))
+    return out
+
+
+def bag_statistics(clips: DataFrame, key: str, features: list[str], statistics: tuple[str, ...] = STATISTICS, missing_fraction: bool = True) -> DataFrame:
+    """One row a bag: feature__statistic over finite values (null if there are none), and feature__missing_fraction.
+
+    The quantiles of a feature come from one map of a bag's distinct values, which must fit a task; for bags
+    without a bound see unbounded_bag_statistics.
+    """
+    clean = _checked(clips, key, features, statistics)
+    wanted = [F.lit(QUANTILES[s]) for s in statistics if s in QUANTILES]
+    made = []
+    for f in features:
+        made += [statistic(s, F.col(f)).alias(f"{f}__{s}") for s in statistics if s not in QUANTILES]
+        made += [F.percentile(f, F.array(*wanted)).alias(f"{f}__quantiles")] if wanted else []
+        made += [(1 - F.count(f) / F.count(F.lit(1))).alias(f"{f}__missing_fraction")] if missing_fraction else []
+    grouped = clean.groupBy(key).agg(*made)
+    return grouped.select(*_ordered(key, features, statistics, missing_fraction, lambda f, k: F.get(f"{f}__quantiles", F.lit(k))))
+
+
+def unbounded_bag_statistics(clips: DataFrame, key: str, features: list[str], statistics: tuple[str, ...] = STATISTICS, missing_fraction: bool = True) -> DataFrame:
+    """bag_statistics for bags of any size, a null key included: all sums are partial, and quantiles are selected by histograms of bits.
+
+    Reads ``clips`` several times, so give a written table.
+    """
+    clean = _checked(clips, key, features, statistics)
+    wanted = [QUANTILES[s] for s in statistics if s in QUANTILES]
+    made = []
+    for f in features:
+        made += [statistic(s, F.col(f)).alias(f"{f}__{s}") for s in statistics if s not in QUANTILES]
+        made.append((1 - F.count(f) / F.count(F.lit(1))).alias(f"{f}__missing_fraction"))
+    grouped = clean.groupBy(key).agg(*made)
+    if not wanted:
+        return grouped.select(*_ordered(key, features, statistics, missing_fraction, None))
+    name = F.struct(F.col(key).alias("key"))  # a null key is a group as others are
+    long = clean.select(name.alias("bag"), F.explode(F.array(*[F.struct(F.lit(k).alias("feature"), F.col(f).alias("v")) for k, f in enumerate(features)])).alias("x")).select("bag", "x.*")
+    chosen = exact_quantiles(long, ["bag", "feature"], "v", wanted).groupBy("bag").agg(F.map_from_entries(F.collect_list(F.struct("feature", "quantiles"))).alias("chosen"))
+    rows = grouped.withColumn("bag", name).join(chosen, "bag", "left")
+    return rows.select(*_ordered(key, features, statistics, missing_fraction, lambda f, k: F.get(F.try_element_at("chosen", F.lit(features.index(f))), F.lit(k))))
 
 
 def long_form(wide: DataFrame, key: str) -> DataFrame:

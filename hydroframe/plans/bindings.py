@@ -98,6 +98,18 @@ def _(spark, sf):
     return out.select("encounter_id", *[_r(c).alias(c) for c in out.columns[1:]])
 
 
+_LINE = f"SELECT CASE WHEN l_returnflag = 'R' THEN 'R' END AS encounter_id, quantity, price, discount, tax FROM (SELECT l.l_returnflag, {_CLIPS[7:].replace('FROM lineitem', 'FROM lineitem l')})"
+
+
+@query("b1_unbounded_bags", f"SELECT encounter_id, {', '.join(f'round({n}, 6) AS {n}' for n in NAMES)} FROM (SELECT encounter_id, {', '.join(map(_stat_sql, CLIP_FEATURES))} FROM ({_LINE}) GROUP BY encounter_id)")
+def _(spark, sf):
+    """Two bags that hold all clips, one of them without a name."""
+    flag = _read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag")
+    tax = F.when(F.col("l_tax") == 0.08, F.lit(float("nan"))).otherwise(F.col("l_tax"))
+    rows = flag.select(F.when(F.col("l_returnflag") == "R", "R").alias("encounter_id"), F.col("l_quantity").alias("quantity"), F.col("l_extendedprice").alias("price"), F.when(F.col("l_discount") != 0, F.col("l_discount")).alias("discount"), tax.alias("tax"))
+    return bags.unbounded_bag_statistics(rows, "encounter_id", CLIP_FEATURES).select("encounter_id", *[_r(n).alias(n) for n in NAMES])
+
+
 _VALUES = lambda rows: ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else f"CAST({x!r} AS DOUBLE)" if isinstance(x, float) else repr(x) for x in r) + ")" for r in rows)
 _ENC = f"""enc(pos, name, median, mean, sd) AS (VALUES {_VALUES(ENCODER)}),
 head(label_idx, label, pos, coef, intercept) AS (VALUES {_VALUES(HEADS)}),

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hydroframe.functions.columns import clean_numeric, stable_sigmoid
-from hydroframe.operators import bags, events, frames, model, spectral
+from hydroframe.operators import bags, events, frames, model, selection, spectral
 
 DETECTION = "recording_id string, seq long, start_s double, end_s double, fmin_hz double, fmax_hz double, confidence double, windows array<int>, raw_count int"
 
@@ -202,3 +202,33 @@ def test_one_island_as_long_as_its_recording_is_spread_by_frequency(spark):
     assert events.merge_events(df.where("false")).count() == 0
     with pytest.raises(ValueError):
         events.merge_events(df, events.MERGE | {"frequency_iou": 0.0})
+
+
+def test_quantiles_selected_by_bits_are_exact(spark):
+    rng = random.Random(10)
+    odd = [0.0, -0.0, 5e-324, -5e-324, 1.7976931348623157e308, -1.7976931348623157e308, 1.0, 1.0000000000000002, 0.9999999999999999, -1.0]
+    groups = {"a": [rng.gauss(0, 1) for _ in range(3000)], "b": [7.0] * 500, "c": odd, "d": [float(rng.randrange(5)) for _ in range(999)], "e": [3.5], "f": [2.0**-k for k in range(900)] + [-(2.0**k) for k in range(900)], None: [1.0, 2.0]}
+    rows = [(k, v) for k, vs in groups.items() for v in vs] + [("a", None), ("g", None)]
+    df = spark.createDataFrame(rows, "k string, v double").withColumn("k", F.struct("k")).repartition(7)
+    quantiles = [0.25, 0.5, 0.75, 0.0, 1.0, 0.1]
+    got = {r.k.k: r.quantiles for r in selection.exact_quantiles(df, ["k"], "v", quantiles).collect()}
+    assert set(got) == set(groups)
+    for k, values in groups.items():
+        own = sorted(values)
+        for q, v in zip(quantiles, got[k], strict=True):
+            place = (len(own) - 1) * q
+            low, high = math.floor(place), math.ceil(place)
+            assert v == (own[low] if low == high else (high - place) * own[low] + (place - low) * own[high]), (k, q)
+    assert selection.exact_quantiles(df.where("false"), ["k"], "v", [0.5]).count() == 0
+
+
+def test_statistics_of_unbounded_bags_equal_the_others(spark):
+    rng = random.Random(11)
+    rows = [(rng.choice(["x", "y", None]), rng.choice([None, float("nan"), float(rng.randrange(30)), rng.random()]), None if k % 2 else 1.0) for k in range(800)] + [("z", None, float("inf"))]
+    df = spark.createDataFrame(rows, "encounter_id string, a double, b double")
+    for statistics in (bags.STATISTICS, ("maximum", "median"), ("mean",)):
+        one = bags.bag_statistics(df, "encounter_id", ["a", "b"], statistics)
+        many = bags.unbounded_bag_statistics(df, "encounter_id", ["a", "b"], statistics)
+        assert one.columns == many.columns
+        rounded = lambda d: sorted(repr([round(x, 9) if isinstance(x, float) else x for x in r]) for r in d.collect())
+        assert rounded(one) == rounded(many)
