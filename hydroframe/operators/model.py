@@ -13,8 +13,8 @@ LABELS = ("Feeding", "Travelling", "Milling", "Socializing")
 HEAD_KIND = "logistic_regression"
 
 
-def encode(aggregates: DataFrame, key: str, encoder: DataFrame) -> DataFrame:
-    """(key, pos, name, value): each aggregate standardised, after its missing values took the stored median, then its missing mark.
+def encoded_bags(aggregates: DataFrame, key: str, encoder: DataFrame) -> DataFrame:
+    """key and encoded, an array (pos, name, value) by position: each aggregate standardised, after its missing values took the stored median, then its missing mark.
 
     ``aggregates``: key, name, value; ``encoder``: pos, name, median, mean, sd. An aggregate that the
     encoder names and a bag lacks counts as missing.
@@ -30,16 +30,34 @@ def encode(aggregates: DataFrame, key: str, encoder: DataFrame) -> DataFrame:
             F.struct((2 * e["pos"] + 1).alias("pos"), F.concat(e["name"], F.lit("__missing")).alias("name"), value.isNull().cast("double").alias("value")),
         )
 
-    return bags.crossJoin(inputs).select(key, F.explode(F.flatten(F.transform("inputs", pair))).alias("x")).select(key, "x.*")
+    return bags.crossJoin(inputs).select(key, F.flatten(F.transform("inputs", pair)).alias("encoded"))
 
 
-def linear_heads(encoded: DataFrame, key: str, heads: DataFrame) -> DataFrame:
-    """(key, label_idx, label, score): the sigmoid of each head's weighted sum plus intercept.
+def encode(aggregates: DataFrame, key: str, encoder: DataFrame) -> DataFrame:
+    """encoded_bags with a row for each position: key, pos, name, value."""
+    return encoded_rows(encoded_bags(aggregates, key, encoder), key)
+
+
+def encoded_rows(bags: DataFrame, key: str) -> DataFrame:
+    return bags.select(key, F.explode("encoded").alias("x")).select(key, "x.*")
 
-    ``heads``: label_idx, label, pos, coef, intercept; four rows for each encoded position.
+
+def score_bags(bags: DataFrame, key: str, heads: DataFrame) -> DataFrame:
+    """(key, label_idx, label, score) of encoded_bags: the sigmoid of each head's weighted sum plus intercept.
+
+    ``heads``: label_idx, label, pos, coef, intercept, a row for each encoded position. All of them join as
+    one row, so bags stay where they are and sums run by position.
     """
-    logit = F.sum(F.col("coef") * F.col("value")) + F.first("intercept")
-    return encoded.join(heads, "pos").groupBy(key, "label_idx", "label").agg(stable_sigmoid(logit).alias("score"))
+    each = heads.groupBy("label_idx", "label").agg(F.first("intercept").alias("intercept"), F.transform(F.array_sort(F.collect_list(F.struct("pos", "coef"))), lambda x: x["coef"]).alias("coefs"))
+    every = each.agg(F.array_sort(F.collect_list(F.struct("label_idx", "label", "intercept", "coefs"))).alias("heads"))  # one row
+    rows = bags.crossJoin(every).select(key, F.transform("encoded", lambda x: x["value"]).alias("values"), F.explode("heads").alias("h"))
+    logit = F.aggregate(F.zip_with("values", "h.coefs", lambda v, c: v * c), F.col("h.intercept"), lambda a, x: a + x)
+    return rows.select(key, "h.label_idx", "h.label", stable_sigmoid(logit).alias("score"))
+
+
+def linear_heads(encoded: DataFrame, key: str, heads: DataFrame) -> DataFrame:
+    """score_bags of encoded rows (key, pos, name, value), which are put together by bag first."""
+    return score_bags(encoded.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "name", "value"))).alias("encoded")), key, heads)
 
 
 def rank_labels(scores: DataFrame, key: str) -> DataFrame:

@@ -126,12 +126,16 @@ def _model(spark):
     return spark.createDataFrame(ENCODER, "pos int, name string, median double, mean double, sd double"), spark.createDataFrame(HEADS, "label_idx int, label string, pos int, coef double, intercept double")
 
 
+def _encoded_bags(spark, sf):
+    return model.encoded_bags(bags.long_form(_bags(spark, sf), "encounter_id"), "encounter_id", _model(spark)[0])
+
+
 def _encoded(spark, sf):
-    return model.encode(bags.long_form(_bags(spark, sf), "encounter_id"), "encounter_id", _model(spark)[0])
+    return model.encoded_rows(_encoded_bags(spark, sf), "encounter_id")
 
 
 def _scores(spark, sf):
-    return model.linear_heads(_encoded(spark, sf), "encounter_id", _model(spark)[1])
+    return model.score_bags(_encoded_bags(spark, sf), "encounter_id", _model(spark)[1])
 
 
 @query("m1_encode_aggregates", f"WITH {_ENC} SELECT encounter_id, pos, name, round(value, 6) AS value FROM encoded")
@@ -177,9 +181,9 @@ SELECT r.encounter_id, 'complete' AS status, max(CASE WHEN rank = 1 THEN label E
  '{MODEL_ID}' AS model_id, '{MODEL_SHA256}' AS model_sha256, {TRAINED_ON} AS training_encounter_count, 'uncalibrated' AS score_type, '{pipeline.INTERPRETATION["scope"]}' AS scope
 FROM r JOIN t USING (encounter_id) LEFT JOIN w USING (encounter_id) GROUP BY r.encounter_id""")
 def _(spark, sf):
-    encoded = _encoded(spark, sf)
+    encoded = _encoded_bags(spark, sf)
     totals = bags.bag_totals(_clips(spark, sf), "encounter_id", "quantity", "l_linenumber")
-    out = pipeline.assemble_predictions(model.linear_heads(encoded, "encounter_id", _model(spark)[1]), totals, quality.extrapolation(model.top_extremes(encoded, "encounter_id")), _settings(spark))
+    out = pipeline.assemble_predictions(model.score_bags(encoded, "encounter_id", _model(spark)[1]), totals, quality.extrapolation(model.top_extremes(model.encoded_rows(encoded, "encounter_id"), "encounter_id")), _settings(spark))
     best = F.get("ranked", F.lit(0))
     return out.select(
         "encounter_id", "status", best["label"].alias("best"), _r(best["score"]).alias("best_score"), "clip_count", _r("total_duration", 2).alias("total_duration"), F.array_join(F.transform("ranked", lambda x: x["label"]), ">").alias("ranking"),

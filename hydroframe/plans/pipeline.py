@@ -79,14 +79,14 @@ def predict_bags(features: DataFrame, encoder: DataFrame, heads: DataFrame, sett
     Every rule reads ``features``, so give a written table, lest the audio be gone through for each.
     """
     key = "encounter_id"
-    encoded = model.encode(bags.long_form(bags.bag_statistics(features, key, list(FEATURES)), key), key, encoder)
+    encoded = model.encoded_bags(bags.long_form(bags.bag_statistics(features, key, list(FEATURES)), key), key, encoder)
     rates = settings.select(F.explode("training.native_sample_rates_hz").alias("sample_rate_hz"))
     found = quality.combine(
         quality.sparse_evidence(features), quality.rate_warnings(features, rates), quality.missing_component(features), quality.flag_warnings(features),
-        quality.duplicate_content(features), quality.extrapolation(model.top_extremes(encoded, key)),
+        quality.duplicate_content(features), quality.extrapolation(model.top_extremes(model.encoded_rows(encoded, key), key)),
     )
     summary = bags.bag_totals(features, key, "duration_seconds", "sample_rate_hz").join(bags.bag_fingerprint(features, key, "path", "sha256"), key)
-    out = assemble_predictions(model.linear_heads(encoded, key, heads), summary, found, settings)
+    out = assemble_predictions(model.score_bags(encoded, key, heads), summary, found, settings)
     return out.join(quality.clip_details(features), key) if details else out
 
 
