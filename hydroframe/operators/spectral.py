@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -51,8 +51,11 @@ def tonal_salience(power: np.ndarray, bin_hz: float, audit: dict) -> np.ndarray:
     return smooth - _along(smooth, np.full(width, 1 / width), 1)
 
 
-def label_components(mask: np.ndarray) -> np.ndarray:
-    """Numbers of the 8-connected components of a mask, by scan order of their first cells; 0 outside."""
+def label_runs(rows: list[int], edges: Iterable[np.ndarray]) -> list[tuple[int, int, int, int, int]]:
+    """(row, begin, stop, row and begin of the first run of its 8-connected component) of each run.
+
+    ``rows``: numbers in ascending order; ``edges``: for each row where runs begin and stop, in turn.
+    """
     up: list[int] = []
 
     def find(i: int) -> int:
@@ -61,25 +64,34 @@ def label_components(mask: np.ndarray) -> np.ndarray:
             i = up[i]
         return i
 
-    runs: list[tuple[int, int, int]] = []  # of the row before: begin, end, number
-    out = []
-    for row, line in enumerate(mask):
-        edge = np.flatnonzero(np.diff(np.concatenate([[0], line.astype(np.int8), [0]])))
-        now = []
-        for a, b in zip(edge[::2], edge[1::2], strict=True):
+    out: list[tuple[int, int, int]] = []
+    before, last = [], None  # runs of the row before: begin, stop, number
+    for row, edge in zip(rows, edges, strict=True):
+        now, at = [], 0
+        above = before if last is not None and row == last + 1 else []
+        for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
             number = len(up)
             up.append(number)
-            for c, d, other in runs:
-                if c <= b and a <= d:  # they touch, corners included
-                    i, j = find(number), find(other)
-                    up[max(i, j)] = min(i, j)
-            now.append((int(a), int(b), number))
-            out.append((row, int(a), int(b), number))
-        runs = now
-    names: dict[int, int] = {}
+            while at < len(above) and above[at][1] < a:
+                at += 1
+            for c, d, other in above[at:]:
+                if c > b:
+                    break
+                i, j = find(number), find(other)  # they touch, corners included
+                up[max(i, j)] = min(i, j)
+            now.append((a, b, number))
+            out.append((row, a, b))
+        before, last = now, row
+    return [(*x, *out[find(k)][:2]) for k, x in enumerate(out)]
+
+
+def label_components(mask: np.ndarray) -> np.ndarray:
+    """Numbers of the 8-connected components of a mask, by scan order of their first cells; 0 outside."""
+    found = label_runs(list(range(len(mask))), (np.flatnonzero(np.diff(np.concatenate([[0], line.astype(np.int8), [0]]))) for line in mask))
+    names: dict[tuple[int, int], int] = {}
     labels = np.zeros(mask.shape, np.int32)
-    for row, a, b, number in out:
-        labels[row, a:b] = names.setdefault(find(number), len(names) + 1)
+    for row, a, b, *first in found:
+        labels[row, a:b] = names.setdefault(tuple(first), len(names) + 1)
     return labels
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hydroframe.functions.columns import clean_numeric, interval_iou, overlap_coefficient, weighted_quantile
-from hydroframe.operators import bags, clips, events, frames, model, quality, spectral
+from hydroframe.operators import bags, clips, events, frames, grid, model, quality, spectral
 from hydroframe.plans import pipeline
 from hydroframe.sources import recordings
 
@@ -628,6 +628,17 @@ def _(spark, sf):
 _GRID = "SELECT vec_id // 16 AS clip_id, vec_id % 16 AS f, i - 1 AS b, embedding[i]::DOUBLE AS v FROM embeddings CROSS JOIN range(1, 65) r(i)"
 
 
+@query("t7_connected_components", """WITH RECURSIVE c AS (SELECT vec_id AS row, i - 1 AS b FROM embeddings CROSS JOIN range(1, 65) r(i) WHERE embedding[i]::DOUBLE >= 0.2::DOUBLE),
+pair AS (SELECT x.row * 64 + x.b AS a, y.row * 64 + y.b AS z FROM c x CROSS JOIN range(-1, 2) d(k) JOIN c y ON y.row = x.row + d.k AND abs(x.b - y.b) <= 1),
+reach(a, z) AS (SELECT row * 64 + b, row * 64 + b FROM c UNION SELECT r.a, p.z FROM reach r JOIN pair p ON p.a = r.z),
+l AS (SELECT a, min(z) AS first FROM reach GROUP BY a)
+SELECT dense_rank() OVER (ORDER BY first) AS component, count(*) AS cells, min(a // 64) AS first_row, max(a // 64) AS last_row, min(a % 64) AS first_bin, max(a % 64) AS last_bin FROM l GROUP BY first""")
+def _(spark, sf):
+    """All vectors as one grid, in tiles of few rows so that many components cross a seam."""
+    rows = _read(spark, sf, "embeddings").select(F.col("vec_id").alias("row"), F.col("embedding").alias("samples"))
+    return grid.component_bounds(grid.label_grid(rows, 0.2, tile_rows=64))
+
+
 @query("t8_component_summary", f"""WITH RECURSIVE g AS ({_GRID}), n AS (SELECT clip_id, dense_rank() OVER (PARTITION BY clip_id ORDER BY f) - 1 AS row, f, b, v, (dense_rank() OVER (PARTITION BY clip_id ORDER BY f) - 1) * 64 + b AS cell FROM g),
 c AS (SELECT * FROM n WHERE v >= 0.15::DOUBLE), pair AS (SELECT x.clip_id, x.cell AS a, y.cell AS z FROM c x JOIN c y ON x.clip_id = y.clip_id AND abs(x.row - y.row) <= 1 AND abs(x.b - y.b) <= 1),
 reach(clip_id, a, z) AS (SELECT clip_id, cell, cell FROM c UNION SELECT r.clip_id, r.a, p.z FROM reach r JOIN pair p ON p.clip_id = r.clip_id AND p.a = r.z),
@@ -642,8 +653,8 @@ SELECT clip_id, best.comp IS NOT NULL AS found, coalesce(candidate_count, 0) AS
  round(median_salience, 5) AS median_salience, round(peak_salience, 5) AS peak_salience, q05 AS frequency_q05, q50 AS frequency_q50, q95 AS frequency_q95, q99 AS frequency_q99, q95 - q05 AS bandwidth_q90, frequency_max
 FROM every LEFT JOIN best USING (clip_id) LEFT JOIN q USING (clip_id) LEFT JOIN many USING (clip_id)""")
 def _(spark, sf):
-    grid = _read(spark, sf, "embeddings").select(F.floor(F.col("vec_id") / 16).alias("clip_id"), (F.col("vec_id") % 16).alias("frame_idx"), F.col("embedding").alias("samples"))
-    out = spectral.grid_summary(grid, "clip_id", 0.15, spectral.Tonal(0.01, 63.0, 0.02))
+    rows = _read(spark, sf, "embeddings").select(F.floor(F.col("vec_id") / 16).alias("clip_id"), (F.col("vec_id") % 16).alias("frame_idx"), F.col("embedding").alias("samples"))
+    out = spectral.grid_summary(rows, "clip_id", 0.15, spectral.Tonal(0.01, 63.0, 0.02))
     return out.select("clip_id", "found", "candidate_count", "pixel_count", *[_r(c, 5).alias(c) for c in out.columns if c not in ("clip_id", "found", "candidate_count", "pixel_count")])
 
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hydroframe.functions.columns import clean_numeric, stable_sigmoid
-from hydroframe.operators import bags, events, frames, model, selection, spectral
+from hydroframe.operators import bags, events, frames, grid, model, selection, spectral
 
 DETECTION = "recording_id string, seq long, start_s double, end_s double, fmin_hz double, fmax_hz double, confidence double, windows array<int>, raw_count int"
 
@@ -232,3 +232,33 @@ def test_statistics_of_unbounded_bags_equal_the_others(spark):
         assert one.columns == many.columns
         rounded = lambda d: sorted(repr([round(x, 9) if isinstance(x, float) else x for x in r]) for r in d.collect())
         assert rounded(one) == rounded(many)
+
+
+def cells_of_runs(runs):
+    return {(r.row, b): r.component for r in runs.collect() for b in range(r.begin, r.stop)}
+
+
+@pytest.mark.parametrize("tile_rows, share", [(1, 0.35), (4, 0.45), (7, 0.2), (100, 0.5)])
+def test_components_across_seams_equal_those_of_one_piece(spark, tile_rows, share):
+    rng = np.random.default_rng(tile_rows)
+    mask = rng.random((60, 23)) < share
+    labels = spectral.label_components(mask)
+    rows = [(k, [float(x) for x in line]) for k, line in enumerate(mask)]
+    got = cells_of_runs(grid.label_grid(spark.createDataFrame(rows, "row long, samples array<double>").repartition(5), 0.5, tile_rows))
+    assert got == {(int(r), int(c)): int(labels[r, c]) for r, c in zip(*np.nonzero(labels))}
+
+
+def test_a_snake_through_all_tiles_is_one_component_and_gaps_part(spark):
+    rows = []
+    for k in range(200):  # a path that turns at either side, so that the chain of seams is long
+        line = [0.0] * 9
+        for b in range(9) if k % 2 == 0 else [8 if k % 4 == 1 else 0]:
+            line[b] = 1.0
+        rows.append((k, line))
+    df = spark.createDataFrame(rows, "row long, samples array<double>")
+    assert set(cells_of_runs(grid.label_grid(df, 0.5, 1)).values()) == {1}
+    parted = cells_of_runs(grid.label_grid(df.where("row <> 90"), 0.5, 8))
+    assert {k[0] < 90: v for k, v in parted.items()} == {True: 1, False: 2}
+    odd = spark.createDataFrame([(0, None), (1, [None, float("nan"), 1.0]), (2, []), (3, [1.0])], "row long, samples array<double>")
+    assert cells_of_runs(grid.label_grid(odd, 0.5, 2)) == {(1, 2): 1, (3, 0): 2}
+    assert grid.label_grid(df.where("false"), 0.5).count() == 0
