@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -156,13 +157,20 @@ SUMMARY = """found boolean, candidate_count long, frame_fraction double, duratio
 frequency_q05 double, frequency_q50 double, frequency_q95 double, frequency_q99 double, bandwidth_q90 double, frequency_max double"""
 
 
+SUMMARY_NAMES = [x.split()[0] for x in SUMMARY.replace("\n", " ").split(", ")]
+
+
 def summary_of(name, salience: np.ndarray, freqs: np.ndarray, threshold: float, tonal: Tonal) -> pd.DataFrame:
-    """One row: the best component of a clip's grid, the one with the largest score, of equals the first.
+    """summary_values as one row."""
+    return pd.DataFrame([[name, *summary_values(salience, freqs, threshold, tonal)]], columns=["clip", *SUMMARY_NAMES])
+
+
+def summary_values(salience: np.ndarray, freqs: np.ndarray, threshold: float, tonal: Tonal) -> list:
+    """SUMMARY of the best component of a clip's grid, the one with the largest score, of equals the first.
 
     Components with too few distinct frames don't count. A clip without one has frame fraction and
     duration 0 and nulls for the rest, and still the number of its components.
     """
-    names = [x.split()[0] for x in SUMMARY.replace("\n", " ").split(", ")]
     labels = label_components(salience >= threshold)
     row, column = np.nonzero(labels)
     own, v, freq = labels[row, column], salience[row, column], freqs[column]
@@ -177,14 +185,13 @@ def summary_of(name, salience: np.ndarray, freqs: np.ndarray, threshold: float,
             score = np.maximum(v[cells], 0).sum() * compact / (1 + 0.15 * np.median(freq[cells]) / max(tonal.upper_hz, 1.0))
             if score > most:
                 best, most, best_frames = cells, score, frames
-    values = [False, n, 0.0, 0.0, 0, *[None] * 9]
-    if best is not None:
-        f, w = freq[best], np.maximum(v[best], np.finfo(float).eps)
-        by_freq = np.argsort(f, kind="stable")
-        upto = np.cumsum(w[by_freq])
-        q = [float(f[by_freq][min(np.searchsorted(upto, x * upto[-1]), len(f) - 1)]) for x in (0.05, 0.5, 0.95, 0.99)]
-        values = [True, n, best_frames / len(salience), best_frames * tonal.hop_s, len(best), most, np.median(v[best]), v[best].max(), *q, q[2] - q[0], f.max()]
-    return pd.DataFrame([[name, *values]], columns=["clip", *names])
+    if best is None:
+        return [False, n, 0.0, 0.0, 0, *[None] * 9]
+    f, w = freq[best], np.maximum(v[best], np.finfo(float).eps)
+    by_freq = np.argsort(f, kind="stable")
+    upto = np.cumsum(w[by_freq])
+    q = [float(f[by_freq][min(np.searchsorted(upto, x * upto[-1]), len(f) - 1)]) for x in (0.05, 0.5, 0.95, 0.99)]
+    return [True, n, best_frames / len(salience), best_frames * tonal.hop_s, len(best), float(most), float(np.median(v[best])), float(v[best].max()), *q, q[2] - q[0], float(f.max())]
 
 
 def grid_summary(grid: DataFrame, key: str, threshold: float, tonal: Tonal) -> DataFrame:
@@ -210,12 +217,20 @@ def moving_average(cells: DataFrame, keys: list[str], position: str, value: str,
 
 
 def resample(x: np.ndarray, source: int, target: int) -> np.ndarray:
-    """Rational polyphase resampling with a Kaiser window (beta 8.6); several channels are averaged first."""
+    """resample_stack of one signal; several channels are averaged first."""
     x = np.asarray(x, np.float32)
     if x.ndim == 2:
         x = x.mean(axis=1, dtype=np.float32)
-    if source == target:
-        return x
+    return resample_stack(x[None, :], source, target)[0]
+
+
+def resample_stack(x: np.ndarray, source: int, target: int) -> np.ndarray:
+    """Rational polyphase resampling of signals of one length, a row each, with a Kaiser window (beta 8.6).
+
+    Outputs of one phase see every up-th tap, at inputs that move on by ``down``: strided windows times a few taps.
+    """
+    if source == target or not x.shape[1]:
+        return np.asarray(x, np.float32)
     g = math.gcd(source, target)
     up, down = target // g, source // g
     most = max(up, down)
@@ -223,33 +238,48 @@ def resample(x: np.ndarray, source: int, target: int) -> np.ndarray:
     n = np.arange(-half, half + 1)
     taps = np.sinc(n / most) / most * np.kaiser(2 * half + 1, 8.6)
     taps = taps / taps.sum() * up
-    wide = np.zeros(len(x) * up)
-    wide[::up] = x
-    size = 1 << (len(wide) + len(taps) - 1).bit_length()
-    full = np.fft.irfft(np.fft.rfft(wide, size) * np.fft.rfft(taps, size), size)
-    out = -(-len(x) * up // down)
-    return full[half : half + out * down : down][:out].astype(np.float32)
-
-
-def window_view(samples: np.ndarray, rate: int, *, window_s=3.0, target=96_000, fmax=30_000.0, frame_ms=20.0, hop_ms=2.5, top=99.7, span_db=70.0) -> tuple[np.ndarray, float, float, float, float]:
-    """A detector window as a grid of levels from 0 to 1 and the bounds of its cells in time and frequency."""
-    need = max(1, round(window_s * rate))
-    fit = lambda x, n: np.pad(x[:n], (0, max(0, n - len(x))))
-    x = resample(fit(np.asarray(samples), need).astype(np.float32) / 32768, rate, target)
-    x = fit(x - np.float32(x.mean(dtype=np.float64)), round(window_s * target))
+    out = np.empty((len(x), -(-x.shape[1] * up // down)), np.float32)
+    reach = half // up + 1  # inputs on either side that a tap can meet
+    wide = np.pad(np.asarray(x, np.float64), ((0, 0), (reach, reach + down)))
+    for first in range(min(up, out.shape[1])):
+        at, phase = divmod(first * down, up)
+        own = np.arange(-reach, reach + 1) * -up + phase + half  # the tap that meets each input around it
+        weight = np.where((own >= 0) & (own < len(taps)), taps[np.clip(own, 0, len(taps) - 1)], 0.0)
+        count = -(-(out.shape[1] - first) // up)
+        windows = np.lib.stride_tricks.sliding_window_view(wide, 2 * reach + 1, axis=1)[:, at :: down][:, :count]
+        out[:, first::up] = windows @ weight
+    return out
+
+
+def window_view(samples: np.ndarray, rate: int, **settings) -> tuple[np.ndarray, float, float, float, float]:
+    """window_stack of one window."""
+    grids, *bounds = window_stack([samples], rate, **settings)
+    return grids[0], *bounds
+
+
+def window_stack(samples: list[np.ndarray], rate: int, *, window_s=3.0, target=96_000, fmax=30_000.0, frame_ms=20.0, hop_ms=2.5, top=99.7, span_db=70.0) -> tuple[np.ndarray, float, float, float, float]:
+    """Detector windows of one rate as grids of levels from 0 to 1, one stack, and the bounds of their cells in time and frequency."""
+    need, full = max(1, round(window_s * rate)), round(window_s * target)
+    x = np.zeros((len(samples), need), np.float32)
+    for row, own in zip(x, samples, strict=True):
+        row[: min(need, len(own))] = np.asarray(own[:need], np.float32) / 32768
+    x = resample_stack(x, rate, target)
+    x = x - x.mean(axis=1, keepdims=True, dtype=np.float64).astype(np.float32)
+    x = np.pad(x[:, :full], ((0, 0), (0, max(0, full - x.shape[1]))))
     length, hop = max(16, round(frame_ms * target / 1000)), max(1, round(hop_ms * target / 1000))
     nfft = 1 << (length - 1).bit_length()
-    x = np.pad(x, (0, -(len(x) - length) % hop))
-    frames = np.lib.stride_tricks.sliding_window_view(x, length)[::hop]
+    x = np.pad(x, ((0, 0), (0, -(x.shape[1] - length) % hop)))
     w = hann(length)
-    power = np.abs(np.fft.rfft(frames * w, nfft, axis=1) / w.sum()) ** 2
-    keep = np.arange(power.shape[1]) * target / nfft <= fmax
-    db = 10 * np.log10(np.maximum(power[:, keep], np.finfo(np.float32).tiny))
-    high = float(np.percentile(db, top))
-    grid = np.clip((db - high + span_db) / max(span_db, 1e-7), 0, 1).T
+    keep = np.arange(nfft // 2 + 1) * target / nfft <= fmax
+    frames = np.lib.stride_tricks.sliding_window_view(x, length, axis=1)[:, ::hop]
+    grids = np.empty((len(x), int(keep.sum()), frames.shape[1]), np.float32)
+    for grid, own in zip(grids, frames, strict=True):  # the spectra of one window at a time bound the memory
+        db = 10 * np.log10(np.maximum(np.abs(np.fft.rfft(own * w, nfft, axis=1)[:, keep] / w.sum()) ** 2, np.finfo(np.float32).tiny))
+        high = float(np.percentile(db, top))
+        grid[:] = np.clip((db - high + span_db) / max(span_db, 1e-7), 0, 1).T
     step, bin_hz = hop / target, target / nfft
     t0 = length / 2 / target
-    return grid, t0 - step / 2, t0 + (len(frames) - 1) * step + step / 2, 0.0, min(target / 2, (keep.sum() - 1) * bin_hz + bin_hz / 2)
+    return grids, t0 - step / 2, t0 + (frames.shape[1] - 1) * step + step / 2, 0.0, min(target / 2, (keep.sum() - 1) * bin_hz + bin_hz / 2)
 
 
 def window_bounds(rate: int = 96_000) -> tuple[float, float, float, float]:
@@ -257,13 +287,27 @@ def window_bounds(rate: int = 96_000) -> tuple[float, float, float, float]:
     return window_view(np.zeros(1, np.int16), rate)[1:]
 
 
+#: Windows whose grids are made together.
+STACK = 8
+WINDOW_GRIDS = "recording_id string, window_index int, grid array<array<float>>, t0 double, t1 double, f0 double, f1 double"
+
+
 def window_spectrograms(windows: DataFrame) -> DataFrame:
-    """window_view of each row (recording_id, window_index, sample_rate_hz, pcm)."""
+    """The grid of each row (recording_id, window_index, sample_rate_hz, pcm), with the bounds of its cells; windows of one rate are worked on in stacks."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for r in batch.itertuples():
-                grid, t0, t1, f0, f1 = window_view(np.frombuffer(r.pcm, "<i2"), r.sample_rate_hz)
-                yield pd.DataFrame({"recording_id": [r.recording_id], "window_index": [r.window_index], "grid": [grid.astype(np.float32).tolist()], "t0": [t0], "t1": [t1], "f0": [f0], "f1": [f1]})
+    def listed(stack: np.ndarray) -> pa.Array:
+        count, height, width = stack.shape
+        lines = pa.ListArray.from_arrays(pa.array(np.arange(count * height + 1, dtype=np.int32) * width), pa.array(stack.ravel()))
+        return pa.ListArray.from_arrays(pa.array(np.arange(count + 1, dtype=np.int32) * height), lines)
 
-    return windows.select("recording_id", "window_index", "sample_rate_hz", "pcm").mapInPandas(run, "recording_id string, window_index int, grid array<array<float>>, t0 double, t1 double, f0 double, f1 double")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rates = batch["sample_rate_hz"].to_numpy(zero_copy_only=False)
+            for rate in np.unique(rates):
+                own = np.flatnonzero(rates == rate)
+                for at in range(0, len(own), STACK):
+                    rows = batch.take(pa.array(own[at : at + STACK]))
+                    grids, *bounds = window_stack([np.frombuffer(x.as_buffer(), "<i2") for x in rows["pcm"]], int(rate))
+                    yield pa.RecordBatch.from_arrays([rows["recording_id"], rows["window_index"], listed(grids), *[pa.array([b] * len(rows)) for b in bounds]], names=["recording_id", "window_index", "grid", "t0", "t1", "f0", "f1"])
+
+    return windows.select(F.col("recording_id").cast("string").alias("recording_id"), F.col("window_index").cast("int").alias("window_index"), "sample_rate_hz", "pcm").mapInArrow(run, WINDOW_GRIDS)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hydroframe.operators import bags, clips, events, frames, model, quality, spectral
+from hydroframe.operators import audio, bags, clips, events, frames, model, quality, spectral
 from hydroframe.sources.recordings import read_samples
 
 #: Fixed texts that stand in every prediction.
@@ -32,23 +32,8 @@ FEATURES = (
 
 def clip_features(bag: DataFrame, rate: int, audit: dict, flags: dict) -> DataFrame:
     """The feature record of every clip of one sample rate. ``bag``: encounter_id, path, sha256, sample_rate_hz, sample_count, pcm."""
-    length = max(16, round(audit["window_seconds"] * rate))
-    hop = max(1, round(length * audit["hop_fraction"]))
-    own = bag.where(F.col("sample_rate_hz") == rate)
-    n = F.col("sample_count").cast("int")
-    word = lambda i: F.conv(F.hex(F.concat(F.substring("pcm", 2 * i + 2, F.lit(1)), F.substring("pcm", 2 * i + 1, F.lit(1)))), 16, 10).cast("int")
-    samples = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.when(word(i) >= 32768, word(i) - 65536).otherwise(word(i)))
-    arrays = own.where("sample_count > 0").select("path", samples.alias("samples"))
-    stats = clips.amplitude_stats(arrays.select("path", F.explode("samples").alias("x")), "path", "x", flags["near_clipping_amplitude_fraction"])
-    cut = frames.frames(arrays.select("path", frames.pcm_to_float(F.col("samples")).alias("samples")), "path", "samples", length, hop, int(audit["max_frames_per_clip"]))
-    dynamics = clips.frame_dynamics(cut.withColumn("rms", clips.frame_rms(F.col("samples"))), "path")
-    upper = min(audit["core_tonal_upper_hz"], (length // 2) * rate / length)
-    tonal = spectral.clip_summary(cut, "path", rate / length, audit, spectral.Tonal(hop / rate, upper, audit["tonal_minimum_duration_seconds"]))
-    p = "core_tonal_component_"
-    names = {"found": "found", "frame_fraction": "frame_fraction", "median_salience": "median_salience_db", "peak_salience": "peak_salience_db", "bandwidth_q90": "bandwidth_q90_hz", "frequency_max": "frequency_max_hz"} | {f"frequency_{q}": f"frequency_{q}_hz" for q in ("q05", "q50", "q95", "q99")}
-    tonal = tonal.select("path", F.col("duration_seconds").alias(p + "duration_seconds"), "candidate_count", "pixel_count", "score", *[F.col(a).alias(p + b) for a, b in names.items()])
-    rows = own.drop("pcm").withColumn("duration_seconds", F.col("sample_count") / F.lit(float(rate)))
-    rows = rows.join(stats.drop("sample_count"), "path", "left").join(dynamics, "path", "left").join(tonal, "path", "left")
+    rows = audio.clip_records(bag, rate, audit, flags["near_clipping_amplitude_fraction"])
+    rows = rows.withColumn("duration_seconds", F.col("sample_count") / F.lit(float(rate)))
     return rows.withColumn("quality_flags", clips.quality_flags(flags))
 
 

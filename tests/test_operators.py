@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hydroframe.functions.columns import clean_numeric, stable_sigmoid
-from hydroframe.operators import bags, events, frames, grid, model, selection, spectral
+from hydroframe.operators import audio, bags, events, frames, grid, model, selection, spectral
 
 DETECTION = "recording_id string, seq long, start_s double, end_s double, fmin_hz double, fmax_hz double, confidence double, windows array<int>, raw_count int"
 
@@ -262,3 +262,66 @@ def test_a_snake_through_all_tiles_is_one_component_and_gaps_part(spark):
     odd = spark.createDataFrame([(0, None), (1, [None, float("nan"), 1.0]), (2, []), (3, [1.0])], "row long, samples array<double>")
     assert cells_of_runs(grid.label_grid(odd, 0.5, 2)) == {(1, 2): 1, (3, 0): 2}
     assert grid.label_grid(df.where("false"), 0.5).count() == 0
+
+
+def test_resampling_equals_the_sum_over_all_taps():
+    rng = np.random.default_rng(12)
+    for source, target, n in ((288_000, 96_000, 400), (96_000, 288_000, 50), (250_000, 96_000, 300), (80_000, 96_000, 120), (500, 300, 7), (7, 5, 1)):
+        x = rng.normal(size=(3, n))
+        g = math.gcd(source, target)
+        up, down = target // g, source // g
+        half = 10 * max(up, down)
+        k = np.arange(-half, half + 1)
+        taps = np.sinc(k / max(up, down)) * np.kaiser(2 * half + 1, 8.6)
+        taps = taps / taps.sum() * up
+        wide = np.zeros((3, n * up))
+        wide[:, ::up] = x
+        want = np.stack([np.convolve(w, taps)[half : half + n * up][::down] for w in wide])
+        got = spectral.resample_stack(x, source, target)
+        assert got.shape == (3, -(-n * up // down)) and abs(got - want[:, : got.shape[1]]).max() < 1e-5
+
+
+def test_stacks_of_windows_equal_windows_alone(spark):
+    rng = np.random.default_rng(13)
+    rows = [(f"r{k}", k, [96_000, 250_000][k % 2], (rng.normal(size=40_000 + 1000 * k) * 3000).astype("<i2").tobytes()) for k in range(5)]
+    got = spectral.window_spectrograms(spark.createDataFrame(rows, "recording_id string, window_index int, sample_rate_hz int, pcm binary").coalesce(1)).collect()
+    assert len(got) == 5
+    for r in got:
+        _, k, rate, pcm = rows[r.window_index]
+        grid, *bounds = spectral.window_view(np.frombuffer(pcm, "<i2"), rate)
+        assert np.array(r.grid).shape == grid.shape and abs(np.array(r.grid) - grid).max() < 1e-6 and [r.t0, r.t1, r.f0, r.f1] == bounds
+
+
+def test_sample_formats_become_fractions():
+    assert audio.as_fractions(bytes([0, 128, 255]), "<u1").tolist() == [-1.0, 0.0, 127 / 128]
+    assert audio.as_fractions(np.array([-(1 << 31), 1 << 30], "<i4").tobytes(), "<i4").tolist() == [-1.0, 0.5]
+    assert audio.as_fractions(np.array([0.25, -2.0], "<f4").tobytes(), "<f4").tolist() == [0.25, -2.0]
+    for n, length, hop, most in ((10, 4, 2, 9), (10, 4, 2, 3), (3, 4, 2, 9), (10, 4, 1, 4), (10, 4, 1, 1), (4, 4, 1, 1)):
+        want = {(10, 4, 2, 9): [0, 2, 4, 6], (10, 4, 2, 3): [0, 3, 6], (10, 4, 1, 4): [0, 2, 4, 6]}.get((n, length, hop, most), [0])
+        assert audio.starts_of(n, length, hop, most).tolist() == want
+
+
+def test_records_of_clips_need_one_python_step(spark):
+    audit = {"window_seconds": 0.016, "hop_fraction": 0.5, "max_frames_per_clip": 7.0, "tonal_smoothing_time_sigma_frames": 0.8, "tonal_smoothing_frequency_sigma_bins": 1.0, "tonal_local_baseline_width_hz": 200.0, "tonal_salience_threshold_db": 3.0, "core_tonal_lower_hz": 20.0, "core_tonal_upper_hz": 400.0, "tonal_minimum_duration_seconds": 0.01}
+    rng = np.random.default_rng(14)
+    waves = {"a": (rng.normal(size=500) * 4000).astype("<i2"), "short": np.array([5, -7], "<i2"), "silent": np.zeros(64, "<i2"), "empty": np.zeros(0, "<i2"), "loud": np.full(40, 32767, "<i2")}
+    bag = spark.createDataFrame([(k, 1000, len(x), x.tobytes()) for k, x in waves.items()] + [("other", 2000, 1, b"\0\0")], "path string, sample_rate_hz int, sample_count long, pcm binary")
+    out = audio.clip_records(bag, 1000, audit, 0.99)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Exchange" not in plan
+    got = {r.path: r for r in out.collect()}
+    assert got.keys() == waves.keys()
+    for k, x in waves.items():
+        r = got[k]
+        if not len(x):
+            assert r.rms_fraction is None and r.core_tonal_component_found is None
+            continue
+        share = x / 32768
+        assert abs(r.rms_fraction - math.sqrt((share**2).mean())) < 1e-12 and abs(r.dc_fraction - share.mean()) < 1e-12
+        assert (r.exact_clipping_fraction, r.zero_fraction) == ((abs(x.astype(int)) >= 32767).mean(), (x == 0).mean())
+        fit = np.pad(share, (0, max(0, 16 - len(x))))
+        own = np.stack([fit[s : s + 16] for s in audio.starts_of(len(x), 16, 8, 7)])
+        rms = np.sqrt((own**2).mean(axis=1))
+        assert abs(r.rms_q50 - np.median(rms)) < 1e-12 and abs(r.low_activity_frame_fraction - (rms < max(rms.max() / 100, 1e-307)).mean()) < 1e-12
+        want = spectral.summary_values(*spectral.tonal_band(list(own), 1000 / 16, audit), 3.0, spectral.Tonal(0.008, 400.0, 0.01))
+        assert r.core_tonal_component_found == want[0] and r.candidate_count == want[1] and r.core_tonal_component_frequency_q50_hz == want[9]
