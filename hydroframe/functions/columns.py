@@ -9,6 +9,22 @@ from pyspark.sql import functions as F
 TINY = 2.2250738585072014e-308
 
 
+def _folds() -> tuple[str, str, list[tuple[str, str]]]:
+    """Code points that full case folding changes, with the one that stands for each; and those that become several."""
+    changed = [(c, f) for c in map(chr, range(0x110000)) if (f := c.casefold()) != c]
+    single = [(c, f) for c, f in changed if len(f) == 1]
+    return "".join(c for c, _ in single), "".join(f for _, f in single), [(c, f) for c, f in changed if len(f) > 1]
+
+
+def casefolded(text: Column) -> Column:
+    """Full Unicode case folding, as of this Python: one character may become several."""
+    singles, folded, several = _folds()
+    pairs = F.array(*[F.struct(F.lit(c).alias("c"), F.lit(f).alias("f")) for c, f in several])
+    spread = F.aggregate(pairs, text, lambda a, p: F.replace(a, p["c"], p["f"]))
+    whole = F.translate(F.when(text.rlike("[" + "".join(c for c, _ in several) + "]"), spread).otherwise(text), singles, folded)
+    return F.when(text.rlike(r"^[\x00-\x7F]*$"), F.lower(text)).otherwise(whole)
+
+
 def clean_numeric(value: Column) -> Column:
     """A double, or null for null, NaN, infinities and text that isn't a number. Booleans must not be passed."""
     number = value.try_cast("double")

@@ -14,8 +14,6 @@ from pyspark.sql.types import StructType
 from hydroframe.functions.columns import TINY
 from hydroframe.operators.spectral import SUMMARY_NAMES, Tonal, summary_values, tonal_band
 
-#: Whole-number and floating sample formats: what a sample is divided by, after an offset was taken off.
-FORMATS = {"<u1": (128.0, 128.0), "<i2": (0.0, 32768.0), "<i4": (0.0, 2147483648.0), "<f4": (0.0, 1.0), "<f8": (0.0, 1.0)}
 AMPLITUDE = ("rms_fraction", "dc_fraction", "exact_clipping_fraction", "near_clipping_fraction", "zero_fraction", "rms_dbfs")
 DYNAMICS = ("rms_q10", "rms_q50", "rms_q90", "temporal_dynamic_db", "low_activity_frame_fraction")
 TONAL = {
@@ -25,9 +23,13 @@ TONAL = {
 
 
 def as_fractions(samples: bytes, kind: str = "<i2") -> np.ndarray:
-    """Samples as fractions of full scale: unsigned bytes about 128, signed whole numbers by their range, floats as they are."""
-    offset, scale = FORMATS[kind]
-    return (np.frombuffer(samples, kind).astype(np.float64) - offset) / scale
+    """Samples as fractions of full scale: unsigned numbers about the middle of their range, signed ones by its larger side, floats as they are (undefined ones 0)."""
+    x = np.frombuffer(samples, kind)
+    if x.dtype.kind == "f":
+        return np.nan_to_num(x.astype(np.float64))
+    low, high = float(np.iinfo(x.dtype).min), float(np.iinfo(x.dtype).max)
+    middle, scale = ((high + low) / 2, (high - low) / 2) if x.dtype.kind == "u" else (0.0, -low)
+    return (x.astype(np.float64) - middle) / scale
 
 
 def starts_of(n: int, length: int, hop: int, most: int) -> np.ndarray:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hydroframe.functions.columns import clean_numeric
+from hydroframe.functions.columns import casefolded, clean_numeric
 from hydroframe.operators.selection import exact_quantiles
 
 #: Fixed names of the statistics, in order.
@@ -86,9 +86,14 @@ def bag_totals(clips: DataFrame, key: str, duration: str, rate: str) -> DataFram
     return clips.groupBy(key).agg(F.count(F.lit(1)).alias("clip_count"), F.sum(duration).alias("total_duration"), F.sort_array(F.collect_set(rate)).alias("rates"))
 
 
+def recording_totals(recordings: DataFrame, key: str) -> DataFrame:
+    """Number and whole duration of an encounter's recordings."""
+    return recordings.groupBy(key).agg(F.count(F.lit(1)).alias("recording_count"), F.sum("duration_seconds").alias("total_recording_duration_seconds"))
+
+
 def bag_fingerprint(clips: DataFrame, key: str, path: str, digest: str) -> DataFrame:
     """SHA-256 over the lines ``path<tab>hash`` in order of the case-folded path."""
-    lines = F.transform(F.sort_array(F.collect_list(F.struct(F.lower(path).alias("l"), F.col(path).alias("p"), F.col(digest).alias("h")))), lambda x: F.concat(x["p"], F.lit("\t"), x["h"], F.lit("\n")))
+    lines = F.transform(F.sort_array(F.collect_list(F.struct(casefolded(F.col(path)).alias("l"), F.col(path).alias("p"), F.col(digest).alias("h")))), lambda x: F.concat(x["p"], F.lit("\t"), x["h"], F.lit("\n")))
     return clips.groupBy(key).agg(F.sha2(F.array_join(lines, ""), 256).alias("input_set_sha256"))
 
 

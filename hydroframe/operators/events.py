@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from bisect import bisect_left, insort
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate, groupby
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from hydroframe.functions.columns import interval_iou, overlap_coefficient, weighted_quantile
 
@@ -309,3 +311,35 @@ def detect_windows(windows: DataFrame, detector, schema: str) -> DataFrame:
         yield from detector(batches)
 
     return windows.mapInPandas(run, schema)
+
+
+#: Windows that a detector sees together, and boxes of a window at most.
+DETECT_BATCH, MOST_BOXES = 8, 300
+BOX = ("x", "y", "w", "h", "confidence")
+
+
+def detect_batches(windows: DataFrame, make_detector: Callable, shape: tuple[int, int], batch: int = DETECT_BATCH) -> DataFrame:
+    """recording_id, window_index, box, x, y, w, h and confidence, from a detector that each Python worker makes once.
+
+    ``windows``: recording_id, window_index, grid; ``shape``: rows and columns of all grids. The detector that
+    ``make_detector()`` gives takes a stack of up to ``batch`` grids and gives for each an array of boxes, BOX by
+    row, of which the first MOST_BOXES count.
+    """
+
+    def make():
+        detector = make_detector()
+
+        def predict(grids: np.ndarray) -> np.ndarray:
+            out = np.full((len(grids), MOST_BOXES * len(BOX)), np.nan)
+            for row, boxes in zip(out, detector(grids), strict=True):
+                flat = np.asarray(boxes, float)[:MOST_BOXES].ravel()
+                row[: len(flat)] = flat
+            return out
+
+        return predict
+
+    detect = predict_batch_udf(make, return_type=ArrayType(DoubleType()), batch_size=batch, input_tensor_shapes=[list(shape)])
+    found = windows.select("recording_id", "window_index", detect(F.flatten("grid")).alias("flat"))
+    step = len(BOX)
+    boxes = F.transform(F.sequence(F.lit(0), F.lit(MOST_BOXES - 1)), lambda i: F.struct(i.alias("box"), *[F.get("flat", i * step + k).alias(n) for k, n in enumerate(BOX)]))
+    return found.select("recording_id", "window_index", F.explode(F.filter(boxes, lambda b: b["confidence"].isNotNull() & ~F.isnan(b["confidence"]))).alias("b")).select("recording_id", "window_index", "b.*")

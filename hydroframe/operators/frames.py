@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hydroframe.functions.columns import casefolded
+
 
 def frame_starts(n: Column, length: int, hop: int, most: int) -> Column:
     """Starts on the hop grid; beyond ``most`` frames, evenly spaced distinct starts. Short input has the one start 0."""
@@ -63,7 +65,7 @@ def clip_name(source_index: Column, event_id: Column) -> Column:
 
 def source_index(rows: DataFrame, encounter: str, path: str) -> DataFrame:
     """Position of each recording in its encounter, by case-folded path."""
-    return rows.withColumn("source_index", F.row_number().over(Window.partitionBy(encounter).orderBy(F.lower(path), path)))
+    return rows.withColumn("source_index", F.row_number().over(Window.partitionBy(encounter).orderBy(casefolded(F.col(path)), path)))
 
 
 def extract_clips(events: DataFrame, chunks: DataFrame, chunk_samples: int) -> DataFrame:

@@ -10,6 +10,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hydroframe.functions.columns import casefolded
+
 KEY = "encounter_id"
 
 #: Fixed texts of the warnings.
@@ -20,6 +22,7 @@ MESSAGES = {
     "duplicate_audio_content": "Two or more input paths contain byte-identical audio and may overweight a whistle.",
     "aggregate_feature_extrapolation": "Some encounter aggregates are more than six training standard deviations from their means.",
 }
+EMPTY_CODE, EMPTY_MESSAGE = "no_whistles_detected", "No whistle was detected and no behavior score computed; this does not mean that none of the behaviors occurred."
 FLAG_MESSAGE = "The descriptive audio-quality flag '%s' was raised."
 
 
@@ -32,7 +35,7 @@ def _rows(df: DataFrame, order: int, code: Column | str, files: Column | None =
 
 def _files() -> Column:
     """The paths of a group in the bag's order."""
-    return F.transform(F.sort_array(F.collect_list(F.struct(F.lower("path").alias("l"), F.col("path").alias("p")))), lambda x: x["p"])
+    return F.transform(F.sort_array(F.collect_list(F.struct(casefolded(F.col("path")).alias("l"), F.col("path").alias("p")))), lambda x: x["p"])
 
 
 def sparse_evidence(clips: DataFrame, least: int = 3) -> DataFrame:
@@ -99,7 +102,12 @@ def encounter_status(encounters: DataFrame, rejects: DataFrame, events: DataFram
 def empty_results(status: DataFrame) -> DataFrame:
     """Encounters without events: no scores, an empty ranking and one warning, never zeros."""
     rows = status.where("status = 'no_whistles_detected'")
-    return rows.select(KEY, "status", F.lit(None).cast("map<string,double>").alias("behavior_scores"), F.lit("insufficient_evidence").alias("quality_status"), F.lit(1).alias("warning_count"), F.array(F.lit("no_whistles_detected")).alias("warning_codes"))
+    none = lambda kind: F.lit(None).cast(kind)
+    warning = F.struct(F.lit(0).alias("ord"), F.lit(EMPTY_CODE).alias("code"), F.lit(EMPTY_MESSAGE).alias("message"), none("array<string>").alias("affected_files"), none("string").alias("details"))
+    return rows.select(
+        KEY, "status", none("map<string,double>").alias("behavior_scores"), F.array().cast("array<struct<rank: int, label: string, score: double>>").alias("ranked"),
+        F.lit("insufficient_evidence").alias("quality_status"), F.lit(1).alias("warning_count"), F.array(F.lit(EMPTY_CODE)).alias("warning_codes"), F.array(warning).alias("warnings"),
+    )
 
 
 def flat_rows(results: DataFrame, ranked: DataFrame) -> DataFrame:
@@ -114,5 +122,5 @@ def flat_rows(results: DataFrame, ranked: DataFrame) -> DataFrame:
 def clip_details(clips: DataFrame) -> DataFrame:
     """Per encounter the list of its clips with hash, rate, count, duration, found and flags, in the order of the case-folded path."""
     shown = ("path", "sha256", "sample_rate_hz", "sample_count", "duration_seconds", "core_tonal_component_found", "quality_flags")
-    listed = F.sort_array(F.collect_list(F.struct(F.lower("path").alias("_l"), *shown)))
+    listed = F.sort_array(F.collect_list(F.struct(casefolded(F.col("path")).alias("_l"), *shown)))
     return clips.groupBy(KEY).agg(F.transform(listed, lambda x: F.struct(*[x[c].alias(c) for c in shown])).alias("clip_details"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hydroframe.operators import audio, bags, clips, events, frames, model, quality, spectral
@@ -15,6 +15,12 @@ INTERPRETATION = {
     "calibration": "Scores are not prospectively calibrated probabilities for a new survey.",
     "thresholds": "No universal binary threshold is supplied; operating thresholds require survey-specific validation.",
 }
+#: Texts of predictions without an event, and of those from whole recordings.
+EMPTY_INTERPRETATION = {"scope": "The prediction unit is the encounter, not an individual animal.", "calibration": "No behavioral probability is available without an extracted whistle bag."}
+CLIPS_DEPLOYMENT, RECORDINGS_DEPLOYMENT = "Scores of clips that were cut before.", "Whistle segments were cut from the recordings by a detector, and their bag was scored."
+#: What predictions and manifests call themselves.
+SOFTWARE = {"name": "hydroframe", "version": "0.3"}
+CLIP_PREDICTION, RECORDING_PREDICTION, EXTRACTION = "clip_prediction_v1", "recording_prediction_v1", "extraction_v1"
 #: What a detector gives; ``box`` numbers the boxes of a window, fewer than BOXES_A_WINDOW.
 BOXES = "recording_id string, window_index int, box int, x double, y double, w double, h double, confidence double"
 BOXES_A_WINDOW = 1_000_000
@@ -43,19 +49,23 @@ def model_identity(settings: DataFrame) -> DataFrame:
     return settings.select(F.struct(*fields).alias("model"))
 
 
-def _told(rows: DataFrame, settings: DataFrame, deployment: str) -> DataFrame:
-    """Adds what stands alike in all predictions: the model's identity and the texts."""
-    texts = F.struct(*[F.lit(v).alias(k) for k, v in {**INTERPRETATION, "deployment": deployment}.items()])
-    rows = rows.withColumn("task", F.lit(TASK)).withColumn("binary_decisions", F.lit(None).cast("map<string,boolean>")).withColumn("interpretation", texts)
+def software() -> Column:
+    return F.struct(*[F.lit(v).alias(k) for k, v in SOFTWARE.items()])
+
+
+def _told(rows: DataFrame, settings: DataFrame, texts: dict[str, str]) -> DataFrame:
+    """Adds what stands alike in all predictions: names, versions, the model's identity and the texts."""
+    told = F.struct(*[F.lit(texts.get(k)).cast("string").alias(k) for k in (*INTERPRETATION, "deployment")])
+    rows = rows.withColumns({"schema_version": F.lit(CLIP_PREDICTION), "software": software(), "task": F.lit(TASK), "binary_decisions": F.lit(None).cast("map<string,boolean>"), "interpretation": told})
     return rows.crossJoin(F.broadcast(model_identity(settings)))  # one row
 
 
-def assemble_predictions(scores: DataFrame, summary: DataFrame, warnings: DataFrame, settings: DataFrame, deployment: str = "Scores of clips that were cut before.") -> DataFrame:
+def assemble_predictions(scores: DataFrame, summary: DataFrame, warnings: DataFrame, settings: DataFrame, deployment: str = CLIPS_DEPLOYMENT) -> DataFrame:
     """The whole record of every encounter with scores: scores, ranking, input summary, quality, model identity and texts."""
     key = "encounter_id"
     ranked = model.rank_labels(scores, key).groupBy(key).agg(F.sort_array(F.collect_list(F.struct("rank", "label", "score"))).alias("ranked"), model.score_pairs().alias("behavior_scores"))
     rows = summary.join(ranked, key).join(quality.summarise(summary, warnings), key).withColumn("status", F.lit("complete"))
-    return _told(rows, settings, deployment)
+    return _told(rows, settings, INTERPRETATION | {"deployment": deployment})
 
 
 def predict_bags(features: DataFrame, encoder: DataFrame, heads: DataFrame, settings: DataFrame, details: bool = False) -> DataFrame:
@@ -76,11 +86,49 @@ def predict_bags(features: DataFrame, encoder: DataFrame, heads: DataFrame, sett
 
 
 def with_empty(predictions: DataFrame, empty: DataFrame, settings: DataFrame) -> DataFrame:
-    """Predictions and, for encounters without events (as of quality.empty_results), records with null scores."""
-    rows = _told(empty.withColumn("clip_count", F.lit(0).cast("long")), settings, "No event was found.").drop("warning_codes")
+    """Predictions and, for encounters without events (as of quality.empty_results), records with null scores, an empty ranking and their warning."""
+    rows = empty.withColumns({"clip_count": F.lit(0).cast("long"), "total_duration": F.lit(0.0)})
+    rows = _told(rows, settings, EMPTY_INTERPRETATION | {"deployment": "No event was found."}).drop("warning_codes")
     return predictions.unionByName(rows, allowMissingColumns=True)
 
 
+def recording_predictions(predictions: DataFrame, recordings: DataFrame, status: DataFrame, detector: dict, padding: float = 0.25) -> DataFrame:
+    """Predictions (with_empty) of whole recordings: their number and duration, how clips were cut, and the texts of this mode; and a row with nothing but its error for each encounter that failed.
+
+    ``recordings``: encounter_id, duration_seconds; ``status``: as of quality.encounter_status; ``detector``: sha256 and
+    confidence. Of encounters that aren't complete no scores pass.
+    """
+    key = "encounter_id"
+    extraction = F.struct(F.lit(detector.get("sha256")).cast("string").alias("detector_sha256"), F.lit(float(detector.get("confidence", 0.25))).alias("confidence"), F.lit(float(padding)).alias("clip_padding_seconds"), F.col("clip_count").alias("whistle_clip_count"))
+    rows = predictions.drop("status").join(status.where("status <> 'failed'").select(key, "status"), key).join(bags.recording_totals(recordings, key), key)
+    rows = rows.withColumn("extraction", extraction).withColumn("interpretation", F.col("interpretation").withField("deployment", F.lit(RECORDINGS_DEPLOYMENT)))
+    failed = status.where("status = 'failed'").select(key, "status", "error", F.lit(0).cast("long").alias("clip_count"))
+    rows = rows.unionByName(failed, allowMissingColumns=True)
+    return rows.withColumns({"schema_version": F.lit(RECORDING_PREDICTION), "software": software()})
+
+
+def manifests(recordings: DataFrame, cut: DataFrame, status: DataFrame, detector: dict, padding: float = 0.25) -> DataFrame:
+    """One row an encounter: names, status and error, detector settings, padding, its sources in order, its events with their clips in order, and their number.
+
+    ``recordings``: encounter_id, path, sample_rate_hz, sample_count, duration_seconds, sha256; ``cut``: as of
+    recordings_to_clips; ``status``: as of quality.encounter_status. Encounters without events or with an error have none.
+    """
+    key = "encounter_id"
+    shown = ("path", "sample_rate_hz", "sample_count", "duration_seconds", "sha256")
+    numbered = frames.source_index(recordings, key, "path")
+    sources = numbered.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("source_index", *shown))).alias("sources"))
+    found = ("event_id", "start_s", "end_s", "fmin_hz", "fmax_hz", "confidence", "windows", "raw_count")
+    audio_part = F.struct(F.col("path").alias("clip_file"), F.col("first_sample").alias("start_sample"), F.col("stop_sample").alias("end_sample_exclusive"), (F.col("first_sample") / F.col("sample_rate_hz")).alias("start_seconds"), (F.col("stop_sample") / F.col("sample_rate_hz")).alias("end_seconds"), "sha256")
+    each = cut.select(key, F.struct("source_index", F.struct(*found).alias("detection"), audio_part.alias("audio")).alias("event"))
+    events_of = each.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col("event.source_index").alias("s"), F.col("event.detection.event_id").alias("e"), "event"))).alias("x")).select(key, F.transform("x", lambda x: x["event"]).alias("events"))
+    rows = status.select(key, "status", "error").join(sources, key, "left").join(events_of, key, "left")
+    listed = F.when(F.col("status") != "failed", F.col("events"))
+    none = F.array().cast(events_of.schema["events"].dataType)
+    rows = rows.withColumn("events", F.coalesce(listed, none)).withColumn("whistle_clip_count", F.size("events").cast("long"))
+    told = F.struct(*[F.lit(v).alias(k) for k, v in detector.items()]) if detector else F.lit(None).cast("string")
+    return rows.withColumns({"schema_version": F.lit(EXTRACTION), "software": software(), "detector": told, "clip_padding_seconds": F.lit(float(padding))})
+
+
 def recordings_to_detections(recordings: DataFrame, chunks: DataFrame | None, chunk_samples: int | None, detector, stride_s: float = 1.0, confidence: float = 0.25, fmax: float = 30_000.0) -> DataFrame:
     """Windows of every recording, their spectrograms, the supplied detector's boxes, and these as detections.
 

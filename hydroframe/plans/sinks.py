@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -24,3 +24,18 @@ def write_predictions_json(predictions: DataFrame, path: str) -> None:
 
 def write_flat_csv(flat: DataFrame, path: str) -> None:
     flat.write.mode("overwrite").option("header", "true").csv(path)
+
+
+def publish(results: DataFrame, path: str, run_id: str) -> None:
+    """Put each encounter's rows in place of those of earlier runs, and leave other encounters' as they are.
+
+    ``results``: a row or more for every encounter of the run; one that failed has a row that says so, which
+    takes the place of its earlier results. Partitions change together when the write commits.
+    """
+    rows = results.withColumn("run_id", F.lit(run_id))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("encounter_id").parquet(path)
+
+
+def published(spark: SparkSession, path: str) -> DataFrame:
+    """What stands published, of encounters that didn't fail."""
+    return spark.read.option("mergeSchema", "true").parquet(path).where("status <> 'failed'")

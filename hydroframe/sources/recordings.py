@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hydroframe.functions.columns import casefolded
 from hydroframe.operators.bags import resolve_encounter_id
 from hydroframe.sources.ranges import file_headers, read_ranges
 
@@ -13,7 +14,7 @@ MIN_RATE = 80_000
 
 def discover_recordings(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
     """path and length of the .wav files below ``root``, the suffix in any case, by case-folded path; contents aren't read."""
-    return wav_files(spark, root, recursive).orderBy(F.lower("path"), "path")
+    return wav_files(spark, root, recursive).orderBy(casefolded(F.col("path")), "path")
 
 
 def wav_files(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from hydroframe.functions.columns import clean_numeric, stable_sigmoid
+from hydroframe.functions.columns import casefolded, clean_numeric, stable_sigmoid
 from hydroframe.operators import audio, bags, events, frames, grid, model, selection, spectral
 
 DETECTION = "recording_id string, seq long, start_s double, end_s double, fmin_hz double, fmax_hz double, confidence double, windows array<int>, raw_count int"
@@ -293,7 +293,9 @@ def test_stacks_of_windows_equal_windows_alone(spark):
 
 
 def test_sample_formats_become_fractions():
-    assert audio.as_fractions(bytes([0, 128, 255]), "<u1").tolist() == [-1.0, 0.0, 127 / 128]
+    assert audio.as_fractions(bytes([0, 128, 255]), "<u1").tolist() == [-1.0, 0.5 / 127.5, 1.0]
+    assert audio.as_fractions(np.array([0, 65535], "<u2").tobytes(), "<u2").tolist() == [-1.0, 1.0]
+    assert audio.as_fractions(np.array([np.nan, 0.5], "<f8").tobytes(), "<f8").tolist() == [0.0, 0.5]
     assert audio.as_fractions(np.array([-(1 << 31), 1 << 30], "<i4").tobytes(), "<i4").tolist() == [-1.0, 0.5]
     assert audio.as_fractions(np.array([0.25, -2.0], "<f4").tobytes(), "<f4").tolist() == [0.25, -2.0]
     for n, length, hop, most in ((10, 4, 2, 9), (10, 4, 2, 3), (3, 4, 2, 9), (10, 4, 1, 4), (10, 4, 1, 1), (4, 4, 1, 1)):
@@ -325,3 +327,39 @@ def test_records_of_clips_need_one_python_step(spark):
         assert abs(r.rms_q50 - np.median(rms)) < 1e-12 and abs(r.low_activity_frame_fraction - (rms < max(rms.max() / 100, 1e-307)).mean()) < 1e-12
         want = spectral.summary_values(*spectral.tonal_band(list(own), 1000 / 16, audit), 3.0, spectral.Tonal(0.008, 400.0, 0.01))
         assert r.core_tonal_component_found == want[0] and r.candidate_count == want[1] and r.core_tonal_component_frequency_q50_hz == want[9]
+
+
+def test_full_case_folding_orders_as_python_does(spark):
+    words = ["Straße", "STRASSE", "strasse", "ẞ", "ß", "ﬁn", "FIN", "Σίσυφος", "ΣΊΣΥΦΟΣ", "σίσυφοσ", "İ", "I", "ı", "ŉ", "ǰ", "ΐ", "և", "ẖ", "Ꭰ", "ꭰ", "Ω", "K", "ſ", "\U00010400", "z", "Ä", "ä", "", "1"]
+    df = spark.createDataFrame([(w,) for w in words], "w string")
+    got = {r.w: r.f for r in df.select("w", casefolded(F.col("w")).alias("f")).collect()}
+    assert got == {w: w.casefold() for w in words}
+    ordered = [r.w for r in df.orderBy(casefolded(F.col("w")), "w").collect()]
+    assert ordered == sorted(words, key=lambda w: (w.casefold(), w))
+    named = frames.source_index(spark.createDataFrame([("e", x) for x in ("Strasze", "straßb", "STRASSA")], "encounter_id string, path string"), "encounter_id", "path")
+    assert [r.path for r in named.orderBy("source_index").collect()] == ["STRASSA", "straßb", "Strasze"]
+
+
+def test_a_detector_is_made_once_a_worker_and_sees_batches(spark, tmp_path):
+    seen = str(tmp_path / "seen")
+
+    def make():
+        import os
+        import uuid
+
+        with open(f"{seen}-made-{os.getpid()}-{uuid.uuid4().hex}", "w"):
+            pass
+
+        def detector(grids):
+            with open(f"{seen}-batch-{uuid.uuid4().hex}", "w") as f:
+                f.write(str(grids.shape))
+            return [np.array([[g[0, 0], 0.5, 0.1, 0.2, 0.9], [0.3, 0.5, 0.1, 0.2, 0.4]][: int(g[0, 1])]).reshape(-1, 5) for g in grids]
+
+        return detector
+
+    rows = [("r", k, [[k / 64, float(k % 3)], [0.0, 0.0], [0.0, 0.0]]) for k in range(20)]
+    df = spark.createDataFrame(rows, "recording_id string, window_index int, grid array<array<float>>").coalesce(1)
+    got = events.detect_batches(df, make, (3, 2)).collect()
+    assert sorted((r.window_index, r.box, r.x) for r in got) == sorted((k, b, [k / 64, 0.3][b]) for k in range(20) for b in range(k % 3))
+    made, batches = list(tmp_path.glob("seen-made-*")), [x.read_text() for x in tmp_path.glob("seen-batch-*")]
+    assert len(made) == len({x.name.split("-")[2] for x in made}) and sorted(batches) == ["(4, 3, 2)", "(8, 3, 2)", "(8, 3, 2)"]

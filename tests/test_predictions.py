@@ -86,6 +86,7 @@ def test_recordings_to_predictions_by_a_stub_detector(spark, tmp_path):
     sinks.write_events_manifest(bag, str(tmp_path / "manifest"))
     assert spark.read.parquet(str(tmp_path / "manifest")).count() == 1
     assert json.loads(sinks.manifest_json(bag.drop("pcm")).first().manifest)["events"][0]["event_id"] == "W0001"
+    cut = spark.read.parquet(str(tmp_path / "manifest"))
     bag = bag.select("encounter_id", "path", "sha256", "sample_rate_hz", "sample_count", "pcm")
     bag.write.parquet(str(tmp_path / "bag"))
     bag = spark.read.parquet(str(tmp_path / "bag"))
@@ -105,6 +106,30 @@ def test_recordings_to_predictions_by_a_stub_detector(spark, tmp_path):
     assert got["clip_details"][0]["core_tonal_component_found"] and got["clip_details"][0]["path"] == "R0002_W0001.wav"
     assert {"sparse_whistle_evidence"} <= {w["code"] for w in got["warnings"]} and all(w["message"] for w in got["warnings"])
     empty = read["none"]
+    assert empty["warning_count"] == 1 and [w["code"] for w in empty["warnings"]] == ["no_whistles_detected"] and empty["warnings"][0]["message"] and empty["ranked"] == []
+    assert {r["schema_version"] for r in read.values()} == {pipeline.CLIP_PREDICTION} and all(r["software"] == pipeline.SOFTWARE for r in read.values())
+    # reruns: one encounter breaks, then is mended; others stay as they are
+    detector = {"checkpoint": "stub.pt", "sha256": "0" * 64, "confidence": 0.25}
+    whole = pipeline.recording_predictions(every, good, status, detector)
+    place = str(tmp_path / "published")
+    sinks.publish(whole, place, "first")
+    rows = {r.encounter_id: r for r in sinks.published(spark, place).collect()}
+    assert sorted(rows) == ["none", "one"] and {r.run_id for r in rows.values()} == {"first"}
+    one_row = rows["one"]
+    assert (one_row.recording_count, one_row.total_recording_duration_seconds, one_row.schema_version) == (2, 4.0, pipeline.RECORDING_PREDICTION)
+    assert one_row.extraction.asDict() == {"detector_sha256": "0" * 64, "confidence": 0.25, "clip_padding_seconds": 0.25, "whistle_clip_count": 1} and one_row.interpretation.deployment == pipeline.RECORDINGS_DEPLOYMENT
+    assert rows["none"].warnings[0].code == "no_whistles_detected" and rows["none"].recording_count == 1
+    broken = quality.encounter_status(good, good.where("encounter_id = 'one'").selectExpr("encounter_id", "path", "'unreadable' AS reason"), bag).where("encounter_id = 'one'")
+    sinks.publish(pipeline.recording_predictions(every, good, broken, detector), place, "second")
+    assert [(r.encounter_id, r.run_id) for r in sinks.published(spark, place).collect()] == [("none", "first")]
+    assert [(r.status, r.error) for r in spark.read.parquet(place).where("encounter_id = 'one'").collect()] == [("failed", "unreadable")]
+    sinks.publish(whole.where("encounter_id = 'one'"), place, "third")
+    assert sorted((r.encounter_id, r.run_id) for r in sinks.published(spark, place).collect()) == [("none", "first"), ("one", "third")]
+    told = {r.encounter_id: r for r in pipeline.manifests(good, cut, status, detector).collect()}
+    assert [(s.source_index, s.path.rsplit("/", 1)[1]) for s in told["one"].sources] == [(1, "R0.wav"), (2, "r1.wav")] and told["one"].whistle_clip_count == 1
+    assert told["one"].events[0].audio.clip_file == "R0002_W0001.wav" and told["one"].events[0].detection.event_id == "W0001" and told["one"].detector.checkpoint == "stub.pt"
+    assert (told["none"].status, told["none"].events, told["none"].whistle_clip_count, told["none"].clip_padding_seconds) == ("no_whistles_detected", [], 0, 0.25)
+    assert [(r.status, r.error, r.whistle_clip_count) for r in pipeline.manifests(good, cut, broken, detector).collect()] == [("failed", "unreadable", 0)]
     assert empty["status"] == "no_whistles_detected" and empty["behavior_scores"] is None and empty["clip_count"] == 0 and empty["model"] == got["model"]
     codes = F.when(F.col("status") == "complete", F.transform("warnings", lambda w: w["code"])).otherwise(F.array(F.lit("no_whistles_detected")))
     results = every.withColumns({"warning_codes": codes, "model_id": F.col("model.model_id"), "model_sha256": F.col("model.artifact_sha256")})
