@@ -223,6 +223,12 @@ def _(spark, sf):
     return bags.bag_totals(_rates(spark, sf), "encounter_id", "price", "sample_rate_hz").withColumn("total_duration", _r("total_duration", 2))
 
 
+@query("b3_recording_totals", f"SELECT encounter_id, count(*) AS recording_count, round(sum(price), 2) AS total_recording_duration_seconds FROM ({_RATE}) GROUP BY encounter_id")
+def _(spark, sf):
+    rows = _rates(spark, sf).withColumn("duration_seconds", F.col("price"))
+    return bags.recording_totals(rows, "encounter_id").withColumn("total_recording_duration_seconds", _r("total_recording_duration_seconds", 2))
+
+
 def _catalog(spark, sf):
     """Orders as a catalog of files; one in 50 was found to be stereo."""
     rows = _rates(spark, sf, "o_orderkey")
@@ -317,6 +323,29 @@ def _(spark, sf):
     return rows.select("user_id", F.array_join(clips.quality_flags(FLAGS), ";").alias("flags"))
 
 
+#: Settings of the records: frames of 16 samples every 8, as in the other queries.
+AUDIT = {
+    "window_seconds": 0.016, "hop_fraction": 0.5, "max_frames_per_clip": MOST_FRAMES, "tonal_smoothing_time_sigma_frames": 0.8, "tonal_smoothing_frequency_sigma_bins": 1.0, "tonal_local_baseline_width_hz": 200.0,
+    "tonal_salience_threshold_db": 3.0, "core_tonal_lower_hz": 20.0, "core_tonal_upper_hz": 400.0, "tonal_minimum_duration_seconds": 0.01,
+}
+RECORD_RATE = 1000
+
+
+@query("a5_clip_features", f"""WITH f AS (SELECT user_id, first_sample, sqrt(avg((x / 32768.0) * (x / 32768.0))) AS rms FROM ({_FRAMES}) GROUP BY ALL),
+q AS (SELECT user_id, quantile_cont(rms, 0.1) AS a, quantile_cont(rms, 0.9) AS c, max(rms) AS m FROM f GROUP BY user_id),
+d AS (SELECT user_id, any_value(CASE WHEN a > 0 AND c > 0 THEN 10 * log10(c * c / (a * a)) END) AS dynamic, avg(CASE WHEN rms < m * 0.01 THEN 1.0 ELSE 0.0 END) AS low FROM f JOIN q USING (user_id) GROUP BY user_id)
+SELECT user_id AS path, sample_count, sample_count / 1000.0::DOUBLE AS duration_seconds, round(20 * log10(greatest(rms_fraction, 2.2250738585072014e-308)), 5) AS rms_dbfs, round(dc_fraction, 6) AS dc_fraction, round(exact_clipping_fraction, 6) AS exact_clipping_fraction,
+ round(near_clipping_fraction, 6) AS near_clipping_fraction, round(zero_fraction, 6) AS zero_fraction, round(dynamic, 5) AS temporal_dynamic_db, round(low, 6) AS low_activity_frame_fraction FROM ({_AMPLITUDE}) JOIN d USING (user_id)""")
+def _(spark, sf):
+    """A user's samples as a clip's bytes, and the record of it from one step."""
+    word = F.lpad(F.hex(F.col("x").bitwiseAND(0xFFFF)), 4, "0")
+    listed = F.array_sort(F.collect_list(F.struct("pos", F.concat(F.substring(word, 3, 2), F.substring(word, 1, 2)).alias("w"))))
+    bag = _samples(spark, sf).groupBy(F.col("user_id").alias("path")).agg(F.unhex(F.array_join(F.transform(listed, lambda s: s["w"]), "")).alias("pcm"), F.count(F.lit(1)).alias("sample_count"))
+    out = pipeline.clip_features(bag.withColumn("sample_rate_hz", F.lit(RECORD_RATE)), RECORD_RATE, AUDIT, FLAGS | {"near_clipping_amplitude_fraction": 0.99})
+    shown = ("rms_dbfs", "dc_fraction", "exact_clipping_fraction", "near_clipping_fraction", "zero_fraction", "temporal_dynamic_db", "low_activity_frame_fraction")
+    return out.select("path", "sample_count", "duration_seconds", *[_r(c, 5 if c.startswith("rms") or c.endswith("db") else 6).alias(c) for c in shown])
+
+
 _PAD = f"""SELECT e.event_id, e.user_id, t.n, CAST(greatest(0, floor(greatest(0.0, e.p - 2.5) * 1.0)) AS BIGINT) AS first_sample, CAST(least(t.n, ceil(least(t.n::DOUBLE, e.p + 1 + 2.5))) AS BIGINT) AS stop_sample
 FROM (SELECT event_id, user_id, value, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1)::DOUBLE AS p FROM events) e JOIN ({_TOTALS}) t USING (user_id)"""
 
@@ -522,9 +551,10 @@ def _(spark, sf):
     return _status(spark, sf)
 
 
-@query("q8_empty_results", f"SELECT encounter_id, status, 'insufficient_evidence' AS quality_status, 1 AS warning_count FROM ({_STATUS}) WHERE status = 'no_whistles_detected'")
+@query("q8_empty_results", f"SELECT encounter_id, status, 'insufficient_evidence' AS quality_status, 1 AS warning_count, '{quality.EMPTY_CODE}' AS code, '{quality.EMPTY_MESSAGE}' AS message, 0 AS ranks FROM ({_STATUS}) WHERE status = 'no_whistles_detected'")
 def _(spark, sf):
-    return quality.empty_results(_status(spark, sf)).select("encounter_id", "status", "quality_status", "warning_count")
+    first = F.get("warnings", F.lit(0))
+    return quality.empty_results(_status(spark, sf)).select("encounter_id", "status", "quality_status", "warning_count", first["code"].alias("code"), first["message"].alias("message"), F.size("ranked").alias("ranks"))
 
 
 @query("s9_flat_rows", f"""SELECT s.encounter_id, s.status, l.rank, l.behavior, l.score, s.clip_count AS whistle_clip_count, CASE WHEN s.status = 'complete' THEN 'ok' ELSE 'insufficient_evidence' END AS quality_status, CASE WHEN s.status = 'complete' THEN '' ELSE 'no_whistles_detected' END AS warning_codes, '{MODEL_ID}' AS model_id, '{MODEL_SHA256}' AS model_sha256
@@ -540,7 +570,7 @@ def _(spark, sf):
 # --- files from documents ------------------------------------------------------------------------
 
 #: An encounter's files lie in a range of so many identifiers, so that none grows with the table.
-ENCOUNTER_FILES = 1000
+ENCOUNTER_FILES = 50
 
 
 def _files(spark, sf):
