@@ -1,9 +1,10 @@
 """Personal data by candidate gradient boosting.
 
-Generators with high recall propose spans, which may overlap. Format and context of each candidate
-make a row of features; boosted trees, trained on the base kinds' checks and on weak labels of the
-other kinds, give each a score, and thresholds calibrated by kind choose which candidates are added to
-the validated ones.
+Generators with high recall propose spans, which may overlap; a candidate that breaks its kind's rules (a
+check sum, an impossible area) is none. Format and context of each candidate make a row of features.
+Boosted trees learn from the base kinds' checks and, for the other kinds, from evidence that no feature
+holds: words before a span that speak for or against its kind. Their scores choose, by thresholds
+calibrated for each kind, which candidates are added to the validated ones.
 Everything runs as built-in functions: spans and features in array functions inside the row, the
 trees as CASE expressions.
 """
@@ -16,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hydroframe.llm.shared import materialize, table, text_of
+from hydroframe.llm.shared import materialize, release, table, text_of
 
 #: Kind, pattern, and a character without which the text can't match. The first four are the base kinds.
 #: Possessive repeats and the look-behinds keep long runs linear: a match that fails from the start of
@@ -32,37 +33,77 @@ KINDS = [
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", None),
 ]
 N_BASE = 4
-#: Characters before a candidate that count as its context, and the words there that speak for a kind.
+#: Characters on either side of a candidate that count as its context.
 CONTEXT = 32
-CUES = ["mail|contact|write", "phone|tel|call|mobil|fax", "card|visa|account|pay|konto", "ip|host|server|address", "id|ssn|social|passport|iban"]
+#: Words before a candidate that speak for a kind that is not a base kind, and those that speak against all.
+CUES = {"email_words": "mail|contact|write", "phone_local": "phone|tel|call|mobil|fax", "national_id": "id|ssn|social|passport", "iban": "iban|account|konto|bank|pay"}
+AGAINST = "part|order|invoice|ref|sku|model|version|serial|ticket|tracking|isbn|item|batch"
+#: Groups that the other words of a context are hashed to.
+WORD_GROUPS = 16
 #: Candidates to train on (about so many at most, in equal parts by kind, chosen by hash, and at most half of a kind), trees, their depth.
 TRAIN_ROWS, TREES, DEPTH = 20_000, 10, 3
-#: A threshold is the least score, in hundredths, at which so many of a kind's candidates outside the training rows are valid.
-PRECISION = 0.95
+#: A threshold is the least score that the evidence doesn't speak against: at which the share of valid candidates, of
+#: those of a kind outside the training rows that have a label, may be this by a Wilson interval of Z deviations.
+PRECISION, Z = 0.95, 1.96
 #: A threshold that no score reaches, and the steps of the hash that chooses training rows.
 NEVER, STEPS = 2.0, 1 << 30
-SPAN = "array<struct<start: int, end: int, value: string>>"
+SPAN = "array<struct<start: int, end: int, value: string, before: string, behind: string>>"
 
 
 def matches(text: Column, pattern: str, needs: str | None) -> Column:
-    """All leftmost non-overlapping matches with their places in code points, in order.
+    """All leftmost non-overlapping matches with their places in code points, in order, and what stands on either side, in lower case.
 
-    The gaps between matches and the matches themselves add up to the places.
+    The gaps between matches and the matches themselves add up to the places. A context is CONTEXT
+    characters long, or as long as the gap to the match beside it, so that no place is searched from the text's begin.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     if needs:
         found = F.when(F.contains(text, F.lit(needs)), found).otherwise(F.array().cast("array<string>"))
     gaps = F.split(text, pattern, -1)
 
-    def add(a, x):
-        start = a["at"] + F.length(x["0"])
+    def step(at, x):
+        start = at + F.length(x["0"])
         end = start + F.length(x["1"])
-        return F.struct(end.alias("at"), F.concat(a["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["1"].alias("value")))).alias("out"))
+        return end, F.struct(start.alias("start"), end.alias("end"), x["1"].alias("value"), F.lower(F.right(x["0"], F.lit(CONTEXT))).alias("before"), F.lower(F.left(x["2"], F.lit(CONTEXT))).alias("behind"))
 
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
-    # the last gap has no match after it
-    walked = F.aggregate(F.zip_with(gaps, found, lambda g, m: F.struct(g.alias("0"), m.alias("1"))), zero, lambda a, x: F.when(x["1"].isNull(), a).otherwise(add(a, x)), lambda a: a["out"])
-    return F.when(F.size(found) > 0, walked).otherwise(F.array().cast(SPAN))
+    # a gap stands before each match and behind the last
+    items = let(F.struct(found.alias("found"), gaps.alias("gaps")), lambda v: F.transform(v["found"], lambda m, i: F.struct(F.get(v["gaps"], i).alias("0"), m.alias("1"), F.get(v["gaps"], i + 1).alias("2"))))
+    return walked(items, step, SPAN)
+
+
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once; inside a lambda a column that isn't its variable is worked out for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def walked(items: Column, step, kind: str) -> Column:
+    """The array that ``step`` makes of ``items`` in order; it takes a number and an item to the next number and an element, or to null for none.
+
+    Appending copies an array, so elements are gathered in blocks of about the root of their number.
+    """
+    state = f"struct<at: int, out: array<{kind[6:-1]}>>"
+    blocks = f"struct<at: int, out: array<array<{kind[6:-1]}>>>"
+
+    def inner(a, x):
+        def grown(next_):
+            at, element = next_["at"], next_["element"]
+            return F.struct(at.cast("int").alias("at"), F.when(element.isNull(), a["out"]).otherwise(F.concat(a["out"], F.array(element))).alias("out")).cast(state)
+
+        at, element = step(a["at"], x)
+        return let(F.struct(at.alias("at"), element.alias("element")), grown)
+
+    def whole(v):
+        items, block = v["items"], v["block"]
+
+        def outer(a, k):
+            own = F.aggregate(F.slice(items, k * block + 1, block), F.struct(a["at"].alias("at"), F.array().alias("out")).cast(state), inner)
+            return let(own, lambda o: F.struct(o["at"].alias("at"), F.concat(a["out"], F.array(o["out"])).alias("out")).cast(blocks))
+
+        numbers = F.sequence(F.lit(0), F.greatest(F.ceil(F.size(items) / block) - 1, F.lit(0)).cast("int"))
+        return F.aggregate(numbers, F.struct(F.lit(0).alias("at"), F.array().alias("out")).cast(blocks), outer, lambda a: F.flatten(a["out"]))
+
+    block = lambda v: F.struct(v.alias("items"), F.greatest(F.lit(8), F.ceil(F.sqrt(F.size(v)))).cast("int").alias("block"))
+    return F.when(F.size(items) > 0, let(let(items, block), whole)).otherwise(F.array().cast(kind))
 
 
 def luhn(digits: Column) -> Column:
@@ -90,7 +131,7 @@ def iban_sum(value: Column) -> Column:
 
 
 def well_formed(kind: int, value: Column) -> Column:
-    """Whether a candidate of a kind that is not a base kind keeps that kind's rules of format; false for base kinds."""
+    """Whether a candidate of a kind that is not a base kind keeps that kind's rules; base kinds have checks instead."""
     if KINDS[kind][0] == "email_words":
         return value.rlike(r"^[A-Za-z0-9].*[)\]]\x20?[A-Za-z]{2,}$")
     if KINDS[kind][0] == "phone_local":
@@ -99,50 +140,54 @@ def well_formed(kind: int, value: Column) -> Column:
         return value.rlike(r"^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)")
     if KINDS[kind][0] == "iban":
         return iban_sum(value)
-    return F.lit(False)
+    return F.lit(True)
 
 
-def valid(kind: int, value: Column, before: Column) -> Column:
-    """The base kinds' checks, and the weak labels of the others: their format, or for a local phone number a cue."""
-    digits = F.regexp_replace(value, "[^0-9]", "")
-    if KINDS[kind][0] == "email":
+def label(kind: int, value: Column, before: Column) -> Column:
+    """What is known of a candidate: the base kinds' checks; of others a word before it that speaks for its kind or against, null if none or both do."""
+    name, digits = KINDS[kind][0], F.regexp_replace(value, "[^0-9]", "")
+    if name == "email":
         return F.lit(True)
-    if KINDS[kind][0] == "ip":
+    if name == "ip":
         return value.rlike(r"^0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})(?:\.0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})){3}$")
-    if KINDS[kind][0] == "card":
+    if name == "card":
         return F.length(digits).between(12, 19) & F.when(F.length(digits).between(12, 19), luhn(digits)).otherwise(False)
-    if KINDS[kind][0] == "phone":
+    if name == "phone":
         return F.length(digits).between(9, 15)
-    if KINDS[kind][0] == "phone_local":
-        return well_formed(kind, value) | before.rlike(CUES[1])
-    return well_formed(kind, value)
+    speaks, denies = before.rlike(rf"\b(?:{CUES[name]})"), before.rlike(rf"\b(?:{AGAINST})")
+    return F.when(speaks != denies, speaks)
 
 
-def context(text: Column, start: Column) -> Column:
-    """The characters before a candidate, in lower case."""
-    return F.lower(F.substring(text, F.greatest(start - CONTEXT, F.lit(0)) + 1, F.least(start, F.lit(CONTEXT))))
+def word_groups(before: Column) -> Column:
+    """Groups of the words of a context, without those that label() looks for."""
+    cues = "|".join([*CUES.values(), AGAINST])
+    words = F.split(F.regexp_replace(before, rf"\b(?:{cues})\w*", " "), r"\W+")
+    return F.transform(F.filter(words, lambda w: F.length(w) > 1), lambda w: F.crc32(w.cast("binary")) % WORD_GROUPS)
 
 
-def features(text: Column, kind: int, c: Column) -> Column:
-    """Kind, format and context of a candidate, as doubles."""
-    value, before = c["value"], context(text, c["start"])
-    count = lambda p: F.length(F.regexp_replace(value, f"[^{p}]", ""))
+def features(kind: int, c: Column, n_email: Column, n_phone: Column) -> Column:
+    """Kind, format and context of a candidate, as doubles; neither checks nor the words that label() looks for are among them."""
+    value, before, behind = c["value"], c["before"], c["behind"]
+    count = lambda x, p: F.length(F.regexp_replace(x, f"[^{p}]", ""))
     return F.array(*[x.cast("double") for x in [
-        F.length(value), count("0-9"), count("A-Za-z"), count(" ().-"), count("."), count("@"), count("+("),
+        F.length(value), count(value, "0-9"), count(value, "A-Za-z"), count(value, " ().-"), count(value, "."), count(value, "@"), count(value, "+("),
         F.size(F.array_distinct(F.split(F.regexp_replace(value, "[^0-9]", ""), ""))),
-        F.substring(before, -1, 1).rlike("[A-Za-z0-9@=/]"), F.substring(text, c["end"] + 1, F.lit(1)).rlike("[A-Za-z0-9@=/]"),
-        *[before.rlike(cue) for cue in CUES],
-        *[F.lit(k == kind) for k in range(len(KINDS))], well_formed(kind, value),
+        F.substring(before, -1, 1).rlike("[a-z0-9@=/]"), F.substring(behind, 1, 1).rlike("[a-z0-9@=/]"),
+        count(before, "0-9"), count(behind, "0-9"), count(before, "#:=/"), count(behind, "#:=/"), n_email, n_phone,
+        *[F.lit(k == kind) for k in range(len(KINDS))], *[F.array_contains(c["groups"], F.lit(g).cast("long")) for g in range(WORD_GROUPS)],
     ]])
 
 
 def candidates(documents: DataFrame) -> DataFrame:
-    """doc_id and all generators' candidates: (start, kind_no, end, valid, x), x the features."""
+    """doc_id and all generators' candidates: (start, kind_no, end, valid, x), x the features and valid their label()."""
     rows = documents.select("doc_id", text_of().alias("text"))
-    rows = rows.select("doc_id", "text", *[matches(F.col("text"), p, needs).alias(f"k{k}") for k, (_, p, needs) in enumerate(KINDS)])
+    kept = lambda k: (lambda found: found if k < N_BASE else F.filter(found, lambda c: well_formed(k, c["value"])))
+    rows = rows.select("doc_id", *[kept(k)(matches(F.col("text"), p, needs)).alias(f"k{k}") for k, (_, p, needs) in enumerate(KINDS)])
+    n_email, n_phone = F.size("k0"), F.size("k3")
 
     def full(k):
-        return F.transform(f"k{k}", lambda c: F.struct(c["start"].alias("start"), F.lit(k).alias("kind_no"), c["end"].alias("end"), valid(k, c["value"], context(F.col("text"), c["start"])).alias("valid"), features(F.col("text"), k, c).alias("x")))
+        grouped = F.transform(f"k{k}", lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["value"].alias("value"), c["before"].alias("before"), c["behind"].alias("behind"), word_groups(c["before"]).alias("groups")))
+        return F.transform(grouped, lambda c: F.struct(c["start"].alias("start"), F.lit(k).alias("kind_no"), c["end"].alias("end"), label(k, c["value"], c["before"]).alias("valid"), features(k, c, n_email, n_phone).alias("x")))
 
     return rows.select("doc_id", F.concat(*[full(k) for k in range(len(KINDS))]).alias("found"))
 
@@ -177,17 +222,27 @@ class Model:
         return 1 / (1 + F.exp(-2 * margin))
 
 
+def may_be(good: float, n: float) -> bool:
+    """Whether a share of ``good`` of ``n`` leaves it open that the true share is PRECISION: the upper end of the Wilson interval reaches it."""
+    share, spread = good / n, Z * Z / n
+    upper = (share + spread / 2 + Z * (share * (1 - share) / n + spread / (4 * n)) ** 0.5) / (1 + spread)
+    return good == n or upper >= PRECISION
+
+
 def train(found: DataFrame) -> Model:
-    """Fit trees and a threshold for each kind to the candidates; no trees, and one score, if all are of one class.
+    """Fit trees and a threshold for each kind to the candidates with a label; no trees, and one score, if all are of one class.
 
     Only the trees' sample is bounded, where each kind weighs the same; a threshold is taken over all
-    candidates of its kind outside that sample, or over those in it if there are no others.
+    labelled candidates of its kind outside that sample, or over those in it if there are no others. A kind
+    that no label speaks against keeps all its candidates.
     """
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.functions import array_to_vector
 
-    rows = found.select("doc_id", F.explode("found").alias("c")).select(F.pmod(F.xxhash64("doc_id", "c.start", "c.kind_no"), F.lit(STEPS)).alias("h"), F.col("c.kind_no").alias("kind_no"), F.col("c.valid").cast("double").alias("label"), F.col("c.x").alias("x"))
-    counts = {r.kind_no: r["count"] for r in rows.groupBy("kind_no").count().collect()}
+    every = found.select("doc_id", F.explode("found").alias("c")).select(F.pmod(F.xxhash64("doc_id", "c.start", "c.kind_no"), F.lit(STEPS)).alias("h"), F.col("c.kind_no").alias("kind_no"), F.col("c.valid").cast("double").alias("label"), F.col("c.x").alias("x"))
+    rows = every.where("label IS NOT NULL")
+    numbers = every.groupBy("kind_no").agg(F.count("label").alias("known")).collect()  # a row a kind
+    counts = {r.kind_no: r.known for r in numbers if r.known}
     limits = [int(STEPS * min(0.5, TRAIN_ROWS / len(counts) / counts[k])) if k in counts else 0 for k in range(len(KINDS))]
     weights = [1 / min(counts[k] / 2, TRAIN_ROWS / len(counts)) if k in counts else 0.0 for k in range(len(KINDS))]
     of_kind = lambda values: F.get(F.array(*[F.lit(v) for v in values]), F.col("kind_no"))
@@ -198,24 +253,30 @@ def train(found: DataFrame) -> Model:
         fitted = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=1, featuresCol="features", weightCol="weight").fit(sample.select(array_to_vector("x").alias("features"), "label", "weight"))
         parts = re.split(r"\n\s*Tree \d+ \(weight ([-0-9.E]+)\):\n", fitted.toDebugString)
         trees = [(float(w), tree_expression(x.rstrip("\n").split("\n"))) for w, x in zip(parts[1::2], parts[2::2], strict=True)]
+    release(sample)
     model = Model(trees, {})
     bins = rows.groupBy("kind_no", inside.alias("inside"), F.floor(100 * model.score(F.col("x"))).alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("good")).collect()
     thresholds = dict.fromkeys(range(len(KINDS)), NEVER)
-    for k in counts:
+    for k in (r.kind_no for r in numbers):
         own = [r for r in bins if r.kind_no == k]
+        own = sorted([r for r in own if not r.inside] or own, key=lambda r: -r.bin)
         n = good = 0
-        for r in sorted([r for r in own if not r.inside] or own, key=lambda r: -r.bin):
+        open_ = True
+        for r in own:
             n, good = n + r.n, good + r.good
-            if good >= PRECISION * n:
+            open_ = may_be(good, n)
+            if open_:
                 thresholds[k] = r.bin / 100
+        if open_:  # no label speaks against lower scores
+            thresholds[k] = 0.0
     return Model(trees, thresholds)
 
 
 def find_personal_data(documents: DataFrame) -> DataFrame:
     """doc_id and spans, an array of (start, kind_no, end, kind), in that order; and n_candidates.
 
-    All valid matches of the base kinds; of the other kinds those whose score reaches their kind's
-    threshold and that overlap no base span. Null and empty texts have none. Rows that repeat are treated each
+    All valid matches of the base kinds; of the other kinds those that keep their kind's rules, whose score
+    reaches their kind's threshold and that overlap no base span. Null and empty texts have none. Rows that repeat are treated each
     for itself; an empty table gives an empty result; other columns are ignored.
     """
     found = materialize(candidates(documents), "pii-candidates")
@@ -232,8 +293,17 @@ def find_personal_data(documents: DataFrame) -> DataFrame:
 
 def redact(text: Column, spans: Column) -> Column:
     """The text with each span replaced by its kind in brackets; of overlapping spans the first stands."""
-    step = lambda a, s: F.when(s["start"] < a["at"], a).otherwise(F.struct(s["end"].alias("at"), F.concat(a["out"], F.substring(text, a["at"] + 1, s["start"] - a["at"]), F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("out")))
-    return F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
+
+    def step(at, s):
+        inside = s["start"] < at
+        piece = F.concat(F.substring(text, at + 1, s["start"] - at), F.lit("["), F.upper(s["kind"]), F.lit("]"))
+        return F.when(inside, at).otherwise(s["end"]), F.when(~inside, F.struct(piece.alias("piece"), s["end"].alias("end")))
+
+    def whole(pieces):
+        rest = F.coalesce(F.get(pieces, F.size(pieces) - 1)["end"], F.lit(0))
+        return F.concat(F.array_join(F.transform(pieces, lambda p: p["piece"]), ""), F.substring(text, rest + 1, F.length(text)))
+
+    return let(walked(spans, step, "array<struct<piece: string, end: int>>"), whole)
 
 
 def joined(spans: Column) -> Column:

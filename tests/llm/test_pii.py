@@ -108,3 +108,29 @@ def test_one_candidate_of_a_kind(spark):
     docs = spark.createDataFrame([(k, "id 123-45-6789") for k in range(4)], "doc_id long, text string")
     for k in range(4):
         assert [s.kind for s in pii.find_personal_data(docs.where(f"doc_id = {k}")).first().spans] == ["national_id"]
+
+
+def test_candidates_of_equal_format_are_told_apart_by_their_context(spark):
+    # labels come from the words "call" and "order"; the rows that are asked about have neither, but the words beside them
+    words = ["anna", "bert", "carl", "dora", "emil"]
+    said = [f"please call {words[k % 5]} today {k % 700 + 200}-{k % 650 + 250}-{k + 1000} thanks" for k in range(600)]
+    said += [f"order shelf depot 7/{k % 9}: {k % 700 + 200}-{k % 650 + 250}-{k + 3000} qty 4 x 12" for k in range(600)]
+    asked = [("person", f"please greet {words[k % 5]} today {k + 300}-555-{k + 5000} thanks") for k in range(60)] + [("goods", f"put on shelf depot 7/{k % 9}: {k + 300}-555-{k + 6000} qty 4 x 12") for k in range(60)]
+    docs = spark.createDataFrame([(k, None, t) for k, t in enumerate(said)] + [(10_000 + k, who, t) for k, (who, t) in enumerate(asked)], "doc_id long, who string, text string")
+    got = pii.find_personal_data(docs).join(docs, "doc_id").where("who IS NOT NULL").collect()
+    kinds = {"person": [], "goods": []}
+    for r in got:
+        kinds[r.who].append([s.kind for s in r.spans])
+    assert kinds == {"person": [["phone_local"]] * 60, "goods": [[]] * 60}
+
+
+def test_one_bad_candidate_does_not_silence_a_kind():
+    assert pii.may_be(18, 19) and pii.may_be(1, 1) and not pii.may_be(0, 1) and not pii.may_be(900, 1000) and pii.may_be(945, 1000) and not pii.may_be(1, 4)
+
+
+def test_many_spans_in_one_text(spark):
+    text = "ab 1.2.3.4 é " * 20_000
+    row = pii.find_personal_data(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert [tuple(s) for s in row.spans] == [(13 * k + 3, 1, 13 * k + 10, "ip") for k in range(20_000)]
+    docs = spark.createDataFrame([(text, [(13 * k + 3, 13 * k + 10, "ip") for k in range(20_000)] + [(13 * 20_000 - 4, 13 * 20_000 - 3, "overlaps")])], "text string, spans array<struct<start: int, end: int, kind: string>>")
+    assert docs.select(pii.redact(pii.F.col("text"), pii.F.col("spans")).alias("t")).first().t == "ab [IP] é " * 20_000
