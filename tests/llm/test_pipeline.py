@@ -61,3 +61,18 @@ def test_stages_do_what_they_say_on_what_the_stage_before_kept(spark):
         once = b"".join(ids for _, ids in starts[:: copies[doc]])
         assert once == coder.ids([texts[doc]])[0] + (2).to_bytes(4, "little") and len(own) % copies[doc] == 0
     assert set(pieces) == set(copies)
+
+
+def test_stages_take_odd_rows_and_clashing_names(spark):
+    names = ["_hash", "_key", "_base", "_threshold", "_copy", "key", "hash", "size", "row", "copies"]
+    texts = [None, "", " ", "one two three four five six", "one two three four five six", "\U0001f600 odd", "long words " * 5000] + [f"text number {k} of some words" for k in range(20)]
+    rows = [(k, t, ["a", None, "b"][k % 3], *["mine"] * len(names)) for k, t in enumerate(texts)] + [(3, texts[3], "a", *["mine"] * len(names))]
+    docs = spark.createDataFrame(rows, ", ".join(["doc_id long", "text string", "source string", *[f"{n} string" for n in names]]))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = materialize(stage(spark, docs, SMALL), "test-odd")
+        assert out.columns == docs.columns and all(r[n] == "mine" for r in out.collect() for n in names)
+        assert stage(spark, docs.where("false"), SMALL).count() == 0
+        docs = out
+    left = {r.doc_id: r.text for r in docs.collect()}
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, SMALL).collect()
+    assert {r.doc_id for r in packed} == set(left)
