@@ -1,11 +1,12 @@
 """Toxicity by weak supervision.
 
-Terms (words and beginnings of words) that occur in toxic rather than other labelled texts are dealt
-into many voters, half of them lexicons of whole words and half patterns of beginnings. A generative
-label model, fitted to how the voters agree over all documents, gives each voter's accuracy for both
-classes and finds voters that agree more than their accuracies explain; such voters share one vote.
-Its posterior labels of documents, labelled or not, train a linear classifier over the terms, which
-scores every document.
+Voters of different kinds look at each text: lexicons and patterns of beginnings mined from labelled
+texts, hand-written lexicons, words that keep company with those (found without labels), and patterns
+of how a text is written (capitals, repeated marks, disguised spelling, insults that address someone).
+A generative label model, fitted to how the voters agree over all documents, gives each voter's
+accuracy for both classes and finds voters that agree more than their accuracies explain; such voters
+share one vote. Its posterior labels of documents, labelled or not, train a linear classifier over the
+terms, which scores every document.
 """
 
 from __future__ import annotations
@@ -22,8 +23,27 @@ from pyspark.sql import functions as F
 
 from hydroframe.llm.shared import bounded_batches, materialize, portions, release, table, text_of
 
-#: Terms that the classifier sees at most, by their weight of evidence; voters of each kind.
-TERMS, VOTERS = 4096, 8
+#: Terms that the classifier sees at most, by their weight of evidence.
+TERMS = 4096
+#: Mined voters of each kind (whole words, beginnings).
+MINED = 8
+#: Hand-written lexicons, fixed values: insults to persons, words of contempt, threats.
+LEXICONS = [
+    """idiot idiots moron morons loser losers fool fools jerk liar coward creep freak clown imbecile scum vermin
+    trottel versager abschaum feigling dummkopf imbécile menteur crétin abruti idiota imbécil mentiroso cobarde escoria""".split(),
+    """stupid dumb pathetic worthless disgusting trash garbage useless ugly filthy ridiculous
+    dumm wertlos ekelhaft widerlich erbärmlich stupide minable dégoûtant ordure estúpido asqueroso inútil basura""".split(),
+    """hate kill shut destroy hurt hasse stirb verschwinde déteste crève odio muere cállate""".split(),
+]
+LEXICON_WORDS = frozenset(w for own in LEXICONS for w in own)
+#: Three words of capitals in a row; a mark three times; a word with a digit or sign among its letters.
+CAPITALS, MARKS, DISGUISED = re.compile(r"(?:\b[A-Z]{3,}\b\W{1,3}){2}[A-Z]{3,}\b"), re.compile(r"!{3}|\?{3}"), re.compile(r"(?<![^\W_])[a-z]++[@$0-9][a-z@$0-9]*+")
+#: What stands for a letter in disguised words.
+LETTERS = str.maketrans("@430157$", "aaeoists")
+#: A word of address, and a word of the lexicons among the next four.
+ADDRESS = re.compile(r"\b(?:you|your|du|dein|deine|tu|toi|ton|vous|tú|usted|eres)\b(?:\W{1,3}\w++){0,3}?\W{1,3}(?:" + "|".join(sorted(LEXICON_WORDS)) + r")\b")
+#: The voters in their order.
+VOTERS = [f"words {k}" for k in range(MINED)] + [f"beginnings {k}" for k in range(MINED)] + ["insults", "contempt", "threats", "company", "capitals", "marks", "disguised", "address"]
 #: Bytes of text whose terms are counted at a time.
 COUNTED = 1_500_000
 #: Beginnings of words that count as terms.
@@ -40,7 +60,7 @@ POSTERIORS = 100_000
 #: also be more than chance gives the best of so many terms.
 VOTER_SHARE = 0.8
 #: Covariance beyond the model's, as a share of the voters' deviations, from which voters count as correlated.
-CORRELATED = 0.3
+CORRELATED = 0.15
 
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -59,56 +79,88 @@ def terms_of(text: str) -> set[str]:
 
 
 def term_counts(labelled: DataFrame) -> DataFrame:
-    """Of (text, toxic): term, toxic texts and other texts that hold it. Counts over all rows."""
+    """Of (text, toxic): term, toxic texts and other texts that hold it, and those of both with a word of the lexicons. Counts over all rows.
+
+    The empty term stands in every text.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, toxic = batch.column(0), batch.column(1).to_pylist()
             for at, stop in portions(texts, COUNTED):
-                counts = (Counter(), Counter())
+                counts = (Counter(), Counter(), Counter())
                 for k in range(at, stop):
-                    counts[toxic[k]].update(terms_of(texts[k].as_py()))
-                for label, own in enumerate(counts):
-                    n = pa.array(own.values(), pa.int64())
-                    none = pa.array(np.zeros(len(own), np.int64))
-                    yield pa.RecordBatch.from_arrays([pa.array(own.keys(), pa.string()), n if label else none, none if label else n], ["term", "toxic", "other"])
+                    own = terms_of(texts[k].as_py()) | {""}
+                    counts[toxic[k]].update(own)
+                    if any("=" + w in own for w in LEXICON_WORDS):
+                        counts[2].update(own)
+                for kind, own in enumerate(counts):
+                    n, none = pa.array(own.values(), pa.int64()), pa.array(np.zeros(len(own), np.int64))
+                    yield pa.RecordBatch.from_arrays([pa.array(own.keys(), pa.string()), *[n if kind == c else none for c in (1, 0, 2)]], ["term", "toxic", "other", "beside"])
 
-    each = labelled.select("text", (F.col("toxic") == 1).cast("int").alias("toxic")).mapInArrow(run, "term string, toxic long, other long")
-    return each.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
+    each = labelled.select("text", (F.col("toxic") == 1).cast("int").alias("toxic")).mapInArrow(run, "term string, toxic long, other long, beside long")
+    return each.groupBy("term").agg(*[F.sum(c).alias(c) for c in ("toxic", "other", "beside")])
 
 
 @dataclass(frozen=True)
 class Terms:
-    """The classifier's terms by number, and the voters that each stands in (-1: none)."""
+    """The classifier's terms by number, and the voters that each stands in, as bits."""
 
     number: dict[str, int]
-    voter: np.ndarray
+    votes: list[int]
+
+
+def information(with_a: Column, with_b: Column, n_a: int, n_b: int) -> Column:
+    """What a term, held by so many texts of two classes, tells about the class, in nats."""
+    a, b = (with_a + 0.5) / (n_a + 1.0), (with_b + 0.5) / (n_b + 1.0)
+    p = n_a / max(1, n_a + n_b)
+    q = p * a + (1 - p) * b
+    return p * a * F.log(a / q) + (1 - p) * b * F.log(b / q) + p * (1 - a) * F.log((1 - a) / (1 - q)) + (1 - p) * (1 - b) * F.log((1 - b) / (1 - q))
 
 
 def choose_terms(counts: DataFrame, n_toxic: int, n_other: int) -> Terms:
-    """The TERMS terms with the largest information gain; those that speak for toxicity also vote.
+    """The TERMS terms with the largest information gain, and the mined voters that they stand in.
 
-    In order of gain, so with like terms one after the other, they are dealt to the voters of their
-    kind in turn: each voter then knows a part of every vocabulary, as the label model asks of voters
-    that are independent given the class. A bounded number of rows comes to the driver: the largest
-    of an ordered list.
+    In order of gain, so with like terms one after the other, terms that speak for toxicity are dealt
+    to the voters of their kind in turn, so that each knows a part of every vocabulary. Words that are met with the lexicons' words rather than without, whatever the labels
+    say, vote as their company. A bounded number of rows comes to the driver: the largest of an
+    ordered list.
     """
-    share = lambda c, n: (F.col(c) + 0.5) / (n + 1.0)
-    a, b = share("toxic", n_toxic), share("other", n_other)
-    p = n_toxic / max(1, n_toxic + n_other)
-    q = p * a + (1 - p) * b
-    gain = p * a * F.log(a / q) + (1 - p) * b * F.log(b / q) + p * (1 - a) * F.log((1 - a) / (1 - q)) + (1 - p) * (1 - b) * F.log((1 - b) / (1 - q))
+    n = n_toxic + n_other
+    gain = information(F.col("toxic"), F.col("other"), n_toxic, n_other)
     counts = materialize(counts.where(F.col("toxic") + F.col("other") >= LEAST_TEXTS), "toxicity-counts")
-    best = counts.withColumn("gain", gain).orderBy(F.desc("gain"), "term").limit(TERMS).collect()
-    chance = np.log(max(1, counts.count())) / (n_toxic + n_other)
+    beside = sum(r.beside for r in counts.where("term = ''").select("beside").collect())
+    near = information(F.col("beside"), F.col("toxic") + F.col("other") - F.col("beside"), beside, n - beside)
+    best = counts.where("term <> ''").withColumns({"gain": gain, "near": near}).orderBy(F.desc("gain"), "term").limit(TERMS).collect()
+    chance = np.log(max(1, counts.count())) / n
     release(counts)
-    voter, turn = np.full(len(best), -1), [0, 0]
-    for k, r in enumerate(best):
-        if r.gain >= chance and r.toxic >= VOTER_SHARE * (r.toxic + r.other):
-            kind = int(r.term[0] != "=")
-            voter[k] = turn[kind] % VOTERS + kind * VOTERS
-            turn[kind] += 1
-    return Terms({r.term: k for k, r in enumerate(best)}, voter)
+    votes, turn = [], [0, 0]
+    for r in best:
+        whole, held, vote = int(r.term[0] == "="), r.toxic + r.other, 0
+        if r.gain >= chance and r.toxic >= VOTER_SHARE * held:
+            vote |= 1 << (turn[whole] % MINED + (0 if whole else MINED))
+            turn[whole] += 1
+        if whole and r.term[1:] not in LEXICON_WORDS and r.near >= chance and r.beside >= VOTER_SHARE * held:
+            vote |= 1 << VOTERS.index("company")
+        votes.append(vote)
+    return Terms({r.term: k for k, r in enumerate(best)}, votes)
+
+
+def written_votes(text: str, words: set[str]) -> int:
+    """The votes, as bits, of the hand-written lexicons and of the patterns of how a text is written."""
+    vote, lexicons = 0, VOTERS.index("insults")
+    listed = not LEXICON_WORDS.isdisjoint(words)
+    if listed:
+        for k, own in enumerate(LEXICONS):
+            vote |= (not words.isdisjoint(own)) << (lexicons + k)
+    for name, pattern in (("capitals", CAPITALS), ("marks", MARKS)):
+        vote |= (pattern.search(text) is not None) << VOTERS.index(name)
+    lower = text.lower()
+    if any(w.translate(LETTERS) in LEXICON_WORDS for w in DISGUISED.findall(lower)):
+        vote |= 1 << VOTERS.index("disguised")
+    if listed and ADDRESS.search(lower):
+        vote |= 1 << VOTERS.index("address")
+    return vote
 
 
 class Finder:
@@ -119,7 +171,9 @@ class Finder:
         self.stems = [(n, {t[:-1]: k for t, k in terms.number.items() if t[0] != "=" and len(t) == n + 1}) for n in STEMS]
 
     def __call__(self, text: str) -> list[int]:
-        words = words_in(text)
+        return self.of_words(words_in(text))
+
+    def of_words(self, words: set[str]) -> list[int]:
         own = [self.whole[w] for w in words & self.whole.keys()]
         for n, numbers in self.stems:
             own += [numbers[s] for s in {w[:n] for w in words} & numbers.keys()]
@@ -128,16 +182,17 @@ class Finder:
 
 def found_terms(text: Column, terms: Terms) -> Column:
     """Of a text: the numbers of the terms that it holds, and its votes as bits."""
-    find, bit = Finder(terms), [0 if v < 0 else 1 << int(v) for v in terms.voter]
+    find, votes_of = Finder(terms), terms.votes
 
     @F.arrow_udf("struct<terms: array<int>, votes: bigint>")
     def found(texts: pa.Array) -> pa.Array:
         flat, ends, votes = [], [0], []
         for x in texts:
-            own = find(x.as_py())
-            vote = 0
+            text = x.as_py()
+            words = words_in(text)
+            own, vote = find.of_words(words), written_votes(text, words)
             for k in own:
-                vote |= bit[k]
+                vote |= votes_of[k]
             flat += own
             ends.append(len(flat))
             votes.append(vote)
@@ -179,7 +234,7 @@ def fit_label_model(n: int, together: np.ndarray, prior: float) -> LabelModel:
     dev = np.sqrt(np.maximum(rate * (1 - rate), 1e-12))
     use = ~np.eye(m, dtype=bool) & (np.outer(rate, rate) > 0)
     d, correlated = np.sqrt(prior * (1 - prior)) * np.sqrt(np.maximum(rate, 0)), []
-    for _ in range(2):
+    for _ in range(4):
         for _ in range(200):
             d = 0.5 * d + 0.5 * ((cov * use) @ d) / np.maximum((use * d**2).sum(axis=1), 1e-12)
         over = use & ((cov - np.outer(d, d)) / np.outer(dev, dev) > CORRELATED)
@@ -202,7 +257,7 @@ def fit_label_model(n: int, together: np.ndarray, prior: float) -> LabelModel:
 
 def voting_counts(rows: DataFrame) -> tuple[int, np.ndarray]:
     """Texts, and texts in which voters i and j vote, over all rows; a bounded matrix."""
-    m = 2 * VOTERS
+    m = len(VOTERS)
     bit = lambda k: F.col("votes").bitwiseAND(F.lit(1 << k)) != 0
     sums = rows.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(bit(i) & bit(j)).alias(f"c_{i}_{j}") for i in range(m) for j in range(i + 1)]).first()
     out = np.zeros((m, m))
@@ -259,7 +314,7 @@ def train(documents: DataFrame, labels: DataFrame) -> tuple[Classifier, DataFram
     labelled = materialize(documents.select(doc_id.alias("doc_id"), text_of().alias("text")).join(F.broadcast(toxic), "doc_id").select("text", "toxic"), "toxicity-labelled")
     n = {r.toxic: r.n for r in labelled.groupBy((F.col("toxic") == 1).cast("int").alias("toxic")).agg(F.count(F.lit(1)).alias("n")).collect()}
     n_toxic, n_other = n.get(1, 0), n.get(0, 0)
-    terms = choose_terms(term_counts(labelled), n_toxic, n_other) if n_toxic else Terms({}, np.full(0, -1))
+    terms = choose_terms(term_counts(labelled), n_toxic, n_other) if n_toxic else Terms({}, [])
     release(labelled)
     rows = materialize(documents.select(doc_id.alias("doc_id"), found_terms(text_of(), terms).alias("found")).select("doc_id", "found.*"), "toxicity-terms")
     prior = (n_toxic + 0.5) / (n_toxic + n_other + 1)

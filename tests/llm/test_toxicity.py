@@ -77,3 +77,36 @@ def test_clean_documents_keep_their_columns(spark):
     assert sorted(r.doc_id if r.doc_id is not None else -1 for r in kept) == sorted(r.doc_id if r.doc_id is not None else -1 for r in scored.collect())
     assert {7, 8, 9} <= {r._terms for r in kept} and len(kept) < len(rows)
     assert toxicity.clean_documents(table.where("false"), given).count() == 0
+
+
+def test_voters_of_how_a_text_is_written():
+    bit = lambda name: 1 << toxicity.VOTERS.index(name)
+    votes = lambda text: toxicity.written_votes(text, toxicity.words_in(text))
+    assert votes("a calm note on tides") == 0 and votes("") == 0
+    assert votes("You are such an idiot") == bit("insults") | bit("address")
+    assert votes("an idiot, that one") == bit("insults")
+    assert votes("du bist ein Trottel, wertlos") == bit("insults") | bit("contempt") | bit("address")
+    assert votes("an 1d1ot") == 0 and votes("what an id10t or m0r0n!") == bit("disguised")
+    assert votes("LOOK HERE NOW, all") == bit("capitals") and votes("well!!!") == bit("marks")
+    assert votes("they hate it") == bit("threats")
+    assert len(toxicity.VOTERS) < 63 and votes("ab1" * 300_000 + " moron") == bit("insults")
+
+
+def test_copied_voters_share_a_vote_and_others_do_not():
+    rng = np.random.default_rng(5)
+    y = rng.random(60_000) < 0.15
+    m = len(toxicity.VOTERS)
+    votes = np.where(y[:, None], rng.random((60_000, m)) < 0.45, rng.random((60_000, m)) < 0.01)
+    votes[:, 9], votes[:, 20] = votes[:, 2], votes[:, 16]
+    model = toxicity.fit_label_model(len(y), votes.T.astype(float) @ votes, y.mean())
+    assert model.correlated == [(2, 9), (16, 20)]
+    assert [k for k, w in enumerate(model.weight) if w == 0.5] == [2, 9, 16, 20] and (np.delete(model.weight, [2, 9, 16, 20]) == 1).all()
+
+
+def test_company_is_found_without_labels(spark):
+    rng = random.Random(4)
+    rows = [(" ".join(rng.sample(["sand", "tide", "reef", "gull", "kelp", "foam"], 3)) + (" idiot snorbl" if k % 4 == 0 else ""), k % 2) for k in range(400)]
+    counts = toxicity.term_counts(spark.createDataFrame(rows, "text string, toxic int"))
+    terms = toxicity.choose_terms(counts, 200, 200)
+    company = 1 << toxicity.VOTERS.index("company")
+    assert {t for t, k in terms.number.items() if terms.votes[k] & company} == {"=snorbl"}
