@@ -42,6 +42,10 @@ SHARED = 0.5
 BITMAPS = (512, 4096)
 #: Candidate pairs that a task adds up before it passes them on; changes how often a pair is passed on, and nothing else.
 HELD_PAIRS = 500_000
+#: Entries of a list that are compared in one go; longer lists are cut into cells, of which every two meet. Changes how work is dealt out, and nothing else.
+CELL = 1024
+#: The most entries that are dealt out as one portion; changes how work is dealt out, and nothing else.
+PORTION_ENTRIES = 200_000
 
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], np.uint64)
 
@@ -177,19 +181,21 @@ def set_rows(docs: DataFrame, words: int, percent: int, common) -> DataFrame:
 
 def whole_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
     """Batches sorted by their first column, cut so that equal values stay together."""
-    held = None
+    held: list[list[np.ndarray]] = []
+    whole = lambda: [np.concatenate(c) for c in zip(*held, strict=True)]
     for batch in batches:
         if not batch.num_rows:
             continue
         cols = [np.asarray(c) for c in batch.columns]
-        if held is not None:
-            cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
-        last = cols[0] == cols[0][-1]
-        held = [c[last] for c in cols]
-        if not last.all():
-            yield [c[~last] for c in cols]
-    if held is not None:
-        yield held
+        at = int(np.argmax(cols[0] == cols[0][-1]))
+        if not held or held[0][0][0] != cols[0][-1]:
+            held.append([c[:at] for c in cols])
+            if len(held) > 1 or at:
+                yield whole()
+            held = []
+        held.append([c[at:] for c in cols])
+    if held:
+        yield whole()
 
 
 def token_lists(sets: DataFrame, percent: int) -> DataFrame:
@@ -341,38 +347,78 @@ def added_up(parts: list[list[np.ndarray]]) -> list[np.ndarray]:
     return [a[first], b[first], np.add.reduceat(shared, first), np.minimum.reduceat(least, first)]
 
 
-def _candidates(lists: DataFrame, percent: int) -> DataFrame:
-    """Pairs of leaders of different components that share enough tokens for some of their sets to link.
+def _dealt(lists: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The entries of lists of several components, and the bitmaps they call for, as rows of portions; the table written for it.
+
+    Lists that share their least component stand together, since mostly they hold the same sets: a pair is
+    then added up in one portion and passed on once. A component with more than an even share of all entries
+    has as many portions as it takes, its lists dealt out by hash; a list longer than CELL is cut into cells
+    by hash of the set, and a tile for every two cells is dealt out as a list is. A bitmap goes out once a
+    portion, not once an entry.
+    """
+    n = int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    mixed = lists.groupBy("token").agg(F.min("comp").alias("home"), F.max("comp").alias("other"), F.count(F.lit(1)).alias("entries")).where("home <> other")
+    mixed = mixed.withColumn("cells", F.ceil(F.col("entries") / CELL)).withColumn("weight", F.col("entries") * F.col("cells")).drop("other", "entries")
+    mixed = materialize(mixed, "jaccard-mixed")
+    share = min(max((mixed.agg(F.sum("weight")).first()[0] or 0) // (4 * n), 1), PORTION_ENTRIES)
+    shares = mixed.groupBy("home").agg(F.ceil(F.sum("weight") / share).alias("shares"))
+    rows = lists.join(mixed.join(shares, "home").drop("weight"), "token")
+    rows = rows.withColumn("cell", F.pmod(F.xxhash64("set"), "cells")).withColumn("met", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1)))
+    rows = rows.withColumn("low", F.least("cell", "met")).withColumn("high", F.greatest("cell", "met"))
+    portion = F.xxhash64("home", F.pmod(F.xxhash64("token", "low", "high"), "shares"))
+    rows = rows.select(portion.alias("portion"), "token", "low", "high", "cell", "size", "place", "center", "comp", "set", "pivot", "apart")
+    written = materialize(rows, "jaccard-entries")
+    bits = written.select("portion", "set").distinct().join(sets.select("set", "bits"), "set")
+    none = [F.lit(0).cast(t).alias(c) for c, t in written.dtypes if c not in ("portion", "set")]
+    order = ["portion", "entry", *written.columns[1:], "bits"]
+    bits = bits.select("portion", "set", "bits", F.lit(0).alias("entry"), *none).select(*order)
+    rows = written.withColumns({"entry": F.lit(1), "bits": F.lit("").cast("binary")}).select(*order).union(bits)
+    release(mixed)
+    return rows.repartition(n, "portion").sortWithinPartitions("portion", "entry", "token", "low", "high", "size", "set"), written
+
+
+def _candidates(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs of leaders of different components that share enough tokens for some of their sets to link, written.
 
     A list's entries come sorted by size; an entry meets those of its block and of later blocks until
     their sizes are out of reach, if the token stands early enough in both. Sets that have both been
     compared with one set (their pivot) are no nearer to one another than their distances from it
-    differ; those of which one is the other's pivot have been compared. Each list counts once for a
-    pair of leaders, which is at least what any two of their sets that may link share.
+    differ; those of which one is the other's pivot have been compared. Each list (of a longer one, each
+    tile) counts once for a pair of leaders, which is at least what any two of their sets that may link share.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pairs(cols):
-            token, size, place, center, comp, name, pivot = (c.astype(np.int64) for c in cols[:7])
-            apart = cols[7].astype(np.float64)
-            words = np.array([len(b) // 8 for b in cols[8]], np.int64)
-            flat, start = np.frombuffer(b"".join(cols[8]), np.uint64), np.cumsum(words) - words
+            entry = cols[1] == 1
+            bits = cols[13][~entry]
+            known, first = np.unique(cols[10][~entry], return_index=True)
+            words = np.array([len(b) // 8 for b in bits[first]], np.int64)
+            flat, start = np.frombuffer(b"".join(bits[first]), np.uint64), np.cumsum(words) - words
+            part, token, low, high, cell, size, place, center, comp, name, pivot = (cols[c][entry].astype(np.int64) for c in (0, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11))
+            apart, own = cols[12][entry].astype(np.float64), np.searchsorted(known, name)
+            if not len(token):
+                return [np.empty(0, np.int64)] * 4
             found = []
-            begin = np.nonzero(np.concatenate([[True], token[1:] != token[:-1]]))[0]
+            changes = np.any([c[1:] != c[:-1] for c in (part, token, low, high)], axis=0)
+            begin = np.nonzero(np.concatenate([[True], changes]))[0]
             ends = np.append(begin[1:], len(token))
             mixed = np.minimum.reduceat(comp, begin) != np.maximum.reduceat(comp, begin)
             for n, (i, j) in enumerate(zip(begin[mixed], ends[mixed], strict=True)):
                 reach = i + np.searchsorted(size[i:j] * percent, size[i:j] * 100, side="right")
+                tile = low[i] != high[i]
                 for k in range(i, j - 1):
                     t = slice(k + 1, reach[k - i])
                     least, first_k, first_t = within_reach(size[k], size[t], percent)
-                    other = np.nonzero((comp[t] != comp[k]) & (place[k] < first_k) & (place[t] < first_t) & (name[t] != pivot[k]) & (pivot[t] != name[k]))[0]
+                    meets = (comp[t] != comp[k]) & (place[k] < first_k) & (place[t] < first_t) & (name[t] != pivot[k]) & (pivot[t] != name[k])
+                    if tile:  # two of one cell meet in that cell's own tile
+                        meets &= cell[t] != cell[k]
+                    other = np.nonzero(meets)[0]
                     least, other = least[other], other + k + 1
                     open_ = (pivot[other] != pivot[k]) | (np.abs(apart[other] - apart[k]) <= 1 - percent / 100 + 1e-9)
                     least, other = least[open_], other[open_]
                     if not len(other):
                         continue
-                    open_ = differing_bits(flat, start, words, k, other) <= size[k] + size[other] - 2 * needed(size[k], size[other], percent)
+                    open_ = differing_bits(flat, start, words, own[k], own[other]) <= size[k] + size[other] - 2 * needed(size[k], size[other], percent)
                     least, x = least[open_], center[other[open_]]
                     if len(x):
                         found.append(np.column_stack([np.full(len(x), n), np.minimum(x, center[k]), np.maximum(x, center[k]), least]))
@@ -398,10 +444,11 @@ def _candidates(lists: DataFrame, percent: int) -> DataFrame:
                     held = [[np.empty(0, np.int64)] * 4]
         yield passed_on(added_up(held))
 
-    n = int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = lists.select("token", "size", "place", "center", "comp", "set", "pivot", "apart", "bits").repartition(n, "token").sortWithinPartitions("token", "size", "set")
+    rows, written = _dealt(lists, sets)
     found = rows.mapInArrow(run, "a long, b long, shared long, least long").groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("least").alias("least"))
-    return found.where("a <> b AND shared >= least").select("a", "b")
+    out = materialize(found.where("a <> b AND shared >= least").select("a", "b"), "jaccard-candidates")
+    release(written)
+    return out
 
 
 def _distance() -> Column:
@@ -450,25 +497,26 @@ def similarity_components(documents: DataFrame, words: int = WORDS, percent: int
 
     # what the leaders have in common settles most of the rest
     pivots = first.select(F.col("b").alias("set"), F.col("a").alias("pivot"), _distance().alias("apart"))
-    labels = sets.select("set", "bits").join(comps.withColumnRenamed("node", "set"), "set", "left").join(follows.select("set", "center"), "set", "left").join(pivots, "set", "left")
-    labels = labels.select("set", "bits", F.coalesce("center", "set").alias("center"), F.coalesce("comp", "set").alias("comp"), F.coalesce("pivot", "set").alias("pivot"), F.coalesce("apart", F.lit(0.0)).alias("apart"))
+    labels = sets.select("set").join(comps.withColumnRenamed("node", "set"), "set", "left").join(follows.select("set", "center"), "set", "left").join(pivots, "set", "left")
+    labels = labels.select("set", F.coalesce("center", "set").alias("center"), F.coalesce("comp", "set").alias("comp"), F.coalesce("pivot", "set").alias("pivot"), F.coalesce("apart", F.lit(0.0)).alias("apart"))
     labels = materialize(labels, "jaccard-labels")
     labelled = materialize(lists.select("token", "set", "size", "place").join(labels, "set"), "jaccard-labelled")
     release(lists, labels, comps)
-    between = compared(_candidates(labelled, percent), names, texts, words, "jaccard-between")
+    asked = _candidates(labelled, sets, percent)
+    between = compared(asked, names, texts, words, "jaccard-between")
     reach = lambda side: radius.select(F.col("center").alias(side), F.col("radius").alias(f"r_{side}"))
     bound = between.where(~_links(percent)).join(reach("a"), "a", "left").join(reach("b"), "b", "left")
     slack = F.coalesce("r_a", F.lit(0.0)) + F.coalesce("r_b", F.lit(0.0))
     open_ = materialize(bound.where((slack > 0) & (_distance() <= 1 - percent / 100 + slack + 1e-9)).select("a", "b"), "jaccard-open")
     edges = stars.select("a", "b").union(_linked(between, percent).select("a", "b"))
     if not open_.isEmpty():
-        edges = edges.union(_followers(open_, labelled, edges, names, texts, words, percent))
+        edges = edges.union(_followers(open_, labelled, edges, sets, texts, words, percent))
     whole = components(edges, "jaccard-whole")
     named = materialize(sets.select("set_id", "set", "doc").join(whole.withColumnRenamed("node", "set"), "set", "left").select("set_id", "doc", F.coalesce("comp", "set").alias("comp")), "jaccard-named")
     least = materialize(named.groupBy("comp").agg(F.min("doc").alias("component_id")), "jaccard-least")
     found = materialize(named.join(least, "comp").select("set_id", "component_id"), "jaccard-components")
     narrow = materialize(rows.select("doc_id", "set_id", "size"), "jaccard-documents")
-    release(rows, sets, first, radius, labelled, between, open_, whole, named, least)
+    release(rows, sets, first, radius, labelled, asked, between, open_, whole, named, least)
     return narrow.join(found, "set_id", "left").select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
@@ -481,15 +529,16 @@ def compared(pairs: DataFrame, names: DataFrame, texts: DataFrame, words: int, l
     return out
 
 
-def _followers(open_: DataFrame, labelled: DataFrame, edges: DataFrame, names: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+def _followers(open_: DataFrame, labelled: DataFrame, edges: DataFrame, sets: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """Links between followers of leaders whose bound leaves them open, and that nothing links yet."""
     comps = components(edges, "jaccard-second")
     ends = materialize(open_.select(F.col("a").alias("center")).union(open_.select(F.col("b").alias("center"))).distinct(), "jaccard-ends")
     rows = labelled.drop("comp").join(ends, "center", "left_semi").join(comps.select(F.col("node").alias("set"), F.col("comp").alias("whole")), "set", "left")
     # here every set is its own center, and the components are those known by now
-    rows = materialize(rows.select("token", "size", "place", F.col("set").alias("center"), F.coalesce("whole", "set").alias("comp"), "set", "pivot", "apart", "bits"), "jaccard-followers")
-    found = compared(_candidates(rows, percent), names, texts, words, "jaccard-open-overlaps")
-    release(comps, ends, rows)
+    rows = materialize(rows.select("token", "size", "place", F.col("set").alias("center"), F.coalesce("whole", "set").alias("comp"), "set", "pivot", "apart"), "jaccard-followers")
+    asked = _candidates(rows, sets, percent)
+    found = compared(asked, sets.select("set", "doc", "set_id"), texts, words, "jaccard-open-overlaps")
+    release(comps, ends, rows, asked)
     return _linked(found, percent).select("a", "b")
 
 

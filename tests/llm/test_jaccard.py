@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from hydroframe.llm import jaccard
@@ -77,9 +78,10 @@ def test_small_table_equals_brute_force(spark):
     check(spark, rows + [(1000 + k, t) for k, t in enumerate(ODD_TEXTS * 2)], 4, 85)
 
 
-@pytest.mark.parametrize(("words", "percent"), [(4, 85), (5, 80)])
-def test_chains_groups_and_shared_passages(spark, words, percent, monkeypatch):
+@pytest.mark.parametrize(("words", "percent", "cell"), [(4, 85, 1024), (5, 80, 1024), (4, 85, 4)])
+def test_chains_groups_and_shared_passages(spark, words, percent, cell, monkeypatch):
     monkeypatch.setattr(jaccard, "COMMON_TOKENS", 200)
+    monkeypatch.setattr(jaccard, "CELL", cell)  # at 4, most lists are worked on in tiles
     rng = random.Random(words)
     vocabulary = [f"w{i}" for i in range(3000)]
     passage = rng.choices(vocabulary, k=60)
@@ -144,3 +146,35 @@ def test_candidate_pairs_are_added_up_whole():
     assert {(a, b): (n, m) for a, b, n, m in zip(*(c.tolist() for c in found), strict=True)} == wanted
     assert len(found[0]) == len(wanted)
     assert [len(c) for c in jaccard.added_up([[np.empty(0, np.int64)] * 4])] == [0] * 4
+
+
+def test_batches_are_cut_at_whole_lists():
+    rng = random.Random(6)
+    values = sorted(rng.randrange(12) for _ in range(200))
+    rows = list(enumerate(values))
+    for width in (1, 3, 40, 500):
+        batches = [pa.RecordBatch.from_arrays([pa.array([v for _, v in rows[i : i + width]]), pa.array([k for k, _ in rows[i : i + width]])], ["v", "k"]) for i in range(0, 200, width)]
+        parts = [list(zip(v.tolist(), k.tolist(), strict=True)) for v, k in jaccard.whole_lists(iter([batches[0].slice(0, 0), *batches]))]
+        assert [(k, v) for part in parts for v, k in part] == rows
+        seen = [{v for v, _ in part} for part in parts]
+        assert all(parts) and sum(map(len, seen)) == len(set(values))
+    assert list(jaccard.whole_lists(iter([]))) == []
+
+
+def test_entries_are_dealt_out_with_every_two_in_one_tile(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "CELL", 5)
+    entries = [(token, s, 10, 0, s, s % 3, s, 0.0) for token, sets in ((1, range(23)), (2, range(20, 22)), (3, [3, 6, 9])) for s in sets]
+    lists = spark.createDataFrame(entries, "token long, set long, size long, place int, center long, comp long, pivot long, apart double")
+    sets = spark.createDataFrame([(s, bytes([s])) for s in range(23)], "set long, bits binary")
+    rows, _ = jaccard._dealt(lists, sets)
+    together, bits = {}, set()
+    for r in rows.collect():
+        if r.entry:
+            together.setdefault((r.portion, r.token, r.low, r.high), []).append((r.set, r.cell))
+        else:
+            assert bytes(r.bits) == bytes([r.set]) and (r.portion, r.set) not in bits
+            bits.add((r.portion, r.set))
+    met = [(token, *sorted((x, y))) for (_, token, low, high), own in together.items() for i, (x, c) in enumerate(own) for y, d in own[:i] if low == high or c != d]
+    wanted = [(1, i, j) for j in range(23) for i in range(j)] + [(2, 20, 21)]  # the third list is one component's
+    assert sorted(met) == sorted(wanted)
+    assert {(p, s) for (p, *_), own in together.items() for s, _ in own} == bits
