@@ -573,8 +573,9 @@ def _(spark, sf):
 ENCOUNTER_FILES = 50
 
 
-def _files(spark, sf):
-    encounter = F.concat("lang", F.lit(":"), F.floor(F.col("doc_id") / ENCOUNTER_FILES).cast("string"))
+def _files(spark, sf, encounter: Column | None = None):
+    if encounter is None:
+        encounter = F.concat("lang", F.lit(":"), F.floor(F.col("doc_id") / ENCOUNTER_FILES).cast("string"))
     return _read(spark, sf, "documents").select(encounter.alias("encounter_id"), F.format_string("D%08d", "doc_id").alias("path"), F.sha2("text", 256).alias("sha256"), "doc_id")
 
 
@@ -597,9 +598,13 @@ def _(spark, sf):
     return bags.bag_fingerprint(_files(spark, sf), "encounter_id", "path", "sha256")
 
 
-@query("q5_duplicate_content", f"SELECT encounter_id, {_said('duplicate_audio_content')}, list(path ORDER BY path) AS affected_files FROM (SELECT *, count(*) OVER (PARTITION BY encounter_id, sha256) AS n FROM ({_FILE})) WHERE n > 1 GROUP BY encounter_id")
+#: A language's files are one encounter: copies may lie anywhere in the table.
+_LANGUAGE_FILE = "SELECT lang AS encounter_id, 'D' || lpad(CAST(doc_id AS VARCHAR), 8, '0') AS path, sha256(text) AS sha256, doc_id FROM documents"
+
+
+@query("q5_duplicate_content", f"SELECT encounter_id, {_said('duplicate_audio_content')}, list(path ORDER BY path) AS affected_files FROM (SELECT *, count(*) OVER (PARTITION BY encounter_id, sha256) AS n FROM ({_LANGUAGE_FILE})) WHERE n > 1 GROUP BY encounter_id")
 def _(spark, sf):
-    return quality.duplicate_content(_files(spark, sf)).select("encounter_id", "code", "message", "affected_files")
+    return quality.duplicate_content(_files(spark, sf, F.col("lang"))).select("encounter_id", "code", "message", "affected_files")
 
 
 _FLAGGED = f"SELECT f.*, coalesce(l.toxic, 0) = 0 AS found, l.quality, l.toxic FROM ({_FILE}) f LEFT JOIN labels l USING (doc_id)"
